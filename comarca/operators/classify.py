@@ -44,37 +44,36 @@ def class_edges(result: DataFrame, method: str = "jenks", n_classes: int = CLASS
     if method not in CLASSIFICATIONS:
         raise ValueError(f"unknown classification {method!r}; use one of {CLASSIFICATIONS}")
     counts = _numbers(result, value)
-    weight = F.col("n").cast("double")
-    mean = F.sum(F.col("v") * weight) / F.sum(weight)
+    distinct = counts.agg(F.count(F.lit(1)).alias("k")).scalar()
+    weight, v = F.col("n").cast("double"), F.col("v")
+    mean = F.sum(v * weight) / F.sum(weight)
     summary = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"),
-                         F.least(F.count(F.lit(1)), F.lit(int(n_classes))).alias("k"))
-    cuts = F.array().cast("array<double>")
+                         mean.alias("mean")).withColumn(
+        "k", F.least(distinct, F.lit(int(n_classes))))
+    nothing = F.array().cast("array<double>")
+    low, high, k = F.col("low"), F.col("high"), F.col("k")
     if method == "equal":
-        step = (F.col("high") - F.col("low")) / F.col("k")
-        cuts = F.transform(F.sequence(F.lit(1), F.col("k")),
-                           lambda i: F.col("low") + i * step)
+        cuts = F.transform(F.sequence(F.lit(1), k), lambda i: low + i * ((high - low) / k))
     elif method == "quantile":
-        k = F.least(counts.agg(F.count(F.lit(1)).alias("k")).scalar(),
-                    F.lit(int(n_classes)))
-        probs = F.transform(F.sequence(F.lit(1), k), lambda i: i.cast("double") / k)
-        found = quantiles_of_counts(counts, [], probs, "v")
-        cuts = found.agg(F.array_sort(F.collect_list("q")).alias("q")).scalar()
+        # Quantiles for every possible number of classes; the right ones are kept.
+        wanted = [(m, i / m) for m in range(2, n_classes + 1) for i in range(1, m)]
+        found = quantiles_of_counts(counts, [], [p for _, p in wanted] or [0.5], "v")
+        of = F.get(F.array(*[F.lit(m) for m, _ in wanted] or [F.lit(0)]), F.col("i"))
+        kept = found.filter(of == F.least(distinct, F.lit(int(n_classes))))
+        summary = summary.withColumn("cuts", kept.agg(F.collect_list("q").alias("q")).scalar())
+        cuts = F.col("cuts")
     elif method == "stddev":
         centre = counts.agg(mean.alias("mean")).scalar()
-        spread = counts.agg(F.sqrt(F.sum(weight * F.pow(F.col("v") - centre, F.lit(2.0)))
-                                   / F.sum(weight)).alias("sd")).scalar()
-        cuts = F.filter(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.col("k") - 1, F.lit(1))),
-            lambda i: centre + (i - F.col("k") / 2) * spread),
-            lambda c: (c > F.col("low")) & (c < F.col("high")))
+        spread = F.sqrt(F.sum(weight * F.pow(v - centre, F.lit(2.0))) / F.sum(weight))
+        summary = summary.withColumn("sd", counts.agg(spread.alias("sd")).scalar())
+        cuts = F.transform(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))),
+                           lambda i: F.col("mean") + (i - k / 2) * F.col("sd"))
     else:
-        cuts = _jenks_cuts(counts, n_classes).scalar()
-    ends = F.array(F.col("low"), F.col("high"))
-    inside = F.filter(F.coalesce(cuts, F.array().cast("array<double>")),
-                      lambda c: (c > F.col("low")) & (c < F.col("high")))
-    all_edges = F.array_sort(F.array_distinct(F.concat(ends, inside)))
-    return summary.select(F.when(F.col("low").isNull(), F.array().cast("array<double>"))
-                          .otherwise(all_edges).alias("edges"))
+        summary = summary.withColumn("cuts", _jenks_cuts(counts, n_classes).scalar())
+        cuts = F.col("cuts")
+    inside = F.filter(F.coalesce(cuts, nothing), lambda c: (c > low) & (c < high))
+    all_edges = F.array_sort(F.array_distinct(F.concat(F.array(low, high), inside)))
+    return summary.select(F.when(low.isNull(), nothing).otherwise(all_edges).alias("edges"))
 
 
 def _jenks_cuts(counts: DataFrame, n_classes: int) -> DataFrame:
@@ -115,7 +114,8 @@ def _jenks_cuts(counts: DataFrame, n_classes: int) -> DataFrame:
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"cuts": [_least_squares_cuts(pdf.sort_values("top"), n_classes)]})
 
-    return bins.groupBy(F.lit(1)).applyInPandas(split, "cuts array<double>")
+    return (bins.withColumn("all", F.lit(0)).groupBy("all")
+            .applyInPandas(split, "cuts array<double>"))
 
 
 def _least_squares_cuts(bins: pd.DataFrame, n_classes: int) -> list[float]:
@@ -190,11 +190,11 @@ def with_class(result: DataFrame, method: str = "jenks", n_classes: int = CLASS_
     """Add ``clase`` (1 up) and ``rango`` ("from – to"); NULL where there is no value."""
     limits = (edges if edges is not None
               else class_edges(result, method, n_classes, value)).scalar()
-    v = F.col(value).try_cast("double")
-    out = result.withColumn("clase", class_of(v, limits))
-    last = F.size(limits) - 1
-    return out.withColumn("rango", class_label(
-        F.get(limits, F.col("clase") - 1), F.get(limits, F.least(F.col("clase"), last))))
+    v, e = F.col(value).try_cast("double"), F.col("_edges")
+    out = result.withColumn("_edges", limits).withColumn("clase", class_of(v, e))
+    label = class_label(F.get(e, F.col("clase") - 1),
+                        F.get(e, F.least(F.col("clase"), F.size(e) - 1)))
+    return out.withColumn("rango", label).drop("_edges")
 
 
 def histogram(result: DataFrame, method: str = "jenks", n_classes: int = CLASS_COUNT,
@@ -207,8 +207,9 @@ def histogram(result: DataFrame, method: str = "jenks", n_classes: int = CLASS_C
     edges = class_edges(result, method, n_classes, value)
     limits = edges.scalar()
     bins = _bounds(edges.filter(F.size("edges") > 1))
-    at = F.least(F.size(F.filter(limits, lambda e: e <= F.col("v"))), F.size(limits) - 1)
-    per_bin = (_numbers(result, value).select(at.alias("_at"), "n")
+    at = F.least(F.size(F.filter("_edges", lambda e: e <= F.col("v"))), F.size("_edges") - 1)
+    per_bin = (_numbers(result, value).withColumn("_edges", limits)
+               .select(at.alias("_at"), "n")
                .groupBy("_at").agg(F.sum("n").alias("n")))
     return (bins.join(per_bin, F.col("clase") == F.col("_at"), "left")
             .select("clase", "desde", "hasta", F.coalesce("n", F.lit(0)).alias("n")))

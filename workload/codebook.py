@@ -268,12 +268,12 @@ _CLAUSES = _SKIPS.rstrip() + """,
 pares AS (SELECT q.tabla, q.num, p.num AS previa, p.codigo, p.respuesta, p.pos
           FROM q JOIN opciones p ON q.tabla = p.tabla AND p.num < q.num
                                  AND p.destino > q.num),
-clausulas AS (SELECT tabla, num, previa, coalesce(
+clausulas AS (SELECT p.tabla, p.num, previa, coalesce(
       string_agg('«' || respuesta || '»', ' o ' ORDER BY pos) FILTER (WHERE respuesta <> ''),
       string_agg('el código ' || CAST(codigo AS VARCHAR), ' o ' ORDER BY pos))
       || ' en la pregunta ' || CAST(previa AS VARCHAR) || ' («' || pregunta || '»)' AS c
-    FROM pares JOIN enunciados e USING (tabla)
-    WHERE e.num = previa GROUP BY tabla, num, previa, pregunta),
+    FROM pares p JOIN enunciados e ON e.tabla = p.tabla AND e.num = p.previa
+    GROUP BY p.tabla, p.num, previa, pregunta),
 frases AS (SELECT tabla, num, 'no a quienes respondieron '
       || string_agg(c, ' ni ' ORDER BY previa)
       || ': el cuestionario les salta esta pregunta' AS frase FROM clausulas

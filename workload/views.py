@@ -42,18 +42,19 @@ _EDGES = {
         FROM (SELECT min(valor) AS lo, max(valor) AS hi,
                      least(count(DISTINCT valor), 5) AS k FROM {r}), range(0, 6) t(i)
         WHERE i <= k""",
-    "quantile": """SELECT quantile_cont(valor, i / 5.0) AS e FROM {r}, range(0, 6) t(i)
-        GROUP BY i""",
-    "stddev": """SELECT unnest([lo, hi] || list_filter(
-          [m + (i - 2.5) * s FOR i IN [1, 2, 3, 4]], x -> x > lo AND x < hi)) AS e
+    "quantile": """SELECT unnest(quantile_cont(valor, [0, 0.2, 0.4, 0.6, 0.8, 1])) AS e
+        FROM {r}""",
+    "stddev": """SELECT least(hi, greatest(lo, m + (i - 2.5) * s)) AS e
         FROM (SELECT min(valor) AS lo, max(valor) AS hi, avg(valor) AS m,
-                     stddev_pop(valor) AS s FROM {r})""",
+                     stddev_pop(valor) AS s FROM {r}), (VALUES (-99), (1), (2), (3), (4), (99))
+             AS t(i)""",
 }
 
 
 def _bounds_sql(method, views, rows, r):
     edges = _EDGES[method].format(r=r)
-    return with_views(*views).rstrip() + (",\n" if views else "WITH ") + f"""{rows},
+    head = with_views(*views).rstrip() + ",\n" if views else "WITH "
+    return head + f"""{rows},
 edges AS (SELECT DISTINCT e FROM ({edges})),
 bounds AS (SELECT row_number() OVER (ORDER BY e) AS clase, e AS desde,
                   lead(e) OVER (ORDER BY e) AS hasta FROM edges
@@ -62,8 +63,7 @@ bounds AS (SELECT row_number() OVER (ORDER BY e) AS clase, e AS desde,
 
 
 def _with_units(method):
-    head = _bounds_sql(method, ["personas"], _UNITS, "units")
-    return head
+    return _bounds_sql(method, [], _UNITS, "units")
 
 
 def _rounded_bounds(df):
@@ -146,7 +146,7 @@ main AS (SELECT valor FROM layers WHERE capa = (
 
 
 @query("shared_classes", _bounds_sql("equal", [], _SHARED_ROWS, "main") + """
-SELECT capa, geo_code, min(clase) AS clase FROM layers LEFT JOIN bounds
+SELECT capa, geo_code, CAST(min(clase) AS DOUBLE) AS clase FROM layers LEFT JOIN bounds
 ON valor >= desde AND valor <= hasta GROUP BY capa, geo_code""")
 def shared_classes(spark, d):
     rows = t.read(spark, d, "lineitem").filter("l_returnflag <> 'N'")
