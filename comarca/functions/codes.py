@@ -72,10 +72,15 @@ def category_eq(df: DataFrame, name: str, category) -> Column:
     return int_code(df, name, "bigint") == F.lit(code)
 
 
-def category_order(col: Column) -> list[Column]:
+def category_sort_keys(col: Column) -> dict[str, Column]:
     """Sort keys for categories: numeric codes by value, then texts."""
     code = normalize_code(col)
     is_code = code.rlike(r"^-?\d+$")
-    return [F.when(is_code, 0).otherwise(1).asc(),
-            F.when(is_code, code.try_cast("decimal(38,0)")).asc(),
-            col.cast("string").asc()]
+    return {"es_texto": F.when(is_code, 0).otherwise(1),
+            "numero": F.when(is_code, code.try_cast("decimal(38,0)")),
+            "texto": col.cast("string")}
+
+
+def category_order(col: Column) -> list[Column]:
+    """The sort keys as an ``orderBy`` list."""
+    return [key.asc() for key in category_sort_keys(col).values()]

@@ -63,13 +63,12 @@ def derive_pair_rows(rows: DataFrame) -> DataFrame:
     }).drop("_base").select(*rows.columns)
 
 
-def catalogue_order(variable: str = "variable", table: str = "tabla",
-                    block_order: str = "bloque_orden") -> list[Column]:
+def catalogue_sort_keys(block_order: str = "bloque_orden") -> dict[str, Column]:
     """Block order, table, base variable, and both sexes before ``_h`` before ``_m``."""
-    v = F.col(variable)
-    suffix = F.when(v.endswith("_h"), 1).when(v.endswith("_m"), 2).otherwise(0)
-    return [F.coalesce(F.col(block_order), F.lit(_LAST_BLOCK)).asc(), F.col(table).asc(),
-            F.regexp_replace(v, "_[hm]$", "").asc(), suffix.asc()]
+    v = F.col("variable")
+    return {"bloque_orden": F.coalesce(F.col(block_order), F.lit(_LAST_BLOCK)),
+            "tabla": F.col("tabla"), "base": F.regexp_replace(v, "_[hm]$", ""),
+            "sexo": F.when(v.endswith("_h"), 1).when(v.endswith("_m"), 2).otherwise(0)}
 
 
 def build_catalogue(source: DataFrame) -> DataFrame:
@@ -79,7 +78,7 @@ def build_catalogue(source: DataFrame) -> DataFrame:
     blocks = (rows.filter("bloque <> ''").groupBy(F.col("bloque").alias("_bloque"))
               .agg(F.coalesce(F.min("bloque_orden"), F.lit(_LAST_BLOCK)).alias("_orden")))
     ordered = everything.join(blocks, F.col("bloque") == F.col("_bloque"), "left")
-    return (ordered.orderBy(*catalogue_order(block_order="_orden"))
+    return (ordered.orderBy(*catalogue_sort_keys("_orden").values())
             .select(*CATALOGUE_FIELDS))
 
 

@@ -71,7 +71,7 @@ def class_edges(result: DataFrame, method: str = "jenks", n_classes: int = CLASS
     else:
         summary = summary.withColumn("cuts", _jenks_cuts(counts, n_classes).scalar())
         cuts = F.col("cuts")
-    inside = F.filter(F.coalesce(cuts, nothing), lambda c: (c > low) & (c < high))
+    inside = F.filter(F.coalesce(cuts, nothing), lambda c: (c > low) & (c < high) & (k > 1))
     all_edges = F.array_sort(F.array_distinct(F.concat(F.array(low, high), inside)))
     return summary.select(F.when(low.isNull(), nothing).otherwise(all_edges).alias("edges"))
 

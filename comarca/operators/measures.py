@@ -116,30 +116,39 @@ def _partials_by_source(rows: DataFrame, level: str, geo: GeoColumns,
 
 # --- medians and modes ----------------------------------------------------------
 
-def _counts_by_value(rows: DataFrame, spec: IndicatorSpec, geo: GeoColumns) -> DataFrame:
-    """(geo_code, value, n) for the rows, NULL values included."""
-    value = (number(rows, spec.variable) if spec.measure == "median"
-             else F.col(f"`{spec.variable}`"))
-    answered = F.col(f"`{spec.variable}`").isNotNull()
-    return (rows.select(geo_code(spec.level, geo).alias("geo_code"),
-                        value.alias("value"), answered.alias("answered"))
-            .groupBy("geo_code", "value", "answered").agg(F.count(F.lit(1)).alias("n")))
+def _counts_by_value(rows: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None
+                     ) -> DataFrame:
+    """(geo_code?, value, n, valid): rows and answers per territory and value.
+
+    Counted on the columns as they are stored, which are the cheapest keys; codes and
+    numbers are then derived on the counts.  Two spellings of a territory or a number
+    give two rows.  Without ``geo`` there is no territory.
+    """
+    keys = source_columns(spec.level, geo) if geo else []
+    variable = F.col(f"`{spec.variable}`")
+    counts = rows.groupBy(*[F.col(f"`{c}`") for c in keys if c != spec.variable],
+                          variable).agg(F.count(F.lit(1)).alias("n"))
+    value = number(rows, spec.variable) if spec.measure == "median" else variable
+    code = [geo_code(spec.level, geo).alias("geo_code")] if geo else []
+    return counts.select(*code, value.alias("value"), "n",
+                         F.when(variable.isNotNull(), F.col("n")).otherwise(0).alias("valid"))
 
 
 def _from_counts(counts: DataFrame, keys: list[str], measure: str) -> DataFrame:
     """(keys, valor, casos, n_total) from counts per value."""
-    sizes = [F.sum("n").alias("n_total"),
-             F.coalesce(F.sum(F.when(F.col("answered"), F.col("n"))), F.lit(0))
-             .alias("casos")]
+    sizes = [F.sum("n").alias("n_total"), F.sum("valid").alias("casos")]
     if measure == "mode":
-        best = F.min(F.when(F.col("answered"),
+        merged = counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"),
+                                                    F.sum("valid").alias("valid"))
+        best = F.min(F.when(F.col("value").isNotNull(),
                             F.struct((-F.col("n")).alias("rank"), F.col("value"))))
-        return (counts.groupBy(*keys).agg(best.alias("best"), *sizes)
+        return (merged.groupBy(*keys).agg(best.alias("best"), *sizes)
                 .withColumn("valor", F.col("best.value")).drop("best"))
     found = median_of_counts(counts, keys).withColumn("q", F.round("q", 4))
     totals = counts.groupBy(*keys).agg(*sizes)
     if not keys:
-        return totals.withColumn("valor", found.select("q").scalar())
+        return totals.withColumns({"valor": found.select("q").scalar(),
+                                   "casos": F.coalesce("casos", F.lit(0))})
     right = found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("q").alias("valor"))
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     return totals.join(right, same, "left").drop(*[f"_{k}" for k in keys])
@@ -181,11 +190,7 @@ def reference_value(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None =
         return reference_expr(df, spec, geo, universe)
     rows = scope(df, spec, geo, universe)
     if spec.measure in _BY_VALUE:
-        value = (number(rows, spec.variable) if spec.measure == "median"
-                 else F.col(f"`{spec.variable}`"))
-        counts = (rows.select(value.alias("value"),
-                              F.col(f"`{spec.variable}`").isNotNull().alias("answered"))
-                  .groupBy("value", "answered").agg(F.count(F.lit(1)).alias("n")))
+        counts = _counts_by_value(rows, spec, None)
         return _from_counts(counts, [], spec.measure).select("valor", "casos")
     aggs = [F.count(F.lit(1)).alias("n")] + _partials(rows, spec)
     valor, casos, _ = _value(spec)
@@ -225,7 +230,8 @@ def indicator_report(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None
                                                    total_code, *cols())
         return per.unionByName(whole).select(*out)
     counts = _counts_by_value(rows, spec, geo)
-    everywhere = counts.groupBy("value", "answered").agg(F.sum("n").alias("n"))
+    everywhere = counts.groupBy("value").agg(F.sum("n").alias("n"),
+                                             F.sum("valid").alias("valid"))
     both = (counts.withColumn("es_total", F.lit(False))
             .unionByName(everywhere.withColumns({"es_total": F.lit(True),
                                                  "geo_code": total_code})))
@@ -292,10 +298,13 @@ def indicator_batch(df: DataFrame, specs: Mapping[str, IndicatorSpec],
                                    number(rows, s.variable).alias("value"),
                                    F.col(f"`{s.variable}`").isNotNull().alias("answered"))
                           for name, s in medians.items()])
-        counts = (rows.select(geo_code(one.level, geo).alias("geo_code"),
-                              F.inline(cells)).filter("answered")
-                  .groupBy("indicador", "geo_code", "value")
-                  .agg(F.count(F.lit(1)).alias("n")))
+        places = source_columns(one.level, geo)
+        counts = (rows.select(*[F.col(f"`{c}`") for c in places], F.inline(cells))
+                  .filter("answered").groupBy(*[f"`{c}`" for c in places],
+                                              "indicador", "value")
+                  .agg(F.count(F.lit(1)).alias("n"))
+                  .select("indicador", geo_code(one.level, geo).alias("geo_code"),
+                          "value", "n"))
         keys = ["indicador", "geo_code"]
         found = median_of_counts(counts, keys).select(
             F.col("indicador").alias("_i"), F.col("geo_code").alias("_g"),

@@ -75,8 +75,7 @@ def quantiles_of_counts(counts: DataFrame, keys: Sequence[str],
     """Interpolated quantiles per key from (keys, value DOUBLE, n) counts.
 
     Returns (keys, i, q): ``i`` is the position in ``probs``.  ``probs`` may be an
-    array column.  NULL values are left out.  One row of counts per key and (not NULL)
-    value.
+    array column.  NULL values are left out.  A value may have several rows of counts.
     """
     if not isinstance(probs, Column):
         probs = F.array(*[F.lit(float(p)) for p in probs])

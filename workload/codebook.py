@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from comarca.fixed_values import SKIP_PATTERN
 from comarca.operators import catalogue, codebook, measures, quality, skips
@@ -128,17 +128,18 @@ def catalogue_with_derived_pairs(spark, d):
 
 @query("catalogue_order", with_views("cat_origen").rstrip() + f""",
 cat AS ({_CATALOGUE})
-SELECT tabla, variable, row_number() OVER (ORDER BY
-         CASE WHEN bloque = 'b5' THEN 99 ELSE CAST(substr(bloque, 2) AS INTEGER) END, tabla,
-         regexp_replace(variable, '_[hm]$', ''),
-         CASE WHEN variable LIKE '%\\_h' ESCAPE '\\' THEN 1
-              WHEN variable LIKE '%\\_m' ESCAPE '\\' THEN 2 ELSE 0 END) AS lugar FROM cat""")
+SELECT tabla, variable, CASE WHEN bloque = 'b5' THEN 99
+         ELSE CAST(substr(bloque, 2) AS BIGINT) END AS bloque_orden,
+       regexp_replace(variable, '_[hm]$', '') AS base,
+       CASE WHEN variable LIKE '%\\_h' ESCAPE '\\' THEN 1::BIGINT
+            WHEN variable LIKE '%\\_m' ESCAPE '\\' THEN 2 ELSE 0 END AS sexo FROM cat""")
 def catalogue_order(spark, d):
-
     rows = catalogue.catalogue_rows(t.catalogue_source(spark, d))
     everything = rows.unionByName(catalogue.derive_pair_rows(rows))
-    place = F.row_number().over(Window.orderBy(*catalogue.catalogue_order()))
-    return everything.select("tabla", "variable", place.cast("bigint").alias("lugar"))
+    keys = {name: key.cast("bigint") if name in ("bloque_orden", "sexo") else key
+            for name, key in catalogue.catalogue_sort_keys().items()}
+    return (everything.withColumns(keys).select("variable", *keys)
+            .orderBy("bloque_orden", "tabla", "base", "sexo"))
 
 
 @query("catalogue_lookup", with_views("cat_origen").rstrip() + f""",

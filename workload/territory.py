@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from comarca.functions.codes import category_eq, category_order, normalize_code
+from comarca.functions.codes import (
+    category_eq, category_order, category_sort_keys, normalize_code,
+)
 from comarca.operators import territory, universe
 from comarca.operators.measures import coverage
 from comarca.sources import tables as src
@@ -204,18 +206,20 @@ def normalized_codes(spark, d):
 
 
 @query("ordered_categories", with_views("personas") + """
-SELECT valor, n, row_number() OVER (ORDER BY es_texto, numero, valor) AS lugar FROM (
-  SELECT valor, count(*) AS n,
-         CASE WHEN regexp_full_match(valor, '-?[0-9]+') THEN 0 ELSE 1 END AS es_texto,
-         TRY_CAST(valor AS BIGINT) AS numero
-  FROM (SELECT anios_texto AS valor FROM personas
-        UNION ALL SELECT segmento FROM personas) GROUP BY valor)""")
+SELECT valor AS texto, count(*) AS n,
+       CASE WHEN regexp_full_match(valor, '-?[0-9]+') THEN 0::BIGINT ELSE 1 END AS es_texto,
+       CAST(TRY_CAST(valor AS BIGINT) AS DOUBLE) AS numero
+FROM (SELECT anios_texto AS valor FROM personas
+      UNION ALL SELECT segmento FROM personas) GROUP BY valor""")
 def ordered_categories(spark, d):
-    people = t.persons(spark, d)
-    values = people.select(F.explode(F.array("anios_texto", "segmento")).alias("valor"))
+    values = t.persons(spark, d).select(
+        F.explode(F.array("anios_texto", "segmento")).alias("valor"))
     counts = values.groupBy("valor").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.orderBy(*category_order(F.col("valor"))))
-    return counts.withColumn("lugar", place.cast("bigint"))
+    keys = category_sort_keys(F.col("valor"))
+    return (counts.orderBy(*category_order(F.col("valor")))
+            .select("n", keys["es_texto"].cast("bigint").alias("es_texto"),
+                    keys["numero"].cast("double").alias("numero"),
+                    keys["texto"].alias("texto")))
 
 
 @query("municipalities_of_department", with_views("areas") + """

@@ -114,7 +114,34 @@ def class_bounds_jenks(spark, d):
     return _rounded_bounds(classify.class_bounds(_nations(spark, d), "jenks"))
 
 
-@query("class_bounds_jenks_units")
+# The same by dynamic programming: the cheapest way to reach a value with c classes.
+_REACH = "".join(f"""
+d{c} AS (SELECT c.j AS j, min(d{c - 1}.cost + c.cost) AS cost,
+                arg_min(c.i, d{c - 1}.cost + c.cost) AS back
+         FROM d{c - 1} JOIN c ON c.i = d{c - 1}.j GROUP BY c.j),""" for c in range(2, 6))
+_JENKS_UNITS = "WITH " + _UNITS + f""",
+v AS (SELECT valor, count(*) AS w, row_number() OVER (ORDER BY valor) AS i
+      FROM units GROUP BY valor),
+p AS (SELECT i, valor, sum(w) OVER o AS w, sum(w * (valor - 25)) OVER o AS s,
+             sum(w * (valor - 25) * (valor - 25)) OVER o AS q
+      FROM v WINDOW o AS (ORDER BY i)
+      UNION ALL SELECT 0, NULL, 0, 0, 0),
+c AS (SELECT a.i AS i, b.i AS j, b.q - a.q - (b.s - a.s) * (b.s - a.s) / (b.w - a.w) AS cost
+      FROM p a JOIN p b ON a.i < b.i),
+d1 AS (SELECT j, cost, i AS back FROM c WHERE i = 0),{_REACH}
+t5 AS (SELECT back AS x4 FROM d5 WHERE j = (SELECT max(i) FROM p)),
+t4 AS (SELECT back AS x3, x4 FROM t5 JOIN d4 ON j = x4),
+t3 AS (SELECT back AS x2, x3, x4 FROM t4 JOIN d3 ON j = x3),
+t2 AS (SELECT back AS x1, x2, x3, x4 FROM t3 JOIN d2 ON j = x2),
+cuts AS (SELECT valor AS e FROM p, t2 WHERE i IN (1, x1, x2, x3, x4)
+         UNION SELECT max(valor) FROM v),
+bounds AS (SELECT row_number() OVER (ORDER BY e) AS clase, e AS desde,
+                  lead(e) OVER (ORDER BY e) AS hasta FROM cuts QUALIFY hasta IS NOT NULL)
+"""
+
+
+@query("class_bounds_jenks_units", _JENKS_UNITS + """
+SELECT clase, round(desde, 6) AS desde, round(hasta, 6) AS hasta FROM bounds""")
 def class_bounds_jenks_units(spark, d):
     return _rounded_bounds(classify.class_bounds(_units(spark, d), "jenks"))
 
