@@ -136,7 +136,8 @@ def _counts_by_value(rows: DataFrame, spec: IndicatorSpec, geo: GeoColumns | Non
 
 def _from_counts(counts: DataFrame, keys: list[str], measure: str) -> DataFrame:
     """(keys, valor, casos, n_total) from counts per value."""
-    sizes = [F.sum("n").alias("n_total"), F.sum("valid").alias("casos")]
+    sizes = [F.coalesce(F.sum(c), F.lit(0)).alias(name)
+             for c, name in (("n", "n_total"), ("valid", "casos"))]
     if measure == "mode":
         merged = counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"),
                                                     F.sum("valid").alias("valid"))
@@ -147,8 +148,7 @@ def _from_counts(counts: DataFrame, keys: list[str], measure: str) -> DataFrame:
     found = median_of_counts(counts, keys).withColumn("q", F.round("q", 4))
     totals = counts.groupBy(*keys).agg(*sizes)
     if not keys:
-        return totals.withColumns({"valor": found.select("q").scalar(),
-                                   "casos": F.coalesce("casos", F.lit(0))})
+        return totals.withColumn("valor", found.select("q").scalar())
     right = found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("q").alias("valor"))
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     return totals.join(right, same, "left").drop(*[f"_{k}" for k in keys])
