@@ -176,9 +176,14 @@ _DOC_TEXTS = DOC_FIELDS[3:]
 
 
 def clean_docs(docs: DataFrame) -> DataFrame:
-    """Documentation with single blanks, no NULL texts, in key order."""
+    """Documentation with single blanks and no NULL texts."""
     texts = {c: F.coalesce(squeeze(F.col(c)), F.lit("")) for c in _DOC_TEXTS}
-    return docs.select(*DOC_FIELDS).withColumns(texts).orderBy("anio", "tabla", "variable")
+    return docs.select(*DOC_FIELDS).withColumns(texts)
+
+
+def in_key_order(docs: DataFrame) -> DataFrame:
+    """Documentation in the order it is published in (a sort: only for writing)."""
+    return docs.orderBy("anio", "tabla", "variable")
 
 
 def duplicate_doc_keys(docs: DataFrame) -> DataFrame:

@@ -44,18 +44,14 @@ def _linear_bucket(v: Column, low: Column, high: Column) -> Column:
     return F.when(low == high, F.lit(0)).otherwise(at)
 
 
-def _narrow(rows: DataFrame, within: list[str], order: str, wanted: Column) -> DataFrame:
-    """Keep the rows in which a wanted rank falls; ranks become relative to the row."""
+def _holding(rows: DataFrame, within: list[str], order: str) -> DataFrame:
+    """Keep the rows that hold rank ``lo`` or ``hi``; ranks become relative to the row."""
     before = (F.sum("n").over(Window.partitionBy(*within).orderBy(order)
                               .rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    inside = F.filter(wanted, lambda r: (r["at"] >= F.col("_before"))
-                      & (r["at"] < F.col("_before") + F.col("n")))
-    moved = F.transform(F.col("_hit"), lambda r: F.struct(
-        r["i"].alias("i"), r["side"].alias("side"),
-        (r["at"] - F.col("_before")).alias("at")))
-    return (rows.withColumn("_before", before).withColumn("_hit", inside)
-            .filter(F.size("_hit") > 0).withColumn("ranks", moved)
-            .drop("_before", "_hit"))
+    return (rows.withColumn("_before", before)
+            .filter("_before <= hi AND _before + n > lo")
+            .withColumns({"lo": F.col("lo") - F.col("_before"),
+                          "hi": F.col("hi") - F.col("_before")}).drop("_before"))
 
 
 def _join_keys(df: DataFrame, other: DataFrame, keys: Sequence[str],
@@ -69,16 +65,13 @@ def _join_keys(df: DataFrame, other: DataFrame, keys: Sequence[str],
     return df.join(right, cond).drop(*[f"_r_{k}" for k in keys])
 
 
-def quantiles_of_counts(counts: DataFrame, keys: Sequence[str],
-                        probs: Sequence[float] | Column,
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: Sequence[float],
                         name: str = "value") -> DataFrame:
     """Interpolated quantiles per key from (keys, value DOUBLE, n) counts.
 
-    Returns (keys, i, q): ``i`` is the position in ``probs``.  ``probs`` may be an
-    array column.  NULL values are left out.  A value may have several rows of counts.
+    Returns (keys, i, q): ``i`` is the position in ``probs``.  NULL values are left
+    out.  A value may have several rows of counts.
     """
-    if not isinstance(probs, Column):
-        probs = F.array(*[F.lit(float(p)) for p in probs])
     keys = list(keys)
     # Weightless instead of filtered out: a filter would be pushed into the scan and
     # keep this plan from sharing the counts with others that need the NULLs.
@@ -88,42 +81,39 @@ def quantiles_of_counts(counts: DataFrame, keys: Sequence[str],
         counts, keys = counts.withColumn("_all", F.lit(0)), ["_all"]
     coarse = counts.withColumn("_b1", _log_bucket(F.col(name)))
 
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    wanted = F.flatten(F.transform(probs, lambda p, i: F.array(
-        F.struct(i.alias("i"), F.lit(0).alias("side"),
-                 F.floor(p * (F.col("_total") - 1)).cast("bigint").alias("at")),
-        F.struct(i.alias("i"), F.lit(1).alias("side"),
-                 F.ceil(p * (F.col("_total") - 1)).cast("bigint").alias("at")))))
-    bucket_stats = (F.sum("n").alias("n"), F.min(name).alias("_low"),
-                    F.max(name).alias("_high"))
-
-    first = (coarse.groupBy(*keys, "_b1").agg(*bucket_stats)
-             .withColumn("_total", total))
-    first = _narrow(first, keys, "_b1", wanted)
+    # A quantile lies between two neighbouring ranks, lo and hi (the same one when it
+    # needs no interpolation), so whatever holds either of them is one stretch.
+    at = F.col("p") * (F.col("_total") - 1)
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
+                      for i, p in enumerate(probs)])
+    first = (coarse.groupBy(*keys, "_b1")
+             .agg(F.sum("n").alias("n"), F.min(name).alias("_low"), F.max(name).alias("_high"))
+             .withColumns({"_total": F.sum("n").over(Window.partitionBy(*keys)),
+                           "_upto": F.sum("n").over(
+                               Window.partitionBy(*keys).orderBy("_b1")
+                               .rowsBetween(Window.unboundedPreceding, 0))})
+             .select("*", F.inline(asked))
+             .withColumns({"lo": F.floor(at).cast("bigint"), "hi": F.ceil(at).cast("bigint"),
+                           "part": at - F.floor(at), "_before": F.col("_upto") - F.col("n")})
+             .filter("_total > 0 AND _before <= hi AND _upto > lo")
+             .withColumns({"lo": F.col("lo") - F.col("_before"),
+                           "hi": F.col("hi") - F.col("_before")}))
 
     k1 = keys + ["_b1"]
-    near = _join_keys(coarse, first, k1, ["_low", "_high", "ranks", "_total"])
-    near = near.withColumn("_b2", _linear_bucket(F.col(name), F.col("_low"),
-                                                 F.col("_high"))).drop("_low", "_high")
-    second = near.groupBy(*k1, "_b2").agg(F.sum("n").alias("n"),
-                                          F.first("ranks").alias("_asked"))
-    second = _narrow(second, k1, "_b2", F.col("_asked"))
-
-    k2 = k1 + ["_b2"]
-    last = _join_keys(near.drop("ranks"), second, k2, ["ranks"])
-    last = last.withColumnRenamed("ranks", "_asked")
-    last = _narrow(last, k2, name, F.col("_asked"))
-
-    found = last.select(*keys, "_total", name, F.explode("ranks").alias("r"))
-    side = lambda s: F.max(F.when(F.col("r.side") == s, F.col(name)))
-    p = probs[F.col("i")]
-    at = p * (F.col("_total") - 1)
-    low, high = F.col("_lo"), F.col("_hi")
-    out = (found.groupBy(*keys, F.col("r.i").alias("i"))
-           .agg(side(0).alias("_lo"), side(1).alias("_hi"),
-                F.max("_total").alias("_total"))
-           .withColumn("q", F.when(low == high, low)
-                       .otherwise(low + (high - low) * (at - F.floor(at)))))
+    near = _join_keys(coarse, first, k1, ["i", "_low", "_high", "lo", "hi", "part"])
+    near = near.withColumn("_b2", _linear_bucket(F.col(name), F.col("_low"), F.col("_high")))
+    k2 = keys + ["i", "_b1", "_b2"]
+    # Shuffled once, on a key that a hot group spreads over, and used twice.
+    near = near.select(*k2, name, "n", "lo", "hi", "part").repartition(*k2)
+    second = near.groupBy(*k2).agg(F.sum("n").alias("n"), F.max("lo").alias("lo"),
+                                   F.max("hi").alias("hi"))
+    second = _holding(second, keys + ["i", "_b1"], "_b2")
+    last = _join_keys(near.drop("lo", "hi"), second, k2, ["lo", "hi"])
+    found = _holding(last, k2, name)
+
+    low, high = F.min(name), F.max(name)
+    q = F.when(low == high, low).otherwise(low + (high - low) * F.max("part"))
+    out = found.groupBy(*keys, "i").agg(q.alias("q"))
     return out.select(*[k for k in keys if k != "_all"], "i", "q")
 
 
@@ -134,6 +124,6 @@ def median_of_counts(counts: DataFrame, keys: Sequence[str],
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: Column,
-              probs: Sequence[float] | Column) -> DataFrame:
+              probs: Sequence[float]) -> DataFrame:
     """Exact interpolated quantiles per key straight from rows."""
     return quantiles_of_counts(value_counts(df, keys, value), keys, probs)

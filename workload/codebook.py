@@ -182,7 +182,7 @@ def _docs(spark, d):
 
 @query("clean_documentation", with_views("docs") + "SELECT * FROM docs")
 def clean_documentation(spark, d):
-    return _docs(spark, d)
+    return codebook.in_key_order(_docs(spark, d))
 
 
 @query("duplicate_documentation", """
