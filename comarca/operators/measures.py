@@ -26,13 +26,20 @@ from comarca.functions.codes import category_eq, number
 from comarca.operators.quantiles import median_of_counts
 from comarca.operators.territory import geo_code, scope, source_columns
 from comarca.sources.tables import GeoColumns
-from comarca.spec import COUNT, PERCENTAGES, IndicatorSpec
+from comarca.spec import COUNT, PERCENTAGES, SHEET_MEASURES, IndicatorSpec
 
 _MERGED = (COUNT, "mean", "sum", "std") + PERCENTAGES
 _BY_VALUE = ("median", "mode")
 _NUMERIC = ("mean", "sum", "std")
 
 
+def _scope(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns,
+           universe: Column | None) -> DataFrame:
+    if spec.expression is None and spec.measure in SHEET_MEASURES:
+        raise ValueError(f"{spec.measure} is a sheet measure: use sheet_indicator")
+    return scope(df, spec, geo, universe)
+
+
 # --- partial results ----------------------------------------------------------
 
 def _partials(rows: DataFrame, spec: IndicatorSpec, tag: str = "") -> list[Column]:
@@ -167,7 +174,7 @@ def indicator(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None = None,
     geo = geo or GeoColumns.of(df)
     if spec.expression is not None:
         return indicator_expr(df, spec, geo, universe)
-    rows = scope(df, spec, geo, universe)
+    rows = _scope(df, spec, geo, universe)
     if spec.measure in _NUMERIC + ("median", "mode"):
         rows = rows.filter(F.col(f"`{spec.variable}`").isNotNull())
     elif spec.measure == COUNT and spec.category is not None:
@@ -188,7 +195,7 @@ def reference_value(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None =
     geo = geo or GeoColumns.of(df)
     if spec.expression is not None:
         return reference_expr(df, spec, geo, universe)
-    rows = scope(df, spec, geo, universe)
+    rows = _scope(df, spec, geo, universe)
     if spec.measure in _BY_VALUE:
         counts = _counts_by_value(rows, spec, None)
         return _from_counts(counts, [], spec.measure).select("valor", "casos")
@@ -206,7 +213,7 @@ def indicator_report(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None
     all rows when no variable is asked).
     """
     geo = geo or GeoColumns.of(df)
-    rows = scope(df, spec, geo, universe)
+    rows = _scope(df, spec, geo, universe)
     out = ["es_total", "geo_code", "valor", "casos", "n_total", "n_valid"]
     total_code = F.lit(None).cast("string").alias("geo_code")
     if spec.expression is not None:
@@ -244,7 +251,7 @@ def indicator_expr(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None =
                    universe: Column | None = None) -> DataFrame:
     """A free Spark aggregate per territory; ``casos`` only when its expression is given."""
     geo = geo or GeoColumns.of(df)
-    rows = scope(df, spec, geo, universe)
+    rows = _scope(df, spec, geo, universe)
     aggs = [F.expr(spec.expression).alias("valor")]
     if spec.cases_expression:
         aggs.append(F.expr(spec.cases_expression).alias("casos"))
@@ -276,7 +283,7 @@ def indicator_batch(df: DataFrame, specs: Mapping[str, IndicatorSpec],
     if any(s.expression is not None or s.measure == "mode" for s in specs.values()):
         raise ValueError("free expressions and modes are computed one at a time")
     one = next(iter(specs.values()))
-    rows = scope(df, one, geo, universe)
+    rows = _scope(df, one, geo, universe)
     parts = []
     merging = {f"_{i}": (name, s) for i, (name, s) in enumerate(specs.items())
                if s.measure in _MERGED}

@@ -183,3 +183,16 @@ def test_hot_unit_median_and_mode(spark):
         df, IndicatorSpec("unidad", "median", "v"), geo).collect()}
     assert got["hot"] == df.filter("codigo = 'hot'").agg(F.median("v")).first()[0]
     assert len(got) == 2001
+
+
+def test_sheet_measures_are_not_microdata_measures(people):
+    for run_it in (measures.indicator, measures.reference_value, measures.indicator_report):
+        with pytest.raises(ValueError):
+            run_it(people, IndicatorSpec(measure="total", variable="agro"))
+
+
+def test_variable_that_is_also_the_territory(people):
+    got = run(people, measure="mode", variable="idep")
+    assert got == {"01": ("1", 3), "02": ("2", 2)}
+    assert run(people, measure="median", variable="idep")["01"] == (1.0, 3)
+    assert run(people, measure="mean", variable="idep")["02"] == (2.0, 2)
