@@ -3,7 +3,6 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from comarca.operators import classify
 from comarca.spec import IndicatorSpec
