@@ -127,15 +127,12 @@ def thresholds(sketches: DataFrame, rules: QualityRules = QualityRules()) -> Dat
 
     names = ["rows", *[f"{m}_{e}" for m in MEASURES for e in ("lo", "hi")]]
 
-    def borrow(small: DataFrame, large: DataFrame, keys: list[str]) -> DataFrame:
-        large = large.select(*keys, *[F.col(c).alias(f"__{c}") for c in names])
-        joined = null_safe(small, large, keys) if keys else small.crossJoin(large)  # one row
-        enough = F.col("rows") >= rules.least_rows
-        return joined.select(*small.columns[:-len(names)],
-                             *[F.when(enough, F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in names])
-
-    languages = borrow(fences(["lang"]), fences([]), [])
-    return borrow(fences(["lang", "source"]), languages, ["lang"])
+    corpus = fences([]).first()  # eight numbers
+    enough = F.col("rows") >= rules.least_rows
+    languages = fences(["lang"]).withColumns({c: F.when(enough, F.col(c)).otherwise(F.lit(corpus[c])) for c in names[1:]})
+    wider = languages.select("lang", *[F.col(c).alias(f"__{c}") for c in names])
+    return null_safe(fences(["lang", "source"]), wider, ["lang"]).select(
+        "lang", "source", *[F.when(enough, F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in names[1:]])
 
 
 def measured(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
@@ -152,7 +149,7 @@ def measured(docs: DataFrame, rules: QualityRules = QualityRules(), text: str =
 def judged(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
     """Every row of ``docs`` without its text: counts, base_failed and kept."""
     rows = measured(docs, rules, text)
-    limits = cut(thresholds(sketch(rows), rules).drop("rows"))
+    limits = cut(thresholds(cut(sketch(rows)), rules))
     verdict = F.lit(True)
     for m in MEASURES:
         verdict &= (F.col(m) <= F.col(f"{m}_hi")) & (F.col(m) >= F.col(f"{m}_lo"))

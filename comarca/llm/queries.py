@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comarca.llm import byte_bpe, packing, quality_rules
+from comarca.llm import byte_bpe, line_dedup, packing, quality_rules, simhash, suffix_dedup
 from comarca.llm.common import read_table
 
 
@@ -29,5 +29,22 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hierarchical_packing, op3_adaptive_quality, op5_byte_bpe)}
+def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.without_repeats(docs).select(
+        "doc_id", "result.n_bytes", "result.n_removed", "result.n_spans", F.sha2("result.kept", 256).alias("kept_sha256"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.delete_repeated_runs(docs).select("doc_id", "n_lines", "n_removed", "n_runs", "text")
+
+
+QUERIES = {f.__name__: f for f in (op2_hierarchical_packing, op3_adaptive_quality, op5_byte_bpe,
+                                  op7_prefix_free_parsing, op9_simhash, op10_line_runs)}
 ORACLE: dict[str, str] = {}
