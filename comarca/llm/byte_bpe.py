@@ -18,15 +18,14 @@ surrogates cannot occur in a Spark string.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from comarca.llm.common import map_slices
 
 #: Pieces that a task keeps; beyond it starts anew (the result does not change).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -111,62 +110,76 @@ class _Encoder:
             return b"".join(map(known.__getitem__, pieces))
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add ``out``, the ids of every whole text as little-endian unsigned 32-bit binary."""
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """``ids`` instead of ``text``: the ids of every whole text as little-endian unsigned
+    32-bit binary; with ``decoded`` also the bytes decoded from those ids, by the same task."""
     ranks = read_ranks(vocabulary)
     model = docs.sparkSession.sparkContext.broadcast((ranks, merges_of(ranks), pattern))  # a vocabulary: about 2 MB
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _Encoder(*model.value)
-        for texts in batches:
-            yield pa.array([encoder(t) for t in texts.to_pylist()], pa.binary())
+    def start():
+        encoder, back = _Encoder(*model.value), _Decoder(model.value[0])
 
-    return docs.withColumn(out, _arrow_udf(run, "binary")(F.col(text)))
+        def make(texts: pa.Array) -> list[pa.Array]:
+            ids = [encoder(t) for t in texts.to_pylist()]
+            return [pa.array(ids, pa.binary()), *([pa.array(map(back, ids), pa.binary())] if decoded else [])]
+        return make
 
+    return map_slices(docs, [text], "ids binary" + ", decoded binary" * decoded, start)
 
-def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add ``out``, the bytes of the ids.  An id outside the vocabulary is an error."""
-    ranks = read_ranks(vocabulary)
-    tokens: list = [None] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    table = encoded.sparkSession.sparkContext.broadcast(tokens)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = table.value.__getitem__
-        for column in batches:
-            yield pa.array([b"".join(map(token, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b""
-                            for x in column], pa.binary())
+class _Decoder:
+    """From ids to bytes.  An id outside the vocabulary is an error."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens: list = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
+    def parts(self, ids: bytes | None) -> list[bytes]:
+        return [*map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())]
+
+    def __call__(self, ids: bytes | None) -> bytes:
+        return b"".join(self.parts(ids))
 
-    return encoded.withColumn(out, _arrow_udf(run, "binary")(F.col(ids)))
 
+def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
+    """``decoded`` and ``decoded_text`` instead of ``ids``: the bytes, and the text they make
+    (a character cut in two shows as U+FFFD)."""
+    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
-def offsets(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "offsets") -> DataFrame:
-    """Add ``out``: per token the characters [start, end) that its bytes touch.
+    def start():
+        back = _Decoder(ranks.value)
+
+        def make(column: pa.Array) -> list[pa.Array]:
+            raw = [back(x) for x in column.to_pylist()]
+            return [pa.array(raw, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())]
+        return make
+
+    return map_slices(encoded, [ids], "decoded binary, decoded_text string", start)
+
+
+def offsets(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
+    """``offsets`` instead of ``ids``: per token the characters [start, end) that its bytes touch.
 
     A character split over several tokens belongs to each of them.
     """
-    ranks = read_ranks(vocabulary)
-    tokens: list = [None] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    table = encoded.sparkSession.sparkContext.broadcast(tokens)
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = table.value.__getitem__
-        for column in batches:
-            rows = []
-            for x in column:
-                parts = [token(i) for i in np.frombuffer(x.as_py() or b"", "<u4").tolist()]
-                whole = np.frombuffer(b"".join(parts), np.uint8)
-                begun = np.concatenate([[0], np.cumsum((whole & 0xC0) != 0x80)])  # characters begun before a byte
-                ends = np.cumsum([len(p) for p in parts], dtype=np.int64) if parts else np.zeros(0, np.int64)
-                starts = ends - [len(p) for p in parts] if parts else ends
-                rows.append([{"start": int(begun[s + 1] - 1), "end": int(begun[e])} for s, e in zip(starts, ends)])
-            yield pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-
-    return encoded.withColumn(out, _arrow_udf(run, "array<struct<start:int,end:int>>")(F.col(ids)))
-
-
-def _arrow_udf(run, kind: str):
-    return F.arrow_udf(run, kind)
+    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+
+    def start():
+        back = _Decoder(ranks.value)
+
+        def spans(x: bytes | None) -> list[dict]:
+            parts = back.parts(x)
+            if not parts:
+                return []
+            whole = np.frombuffer(b"".join(parts), np.uint8)
+            begun = np.concatenate([[0], np.cumsum((whole & 0xC0) != 0x80)])  # characters begun before a byte
+            ends = np.cumsum([len(p) for p in parts])
+            starts = ends - [len(p) for p in parts]
+            return [{"start": int(begun[s + 1] - 1), "end": int(begun[e])} for s, e in zip(starts, ends)]
+
+        def make(column: pa.Array) -> list[pa.Array]:
+            return [pa.array(map(spans, column.to_pylist()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+        return make
+
+    return map_slices(encoded, [ids], "offsets array<struct<start:int,end:int>>", start)

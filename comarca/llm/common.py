@@ -110,3 +110,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     roots = current.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+#: Rows that a Python worker holds as Python objects at a time.
+SLICE_ROWS = 500
+
+
+def map_slices(frame: DataFrame, inputs: list[str], schema: str, start) -> DataFrame:
+    """``mapInArrow`` over slices: ``start()`` makes, once per task, a function from the
+    columns ``inputs`` (Arrow arrays) to the new columns of ``schema``.  The other columns pass
+    through; ``inputs`` do not come back, so long texts are not sent to and fro.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    through = [c for c in frame.columns if c not in inputs]
+    names = [f.name for f in _parse_datatype_string(schema).fields]
+
+    def run(batches):
+        make = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in through), *make(*(part.column(c) for c in inputs))],
+                                                 [*through, *names])
+
+    return frame.select(*through, *inputs).mapInArrow(
+        run, StructType([*frame.select(*through).schema.fields, *_parse_datatype_string(schema).fields]))

@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from comarca.llm.common import cut, null_safe
 
 MIN_LINES = 2
-KEY = ["doc_id", "version"]
+KEY = ["__doc", "__version"]
 #: Ranks are summed in so many buckets per side (their square in all, if full).
 SIDE = 64
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, i, line, a, b): the lines that hold a word, numbered, with their ids."""
-    each = (docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), F.expr(
+    """(__doc, __version, i, line, a, b): the lines that hold a word, numbered, with their ids."""
+    each = (docs.where("text IS NOT NULL").select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__version"), F.expr(
         "filter(transform(split(text, '\\n', -1), (x, n) -> struct(n AS line, x AS t)),"
         " s -> s.t RLIKE '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]')").alias("l")))
     return (each.select(*KEY, F.posexplode("l").alias("i", "l"))
@@ -64,7 +64,7 @@ def _ranked(suffixes: DataFrame, first: str, second: str, bucket: list) -> DataF
 
 
 def intervals(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, version, i, line, last_line, rank, earliest): places whose ``min_lines`` lines
+    """(__doc, __version, i, line, last_line, rank, earliest): places whose ``min_lines`` lines
     occur again; rank names the interval, earliest is its first place."""
     # ids are even over the whole range of a long: their upper bits are a bucket
     now = cut(_ranked(lines(docs), "a", "b", [F.shiftright("a", 52)]).select(*KEY, "i", "line", F.col("line").alias("last_line"), "rank", "earliest"))
@@ -84,7 +84,7 @@ def intervals(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, version, first_line, last_line): maximal runs of lines to delete."""
+    """(__doc, __version, first_line, last_line): maximal runs of lines to delete."""
     later = intervals(docs, min_lines).where(F.struct(*KEY, "i") > F.col("earliest"))
     order = Window.partitionBy(*KEY).orderBy("i")
     begins = F.coalesce(F.col("i") > F.lag("i").over(order) + min_lines, F.lit(True))
@@ -96,7 +96,7 @@ def delete_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFra
     """``docs`` with ``text`` without the later copies, n_lines, n_removed and n_runs."""
     found = (runs(docs, min_lines).groupBy(*KEY)
              .agg(F.collect_list(F.struct("first_line", "last_line")).alias("__runs")))
-    joined = null_safe(docs.withColumn("version", F.xxhash64("text")), found, KEY, "left")
+    joined = null_safe(docs.withColumns({"__doc": F.col("doc_id"), "__version": F.xxhash64("text")}), found, KEY, "left")
     all_lines = F.split("text", "\n", -1)
     kept = F.filter(F.transform(all_lines, lambda x, n: F.struct(n.alias("n"), x.alias("t"))),
                     lambda s: ~F.exists("__runs", lambda r: (s.n >= r.first_line) & (s.n <= r.last_line)))

@@ -23,8 +23,7 @@ def op3_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN).drop("text")
-    return byte_bpe.decode(ids, vocabulary).select(
+    return byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -126,14 +126,16 @@ def _runs_of(texts: list[bytes]):
 
 
 def _later_of_equal(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray):
-    """Sorted order by keys, then place, and which rows are not the first of their key."""
+    """Order by keys, then place; which rows open a key; which come later than its first place."""
     order = np.lexsort([place, doc, *reversed(keys)])
     same = np.ones(len(order), bool)
     for k in keys:
         same[1:] &= k[order][1:] == k[order][:-1]
-    if len(same):
-        same[0] = False
-    return order, same
+    same[:1] = False
+    again = same.copy()  # the same place, of a repeated row
+    for k in (doc, place):
+        again[1:] &= k[order][1:] == k[order][:-1]
+    return order, ~same, same & ~again
 
 
 def _merged(doc: np.ndarray, version: np.ndarray, lo: np.ndarray, hi: np.ndarray):
@@ -162,8 +164,8 @@ def _candidates(kind, a, b, doc, version, start, n):
 
 def _decided_here(keys, doc, version, start, n):
     """What an Arrow batch can say by itself: the first place of each key is a candidate, the others go."""
-    order, later = _later_of_equal(keys, doc, version.astype(np.int64) << _START_BITS | start)
-    go, stay = order[later], order[~later]
+    order, first, later = _later_of_equal(keys, doc, version.astype(np.int64) << _START_BITS | start)
+    go, stay = order[later], order[first]
     if len(go):
         d, v, lo, hi = _merged(doc[go], version[go], start[go], start[go] + n[go])
         yield _candidates(1, d, lo, d, v, lo, hi - lo)
@@ -223,7 +225,7 @@ def _doc_key(docs: DataFrame, text: str) -> DataFrame:
 
 def _later(candidates: DataFrame):
     """Column: is the place decided, or not the first of its class?"""
-    return (F.col("kind") == 1) | (F.row_number().over(
+    return (F.col("kind") == 1) | (F.rank().over(
         Window.partitionBy("a", "kind", "b").orderBy("doc_id", "version", "start")) > 1)
 
 
@@ -237,7 +239,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text") -> DataFrame:
                       .withColumn("contested", (F.col("kind") == 0) & (F.min("b").over(entry) != F.max("b").over(entry)))
                       .where("later OR contested").select("a", "doc_id", "version", "start", "n", "later"))
     by_doc = (entries.where("NOT later").groupBy("doc_id", "version")
-              .agg(F.collect_list(F.struct("start", "n", "a")).alias("phrases")))
+              .agg(F.collect_set(F.struct("start", "n", "a")).alias("phrases")))
     contested = keyed.join(by_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "phrases")
     suffixes = contested.mapInArrow(_suffixes, CANDIDATES)
     repeated = suffixes.withColumn("later", _later(suffixes)).where("later")

@@ -58,11 +58,14 @@ def test_pieces_are_cut_where_the_pattern_cuts(true, ranks, merges, text):
 
 def test_null_empty_and_split_characters(spark, ranks):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "héé 😀日本", "x"), (3, "héé 😀日本", "x")], "doc_id long, text string, decoded string")
-    ids = byte_bpe.encode(docs, VOCABULARY, PATTERN)
-    back = byte_bpe.offsets(byte_bpe.decode(ids, VOCABULARY, out="bytes"), VOCABULARY).orderBy("doc_id").collect()
-    assert [bytes(r.bytes).decode() for r in back] == ["", "", "héé 😀日本", "héé 😀日本"]
+    ids = byte_bpe.encode(docs.withColumnRenamed("decoded", "other"), VOCABULARY, PATTERN)
+    back = byte_bpe.decode(ids.selectExpr("*", "ids as again"), VOCABULARY)
+    back = byte_bpe.offsets(back.withColumnRenamed("again", "ids"), VOCABULARY).orderBy("doc_id").collect()
+    assert [bytes(r.decoded).decode() for r in back] == [r.decoded_text for r in back] == ["", "", "héé 😀日本", "héé 😀日本"]
     assert [len(r.offsets) for r in back][:2] == [0, 0]
     spans = back[2].offsets
     assert spans[0].start == 0 and spans[-1].end == len("héé 😀日本")
     assert all(a.end >= b.start and a.start <= b.start for a, b in zip(spans, spans[1:]))
+    cut = ids.where("doc_id = 3").selectExpr("substring(ids, 1, length(ids) - 4) as ids").limit(1)
+    assert byte_bpe.decode(cut, VOCABULARY).first().decoded_text.startswith("héé ")
     assert byte_bpe.encode(docs.where("false"), VOCABULARY, PATTERN).count() == 0
