@@ -4,8 +4,9 @@ The ranks of a ``.tiktoken`` file are the vocabulary.  A rank is also the order
 merge, so the driver turns the ranks (a fixed file) into vocabulary and merges of the
 ``tokenizers`` library, with each byte written as one printable character.  A text is cut
 where white space begins: no match of the pattern runs from other characters into white
-space, so the pieces encode alike alone.  Equal pieces of a task are encoded once.  Every
-new piece is checked against ``tiktoken``, the definition of the ids.
+space, so the chunks encode alike alone.  Equal chunks, and equal matches of the pattern,
+are encoded once per task, and each match is checked against ``tiktoken``, the definition
+of the ids.
 
 Ids travel as little-endian unsigned 32-bit binary.  Decoding looks bytes up by id and
 joins them; text is made from whole byte strings only, so characters split over tokens
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from comarca.llm.common import map_slices
 
-#: Pieces that a task keeps; beyond it starts anew (the result does not change).
+#: Chunks and matches that a task keeps; beyond, it starts anew (the result does not change).
 CACHE_PIECES = 200_000
 
 
@@ -71,43 +72,48 @@ def _tokenizer(ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]], patte
 
 
 class _Encoder:
-    """Encodes the texts of one task; equal pieces once."""
+    """Encodes the texts of one task; equal chunks once, and equal matches of the pattern once."""
 
     def __init__(self, ranks, merges, pattern):
         import re
 
+        import regex
         import tiktoken
 
-        self.fast = _tokenizer(ranks, merges, pattern)
-        self.exact = tiktoken.Encoding("check", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z").findall
+        self.fast, self.shown = _tokenizer(ranks, merges, pattern).model, byte_characters()
+        self.exact = tiktoken.Encoding("check", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.matches = regex.compile(pattern).findall
+        self.chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z").findall
         # other white space before a blank: the cut would not be where white space begins
         self.mixed = re.compile(r"[^\S \n][ \n]").search
         self.known: dict[str, bytes] = {}
-
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        for start in range(0, len(pieces), 5000):
-            some = pieces[start:start + 5000]
-            for piece, got in zip(some, self.fast.encode_batch(some, add_special_tokens=False)):
-                ids = got.ids
-                if ids != (true := self.exact.encode_ordinary(piece)):
-                    ids = true
-                self.known[piece] = np.array(ids, "<u4").tobytes()
+        self.single: dict[str, bytes] = {}
+
+    def match(self, piece: str) -> bytes:
+        if (ids := self.single.get(piece)) is None:
+            got = [t.id for t in self.fast.tokenize("".join(map(self.shown.__getitem__, piece.encode())))]
+            if got != (true := self.exact(piece)):  # the pattern finds the piece again: it is one match
+                got = true
+            ids = self.single[piece] = np.array(got, "<u4").tobytes()
+        return ids
+
+    def learn(self, chunks: list[str]) -> None:
+        for cache in (self.known, self.single):
+            if len(cache) > CACHE_PIECES:
+                cache.clear()
+        for chunk in dict.fromkeys(chunks):
+            if chunk not in self.known:
+                self.known[chunk] = b"".join(map(self.match, self.matches(chunk)))
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        pieces = [text] if self.mixed(text) else self.pieces(text)
-        known = self.known
+        chunks = [text] if self.mixed(text) else self.chunks(text)
         try:
-            return b"".join(map(known.__getitem__, pieces))
+            return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
-            if len(known) > CACHE_PIECES:
-                known.clear()
-            self.learn([p for p in dict.fromkeys(pieces) if p not in known])
-            return b"".join(map(known.__getitem__, pieces))
+            self.learn(chunks)
+            return b"".join(map(self.known.__getitem__, chunks))
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
