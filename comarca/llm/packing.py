@@ -23,6 +23,7 @@ are packed as they are; an empty table gives no pieces; other columns are not lo
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from comarca.llm.byte_bpe import byte_characters
 from comarca.llm.common import cut, running_total, written
 
 #: Words that a task keeps encoded; beyond it starts anew (the result does not change).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 PIECES = "array<struct<start:long,length:long,sequence_id:long,offset:long,tier:int,step:long>>"
 
 
@@ -48,6 +50,61 @@ class Packing:
     step_tokens: int = 64 * 4096
 
 
+def words_in(text: str) -> list[str]:
+    """What the vocabulary takes apart at white space."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # blank to Python, but not to the vocabulary
+        return [text]
+    # only the spelling "<|...|>" of a special token is one, so such texts keep their case
+    return text.lower().split() if text.isascii() and "<|" not in text else text.split()
+
+
+class WordEncoder:
+    """Ids of words without white space; a task encodes equal words once."""
+
+    def __init__(self, vocabulary: str, kind: str):
+        import os
+        import re
+
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.kind, self.shown = Tokenizer.from_file(vocabulary), kind, byte_characters()
+        self.closed = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.S).fullmatch  # marks but the apostrophe
+        self.known: dict[str, bytes] = {}
+
+    def encoded(self, word: str) -> bytes:
+        lower = unicodedata.normalize("NFC", word).lower()
+        if word.isalpha() and lower.isalpha() and "\u03a3" not in word:
+            # letters are one piece of the pattern, so the merges can be asked at once
+            ids = [t.id for t in self.tokenizer.model.tokenize("".join(map(self.shown.__getitem__, lower.encode())))]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return np.array(ids, self.kind).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        for word in dict.fromkeys(words):
+            if word in known:
+                continue
+            # marks that close a word of letters are a piece of their own
+            m = self.closed(word) if "<|" not in word else None
+            parts = m.groups() if m and m[1].isalpha() and m[1].lower().isalpha() else (word,)
+            for part in parts:
+                if part not in known:
+                    known[part] = self.encoded(part)
+            if len(parts) > 1:
+                known[word] = known[parts[0]] + known[parts[1]]
+
+    def __call__(self, words: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            self.learn(words)
+            return b"".join(map(self.known.__getitem__, words))
+
+
 def tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, text: str = "text") -> DataFrame:
     """(row_id, doc_id, n, ids): ids of each whole text and the end id, 16 or 32 bits each.
 
@@ -60,42 +117,12 @@ def tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, text: str = "text"
     kind, width = ("<u4", 4) if wide else ("<u2", 2)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Tokenizer.from_file(vocabulary).encode_batch
-        known: dict[str, bytes] = {}
+        words_of = WordEncoder(vocabulary, kind)
         end = np.array([end_id], kind).tobytes()
-
-        def stem(word: str) -> str:
-            """The word without one closing mark, where that is a token of its own."""
-            letter = len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha() and len(word[-2].lower()) == 1
-            return word[:-1] if letter else word
-
-        def learn(words: list[str]) -> None:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            # marks that close a word are learnt as words too
-            parts = {w: stem(w) for w in new}
-            need = [p for p in dict.fromkeys([*parts.values(), *(w[-1] for w, p in parts.items() if p != w)])
-                    if p not in known]
-            for part, got in zip(need, encode(need, add_special_tokens=False)):
-                known[part] = np.array(got.ids, kind).tobytes()
-            for word, part in parts.items():
-                if part != word:
-                    known[word] = known[part] + known[word[-1]]
-
         for texts in batches:
             rows = []
             for t in texts.to_pylist():
-                # only the spelling "<|...|>" of a special token is one, so such texts keep their case
-                words = t.lower().split() if t and t.isascii() and "<|" not in t else (t or "").split()
-                try:
-                    rows.append(b"".join(map(known.__getitem__, words)) + end)
-                except KeyError:
-                    learn(words)
-                    rows.append(b"".join(map(known.__getitem__, words)) + end)
+                rows.append(words_of(words_in(t or "")) + end)
             yield pa.array(rows, pa.binary())
 
     ids = F.arrow_udf(run, "binary")(F.col(text))
