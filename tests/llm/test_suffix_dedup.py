@@ -59,7 +59,8 @@ def test_a_text_longer_than_one_run_and_small_batches(spark, monkeypatch):
 
 
 def test_null_repeated_and_clashing_columns(spark):
-    text = "".join(random.Random(1).choice("abcdefghij ") for _ in range(300))
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(300))
     rows = [(2, text, "r1"), (2, text, "r2"), (None, text[20:], "r3"), (3, None, "r4"), (4, "é" + text, "r5")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, version string, lo int")
     got = {r.version: r.result.n_removed for r in suffix_dedup.without_repeats(docs).collect()}
