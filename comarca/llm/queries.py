@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comarca.llm import byte_bpe, line_dedup, packing, quality_rules, simhash, suffix_dedup
+from comarca.llm import byte_bpe, language_id, line_dedup, packing, quality_rules, simhash, suffix_dedup, vantage_trees
 from comarca.llm.common import read_table
 
 
+def op1_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_trees.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     packed = packing.with_crc32(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
@@ -20,6 +24,11 @@ def op3_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(read_table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,6 +53,6 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.delete_repeated_runs(docs).select("doc_id", "n_lines", "n_removed", "n_runs", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_hierarchical_packing, op3_adaptive_quality, op5_byte_bpe,
+QUERIES = {f.__name__: f for f in (op1_vantage_trees, op2_hierarchical_packing, op3_adaptive_quality, op4_kneser_ney, op5_byte_bpe,
                                   op7_prefix_free_parsing, op9_simhash, op10_line_runs)}
 ORACLE: dict[str, str] = {}

@@ -28,6 +28,11 @@ def merges(ranks):
     return byte_bpe.merges_of(ranks)
 
 
+@pytest.fixture(scope="module")
+def encoder(ranks, merges):
+    return byte_bpe._Encoder(ranks, merges, PATTERN)
+
+
 def test_query_against_tiktoken(spark, sf_dir, true):
     got = op5_byte_bpe(spark, sf_dir).toPandas().set_index("doc_id")
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
@@ -49,11 +54,9 @@ def test_the_library_agrees_without_the_check(true, ranks, merges, spark, sf_dir
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aAé'sll12 \n\t\r 　\x1c\x85.,!日本😀́")), max_size=30))
-def test_pieces_are_cut_where_the_pattern_cuts(true, ranks, merges, text):
-    encoder = test_pieces_are_cut_where_the_pattern_cuts.__dict__.setdefault("e", byte_bpe._Encoder(ranks, merges, PATTERN))
+def test_pieces_are_cut_where_the_pattern_cuts(true, encoder, text):
     ids = true.encode_ordinary(text)
     assert encoder(text) == np.array(ids, "<u4").tobytes()
-    assert b"".join(next(t for t, r in ranks.items() if r == i) for i in ids[:3]) == text.encode()[:sum(len(true.decode_single_token_bytes(i)) for i in ids[:3])]
 
 
 def test_null_empty_and_split_characters(spark, ranks):

@@ -69,11 +69,11 @@ def test_plan_leaves_little_padding(spark, lengths):
     assert short <= 2
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("aAbé.,'!sSΣİ́<|> \t\n 　\x1c12ßǅﬁ")), max_size=24))
+WHOLE, WORDS_OF = Tokenizer.from_file(VOCABULARY), packing.WordEncoder(VOCABULARY, "<u4")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aAbé.,'!sSΣİ́<|> \t\n 　\x1c12ßǅﬁ")), max_size=24))
 def test_words_encode_alike_alone(text):
-    kept = test_words_encode_alike_alone.__dict__
-    whole = kept.setdefault("t", Tokenizer.from_file(VOCABULARY))
-    words_of = kept.setdefault("w", packing.WordEncoder(VOCABULARY, "<u4"))
-    true = whole.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(words_of(packing.words_in(text)), "<u4").tolist() == true
+    true = WHOLE.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(WORDS_OF(packing.words_in(text)), "<u4").tolist() == true
