@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comarca.llm import byte_bpe, language_id, line_dedup, packing, quality_rules, simhash, suffix_dedup, vantage_trees
+from comarca.llm import byte_bpe, language_id, license_scan, line_dedup, packing, quality_rules, simhash, suffix_dedup, vantage_trees, warc
 from comarca.llm.common import read_table
 
 
@@ -37,12 +37,22 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs).select("doc_id", F.inline("matches"))
+
+
 def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.without_repeats(docs).select(
         "doc_id", "result.n_bytes", "result.n_removed", "result.n_spans", F.sha2("result.kept", 256).alias("kept_sha256"))
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.record_bytes(warc.derive(warc.responses(read_table(spark, sf_dir, "pages"))))
+    return records.drop("block").withColumn("record", F.decode("record", "UTF-8"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -54,5 +64,5 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_vantage_trees, op2_hierarchical_packing, op3_adaptive_quality, op4_kneser_ney, op5_byte_bpe,
-                                  op7_prefix_free_parsing, op9_simhash, op10_line_runs)}
+                                  op6_license_scan, op7_prefix_free_parsing, op8_warc_derivatives, op9_simhash, op10_line_runs)}
 ORACLE: dict[str, str] = {}
