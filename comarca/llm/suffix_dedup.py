@@ -12,16 +12,19 @@ input, overlaps included, never across documents.
 * Dictionary.  Phrases with equal trigger hash and equal bytes (by hash) are one entry, at
   its first place.  Every other occurrence of an entry is removed whole.
 * Suffixes.  Equal strings have equal triggers.  So an entry whose trigger no other entry
-  has holds no string of any other entry: nothing is compared.  Only suffixes (of LENGTH
-  bytes) of entries that share a trigger are brought in order, by (trigger, hash of the
-  LENGTH bytes, place in the corpus); all but the first of each class are removed.
+  has holds no string of any other entry: nothing is compared.  Only entries that share a
+  trigger are contested.  Their bytes meet by trigger, where the suffixes (of LENGTH bytes)
+  are brought in order, by (trigger, hash of the LENGTH bytes, place in the corpus); all but
+  the first of each class are removed.
 
 A match has a fixed length and never leaves its phrase, so the order of what follows the
 phrase (the suffix array of the parse) decides nothing here and is not built.
 
-Only phrases and contested suffixes are shuffled, never all positions.  Copies within an
+Only phrases and contested entries are shuffled, never all positions.  Copies within an
 Arrow batch are decided in the batch, so a phrase that a third of all documents share
-reaches the shuffle once per batch.  Entries are told apart by the 64-bit hash of the
+reaches the shuffle once per batch.  A trigger with more than ``CROWD`` entries (what
+follows a very common line) does not meet in one task: its suffixes are written one by one
+and meet by (trigger, hash of the LENGTH bytes), again once per batch.  Entries are told apart by the 64-bit hash of the
 trigger and a 64-bit hash of their bytes together.
 
 Defined results: NULL and empty texts have no bytes; rows that repeat doc_id and text are
@@ -35,12 +38,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from comarca.llm.common import written
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 20
+#: So many occurrences of a trigger meet in one task (rows of at most 200 bytes).
+CROWD = 1000
 #: Texts are hashed in runs of about so many bytes (a phrase cut there is told apart by its
 #: suffixes, so the result does not depend on it).
 RUN = 1 << 18
@@ -138,38 +144,40 @@ def _later_of_equal(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray):
     return order, ~same, same & ~again
 
 
-def _merged(doc: np.ndarray, version: np.ndarray, lo: np.ndarray, hi: np.ndarray):
-    """Unions of intervals that touch, within each (doc, version)."""
-    order = np.lexsort([lo, version, doc])
-    doc, version, lo, hi = doc[order], version[order], lo[order], hi[order]
-    out = []
-    for d, v, a, b in zip(doc.tolist(), version.tolist(), lo.tolist(), hi.tolist()):
-        if out and out[-1][0] == d and out[-1][1] == v and a <= out[-1][3]:
-            out[-1][3] = max(out[-1][3], b)
+def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """Unions of intervals of places that touch, within each document."""
+    order = np.lexsort([lo, doc])
+    out: list[list[int]] = []
+    for d, a, b in zip(doc[order].tolist(), lo[order].tolist(), hi[order].tolist()):
+        if out and out[-1][0] == d and a <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], b)
         else:
-            out.append([d, v, a, b])
-    return np.array(out, np.int64).reshape(-1, 4).T
+            out.append([d, a, b])
+    return np.array(out, np.int64).reshape(-1, 3).T
 
 
-#: Rows of both passes: of kind 0 candidates, told apart by a (trigger) and b (bytes), of
-#: kind 1 places that are decided; ``n`` strings of LENGTH bytes from ``start`` on.
-CANDIDATES = "kind int, a long, b long, doc_id long, version int, start long, n int"
+#: A row stands for ``n`` strings of LENGTH bytes from a place on (version and start in one
+#: number): a candidate of the class (a, b), or, if n is negative, decided strings that go.
+CANDIDATES = "a long, b long, doc_id long, place long, n int"
 
 
-def _candidates(kind, a, b, doc, version, start, n):
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in (np.full(len(a), kind, np.int32), a, b, doc, version.astype(np.int32), start, n.astype(np.int32))],
-        [c.split()[0] for c in CANDIDATES.split(", ")])
+def _place(version: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return version.astype(np.int64) << _START_BITS | start
 
 
-def _decided_here(keys, doc, version, start, n):
-    """What an Arrow batch can say by itself: the first place of each key is a candidate, the others go."""
-    order, first, later = _later_of_equal(keys, doc, version.astype(np.int64) << _START_BITS | start)
+def _batch(*columns) -> pa.RecordBatch:
+    names = ["a", "b", "doc_id", "place", "n", "raw"]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names[:len(columns)])
+
+
+def _decided_here(a, b, doc, place, n):
+    """What an Arrow batch can say by itself: the first place of each class is a candidate, the others go."""
+    order, first, later = _later_of_equal([a, b], doc, place)
     go, stay = order[later], order[first]
     if len(go):
-        d, v, lo, hi = _merged(doc[go], version[go], start[go], start[go] + n[go])
-        yield _candidates(1, d, lo, d, v, lo, hi - lo)
-    yield _candidates(0, keys[0][stay].view(np.int64), keys[1][stay].view(np.int64), doc[stay], version[stay], start[stay], n[stay])
+        d, lo, hi = _merged(doc[go], place[go], place[go] + n[go])
+        yield d, lo, d, lo, -(hi - lo).astype(np.int32)
+    yield a[stay].view(np.int64), b[stay].view(np.int64), doc[stay], place[stay], n[stay].astype(np.int32)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,74 +195,135 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append((row[starts], starts + shift[starts], count, trigger, body))
         if found:
             row, start, count, trigger, body = map(np.concatenate, zip(*found))
-            yield from _decided_here([trigger, body], docs[row], versions[row], start, count)
-
-
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes of LENGTH bytes of contested phrases, given with the text of their document."""
+            for rows in _decided_here(trigger, body, docs[row], _place(versions[row], start), count):
+                yield _batch(*rows)
+
+
+def _windows(raws: list[bytes]):
+    """Of byte strings of at least LENGTH bytes: the row, shift and hash of all their suffixes."""
+    row, shift, whole, at = [], [], [], 0
+    while at < len(raws):
+        to, size = at, 0
+        while to < len(raws) and size < RUN:
+            size += len(raws[to])
+            to += 1
+        hashes = Hashes(np.frombuffer(b"".join(raws[at:to]), np.uint8)).of(LENGTH)
+        lengths = np.array([len(r) for r in raws[at:to]])
+        counts = lengths - LENGTH + 1
+        own = np.repeat(np.arange(at, to), counts)
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        row.append(own)
+        shift.append(inside)
+        whole.append(hashes[np.repeat(np.cumsum(lengths) - lengths, counts) + inside])
+        at = to
+    return map(np.concatenate, (row, shift, whole))
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contested entries with their bytes; of crowded triggers their suffixes one by one."""
     for batch in batches:
-        docs, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        phrases = batch.column(3).to_pylist()
-        pending, waiting = [], 0
-        for row, text in enumerate(batch.column(2).to_pylist()):
-            raw = text.encode("utf-8", "surrogatepass")
-            found = sorted((p["start"], p["n"], p["a"]) for p in phrases[row])
-            at = 0
-            while at < len(found):  # phrases near each other are hashed together
-                to = at
-                while to + 1 < len(found) and found[to + 1][0] - found[to][0] < 400 and found[to + 1][0] - found[at][0] < RUN:
-                    to += 1
-                lo, hi = found[at][0], found[to][0] + found[to][1] + LENGTH - 1
-                hashes = Hashes(np.frombuffer(raw[lo:hi], np.uint8)).of(LENGTH)
-                for start, n, trigger in found[at:to + 1]:
-                    pending.append((np.full(n, row), np.arange(start, start + n), np.full(n, trigger, np.int64), hashes[start - lo:start - lo + n]))
-                    waiting += n
-                at = to + 1
-            if waiting > 1 << 20 or row + 1 == len(phrases):
-                if pending:
-                    r, start, trigger, whole = map(np.concatenate, zip(*pending))
-                    yield from _decided_here([trigger.view(np.uint64), whole], docs[r], versions[r], start, np.ones(len(r), np.int32))
-                pending, waiting = [], 0
-
-
-def _doc_key(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, version, text): NULL doc_ids become the smallest number."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
-                       F.shiftrightunsigned(F.xxhash64(text), 41).cast("int").alias("version"), F.col(text).alias("text"))
-
-
-def _later(candidates: DataFrame):
-    """Column: is the place decided, or not the first of its class?"""
-    return (F.col("kind") == 1) | (F.rank().over(
-        Window.partitionBy("a", "kind", "b").orderBy("doc_id", "version", "start")) > 1)
-
-
-def repeated_bytes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, version, lo, hi): bytes to remove, as intervals that may overlap."""
-    keyed = _doc_key(docs, text).where(F.length("text") >= LENGTH // 4)
-    parsed = keyed.mapInArrow(_parse, CANDIDATES)
-    entry = Window.partitionBy("a", "kind")
-    # one shuffle by trigger serves all three: the entries, their first places, who shares a trigger
-    entries = written(parsed.repartition("a").withColumn("later", _later(parsed))
-                      .withColumn("contested", (F.col("kind") == 0) & (F.min("b").over(entry) != F.max("b").over(entry)))
-                      .where("later OR contested").select("a", "doc_id", "version", "start", "n", "later"))
-    by_doc = (entries.where("NOT later").groupBy("doc_id", "version")
-              .agg(F.collect_set(F.struct("start", "n", "a")).alias("phrases")))
-    contested = keyed.join(by_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "phrases")
-    suffixes = contested.mapInArrow(_suffixes, CANDIDATES)
-    repeated = suffixes.withColumn("later", _later(suffixes)).where("later")
-    bounds = ["doc_id", "version", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (LENGTH - 1)).alias("hi")]
-    return entries.where("later").select(*bounds).union(repeated.select(*bounds))
+        docs, versions = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("__d", "__v"))
+        texts, phrases = (batch.column(batch.schema.get_field_index(c)) for c in ("__text", "phrases"))
+        alone, crowd = [], []
+
+        def suffixes():
+            row, shift, whole = _windows([c[4] for c in crowd])
+            trigger, doc, place = (np.array([c[i] for c in crowd], np.int64)[row] for i in (0, 1, 2))
+            # dealt by trigger and bytes
+            key = _mix(trigger.view(np.uint64) ^ _mix(whole.copy()))
+            for rows in _decided_here(key, whole, doc, place + shift, np.ones(len(row), np.int32)):
+                yield _batch(*rows, pa.nulls(len(rows[0]), pa.binary()))
+
+        for row in range(batch.num_rows):
+            raw = texts[row].as_py().encode("utf-8", "surrogatepass")
+            for p in phrases[row].as_py():
+                place = int(versions[row]) << _START_BITS | p["start"]
+                one = (p["a"], int(docs[row]), place, p["n"], raw[p["start"]:p["start"] + p["n"] + LENGTH - 1])
+                (crowd if p["crowded"] else alone).append(one)
+            if len(alone) >= 20_000 or row + 1 == batch.num_rows:
+                if alone:
+                    a, doc, place, n, raws = zip(*alone)
+                    yield _batch(pa.array(a, pa.int64()), pa.array([0] * len(a), pa.int64()), pa.array(doc, pa.int64()),
+                                 pa.array(place, pa.int64()), pa.array(n, pa.int32()), pa.array(raws, pa.binary()))
+                alone = []
+            if len(crowd) >= 20_000 or row + 1 == batch.num_rows:
+                if crowd:
+                    yield from suffixes()
+                crowd = []
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes to remove.  Rows come ordered by ``a``, so all entries of a trigger come together."""
+    def later(table: pa.Table):
+        a, b, doc, place, n = (table.column(i).to_numpy() for i in range(5))
+        known = np.array([not x for x in table.column(5).is_valid().to_pylist()], bool)
+        row, shift, whole = np.flatnonzero(known), np.zeros(int(known.sum()), np.int64), b[known].view(np.uint64)
+        if not known.all():
+            own = np.flatnonzero(~known)
+            r, s, w = _windows(table.column(5).filter(pa.array(~known)).to_pylist())
+            row, shift, whole = np.concatenate([row, own[r]]), np.concatenate([shift, s]), np.concatenate([whole, w])
+        order, _, gone = _later_of_equal([a[row].view(np.uint64), whole], doc[row], place[row] + shift)
+        go = order[gone]
+        if len(go):
+            d, lo, hi = _merged(doc[row[go]], place[row[go]] + shift[go], place[row[go]] + shift[go] + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(lo), pa.array((hi - lo).astype(np.int32))], ["doc_id", "place", "n"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        decided = pa.compute.less(batch.column(4), 0)
+        done, rest = batch.filter(decided), batch.filter(pa.compute.invert(decided))
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays([done.column(2), done.column(3), pa.compute.negate(done.column(4))], ["doc_id", "place", "n"])
+        for at in range(0, rest.num_rows, 5_000):
+            held.append(rest.slice(at, 5_000))
+            if sum(h.num_rows for h in held) < 20_000:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last trigger may go on
+            if cut:
+                yield from later(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+    if held:
+        yield from later(pa.Table.from_batches(held).combine_chunks())
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with __text and its key: __d (NULL doc_ids are the smallest number) and __v."""
+    return docs.withColumns({"__text": F.coalesce(F.col(text), F.lit("")), "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
+                             "__v": F.shiftrightunsigned(F.xxhash64(text), 41).cast("int")}).drop(text)
+
+
+def repeated_bytes(keyed: DataFrame) -> DataFrame:
+    """(__doc, __version, lo, hi): bytes to remove, as intervals that may overlap."""
+    parsed = keyed.where(F.length("__text") >= LENGTH // 4).select("__d", "__v", "__text").mapInArrow(_parse, CANDIDATES)
+    # one shuffle by trigger serves all: the entries, their first places, who shares a trigger
+    trigger = Window.partitionBy("a")
+    entries = written(
+        parsed.repartition("a").withColumns({
+            "later": (F.col("n") < 0) | (F.rank().over(Window.partitionBy("a", "b").orderBy("doc_id", "place")) > 1),
+            "contested": (F.col("n") > 0) & (F.min("b").over(trigger) != F.max("b").over(trigger)),
+            "crowded": F.count("*").over(trigger) > CROWD})
+        .where("later OR contested").select("a", "doc_id", "place", F.abs("n").alias("n"), "later", "crowded"))
+    start = F.col("place").bitwiseAND((1 << _START_BITS) - 1)
+    by_doc = (entries.where("NOT later")
+              .groupBy(F.col("doc_id").alias("__doc"), F.shiftright("place", _START_BITS).cast("int").alias("__version"))
+              .agg(F.collect_set(F.struct(start.alias("start"), "n", "a", "crowded")).alias("phrases")))
+    contested = keyed.join(by_doc, (F.col("__d") == F.col("__doc")) & (F.col("__v") == F.col("__version")))
+    suffixes = (contested.mapInArrow(_entries, CANDIDATES + ", raw binary").repartition("a").sortWithinPartitions("a")
+                .mapInArrow(_classes, "doc_id long, place long, n int"))
+    spans = entries.where("later").select("doc_id", "place", "n").union(suffixes)
+    return spans.select(F.col("doc_id").alias("__doc"), F.shiftright("place", _START_BITS).cast("int").alias("__version"),
+                        start.alias("lo"), (start + F.col("n") + (LENGTH - 1)).alias("hi"))
 
 
 RESULT = "struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>"
 
 
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``result``: n_bytes, n_removed, n_spans and kept, the remaining bytes."""
-    spans = (repeated_bytes(docs, text).groupBy("doc_id", "version")
-             .agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
-             .select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), "__spans"))
+    """``result`` instead of ``text``: n_bytes, n_removed, n_spans and kept, the remaining bytes."""
+    keyed = _keyed(docs, text)  # the contested entries and the result share its shuffle
+    spans = repeated_bytes(keyed).groupBy("__doc", "__version").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:
@@ -272,18 +341,15 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 rows.append({"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": n_spans, "kept": kept})
             yield pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
 
-    keyed = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
-                              "__v": F.shiftrightunsigned(F.xxhash64(text), 41).cast("int")})
     joined = keyed.join(spans, (F.col("__d") == F.col("__doc")) & (F.col("__v") == F.col("__version")), "left")
-    return joined.select(*docs.columns, F.arrow_udf(run, RESULT)(F.col(text), F.col("__spans")).alias("result"))
+    return joined.select(*[c for c in docs.columns if c != text], F.arrow_udf(run, RESULT)(F.col("__text"), F.col("__spans")).alias("result"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of ``text``; a character cut in two goes whole."""
+    """``docs`` with the repeated bytes cut out of ``text``; a character cut in two goes whole,
+    a NULL text becomes empty."""
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for kept in batches:
             yield pa.array([bytes(k).decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
 
-    done = without_repeats(docs)
-    new = F.when(F.col("text").isNull() | (F.col("result.n_removed") == 0), F.col("text")).otherwise(F.arrow_udf(run, "string")(F.col("result.kept")))
-    return done.withColumn("text", new).drop("result")
+    return without_repeats(docs).withColumn("text", F.arrow_udf(run, "string")(F.col("result.kept"))).select(docs.columns)

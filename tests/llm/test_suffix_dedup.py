@@ -36,8 +36,10 @@ def test_query_against_brute_force(spark, sf_dir):
     assert sum(x[1] for x in got.values()) > 0
 
 
+@pytest.mark.parametrize("crowd", [0, 1000])
 @pytest.mark.parametrize("alphabet", ["a", "ab", "abcdefgh éü日"])
-def test_planted_and_periodic_repeats(spark, alphabet):
+def test_planted_and_periodic_repeats(spark, alphabet, crowd, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
     passages = [word(n) for n in (99, 100, 101, 150, 260, 700)]
@@ -67,6 +69,6 @@ def test_null_repeated_and_clashing_columns(spark):
     assert got == {"r1": 280, "r2": 280, "r3": 0, "r4": 0, "r5": 300}
     done = suffix_dedup.remove_repeats(docs)
     assert done.columns == docs.columns
-    assert {r.version: r.text for r in done.collect()} == {"r1": text[:20], "r2": text[:20], "r3": text[20:], "r4": None, "r5": "é"}
+    assert {r.version: r.text for r in done.collect()} == {"r1": text[:20], "r2": text[:20], "r3": text[20:], "r4": "", "r5": "é"}
     assert suffix_dedup.without_repeats(docs.where("false")).count() == 0
     assert suffix_dedup.without_repeats(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == 5
