@@ -4,7 +4,10 @@ A document is measured once (whole text).  Four ratios are then judged against t
 group: a quantile sketch per (lang, source) gives the group's quartiles, and a document is
 rejected where a ratio lies beyond the upper (or lower) fence
 
-    quartile +/- max(spread * interquartile range, least_spread of the ratio).
+    quartile +/- max(spread * interquartile range, least_spread of the ratio) * width,
+
+where width is 1 from ``steady_words`` words on and grows with the root of their lack, as a
+ratio over few words says less.
 
 The sketch is a histogram of whole numbers in logarithmic bins, 32 bins per power of two
 (relative error 1/32 at most).  It is a table (group, measure, bin, n), so sketches merge
@@ -29,7 +32,7 @@ from comarca.llm.common import cut, null_safe
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-#: The ratios that are judged, as whole numbers per ten thousand words or lines.
+#: The ratios that are judged, as whole numbers per ten thousand words.
 MEASURES = ("word_length", "symbols", "dup_lines", "repeats")
 
 
@@ -41,7 +44,8 @@ class QualityRules:
     max_repeat_percent: int = 20
     spread: int = 6
     #: least distance of a fence, in the unit of the measure (1/10,000)
-    least_spread: tuple[int, int, int, int] = (20_000, 1_000, 3_000, 1_500)
+    least_spread: tuple[int, int, int, int] = (20_000, 1_000, 1_000, 2_000)
+    steady_words: int = 100
     least_rows: int = 100
 
 
@@ -115,24 +119,21 @@ def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(sketches: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """(lang, source) with the fences of every measure; small groups borrow from larger ones."""
-    def fences(keys: list[str]) -> DataFrame:
-        q = quartiles(sketches, keys)
-        spread = F.greatest((F.col("q3") - F.col("q1")) * rules.spread, F.element_at(
-            F.create_map(*[F.lit(x) for m, s in zip(MEASURES, rules.least_spread) for x in (m, s)]), F.col("measure")))
-        one = q.select(*keys, "measure", "rows", (F.col("q1") - spread).alias("lo"), (F.col("q3") + spread).alias("hi"))
-        return one.groupBy(*keys).agg(
-            F.max("rows").alias("rows"),
-            *[F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in ("lo", "hi")])
+    """(lang, source) with q1, q3 and spread of every measure; small groups borrow from larger ones."""
+    least = F.create_map(*[F.lit(x) for m, s in zip(MEASURES, rules.least_spread) for x in (m, s)])
+    parts = ("q1", "q3", "spread")
 
-    names = ["rows", *[f"{m}_{e}" for m in MEASURES for e in ("lo", "hi")]]
+    def fences(keys: list[str]) -> DataFrame:
+        q = quartiles(sketches, keys).withColumn(
+            "spread", F.greatest((F.col("q3") - F.col("q1")) * rules.spread, F.element_at(least, F.col("measure"))))
+        return q.groupBy(*keys).agg(F.max("rows").alias("rows"), *[
+            F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in parts])
 
-    corpus = fences([]).first()  # eight numbers
-    enough = F.col("rows") >= rules.least_rows
-    languages = fences(["lang"]).withColumns({c: F.when(enough, F.col(c)).otherwise(F.lit(corpus[c])) for c in names[1:]})
-    wider = languages.select("lang", *[F.col(c).alias(f"__{c}") for c in names])
-    return null_safe(fences(["lang", "source"]), wider, ["lang"]).select(
-        "lang", "source", *[F.when(enough, F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in names[1:]])
+    names = [f"{m}_{e}" for m in MEASURES for e in parts]
+    corpus, enough = fences([]).first(), F.col("rows") >= rules.least_rows  # twelve numbers
+    languages = fences(["lang"]).select("lang", *[F.when(enough, F.col(c)).otherwise(F.lit(corpus[c])).alias(f"__{c}") for c in names])
+    return null_safe(fences(["lang", "source"]), languages, ["lang"]).select(
+        "lang", "source", *[F.when(enough, F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in names])
 
 
 def measured(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
@@ -151,8 +152,10 @@ def judged(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "t
     rows = measured(docs, rules, text)
     limits = cut(thresholds(cut(sketch(rows)), rules))
     verdict = F.lit(True)
+    width = F.sqrt(F.greatest(F.lit(1.0), rules.steady_words / F.col("n_words")))
     for m in MEASURES:
-        verdict &= (F.col(m) <= F.col(f"{m}_hi")) & (F.col(m) >= F.col(f"{m}_lo"))
+        beyond = F.greatest(F.col(m) - F.col(f"{m}_q3"), F.col(f"{m}_q1") - F.col(m))
+        verdict &= beyond <= F.col(f"{m}_spread") * width
     # every group of a row that passed the base rules has thresholds
     return (null_safe(rows, limits, ["lang", "source"], "left")
             .withColumn("kept", ~F.col("base_failed") & F.coalesce(verdict, F.lit(True)))

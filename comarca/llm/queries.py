@@ -66,3 +66,88 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_vantage_trees, op2_hierarchical_packing, op3_adaptive_quality, op4_kneser_ney, op5_byte_bpe,
                                   op6_license_scan, op7_prefix_free_parsing, op8_warc_derivatives, op9_simhash, op10_line_runs)}
 ORACLE: dict[str, str] = {}
+
+ORACLE["op1_vantage_trees"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+usable AS (SELECT * FROM v WHERE len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(v, x -> x <> 0)) > 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+           FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20"""
+
+#: op3: words, then the counts, then the sketches (bins), quartiles and fences of each group.
+ORACLE["op3_adaptive_quality"] = r"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+grams AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
+gram AS (SELECT doc_id, i, words[i] || ' ' || words[i+1] || ' ' || words[i+2] || ' ' || words[i+3] || ' ' || words[i+4] AS g FROM grams),
+twice AS (SELECT doc_id, i FROM gram QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words,
+             length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+             [word_chars * 10000 // greatest(n_words, 1), n_symbols * 10000 // greatest(n_words, 1),
+              n_dup_lines * 10000 // greatest(n_words, 1), n_repeat_words * 10000 // greatest(n_words, 1)] AS r FROM c),
+values_ AS (SELECT lang, source, k, r[k] AS v FROM m, range(1, 5) t(k) WHERE NOT base_failed),
+bins AS (SELECT lang, source, k, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)::BIGINT) END AS b,
+                count(*) AS n FROM values_ GROUP BY ALL),
+merged AS (SELECT 1 AS level, lang, source, k, b, n FROM bins
+           UNION ALL SELECT 2, lang, NULL, k, b, sum(n) FROM bins GROUP BY lang, k, b
+           UNION ALL SELECT 3, NULL, NULL, k, b, sum(n) FROM bins GROUP BY k, b),
+ranked AS (SELECT *, CASE WHEN b < 64 THEN b ELSE (b % 32 + 32) << (b // 32 - 1) END AS low,
+                  sum(n) OVER (PARTITION BY level, lang, source, k ORDER BY b) AS upto,
+                  sum(n) OVER (PARTITION BY level, lang, source, k) AS rows_ FROM merged),
+q AS (SELECT level, lang, source, k, max(rows_) AS rows_, min(low) FILTER (upto * 4 >= rows_) AS q1,
+             min(low) FILTER (upto * 4 >= rows_ * 3) AS q3 FROM ranked GROUP BY ALL),
+f AS (SELECT *, greatest((q3 - q1) * 6, [20000, 1000, 1000, 2000][k]) AS spread FROM q),
+chosen AS (SELECT a.lang, a.source, a.k,
+                  CASE WHEN a.rows_ >= 100 THEN a.q1 WHEN b.rows_ >= 100 THEN b.q1 ELSE c.q1 END AS q1,
+                  CASE WHEN a.rows_ >= 100 THEN a.q3 WHEN b.rows_ >= 100 THEN b.q3 ELSE c.q3 END AS q3,
+                  CASE WHEN a.rows_ >= 100 THEN a.spread WHEN b.rows_ >= 100 THEN b.spread ELSE c.spread END AS spread
+           FROM f a JOIN f b ON b.level = 2 AND a.lang IS NOT DISTINCT FROM b.lang AND a.k = b.k
+           JOIN f c ON c.level = 3 AND a.k = c.k WHERE a.level = 1),
+beyond AS (SELECT DISTINCT m.doc_id FROM m JOIN chosen x ON m.lang IS NOT DISTINCT FROM x.lang AND m.source IS NOT DISTINCT FROM x.source
+           WHERE greatest(r[x.k] - q3, q1 - r[x.k]) > spread * sqrt(greatest(1.0::DOUBLE, 100::DOUBLE / n_words)))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM beyond) AS kept FROM m"""
+
+ORACLE["op7_prefix_free_parsing"] = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, octet_length(raw) - 99)) AS s FROM d WHERE octet_length(raw) >= 100),
+found AS (SELECT doc_id, s FROM starts
+          QUALIFY row_number() OVER (PARTITION BY md5(substr(h, 2 * s + 1, 200)) ORDER BY doc_id, s) > 1),
+marked AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS opens FROM found),
+spans AS (SELECT doc_id, min(s) AS lo, max(s) + 100 AS hi FROM
+          (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM marked) GROUP BY doc_id, g),
+kept AS (SELECT doc_id, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM spans GROUP BY doc_id)
+SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes,
+       coalesce(list_sum(list_transform(range(1, len(los) + 1), i -> his[i] - los[i])), 0)::BIGINT AS n_removed,
+       coalesce(len(los), 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN los IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(los) + 1),
+              i -> substr(h, CASE WHEN i = 0 THEN 1 ELSE 2 * his[i] + 1 END,
+                          2 * (CASE WHEN i = len(los) THEN octet_length(raw) ELSE los[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE his[i] END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+ORACLE["op10_line_runs"] = r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+each AS (SELECT doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS t FROM l),
+word AS (SELECT doc_id, line, t, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i FROM each WHERE regexp_matches(t, '[^ \t\n\x0B\f\r]')),
+pair AS (SELECT doc_id, i, line, t, lead(t) OVER o AS t2, lead(line) OVER o AS last_line FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+later AS (SELECT doc_id, i, line, last_line FROM pair WHERE t2 IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY t, t2 ORDER BY doc_id, i) > 1),
+marked AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 2 THEN 0 ELSE 1 END AS opens FROM later),
+runs AS (SELECT doc_id, min(line) AS lo, max(last_line) AS hi FROM
+         (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) GROUP BY doc_id, g),
+gone AS (SELECT doc_id, count(*) AS n_runs, sum(hi - lo + 1) AS n_removed FROM runs GROUP BY doc_id),
+kept AS (SELECT e.doc_id, string_agg(e.t, chr(10) ORDER BY e.line) AS text FROM each e
+         WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = e.doc_id AND e.line BETWEEN r.lo AND r.hi) GROUP BY e.doc_id)
+SELECT d.doc_id, coalesce(len(l.ls), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""
