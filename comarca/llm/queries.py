@@ -68,10 +68,10 @@ QUERIES = {f.__name__: f for f in (op1_vantage_trees, op2_hierarchical_packing,
 ORACLE: dict[str, str] = {}
 
 ORACLE["op1_vantage_trees"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-usable AS (SELECT * FROM v WHERE len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0
-           AND len(list_filter(v, x -> x <> 0)) > 0),
+usable AS (SELECT * FROM v WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(v, lambda x: x <> 0)) > 0),
 scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
            FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
@@ -121,17 +121,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 ORACLE["op7_prefix_free_parsing"] = """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, hex(encode(coalesce(text, ''))) AS h FROM documents),
 starts AS (SELECT doc_id, h, unnest(range(0, octet_length(raw) - 99)) AS s FROM d WHERE octet_length(raw) >= 100),
-found AS (SELECT doc_id, s FROM starts
-          QUALIFY row_number() OVER (PARTITION BY md5(substr(h, 2 * s + 1, 200)) ORDER BY doc_id, s) > 1),
+strings AS MATERIALIZED (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS k FROM starts),
+found AS (SELECT doc_id, s FROM strings QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
 marked AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS opens FROM found),
 spans AS (SELECT doc_id, min(s) AS lo, max(s) + 100 AS hi FROM
           (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM marked) GROUP BY doc_id, g),
 kept AS (SELECT doc_id, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM spans GROUP BY doc_id)
 SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes,
-       coalesce(list_sum(list_transform(range(1, len(los) + 1), i -> his[i] - los[i])), 0)::BIGINT AS n_removed,
+       coalesce(list_sum(list_transform(range(1, len(los) + 1), lambda i: his[i] - los[i])), 0)::BIGINT AS n_removed,
        coalesce(len(los), 0)::BIGINT AS n_spans,
        sha256(unhex(CASE WHEN los IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(los) + 1),
-              i -> substr(h, CASE WHEN i = 0 THEN 1 ELSE 2 * his[i] + 1 END,
+              lambda i: substr(h, CASE WHEN i = 0 THEN 1 ELSE 2 * his[i] + 1 END,
                           2 * (CASE WHEN i = len(los) THEN octet_length(raw) ELSE los[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE his[i] END))), '') END)) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
 
