@@ -146,25 +146,21 @@ NOTE_WITHIN = " — y, dentro de ese universo, "
 NOTE_SKIP_ONLY = "Esta pregunta no se hizo a todos: "
 
 # --- measures, titles and limits ----------------------------------------------
-MEASURE_TAGS = {
-    "__count__": "cnt",
-    "mean": "avg",
-    "median": "med",
-    "sum": "sum",
-    "std": "std",
-    "mode": "mod",
-    "pct_category": "pct",
-    "pct_total": "pcttot",
-    "total": "tot",
-    "porcentaje": "pct",
-}
-MEASURE_TITLES = {
-    "mean": "Media de ",
-    "median": "Mediana de ",
-    "sum": "Suma de ",
-    "std": "Desv. estándar de ",
-    "mode": "Categoría más frecuente de ",
+TITLES = {
+    "expression": "Expresión SQL",
+    "__count__": "Conteo de registros",
+    "mean": "Media de {label}",
+    "median": "Mediana de {label}",
+    "sum": "Suma de {label}",
+    "std": "Desv. estándar de {label}",
+    "mode": "Categoría más frecuente de {label}",
+    "pct_category": "% con «{category}» en {label}",
+    "pct_total": "% con «{category}» en {label} (sobre todos los registros)",
+    "total": "Total de {label}",
+    "porcentaje": "% de {label}",
 }
+TITLE_BY_UNIT = "{title} — por {unit}"
+DENSITY_UNIT = "km² ({unit})"
 SEMANTIC_TYPES = {"categorica": "categorical", "texto": "categorical",
                   "numerica": "numeric"}
 LEGAL_MEASURES = {
@@ -179,8 +175,6 @@ CLASSIFICATIONS = ("jenks", "quantile", "equal", "stddev")
 CLASS_COUNT = 5
 FRAGILE_CASES = 5
 LOW_COVERAGE_PCT = 95.0
-DISTINCT_LIMIT = 60
 RANKING_ROWS = 15
 MODAL_ROWS = 12
-RANKING_MAX_TERRITORIES = 120
 LABEL_MAX_CHARS = 52

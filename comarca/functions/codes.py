@@ -29,8 +29,9 @@ def number(df: DataFrame, name: str) -> Column:
 
 
 def pad2(col: Column) -> Column:
-    """A territory part as two characters."""
-    return F.lpad(col.cast("string"), 2, "0")
+    """A territory part as at least two characters; a longer one stays whole."""
+    text = col.cast("string")
+    return F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
 
 
 def zero_fill(code: Column, width: int) -> Column:

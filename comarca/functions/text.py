@@ -60,14 +60,15 @@ def universe_text(col: Column) -> Column:
 
 
 def variable_label(variable: Column, description: Column,
-                   limit: int = LABEL_MAX_CHARS) -> Column:
+                   limit: int | None = LABEL_MAX_CHARS) -> Column:
     """The description without question number or final colon, and the variable."""
     text = F.trim(F.coalesce(description, F.lit("")))
     numbered = text.rlike(r"^\d") & (F.instr(text, ". ") > 0)
     body = F.when(numbered, F.regexp_replace(text, r"(?s)^.*?\. ", "")).otherwise(text)
     body = F.trim(F.rtrim(F.trim(body), F.lit(":.")))
-    cut = F.concat(F.rtrim(F.substring(body, 1, limit), F.lit(" ,;")), F.lit("…"))
-    body = F.when(F.length(body) > limit, cut).otherwise(body)
+    if limit is not None:
+        cut = F.concat(F.rtrim(F.substring(body, 1, limit), F.lit(" ,;")), F.lit("…"))
+        body = F.when(F.length(body) > limit, cut).otherwise(body)
     return (F.when(text == "", variable)
             .otherwise(F.concat(body, F.lit(" ("), variable, F.lit(")"))))
 

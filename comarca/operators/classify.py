@@ -10,25 +10,29 @@ limits are merged, so no class is empty of width):
 * ``quantile``  interpolated quantiles (position p·(n-1)), exact
 * ``stddev``    mean ± half-integer multiples of the population standard deviation
 * ``jenks``     least squared deviation within classes, limits are class maxima
+
+``jenks`` and ``quantile`` count the distinct values when they are called (their limits
+depend on them); the others only declare a plan.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from comarca.fixed_values import (
-    CLASS_COUNT, CLASSIFICATIONS, MODAL_ROWS, RANKING_MAX_TERRITORIES, RANKING_ROWS,
+    CLASS_COUNT, CLASSIFICATIONS, MODAL_ROWS, RANKING_ROWS,
 )
 from comarca.functions.text import format_number
 from comarca.operators.codebook import with_value_labels
+from comarca.operators.lineage import cut
 from comarca.operators.quantiles import quantiles_of_counts
 from comarca.spec import IndicatorSpec
 
-EXACT_JENKS = 2048       # up to this many distinct values, Jenks limits are exact
-_COARSE = 512            # equal-width bins above it …
-_EXTRA = EXACT_JENKS - _COARSE   # … and further bins where the values crowd
+JENKS_BINS = 256         # equal bins between minimum and maximum, to begin with
+_PARTS = 8               # of a bin that is looked at more closely
+_REACH = 8               # bins on either side of a limit that are
+_WEIGHT = 1e-4           # a bin of more than this share of the deviation is split too
 
 
 def _numbers(result: DataFrame, value: str) -> DataFrame:
@@ -55,12 +59,10 @@ def class_edges(result: DataFrame, method: str = "jenks", n_classes: int = CLASS
     if method == "equal":
         cuts = F.transform(F.sequence(F.lit(1), k), lambda i: low + i * ((high - low) / k))
     elif method == "quantile":
-        # Quantiles for every possible number of classes; the right ones are kept.
-        wanted = [(m, i / m) for m in range(2, n_classes + 1) for i in range(1, m)]
-        found = quantiles_of_counts(counts, [], [p for _, p in wanted] or [0.5], "v")
-        of = F.get(F.array(*[F.lit(m) for m, _ in wanted] or [F.lit(0)]), F.col("i"))
-        kept = found.filter(of == F.least(distinct, F.lit(int(n_classes))))
-        summary = summary.withColumn("cuts", kept.agg(F.collect_list("q").alias("q")).scalar())
+        counts = cut(counts)
+        n = min(counts.count(), n_classes)
+        found = quantiles_of_counts(counts, [], [i / n for i in range(1, n)] or [0.5], "v")
+        summary = summary.withColumn("cuts", found.agg(F.collect_list("q").alias("q")).scalar())
         cuts = F.col("cuts")
     elif method == "stddev":
         centre = counts.agg(mean.alias("mean")).scalar()
@@ -69,71 +71,70 @@ def class_edges(result: DataFrame, method: str = "jenks", n_classes: int = CLASS
         cuts = F.transform(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))),
                            lambda i: F.col("mean") + (i - k / 2) * F.col("sd"))
     else:
-        summary = summary.withColumn("cuts", _jenks_cuts(counts, n_classes).scalar())
-        cuts = F.col("cuts")
+        cuts = F.array(*map(F.lit, _jenks_cuts(cut(counts), n_classes))).cast("array<double>")
     inside = F.filter(F.coalesce(cuts, nothing), lambda c: (c > low) & (c < high) & (k > 1))
     all_edges = F.array_sort(F.array_distinct(F.concat(F.array(low, high), inside)))
     return summary.select(F.when(low.isNull(), nothing).otherwise(all_edges).alias("edges"))
 
 
-def _jenks_cuts(counts: DataFrame, n_classes: int) -> DataFrame:
-    """One row (cuts): inner Jenks limits.
+def _jenks_cuts(counts: DataFrame, n_classes: int, bins: int = JENKS_BINS) -> list[float]:
+    """Inner Jenks limits of (v, n).
 
-    The distinct values are summarised into at most 2,048 bins that keep count, mean
-    and squared deviation, so every value weighs in.  With no more distinct values
-    than that a bin is one value and the result is exact; beyond it a limit can only
-    fall between bins, which are narrowest where values crowd.
+    The values are summarised in bins (weight, mean, squared deviation) and the bins are
+    classed.  Bins around a limit found that hold more than one value are split in parts,
+    as are bins that hold a share of all deviation, until neither is left; then each limit
+    is the largest value of its class, and no other place near it is better.  The same steps for ten values and for ten
+    million; the driver sees bins (a few thousand), never values.
     """
-    n = counts.agg(F.count(F.lit(1)).alias("n")).scalar()
-    low = counts.agg(F.min("v").alias("v")).scalar()
-    high = counts.agg(F.max("v").alias("v")).scalar()
-
-    def place(v: Column, start: Column, end: Column, bins: Column | int) -> Column:
-        at = F.floor(F.try_divide(v - start, end - start) * bins)
-        return F.coalesce(F.least(at, F.lit(bins) - 1 if isinstance(bins, int) else bins - 1),
-                          F.lit(0).cast("bigint"))
-
-    coarse = counts.withColumn("b1", place(F.col("v"), low, high, _COARSE))
-    # At most 512 rows by construction: the one side that may always be broadcast.
-    crowd = coarse.groupBy(F.col("b1").alias("_b1")).agg(
-        F.min("v").alias("from"), F.max("v").alias("to"),
-        (F.floor(F.count(F.lit(1)) * _EXTRA / n) + 1).alias("parts"))
-    fine = coarse.join(F.broadcast(crowd), F.col("b1") == F.col("_b1"))
-    fine = fine.withColumns({
-        "b2": place(F.col("v"), F.col("from"), F.col("to"), F.col("parts")),
-        "one": F.when(n <= EXACT_JENKS, F.col("v"))})
-    w = F.col("n").cast("double")
-    bins = fine.groupBy("b1", "b2", "one").agg(
-        F.max("v").alias("top"), F.sum(w).alias("w"),
-        (F.sum(F.col("v") * w) / F.sum(w)).alias("mean"),
-        F.sum(F.pow(F.col("v") - F.col("from"), F.lit(2.0)) * w).alias("sq"),
-        F.min("from").alias("from"))
-    bins = bins.select("top", "w", "mean", (F.col("sq") - F.col("w") * F.pow(
-        F.col("mean") - F.col("from"), F.lit(2.0))).alias("m2"))
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cuts": [_least_squares_cuts(pdf.sort_values("top"), n_classes)]})
-
-    return (bins.withColumn("all", F.lit(0)).groupBy("all")
-            .applyInPandas(split, "cuts array<double>"))
-
-
-def _least_squares_cuts(bins: pd.DataFrame, n_classes: int) -> list[float]:
-    """Upper limits of the classes with the least squared deviation (weighted bins)."""
-    top, w = bins["top"].to_numpy(float), bins["w"].to_numpy(float)
-    k = min(n_classes, len(top))
-    x = bins["mean"].to_numpy(float)
-    x = x - np.average(x, weights=w)
-    weight = np.concatenate([[0.0], np.cumsum(w)])
-    first = np.concatenate([[0.0], np.cumsum(w * x)])
-    second = np.concatenate([[0.0], np.cumsum(w * x * x + bins["m2"].to_numpy(float))])
+    counts = counts.filter(F.abs("v") < float("inf"))
+    ends = counts.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if ends.low is None:
+        return []
+    at = counts.withColumns({"low": F.lit(ends.low), "width": F.lit((ends.high - ends.low) / bins or 1.0),
+                             "parts": F.lit(bins), "bin": F.lit(0)})
+    done, rows = 1, {}
+    while True:
+        part = F.least(F.floor((F.col("v") - F.col("low")) / F.col("width")), F.col("parts") - 1).cast("int")
+        at = at.withColumn("bin", F.when(F.col("parts") > 1, F.lit(done) + F.col("bin") * bins + part).otherwise(F.col("bin")))
+        w, v = F.col("n").cast("double"), F.col("v")
+        new = (at.filter("parts > 1").withColumn("ref", F.col("low") + (part + 0.5) * F.col("width"))
+               .groupBy("bin").agg(
+                   F.min("v").alias("from"), F.max("v").alias("to"), F.sum(w).alias("w"), F.max("ref").alias("ref"),
+                   F.sum((v - F.col("ref")) * w).alias("s1"), F.sum((v - F.col("ref")) * (v - F.col("ref")) * w).alias("s2")).collect())
+        for r in new:
+            mean = r.ref + r.s1 / r.w
+            rows[r.bin] = (r["from"], r["to"], r.w, mean, max(r.s2 - r.s1 * r.s1 / r.w, 0.0))
+        ids = sorted(rows, key=lambda b: rows[b][1])
+        table = np.array([rows[b] for b in ids])
+        limits, cost = _least_squares_limits(table[:, 1], table[:, 2], table[:, 3], table[:, 4], n_classes)
+        many = (table[:, 1] - table[:, 0]) / _PARTS > 0
+        near = {i for e in limits for i in range(max(0, e - _REACH), min(len(ids), e + _REACH))}
+        heavy = np.flatnonzero(many & (table[:, 4] > _WEIGHT * cost))
+        heavy = heavy[np.argsort(-table[heavy, 4])][:bins // 2]
+        split = [ids[i] for i in sorted(near | set(heavy.tolist())) if many[i]]
+        if not split:
+            return [float(table[e - 1, 1]) for e in limits]
+        # at most a few hundred rows: bins to split, by construction
+        done = max(ids) + 1
+        parts = [(b, n, rows[b][0], (rows[b][1] - rows[b][0]) / _PARTS, _PARTS) for n, b in enumerate(split)]
+        for b in split:
+            del rows[b]
+        small = counts.sparkSession.createDataFrame(parts, "_b int, _n int, low double, width double, parts int")
+        at = (at.drop("low", "width", "parts").join(F.broadcast(small), F.col("bin") == F.col("_b"))
+              .select("v", "n", "low", "width", "parts", F.col("_n").alias("bin")))
+
+
+def _least_squares_limits(top, w, mean, m2, n_classes: int) -> tuple[list[int], float]:
+    """Where classes of least squared deviation end (numbers of bins), and that deviation."""
+    size = len(top)
+    k = min(n_classes, size)
+    x = mean - np.average(mean, weights=w)
+    weight, first, second = (np.concatenate([[0.0], np.cumsum(c)]) for c in (w, w * x, w * x * x + m2))
 
     def cost(start, end):
         """Squared deviation of bins start..end-1 (arrays of starts allowed)."""
-        ww = weight[end] - weight[start]
-        return second[end] - second[start] - (first[end] - first[start]) ** 2 / ww
+        return second[end] - second[start] - (first[end] - first[start]) ** 2 / (weight[end] - weight[start])
 
-    size = len(top)
     best = np.array([0.0] + [cost(0, e) for e in range(1, size + 1)])
     came = []
     for classes in range(2, k + 1):
@@ -145,11 +146,11 @@ def _least_squares_cuts(bins: pd.DataFrame, n_classes: int) -> list[float]:
             nxt[end], back[end] = total[pick], starts[pick]
         came.append(back)
         best = nxt
-    cuts, end = [], size
+    ends, end = [], size
     for back in reversed(came):
-        end = back[end]
-        cuts.append(float(top[end - 1]))
-    return sorted(cuts)
+        end = int(back[end])
+        ends.append(end)
+    return sorted(ends), max(float(best[size]), 0.0)
 
 
 # --- classes --------------------------------------------------------------------
@@ -283,27 +284,34 @@ def category_legend(result: DataFrame, labels: DataFrame | None = None) -> DataF
 
 
 def summary_view(result: DataFrame, spec: IndicatorSpec, method: str = "jenks",
-                 labels: DataFrame | None = None) -> DataFrame:
-    """What to show of a result: (vista, orden, texto, valor).
-
-    Modal frequencies for a mode; a histogram of the map classes at unit level or for
-    more than 120 territories; else the ranking.
+                 labels: DataFrame | None = None, view: str | None = None,
+                 rows: int | None = None) -> DataFrame:
+    """What to show of a result: (vista, orden, texto, valor, quedan_fuera).
+
+    ``view``: "frecuencias" (of a mode), "histograma" of the map classes, or "ranking";
+    by default what fits the kind of indicator: frequencies of a mode, the histogram at
+    unit level, else the ranking.  ``rows`` of frequencies or ranking are shown;
+    ``quedan_fuera`` counts those that are not.
     """
-    if spec.is_categorical_map:
-        rows = modal_frequencies(result, labels)
-        return rows.select(F.lit("frecuencias").alias("vista"),
-                           F.row_number().over(Window.orderBy(F.col("n").desc(), "valor"))
-                           .alias("orden"), "texto", F.col("n").cast("double").alias("valor"))
-    bars = histogram(result, method).select(
-        F.lit("histograma").alias("vista"), F.col("clase").alias("orden"),
-        class_label(F.col("desde"), F.col("hasta")).alias("texto"),
-        F.col("n").cast("double").alias("valor"))
-    if spec.level == "unidad":
-        return bars
-    top = ranking(result).select(
-        F.lit("ranking").alias("vista"),
-        F.row_number().over(Window.orderBy(F.col("valor").desc(), "geo_code"))
-        .alias("orden"), F.col("nombre").alias("texto"), "valor")
-    n = _numbers(result, "valor").agg(F.sum("n").alias("n")).scalar()
-    return (bars.filter(n > RANKING_MAX_TERRITORIES)
-            .unionByName(top.filter(n <= RANKING_MAX_TERRITORIES)))
+    view = view or ("frecuencias" if spec.is_categorical_map else "histograma" if spec.level == "unidad" else "ranking")
+    if view == "frecuencias":
+        shown = rows or MODAL_ROWS
+        counted = modal_frequencies(result, labels, shown)
+        out = counted.select(F.row_number().over(Window.orderBy(F.col("n").desc(), "valor")).alias("orden"),
+                             "texto", F.col("n").cast("double").alias("valor"))
+        all_ = result.agg(F.count_distinct(F.coalesce(F.col("valor").cast("string"), F.lit("\0")))).scalar()
+    elif view == "histograma":
+        out = histogram(result, method).select(
+            F.col("clase").alias("orden"), class_label(F.col("desde"), F.col("hasta")).alias("texto"),
+            F.col("n").cast("double").alias("valor"))
+        shown, all_ = 0, F.lit(0)
+    elif view == "ranking":
+        shown = rows or RANKING_ROWS
+        out = ranking(result, shown).select(
+            F.row_number().over(Window.orderBy(F.col("valor").desc(), "geo_code")).alias("orden"),
+            F.col("nombre").alias("texto"), "valor")
+        all_ = _numbers(result, "valor").agg(F.sum("n").alias("n")).scalar()
+    else:
+        raise ValueError(f"unknown view {view!r}")
+    return out.select(F.lit(view).alias("vista"), "orden", "texto", "valor",
+                      F.greatest(all_ - shown, F.lit(0)).cast("bigint").alias("quedan_fuera"))

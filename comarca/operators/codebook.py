@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from comarca.fixed_values import (
-    DESCRIPTION_COLUMNS, DISTINCT_LIMIT, DOC_FIELDS, DOC_TABLES, ENTITY_COLUMNS,
+    DESCRIPTION_COLUMNS, DOC_FIELDS, DOC_TABLES, ENTITY_COLUMNS,
     LABEL_CODE_COLUMNS, LABEL_TEXT_COLUMNS, LABEL_VARIABLE_COLUMNS,
     SHEET_VALUE_LABELS, TABLE_ENTITIES, THEME_COLUMNS, THEME_LABEL_COLUMNS,
     TYPE_COLUMNS, UNIVERSE_COLUMNS, VARIABLE_COLUMNS,
@@ -36,27 +36,32 @@ def _clean(col: Column) -> Column:
     return F.when((text != "") & ~F.lower(text).isin("nan", "none"), text)
 
 
-def variable_dictionary(raw: DataFrame, table: str | None = None) -> DataFrame:
+def variable_dictionary(raw: DataFrame, table: str | None = None,
+                        order: Column | None = None) -> DataFrame:
     """(variable, label, tipo, universo, tema, tema_etiqueta) of one table.
 
     Column names vary by year and are found by candidates.  Rows of the table's
-    entities, or all rows when none matches.
+    entities, or all rows when none matches.  One row per variable: the last by
+    ``order``, and among equals (or without an order) the greatest in its texts.
     """
-    rows = resolve_columns(raw, {
+    rows = resolve_columns(raw.withColumn("_ord", F.lit(0) if order is None else order), {
         "variable": VARIABLE_COLUMNS, "label": DESCRIPTION_COLUMNS, "tipo": TYPE_COLUMNS,
         "universo": UNIVERSE_COLUMNS, "tema": THEME_COLUMNS,
-        "tema_etiqueta": THEME_LABEL_COLUMNS, "entidad": ENTITY_COLUMNS},
+        "tema_etiqueta": THEME_LABEL_COLUMNS, "entidad": ENTITY_COLUMNS, "ord": ("_ord",)},
         required=["variable"])
     belongs = _of_table(table)
     if belongs is not None:
         some = rows.agg(F.coalesce(F.max(belongs), F.lit(False)).alias("any")).scalar()
         rows = rows.filter(belongs | ~some)
-    return rows.select(
-        F.trim(F.col("variable").cast("string")).alias("variable"),
+    entries = rows.select(
+        "ord", F.trim(F.col("variable").cast("string")).alias("variable"),
         F.trim(F.col("label").cast("string")).alias("label"),
         F.lower(F.trim(F.col("tipo").cast("string"))).alias("tipo"),
         _clean(F.col("universo")).alias("universo"), _clean(F.col("tema")).alias("tema"),
         _clean(F.col("tema_etiqueta")).alias("tema_etiqueta"))
+    texts = [c for c in entries.columns if c not in ("ord", "variable")]
+    return (entries.groupBy("variable").agg(F.max(F.struct("ord", *texts)).alias("last"))
+            .select("variable", *[f"last.{c}" for c in texts]))
 
 
 def catalogue_as_dictionary(catalogue: DataFrame, table: str) -> DataFrame:
@@ -102,15 +107,14 @@ def theme_counts(dictionary: DataFrame, columns: Sequence[str] | None = None) ->
             .orderBy("tema_etiqueta", "tema"))
 
 
-def value_labels(raw: DataFrame, table: str | None = None, variable: str | None = None,
-                 order: Column | None = None) -> DataFrame:
+def value_labels(raw: DataFrame, table: str | None = None, variable: str | None = None, *,
+                 order: Column) -> DataFrame:
     """(variable, valor, etiqueta), variable in lower case.
 
     Labels of the table's own entity where the variable has any, else all of its
-    labels.  Of several rows for one code the last one counts, by ``order`` (the
-    order of the rows in the table when not given).
+    labels.  Of several rows for one code the last one counts, by ``order``: a column
+    of the table, as the order in which rows are read can differ from run to run.
     """
-    order = F.monotonically_increasing_id() if order is None else order
     raw = raw.withColumn("_ord", order)
     rows = resolve_columns(raw, {
         "variable": LABEL_VARIABLE_COLUMNS, "valor": LABEL_CODE_COLUMNS,
@@ -143,24 +147,28 @@ def sheet_value_labels(like: DataFrame, variable: str) -> DataFrame:
         "variable string, valor string, etiqueta string")
 
 
-def with_value_labels(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+def with_value_labels(df: DataFrame, column: str, labels: DataFrame,
+                      order: str = "valor") -> DataFrame:
     """Add ``etiqueta`` and ``texto`` ("code — label") by the normalised code.
 
-    ``labels``: (valor, etiqueta) of one variable.  Unmatched codes show themselves.
+    ``labels``: (valor, etiqueta) of one variable.  Of codes that are equal once
+    normalised ('1', '01') the last counts by ``order``, a column of the labels.
+    Unmatched codes show themselves.
     """
-    keyed = (labels.select(normalize_code(F.col("valor")).alias("_code"), "etiqueta", "valor")
-             .groupBy("_code").agg(F.max_by("etiqueta", "valor").alias("etiqueta")))
+    keyed = (labels.select(normalize_code(F.col("valor")).alias("_code"), "etiqueta",
+                           F.struct(F.col(order).alias("o"), "valor").alias("last"))
+             .groupBy("_code").agg(F.max_by("etiqueta", "last").alias("etiqueta")))
     code = normalize_code(F.col(column))
     return (df.join(keyed, code == F.col("_code"), "left").drop("_code")
             .withColumn("texto", code_with_label(F.col(column), F.col("etiqueta"))))
 
 
 def category_list(df: DataFrame, variable: str, labels: DataFrame,
-                  limit: int = DISTINCT_LIMIT) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """(valor, texto) to choose a category from, numeric codes first.
 
-    The labels of the variable; without any, its distinct values when they are at most
-    ``limit``; else no rows.
+    The labels of the variable; without any, its distinct values (the first ``limit``,
+    if given).
     """
     known = labels.filter(F.col("variable") == variable.lower()).select(
         "valor", code_with_label(F.col("valor"), F.col("etiqueta")).alias("texto"))

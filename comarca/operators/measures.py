@@ -21,7 +21,6 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from comarca.fixed_values import DISTINCT_LIMIT
 from comarca.functions.codes import category_eq, number
 from comarca.operators.quantiles import median_of_counts
 from comarca.operators.territory import geo_code, scope, source_columns
@@ -341,13 +340,12 @@ def coverage(df: DataFrame, variables: Sequence[str],
             .select(*names, "variable", "n_total", "n_valid"))
 
 
-def distinct_values(df: DataFrame, variable: str, limit: int = DISTINCT_LIMIT) -> DataFrame:
-    """Distinct values as ordered text: (valor); no rows when there are more than ``limit``.
+def distinct_values(df: DataFrame, variable: str, limit: int | None = None) -> DataFrame:
+    """(valor, n_valores): distinct values as ordered text, and how many there are.
 
-    At most ``limit + 1`` values ever leave the distributed part.
+    With ``limit`` the first so many; ``n_valores`` says what is left out.
     """
-    some = (df.filter(F.col(f"`{variable}`").isNotNull())
-            .select(F.col(f"`{variable}`").cast("string").alias("valor")).distinct()
-            .orderBy("valor").limit(limit + 1))
-    seen = some.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return some.filter(seen <= limit).orderBy("valor")
+    values = (df.filter(F.col(f"`{variable}`").isNotNull())
+              .select(F.col(f"`{variable}`").cast("string").alias("valor")).distinct())
+    counted = values.withColumn("n_valores", values.agg(F.count(F.lit(1)).alias("n")).scalar()).orderBy("valor")
+    return counted if limit is None else counted.limit(limit)

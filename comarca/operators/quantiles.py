@@ -2,15 +2,18 @@
 
 Spark's own ``median``/``percentile`` keep every distinct value of a group in one
 task.  Here a group is first counted per distinct value (a shuffle on group *and*
-value, so a hot group spreads out), and the wanted ranks are then located in three
-steps, each over a bounded number of rows per group:
+value, so a hot group spreads out), and the wanted ranks are then located in steps,
+each over a bounded number of rows per group:
 
 1. buckets on a logarithmic scale (32 per power of two) — which one holds the rank;
-2. 4096 equal buckets inside that one, between its smallest and largest value;
-3. the distinct values inside the bucket found.
-
-The counts decide which bucket a rank is in, so the result is exact; the buckets only
-decide how much has to be looked at next.
+2. three times, 65,536 equal buckets inside the one found, between its smallest and
+   largest value;
+3. the distinct values inside the last bucket.
+
+A logarithmic bucket holds at most 2**48 different doubles, and 65,536 cubed is 2**48, so
+the last bucket holds a handful, however crowded the values are.  The counts decide which
+bucket a rank is in, so the result is exact; the buckets only decide how much has to be
+looked at next.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _PER_OCTAVE = 32
 _ZERO_AT = 40_000          # keeps every finite log bucket on its own side of zero
-_FINE = 4096
+_FINE = 1 << 16
+_STEPS = 3
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: Column,
@@ -99,17 +103,22 @@ def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: Sequence[
              .withColumns({"lo": F.col("lo") - F.col("_before"),
                            "hi": F.col("hi") - F.col("_before")}))
 
-    k1 = keys + ["_b1"]
-    near = _join_keys(coarse, first, k1, ["i", "_low", "_high", "lo", "hi", "part"])
-    near = near.withColumn("_b2", _linear_bucket(F.col(name), F.col("_low"), F.col("_high")))
-    k2 = keys + ["i", "_b1", "_b2"]
-    # Shuffled once, on a key that a hot group spreads over, and used twice.
-    near = near.select(*k2, name, "n", "lo", "hi", "part").repartition(*k2)
-    second = near.groupBy(*k2).agg(F.sum("n").alias("n"), F.max("lo").alias("lo"),
-                                   F.max("hi").alias("hi"))
-    second = _holding(second, keys + ["i", "_b1"], "_b2")
-    last = _join_keys(near.drop("lo", "hi"), second, k2, ["lo", "hi"])
-    found = _holding(last, k2, name)
+    chain, found, near = keys + ["_b1"], first, coarse
+    for step in range(2, 2 + _STEPS):
+        carried = ["_low", "_high", "lo", "hi", "part"] + (["i"] if step == 2 else [])
+        near = _join_keys(near, found, chain, carried)
+        chain = keys + ["i", *[f"_b{s}" for s in range(1, step)]]
+        inner = chain + [f"_b{step}"]
+        near = near.withColumn(inner[-1], _linear_bucket(F.col(name), F.col("_low"), F.col("_high")))
+        # Shuffled once, on a key that a hot group spreads over, and used twice.
+        near = near.select(*inner, name, "n", "lo", "hi", "part").repartition(*inner)
+        grouped = near.groupBy(*inner).agg(
+            F.sum("n").alias("n"), F.min(name).alias("_low"), F.max(name).alias("_high"),
+            F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("part").alias("part"))
+        found = _holding(grouped, chain, inner[-1])
+        near, chain = near.drop("lo", "hi", "part"), inner
+    last = _join_keys(near, found, chain, ["lo", "hi", "part"])
+    found = _holding(last, chain, name)
 
     low, high = F.min(name), F.max(name)
     q = F.when(low == high, low).otherwise(low + (high - low) * F.max("part"))

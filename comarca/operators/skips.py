@@ -28,8 +28,8 @@ def question_number(wording: Column) -> Column:
     return F.regexp_extract(wording, QUESTION_NUMBER_PATTERN, 1).try_cast("bigint")
 
 
-def short_statement(wording: Column) -> Column:
-    """The question itself: no number, no list of answers, at most 90 characters."""
+def short_statement(wording: Column, max_chars: int | None = STATEMENT_MAX_CHARS) -> Column:
+    """The question itself: no number, no list of answers; shortened unless None is given."""
     text = F.trim(F.regexp_replace(squeeze(wording), QUESTION_NUMBER_PATTERN, ""))
     ask, colon = F.instr(text, "?"), F.instr(text, ":")
     far = F.lit(1 << 30)
@@ -37,19 +37,22 @@ def short_statement(wording: Column) -> Column:
     body = (F.when(cut == far, text)
             .when(cut == ask, F.substring(text, F.lit(1), ask))
             .otherwise(F.substring(text, F.lit(1), colon - 1)))
-    return shorten(F.btrim(body, F.lit(_EDGE)), STATEMENT_MAX_CHARS)
+    body = F.btrim(body, F.lit(_EDGE))
+    return body if max_chars is None else shorten(body, max_chars)
 
 
-def skip_matches(wording: Column) -> Column:
+def skip_matches(wording: Column, max_answer: int | None = ANSWER_MAX_CHARS) -> Column:
     """Every skip of a wording as array<struct<codigo, respuesta, destino>>.
 
     One pass of the pattern over the text; the parts are then read from each match.
     The wording must have single blanks (``clean_docs``).  An answer that is really
-    the next sub-question, or too long to be one, is left empty.
+    the next sub-question, or longer than ``max_answer``, is left empty.
     """
     def parts(m: Column) -> Column:
         answer = F.btrim(F.regexp_extract(m, _PATTERN, 2), F.lit(_EDGE))
-        bad = F.contains(answer, F.lit("¿")) | (F.length(answer) > ANSWER_MAX_CHARS)
+        bad = F.contains(answer, F.lit("¿"))
+        if max_answer is not None:
+            bad |= F.length(answer) > max_answer
         return F.struct(
             F.regexp_extract(m, _PATTERN, 1).try_cast("bigint").alias("codigo"),
             F.when(bad, F.lit("")).otherwise(answer).alias("respuesta"),
@@ -159,8 +162,12 @@ def variable_phrases(docs: DataFrame) -> DataFrame:
         "anio", "tabla", "variable", "num", "frase")
 
 
-def help_text(docs: DataFrame, max_chars: int = DEFINITION_MAX_CHARS) -> DataFrame:
-    """(anio, tabla, variable, ayuda): what is documented about a variable, as one text."""
+def help_text(docs: DataFrame, max_chars: int | None = DEFINITION_MAX_CHARS) -> DataFrame:
+    """(anio, tabla, variable, ayuda): what is documented about a variable, as one text.
+
+    Definition and rule are shortened to ``max_chars``; None keeps them whole.
+    """
+    short = lambda c: c if max_chars is None else shorten(c, max_chars)
     phrases = condition_phrases(docs)
     rows = docs.withColumn("num", question_number(F.col("pregunta_literal")))
     rows = rows.join(phrases, ["anio", "tabla", "num"], "left")
@@ -168,13 +175,13 @@ def help_text(docs: DataFrame, max_chars: int = DEFINITION_MAX_CHARS) -> DataFra
     some = lambda c, then: F.when(text(c) != "", then)
     lead = F.when(text("universo_literal") != "", HELP_SKIP_WITHIN).otherwise(HELP_SKIP_ALONE)
     parts = [
-        some("definicion", shorten(text("definicion"), max_chars)),
+        some("definicion", short(text("definicion"))),
         some("pregunta_literal", F.concat(F.lit(HELP_QUESTION + "«"),
                                           text("pregunta_literal"), F.lit("»"))),
         some("universo_literal", F.concat(F.lit(HELP_UNIVERSE), text("universo_literal"))),
         F.when(F.col("frase").isNotNull(), F.concat(lead, F.col("frase"), F.lit("."))),
         some("regla_derivacion", F.concat(F.lit(HELP_RULE),
-                                          shorten(text("regla_derivacion"), max_chars))),
+                                          short(text("regla_derivacion")))),
     ]
     return rows.select("anio", "tabla", "variable",
                        F.concat_ws("\n\n", *parts).alias("ayuda"))

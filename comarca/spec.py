@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
 import re
 from dataclasses import dataclass
 
 from comarca.fixed_values import (
-    AREAS, LEGAL_MEASURES, MEASURE_TAGS, MEASURE_TITLES, LEVEL_WORDS,
-    SEMANTIC_TYPES, SHEET_TABLES,
+    AREAS, DENSITY_UNIT, LEGAL_MEASURES, LEVEL_WORDS, SEMANTIC_TYPES, SHEET_TABLES,
+    TITLE_BY_UNIT, TITLES,
 )
 
 LEVELS = ("departamento", "municipio", "unidad")
@@ -108,20 +110,11 @@ def check_measure(spec: IndicatorSpec, declared: str | None,
 
 
 def output_name(spec: IndicatorSpec, density: bool = False) -> str:
-    """A stable name that tells two results of the same data apart."""
-    if spec.expression is not None:
-        what = "sql"
-    else:
-        what = f"{(spec.variable or COUNT)[:14]}_{MEASURE_TAGS[spec.measure]}"
-        if density:
-            what += "_km2"
-    where = ""
-    if spec.municipality is not None:
-        where = f"_mun{spec.municipality}"
-    elif spec.department is not None:
-        where = f"_dep{spec.department}"
-    area = f"_{spec.area}" if spec.area else ""
-    return f"{spec.table}_{spec.year}_{spec.level[:4]}{where}{area}_{what}"
+    """A readable start, then a digest of every field: different results, different names."""
+    fields = {**{f.name: getattr(spec, f.name) for f in dataclasses.fields(spec)}, "density": density}
+    digest = hashlib.sha256(repr(sorted(fields.items())).encode()).hexdigest()[:20]
+    readable = [spec.table, spec.year, spec.level, spec.variable, "expression" if spec.expression else spec.measure]
+    return "-".join([*(str(x)[:40] for x in readable if x is not None), digest])
 
 
 def safe_path_name(name: str) -> str:
@@ -132,20 +125,8 @@ def safe_path_name(name: str) -> str:
 def indicator_title(spec: IndicatorSpec, label: str | None = None,
                     category_label: str | None = None, density: bool = False) -> str:
     """The sentence that says what a result shows."""
+    template = TITLES["expression" if spec.expression is not None else spec.measure]
     unit = LEVEL_WORDS[spec.level]
-    if density:
-        unit = f"km² ({unit})"
-    if spec.expression is not None:
-        return f"Expresión SQL — por {unit}"
-    if spec.measure == COUNT:
-        return f"Conteo de registros — por {unit}"
-    label = label or spec.variable
-    if spec.measure in SHEET_MEASURES:
-        head = "% de" if spec.measure == "porcentaje" else "Total de"
-        return f"{head} {label} — por {unit}"
-    if spec.measure in PERCENTAGES:
-        text = f"% con «{category_label or spec.category}» en {label}"
-        if spec.measure == "pct_total":
-            text += " (sobre todos los registros)"
-        return f"{text} — por {unit}"
-    return f"{MEASURE_TITLES[spec.measure]}{label} — por {unit}"
+    return TITLE_BY_UNIT.format(
+        title=template.format(label=label or spec.variable, category=category_label or spec.category),
+        unit=DENSITY_UNIT.format(unit=unit) if density else unit)

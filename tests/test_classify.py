@@ -84,16 +84,21 @@ def test_jenks_is_the_least_squares_cut(spark, seed):
     assert ours == pytest.approx(best[0])
 
 
-def test_jenks_beyond_the_exact_size_keeps_every_value(spark):
-    values = [float(x) for x in np.random.default_rng(1).lognormal(0, 2, 5000)]
-    pairs = bounds(frame(spark, values), "jenks")
+@pytest.mark.parametrize("values", [
+    np.random.default_rng(1).lognormal(0, 2, 5000), np.random.default_rng(2).normal(0, 1, 3000),
+    np.concatenate([1000 + np.random.default_rng(3).uniform(-1e-6, 1e-6, 3000), [1020.0, 1021.0]]),
+    np.repeat(np.random.default_rng(4).uniform(0, 1, 40), 30), np.array([1.0, 1e-300, 5e300, -5e300])],
+    ids=["lognormal", "normal", "crowded", "few", "extreme"])
+def test_jenks_is_one_way_at_every_size(spark, values):
+    pairs = bounds(frame(spark, [float(v) for v in values]), "jenks")
     cut = [hi for _, hi in pairs[:-1]]
-    v = np.array(sorted(values))
-    ours = squares([v[(v > a) & (v <= b)] for a, b in zip([-1] + cut, cut + [v[-1]])])
-    bins = pd.DataFrame({"top": v, "w": 1.0, "mean": v, "m2": 0.0})
-    exact = classify._least_squares_cuts(bins, 5)
-    best = squares([v[(v > a) & (v <= b)] for a, b in zip([-1] + exact, exact + [v[-1]])])
-    assert ours <= best * 1.01
+    v = np.sort(values)
+    scale = np.abs(v).max() if np.abs(v).max() > 1e100 else 1.0
+    w = v / scale
+    ours = squares([w[(v > a) & (v <= b)] for a, b in zip([-np.inf] + cut, cut + [v[-1]])])
+    distinct, n = np.unique(w, return_counts=True)
+    ends, best = classify._least_squares_limits(distinct, n.astype(float), distinct, np.zeros(len(distinct)), 5)
+    assert ours <= best * (1 + 1e-5) + 1e-18
 
 
 def test_shared_classes_use_the_larger_layer(spark):
@@ -120,11 +125,14 @@ def test_ranking_and_frequencies(spark):
     assert [(r.codigo, r.texto) for r in legend] == [(0, "1 — Sí"), (1, "2")]
 
 
-def test_view_depends_on_level_measure_and_size(spark):
-    view = lambda df, **kw: {r.vista for r in
-                             classify.summary_view(df, IndicatorSpec(**kw), "equal").collect()}
+def test_view_depends_on_the_indicator_and_can_be_chosen(spark):
+    view = lambda df, view=None, rows=None, **kw: [
+        (r.vista, r.quedan_fuera) for r in classify.summary_view(df, IndicatorSpec(**kw), "equal", view=view, rows=rows).collect()]
     few, many = frame(spark, [1.0, 2.0]), frame(spark, [float(i) for i in range(121)])
     mean = dict(measure="mean", variable="x")
-    assert view(few, **mean) == {"ranking"} and view(many, **mean) == {"histograma"}
-    assert view(few, level="unidad", **mean) == {"histograma"}
-    assert view(few, measure="mode", variable="x") == {"frecuencias"}
+    assert view(few, **mean) == [("ranking", 0)] * 2 and view(many, **mean) == [("ranking", 106)] * 15
+    assert len(view(many, rows=121, **mean)) == 121
+    assert {v for v, _ in view(many, view="histograma", **mean)} == {"histograma"}
+    assert {v for v, _ in view(few, level="unidad", **mean)} == {"histograma"}
+    assert {v for v, _ in view(few, measure="mode", variable="x")} == {"frecuencias"}
+    assert view(many, measure="mode", variable="x", rows=20)[0] == ("frecuencias", 101)

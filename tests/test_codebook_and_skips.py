@@ -117,12 +117,24 @@ def test_dictionary_falls_back_whole(spark):
     assert codebook.types(codebook.variable_dictionary(raw)).first().tipo == "numerica"
 
 
+def test_the_last_entry_of_a_variable_and_of_a_code_counts(spark):
+    raw = spark.createDataFrame([(1, "a", "old", "PERSONA"), (3, "a", "new", "PERSONA"), (2, "a", "mid", "VIVIENDA")],
+                                "fila int, var string, desc string, entidad string")
+    pick = lambda *a: [(r.variable, r.label) for r in codebook.variable_dictionary(*a).collect()]
+    assert pick(raw, None, F.col("fila")) == [("a", "new")]
+    assert pick(raw, "viviendas", F.col("fila")) == [("a", "mid")]
+    assert pick(raw) == [("a", "old")]                       # the greatest in its texts
+    labels = spark.createDataFrame([(1, "1", "first"), (2, "01", "last")], "fila int, valor string, etiqueta string")
+    codes = spark.createDataFrame([("001",)], "c string")
+    assert codebook.with_value_labels(codes, "c", labels, order="fila").first().etiqueta == "last"
+
+
 def test_category_list(spark):
     df = spark.createDataFrame([(str(i),) for i in (10, 9, 1)] + [("z",)], "c string")
     none = spark.createDataFrame([], "variable string, valor string, etiqueta string")
     assert [r.valor for r in codebook.category_list(df, "c", none).collect()] == \
         ["1", "9", "10", "z"]
-    assert codebook.category_list(df, "c", none, limit=3).count() == 0
+    assert [r.valor for r in codebook.category_list(df, "c", none, limit=3).collect()] == ["1", "9", "10"]
     some = spark.createDataFrame([("c", "02", "Dos")],
                                  "variable string, valor string, etiqueta string")
     assert [r.texto for r in codebook.category_list(df, "C", some).collect()] == ["02 — Dos"]

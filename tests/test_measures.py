@@ -137,8 +137,10 @@ def test_filters(people):
         territory.filter_territory(people.drop("iprov"), municipality="010101")
     with pytest.raises(ValueError):
         territory.filter_territory(people, department="todos")
-    assert territory.filter_territory(people.select("sexo"), department="1").count() == 6
-    assert pick(area="rural") == 6                            # no area column, no effect
+    for missing in (dict(department="1"), dict(area="rural")):
+        with pytest.raises(ValueError):
+            territory.filter_territory(people.select("sexo"), **missing)
+        assert territory.filter_territory(people.select("sexo"), ignore_missing=True, **missing).count() == 6
 
 
 def test_missing_levels_are_refused(people):

@@ -43,3 +43,12 @@ def test_nulls_and_empty(spark):
     assert quantiles(df.filter("k = 'z'"), [], F.col("v"), [0.5]).collect() == []
     whole = quantiles(df, [], F.col("v"), [0.5]).collect()
     assert [tuple(r) for r in whole] == [(0, 2.0)]
+
+
+def test_crowded_values_stay_bounded_and_exact(spark):
+    crowd = [1000 + i * 1e-11 for i in range(-20_000, 20_001)] + [1020.0, 1e-300, -3.0]
+    rows = spark.createDataFrame([("x", v) for v in crowd], "k string, v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = [r.q for r in quantiles(rows, ["k"], F.col("v"), probs).orderBy("i").collect()]
+    want = rows.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).first().q
+    assert got == pytest.approx(want, rel=1e-15)

@@ -1,3 +1,5 @@
+import dataclasses
+
 import pytest
 
 from comarca.spec import (
@@ -34,13 +36,14 @@ def test_measures_by_type():
 def test_names_and_titles():
     spec = IndicatorSpec("municipio", "pct_total", "p52_pais_mov_cod", "1", department="09",
                          year=2024, table="personas")
-    assert output_name(spec) == "personas_2024_muni_dep09_p52_pais_mov_c_pcttot"
-    assert output_name(IndicatorSpec(year=1976, table="personas", measure="sum",
-                                     variable="x"), density=True) == \
-        "personas_1976_depa_x_sum_km2"
-    free = IndicatorSpec("unidad", expression="avg(x)", municipality="020105",
-                         area="rural", year=2024, table="fichas")
-    assert output_name(free) == "fichas_2024_unid_mun020105_rural_sql"
+    assert output_name(spec).startswith("personas-2024-municipio-p52_pais_mov_cod-pct_total-")
+    free = IndicatorSpec("unidad", expression="avg(x)", municipality="020105", area="rural")
+    one, names = IndicatorSpec("municipio", "pct_category", "v" * 60 + "1", "1"), set()
+    others = [dict(variable="v" * 60 + "2"), dict(category="2"), dict(category=1), dict(department="1"), dict(area="rural"),
+              dict(year=2012), dict(table="personas"), dict(level="unidad"), dict(measure="pct_total")]
+    every = [one, *[dataclasses.replace(one, **o) for o in others], free, dataclasses.replace(free, expression="avg(y)")]
+    names = {output_name(s) for s in every} | {output_name(IndicatorSpec(), density=True), output_name(IndicatorSpec())}
+    assert len(names) == len(every) + 2 and output_name(one) == output_name(dataclasses.replace(one))
     assert safe_path_name("a b/ñ") == "a_b__"
     assert indicator_title(spec, "País", "1 — Bolivia") == \
         "% con «1 — Bolivia» en País (sobre todos los registros) — por municipio"

@@ -201,7 +201,7 @@ WITH found AS (
   SELECT 2024 AS anio, 'v' || CAST(conv_id AS VARCHAR) AS variable, turn, text,
          CASE turn % 4 WHEN 0 THEN 'discapacidad' WHEN 1 THEN 'persona'
               WHEN 2 THEN 'vivienda' ELSE 'zona' END AS doc_tabla
-  FROM conversations WHERE turn + conv_id % 4 < 8),
+  FROM conversations),
 ranked AS (
   SELECT anio, w.tabla, variable, doc_tabla, row_number() OVER (
     PARTITION BY variable, w.tabla ORDER BY CASE
@@ -212,7 +212,7 @@ ranked AS (
   FROM found, (VALUES ('personas'), ('viviendas'), ('mortalidad')) AS w(tabla))
 SELECT anio, tabla, variable, doc_tabla FROM ranked WHERE lugar = 1""")
 def documentation_lookup(spark, d):
-    rows = t.read(spark, d, "conversations").filter("turn + conv_id % 4 < 8")
+    rows = t.read(spark, d, "conversations")
     kind = F.element_at(F.array(*map(F.lit, ("discapacidad", "persona", "vivienda", "zona"))),
                         (F.col("turn") % 4 + 1).cast("int"))
     docs = rows.select(F.lit(2024).alias("anio"), kind.alias("tabla"),

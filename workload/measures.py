@@ -326,14 +326,13 @@ def coverage_by_department(spark, d):
 
 
 @query("distinct_values", with_views("personas") + """
-SELECT variable, valor FROM (
+SELECT variable, valor, count(*) OVER (PARTITION BY variable) AS n_valores FROM (
   SELECT DISTINCT 'segmento' AS variable, segmento AS valor FROM personas
   UNION ALL SELECT DISTINCT 'anios_texto', anios_texto FROM personas
-  UNION ALL SELECT DISTINCT 'persona', CAST(persona AS VARCHAR) FROM personas)
-QUALIFY count(*) OVER (PARTITION BY variable) <= 60""")
+  UNION ALL SELECT DISTINCT 'persona', CAST(persona AS VARCHAR) FROM personas)""")
 def distinct_values(spark, d):
     people = t.persons(spark, d)
-    parts = [measures.distinct_values(people, v).select(F.lit(v).alias("variable"), "valor")
+    parts = [measures.distinct_values(people, v).select(F.lit(v).alias("variable"), "*")
              for v in ("segmento", "anios_texto", "persona")]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -166,7 +166,7 @@ def class_of_each_territory(spark, d):
 _SHARED_ROWS = """layers AS (
   SELECT l_returnflag || l_linestatus AS capa, CAST(l_suppkey AS VARCHAR) AS geo_code,
          round(avg(l_quantity), 4) AS valor FROM lineitem
-  WHERE l_returnflag <> 'N' GROUP BY 1, 2),
+  GROUP BY 1, 2),
 sizes AS (SELECT capa, count(*) AS n FROM layers GROUP BY capa),
 main AS (SELECT valor FROM layers WHERE capa = (
   SELECT capa FROM sizes ORDER BY n DESC, capa LIMIT 1))"""
@@ -176,7 +176,7 @@ main AS (SELECT valor FROM layers WHERE capa = (
 SELECT capa, geo_code, CAST(min(clase) AS DOUBLE) AS clase FROM layers LEFT JOIN bounds
 ON valor >= desde AND valor <= hasta GROUP BY capa, geo_code""")
 def shared_classes(spark, d):
-    rows = t.read(spark, d, "lineitem").filter("l_returnflag <> 'N'")
+    rows = t.read(spark, d, "lineitem")
     layers = rows.groupBy(F.concat("l_returnflag", "l_linestatus").alias("capa"),
                           F.col("l_suppkey").cast("string").alias("geo_code")).agg(
         F.round(F.avg("l_quantity"), 4).alias("valor"))
@@ -209,7 +209,9 @@ def ranking(spark, d):
 @query("summary_view", with_views("personas").rstrip() + f""",
 {_NATIONS}
 SELECT 'ranking' AS vista, row_number() OVER (ORDER BY valor DESC, geo_code) AS orden,
-       geo_code AS texto, valor FROM nations QUALIFY orden <= 15""")
+       geo_code AS texto, valor,
+       greatest((SELECT count(valor) FROM nations) - 15, 0) AS quedan_fuera
+FROM nations QUALIFY orden <= 15""")
 def summary_view(spark, d):
     spec = IndicatorSpec("municipio", "pct_total", "prioridad", 1)
     view = classify.summary_view(_nations(spark, d), spec, "quantile")
@@ -328,5 +330,5 @@ SELECT DISTINCT CAST(prioridad_num AS VARCHAR) || ' — ' || substr(o_orderprior
 def coded_categories(spark, d):
     rows = t.read(spark, d, "orders")
     return rows.select(code_with_label(F.substring("o_orderpriority", 1, 1),
-                                       F.substring("o_orderpriority", 3, 40))
+                                       F.expr("substring(o_orderpriority, 3)"))
                        .alias("texto")).distinct()
