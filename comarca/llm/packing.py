@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from comarca.llm.byte_bpe import byte_characters
 from comarca.llm.common import cut, running_total, written
 
-#: Words that a task keeps encoded; beyond it starts anew (the result does not change).
-CACHE_WORDS = 400_000
+#: Words that a task keeps encoded, in each of two generations (the result does not change).
+CACHE_WORDS = 300_000
 PIECES = "array<struct<start:long,length:long,sequence_id:long,offset:long,tier:int,step:long>>"
 
 
@@ -70,32 +71,42 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.kind, self.shown = Tokenizer.from_file(vocabulary), kind, byte_characters()
         self.closed = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.S).fullmatch  # marks but the apostrophe
+        #: two generations: what was not asked for since the last change of generation is forgotten
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encoded(self, word: str) -> bytes:
-        lower = unicodedata.normalize("NFC", word).lower()
-        if word.isalpha() and lower.isalpha() and "\u03a3" not in word:
-            # letters are one piece of the pattern, so the merges can be asked at once
-            ids = [t.id for t in self.tokenizer.model.tokenize("".join(map(self.shown.__getitem__, lower.encode())))]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, self.kind).tobytes()
+        if word.isalpha():
+            if word.isascii():
+                shown = word.lower()
+            else:
+                lower = unicodedata.normalize("NFC", word).lower()
+                shown = "".join(map(self.shown.__getitem__, lower.encode())) if lower.isalpha() and "\u03a3" not in word else None
+            if shown:  # letters are one piece of the pattern, so the merges can be asked at once
+                return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def part(self, word: str) -> bytes:
+        """Ids of a word, known or new."""
+        if (ids := self.known.get(word)) is None:
+            if (ids := self.older.get(word)) is None:
+                ids = self.encoded(word)
+            self.known[word] = ids
+        return ids
 
     def learn(self, words: list[str]) -> None:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for word in dict.fromkeys(words):
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        for word in words:
             if word in known:
                 continue
-            # marks that close a word of letters are a piece of their own
-            m = self.closed(word) if "<|" not in word else None
-            parts = m.groups() if m and m[1].isalpha() and m[1].lower().isalpha() else (word,)
-            for part in parts:
-                if part not in known:
-                    known[part] = self.encoded(part)
-            if len(parts) > 1:
-                known[word] = known[parts[0]] + known[parts[1]]
+            if (ids := older.get(word)) is None:
+                # marks that close a word of letters are a piece of their own
+                m = self.closed(word) if not word.isalpha() and "<|" not in word else None
+                ids = (self.part(m[1]) + self.part(m[2]) if m and m[1].isalpha() and m[1].lower().isalpha()
+                       else self.encoded(word))
+            known[word] = ids
 
     def __call__(self, words: list[str]) -> bytes:
         try:
@@ -114,11 +125,11 @@ def tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, text: str = "text"
     from tokenizers import Tokenizer
 
     wide = Tokenizer.from_file(vocabulary).get_vocab_size() > 1 << 16 or end_id >= 1 << 16
-    kind, width = ("<u4", 4) if wide else ("<u2", 2)
+    kind, width = ("I", 4) if wide else ("H", 2)  # of array: little-endian wherever Spark runs
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words_of = WordEncoder(vocabulary, kind)
-        end = np.array([end_id], kind).tobytes()
+        end = array(kind, [end_id]).tobytes()
         for texts in batches:
             rows = []
             for t in texts.to_pylist():

@@ -69,7 +69,7 @@ def test_plan_leaves_little_padding(spark, lengths):
     assert short <= 2
 
 
-WHOLE, WORDS_OF = Tokenizer.from_file(VOCABULARY), packing.WordEncoder(VOCABULARY, "<u4")
+WHOLE, WORDS_OF = Tokenizer.from_file(VOCABULARY), packing.WordEncoder(VOCABULARY, "I")
 
 
 @settings(max_examples=300, deadline=None)
