@@ -22,9 +22,12 @@ phrase (the suffix array of the parse) decides nothing here and is not built.
 
 Only phrases and contested entries are shuffled, never all positions.  Copies within an
 Arrow batch are decided in the batch, so a phrase that a third of all documents share
-reaches the shuffle once per batch.  A trigger with more than ``CROWD`` entries (what
-follows a very common line) does not meet in one task: its suffixes are written one by one
-and meet by (trigger, hash of the LENGTH bytes), again once per batch.  Entries are told apart by the 64-bit hash of the
+reaches the shuffle once per batch.  What a trigger has in common with too many entries (the
+end of a very common line, and all that follows it) never meets in one task: a first pass
+finds triggers of more than one in ``HOT`` rows (at most HOT of them, so they are
+broadcast), whose entries are dealt by their bytes and all count as contested; those, and
+triggers of more than ``CROWD`` rows, write their suffixes one by one, which meet by two
+hashes of their LENGTH bytes, again once per batch.  Entries are told apart by the 64-bit hash of the
 trigger and a 64-bit hash of their bytes together.
 
 Defined results: NULL and empty texts have no bytes; rows that repeat doc_id and text are
@@ -42,11 +45,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from comarca.llm.common import written
+from comarca.llm.common import cut, written
 
 LENGTH, GRAM = 100, 20
 #: So many occurrences of a trigger meet in one task (rows of at most 200 bytes).
 CROWD = 1000
+#: A trigger of more than one in so many rows is dealt by the bytes of its entries ...
+HOT = 20_000
+#: ... as far as it has so many entries in an Arrow batch.
+_HOT_IN_BATCH = 16
+_HOT_FLAG = 1 << 24
 #: Texts are hashed in runs of about so many bytes (a phrase cut there is told apart by its
 #: suffixes, so the result does not depend on it).
 RUN = 1 << 18
@@ -180,7 +188,8 @@ def _decided_here(a, b, doc, place, n):
     yield a[stay].view(np.int64), b[stay].view(np.int64), doc[stay], place[stay], n[stay].astype(np.int32)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch]):
+    """Phrases by Arrow batch: trigger, bytes, doc_id, place, number of strings."""
     for batch in batches:
         docs, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
@@ -195,28 +204,68 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append((row[starts], starts + shift[starts], count, trigger, body))
         if found:
             row, start, count, trigger, body = map(np.concatenate, zip(*found))
-            for rows in _decided_here(trigger, body, docs[row], _place(versions[row], start), count):
-                yield _batch(*rows)
+            yield trigger, body, docs[row], _place(versions[row], start), count
+
+
+def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Triggers with many entries in a batch, and (without trigger) all phrases."""
+    for trigger, body, *_ in _parsed(batches):
+        entries = np.unique(np.stack([trigger, body], axis=1), axis=0)
+        names, n = np.unique(entries[:, 0], return_counts=True)
+        many = n >= _HOT_IN_BATCH
+        yield pa.RecordBatch.from_arrays([pa.array([None, *names[many].view(np.int64).tolist()], pa.int64()),
+                                          pa.array([len(trigger), *n[many].tolist()], pa.int64())], ["a", "n"])
+
+
+def hot_triggers(keyed: DataFrame) -> np.ndarray:
+    """At most HOT triggers, in order: those of more than one in HOT phrases."""
+    counts = keyed.mapInArrow(_crowds, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    counts = cut(counts)
+    total = counts.where("a IS NULL").agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("a").isNotNull() & (F.col("n") > max(CROWD, total // HOT))).select("a").collect()
+    return np.sort(np.array([r.a for r in hot], np.int64).view(np.uint64))
+
+
+def _parse_with(hot):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        triggers = hot.value
+        for trigger, body, doc, place, count in _parsed(batches):
+            if len(triggers):
+                at = np.minimum(np.searchsorted(triggers, trigger), len(triggers) - 1)
+                dealt = triggers[at] == trigger
+                trigger = np.where(dealt, _mix(trigger ^ _mix(body.copy())), trigger)
+                count = np.where(dealt, count | _HOT_FLAG, count)
+            for a, b, doc_, place_, n in _decided_here(trigger, body, doc, place, count & (_HOT_FLAG - 1)):
+                if len(triggers):  # candidates of hot triggers keep their mark
+                    own = np.sort(trigger[count >= _HOT_FLAG])
+                    if len(own):
+                        at = np.minimum(np.searchsorted(own, a.view(np.uint64)), len(own) - 1)
+                        n = np.where((n > 0) & (own[at] == a.view(np.uint64)), n | _HOT_FLAG, n).astype(np.int32)
+                yield _batch(a, b, doc_, place_, n)
+    return run
 
 
 def _windows(raws: list[bytes]):
-    """Of byte strings of at least LENGTH bytes: the row, shift and hash of all their suffixes."""
-    row, shift, whole, at = [], [], [], 0
+    """Of byte strings of at least LENGTH bytes: the row, shift and two hashes of all their suffixes."""
+    row, shift, whole, other, at = [], [], [], [], 0
     while at < len(raws):
         to, size = at, 0
         while to < len(raws) and size < RUN:
             size += len(raws[to])
             to += 1
-        hashes = Hashes(np.frombuffer(b"".join(raws[at:to]), np.uint8)).of(LENGTH)
+        own_hashes = Hashes(np.frombuffer(b"".join(raws[at:to]), np.uint8))
+        hashes, halves = own_hashes.of(LENGTH), own_hashes.levels[6]
         lengths = np.array([len(r) for r in raws[at:to]])
         counts = lengths - LENGTH + 1
         own = np.repeat(np.arange(at, to), counts)
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         row.append(own)
         shift.append(inside)
-        whole.append(hashes[np.repeat(np.cumsum(lengths) - lengths, counts) + inside])
+        first = np.repeat(np.cumsum(lengths) - lengths, counts) + inside
+        whole.append(hashes[first])
+        other.append(_mix(halves[first] * Hashes.FACTORS[3] + halves[first + LENGTH - 64]))
         at = to
-    return map(np.concatenate, (row, shift, whole))
+    return map(np.concatenate, (row, shift, whole, other))
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,11 +276,9 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone, crowd = [], []
 
         def suffixes():
-            row, shift, whole = _windows([c[4] for c in crowd])
-            trigger, doc, place = (np.array([c[i] for c in crowd], np.int64)[row] for i in (0, 1, 2))
-            # dealt by trigger and bytes
-            key = _mix(trigger.view(np.uint64) ^ _mix(whole.copy()))
-            for rows in _decided_here(key, whole, doc, place + shift, np.ones(len(row), np.int32)):
+            row, shift, whole, other = _windows([c[4] for c in crowd])
+            doc, place = (np.array([c[i] for c in crowd], np.int64)[row] for i in (1, 2))
+            for rows in _decided_here(other, whole, doc, place + shift, np.ones(len(row), np.int32)):
                 yield _batch(*rows, pa.nulls(len(rows[0]), pa.binary()))
 
         for row in range(batch.num_rows):
@@ -260,7 +307,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, shift, whole = np.flatnonzero(known), np.zeros(int(known.sum()), np.int64), b[known].view(np.uint64)
         if not known.all():
             own = np.flatnonzero(~known)
-            r, s, w = _windows(table.column(5).filter(pa.array(~known)).to_pylist())
+            r, s, w, _ = _windows(table.column(5).filter(pa.array(~known)).to_pylist())
             row, shift, whole = np.concatenate([row, own[r]]), np.concatenate([shift, s]), np.concatenate([whole, w])
         order, _, gone = _later_of_equal([a[row].view(np.uint64), whole], doc[row], place[row] + shift)
         go = order[gone]
@@ -296,15 +343,19 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 
 def repeated_bytes(keyed: DataFrame) -> DataFrame:
     """(__doc, __version, lo, hi): bytes to remove, as intervals that may overlap."""
-    parsed = keyed.where(F.length("__text") >= LENGTH // 4).select("__d", "__v", "__text").mapInArrow(_parse, CANDIDATES)
+    texts = keyed.where(F.length("__text") >= LENGTH // 4).select("__d", "__v", "__text")
+    hot = keyed.sparkSession.sparkContext.broadcast(hot_triggers(texts))  # at most HOT numbers
+    parsed = texts.mapInArrow(_parse_with(hot), CANDIDATES)
     # one shuffle by trigger serves all: the entries, their first places, who shares a trigger
     trigger = Window.partitionBy("a")
     entries = written(
         parsed.repartition("a").withColumns({
             "later": (F.col("n") < 0) | (F.rank().over(Window.partitionBy("a", "b").orderBy("doc_id", "place")) > 1),
-            "contested": (F.col("n") > 0) & (F.min("b").over(trigger) != F.max("b").over(trigger)),
-            "crowded": F.count("*").over(trigger) > CROWD})
-        .where("later OR contested").select("a", "doc_id", "place", F.abs("n").alias("n"), "later", "crowded"))
+            "contested": (F.col("n") >= _HOT_FLAG) | (F.col("n") > 0) & (F.min("b").over(trigger) != F.max("b").over(trigger)),
+            "crowded": (F.col("n") >= _HOT_FLAG) | (F.count("*").over(trigger) > CROWD)})
+        .where("later OR contested")
+        .select("a", "doc_id", "place", F.when(F.col("n") < 0, -F.col("n")).otherwise(F.col("n").bitwiseAND(_HOT_FLAG - 1)).alias("n"),
+                "later", "crowded"))
     start = F.col("place").bitwiseAND((1 << _START_BITS) - 1)
     by_doc = (entries.where("NOT later")
               .groupBy(F.col("doc_id").alias("__doc"), F.shiftright("place", _START_BITS).cast("int").alias("__version"))

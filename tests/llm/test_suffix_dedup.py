@@ -36,10 +36,11 @@ def test_query_against_brute_force(spark, sf_dir):
     assert sum(x[1] for x in got.values()) > 0
 
 
-@pytest.mark.parametrize("crowd", [0, 1000])
+@pytest.mark.parametrize("crowd, hot_in_batch", [(0, 16), (1000, 16), (0, 2)])
 @pytest.mark.parametrize("alphabet", ["a", "ab", "abcdefgh éü日"])
-def test_planted_and_periodic_repeats(spark, alphabet, crowd, monkeypatch):
+def test_planted_and_periodic_repeats(spark, alphabet, crowd, hot_in_batch, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "_HOT_IN_BATCH", hot_in_batch)
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
     passages = [word(n) for n in (99, 100, 101, 150, 260, 700)]
@@ -51,6 +52,17 @@ def test_planted_and_periodic_repeats(spark, alphabet, crowd, monkeypatch):
     assert results(spark, texts) == brute([(i, (t or "").encode()) for i, t in enumerate(texts)])
 
 
+def test_what_follows_a_very_common_line(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 20)
+    rng = random.Random(2)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(60)) + line + "".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    keyed = suffix_dedup._keyed(docs, "text").select("__d", "__v", "__text")
+    assert len(suffix_dedup.hot_triggers(keyed)) > 0
+    assert results(spark, texts) == brute([(i, t.encode()) for i, t in enumerate(texts)])
+
+
 def test_a_text_longer_than_one_run_and_small_batches(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "RUN", 1500)
     rng = random.Random(9)
