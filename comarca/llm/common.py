@@ -119,13 +119,14 @@ SLICE_ROWS = 500
 def map_slices(frame: DataFrame, inputs: list[str], schema: str, start) -> DataFrame:
     """``mapInArrow`` over slices: ``start()`` makes, once per task, a function from the
     columns ``inputs`` (Arrow arrays) to the new columns of ``schema``.  The other columns pass
-    through; ``inputs`` do not come back, so long texts are not sent to and fro.
+    through, but for those of a new column's name; ``inputs`` do not come back, so long
+    texts are not sent to and fro.
     """
     import pyarrow as pa
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    through = [c for c in frame.columns if c not in inputs]
     names = [f.name for f in _parse_datatype_string(schema).fields]
+    through = [c for c in frame.columns if c not in inputs and c not in names]
 
     def run(batches):
         make = start()

@@ -371,8 +371,8 @@ def repeated_bytes(keyed: DataFrame) -> DataFrame:
 RESULT = "struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>"
 
 
-def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``result`` instead of ``text``: n_bytes, n_removed, n_spans and kept, the remaining bytes."""
+def without_repeats(docs: DataFrame, text: str = "text", out: str = "result") -> DataFrame:
+    """``out`` instead of ``text``: n_bytes, n_removed, n_spans and kept, the remaining bytes."""
     keyed = _keyed(docs, text)  # the contested entries and the result share its shuffle
     spans = repeated_bytes(keyed).groupBy("__doc", "__version").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
 
@@ -393,7 +393,8 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
 
     joined = keyed.join(spans, (F.col("__d") == F.col("__doc")) & (F.col("__v") == F.col("__version")), "left")
-    return joined.select(*[c for c in docs.columns if c != text], F.arrow_udf(run, RESULT)(F.col("__text"), F.col("__spans")).alias("result"))
+    return joined.select(*[c for c in docs.columns if c not in (text, out)],
+                         F.arrow_udf(run, RESULT)(F.col("__text"), F.col("__spans")).alias(out))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -403,4 +404,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for kept in batches:
             yield pa.array([bytes(k).decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
 
-    return without_repeats(docs).withColumn("text", F.arrow_udf(run, "string")(F.col("result.kept"))).select(docs.columns)
+    return (without_repeats(docs, out="__result").withColumn("text", F.arrow_udf(run, "string")(F.col("__result.kept")))
+            .select(docs.columns))
