@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from comarca.fixed_values import (
-    DESCRIPTION_COLUMNS, DOC_FIELDS, DOC_TABLES, ENTITY_COLUMNS,
-    LABEL_CODE_COLUMNS, LABEL_TEXT_COLUMNS, LABEL_VARIABLE_COLUMNS,
+    DESCRIPTION_COLUMNS, DOC_FIELDS, DOC_TABLES, ENTITY_COLUMNS, LABEL_CODE_COLUMNS,
+    LABEL_TEXT_COLUMNS, LABEL_VARIABLE_COLUMNS, LEGAL_MEASURES, SEMANTIC_TYPES,
     SHEET_VALUE_LABELS, TABLE_ENTITIES, THEME_COLUMNS, THEME_LABEL_COLUMNS,
     TYPE_COLUMNS, UNIVERSE_COLUMNS, VARIABLE_COLUMNS,
 )
@@ -107,6 +107,15 @@ def theme_counts(dictionary: DataFrame, columns: Sequence[str] | None = None) ->
             .orderBy("tema_etiqueta", "tema"))
 
 
+def legal_measures(dictionary: DataFrame) -> DataFrame:
+    """(variable, medida): the measures that may be asked of each variable by its type."""
+    by_type = F.create_map(*[x for declared, kind in SEMANTIC_TYPES.items()
+                             for x in (F.lit(declared), F.array(*map(F.lit, LEGAL_MEASURES[kind])))])
+    unknown = F.array(*map(F.lit, LEGAL_MEASURES["unknown"]))
+    return dictionary.select("variable", F.explode(F.coalesce(
+        by_type[F.lower(F.trim(F.coalesce("tipo", F.lit(""))))], unknown)).alias("medida"))
+
+
 def value_labels(raw: DataFrame, table: str | None = None, variable: str | None = None, *,
                  order: Column) -> DataFrame:
     """(variable, valor, etiqueta), variable in lower case.

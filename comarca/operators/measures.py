@@ -209,14 +209,19 @@ def indicator_report(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None
 
     Rows: every territory, and one with ``es_total`` true for the whole.  Columns:
     es_total, geo_code, valor, casos, n_total (rows) and n_valid (rows with an answer;
-    all rows when no variable is asked).
+    all rows when no variable is asked).  A free expression is computed for all
+    territories and the whole by one rollup.
     """
     geo = geo or GeoColumns.of(df)
     rows = _scope(df, spec, geo, universe)
     out = ["es_total", "geo_code", "valor", "casos", "n_total", "n_valid"]
     total_code = F.lit(None).cast("string").alias("geo_code")
     if spec.expression is not None:
-        raise ValueError("use indicator_expr and reference_expr for free expressions")
+        cases = F.expr(spec.cases_expression) if spec.cases_expression else F.lit(None).cast("bigint")
+        both = rows.withColumn("geo_code", geo_code(spec.level, geo)).rollup("geo_code").agg(
+            (F.grouping("geo_code") == 1).alias("es_total"), F.expr(spec.expression).alias("valor"),
+            cases.alias("casos"), F.count(F.lit(1)).alias("n_total"))
+        return both.withColumn("n_valid", F.col("n_total")).select(*out)
     valor, casos, present = _value(spec) if spec.measure in _MERGED else (None,) * 3
     cols = lambda: [valor.alias("valor"), casos.alias("casos"), F.col("n").alias("n_total"),
                     (F.col("valid") if spec.variable else F.col("n")).alias("n_valid")]
@@ -272,20 +277,20 @@ def indicator_batch(df: DataFrame, specs: Mapping[str, IndicatorSpec],
     """Many indicators over the same rows: (indicador, geo_code, valor, casos).
 
     All specs share level and territory filters.  Everything that merges is one
-    aggregation over one scan; medians share one more.  ``valor`` is DOUBLE.
+    aggregation over one scan; medians share one more, modes another, and free
+    expressions another.  ``valor`` is DOUBLE; modes stand in one more column,
+    ``categoria``, which is there if any mode is asked for.
     """
     geo = geo or GeoColumns.of(df)
     shared = {(s.level, s.department, s.municipality, s.area, s.year, s.table)
               for s in specs.values()}
     if len(shared) != 1:
         raise ValueError("batched indicators share level, filters, year and table")
-    if any(s.expression is not None or s.measure == "mode" for s in specs.values()):
-        raise ValueError("free expressions and modes are computed one at a time")
     one = next(iter(specs.values()))
     rows = _scope(df, one, geo, universe)
     parts = []
     merging = {f"_{i}": (name, s) for i, (name, s) in enumerate(specs.items())
-               if s.measure in _MERGED}
+               if s.expression is None and s.measure in _MERGED}
     if merging:
         tagged = {tag: s for tag, (_, s) in merging.items()}
         merged = _merge(_partials_by_source(rows, one.level, geo, tagged),
@@ -298,7 +303,27 @@ def indicator_batch(df: DataFrame, specs: Mapping[str, IndicatorSpec],
         parts.append(merged.select("geo_code", F.explode(F.array(*cells)).alias("c"))
                      .filter("c.present")
                      .select("c.indicador", "geo_code", "c.valor", "c.casos"))
-    medians = {name: s for name, s in specs.items() if s.measure == "median"}
+    free = {name: s for name, s in specs.items() if s.expression is not None}
+    if free:
+        cells = F.array(*[F.struct(
+            F.lit(name).alias("indicador"), F.expr(s.expression).cast("double").alias("valor"),
+            (F.expr(s.cases_expression).cast("bigint") if s.cases_expression else F.lit(None).cast("bigint")).alias("casos"))
+            for name, s in free.items()])
+        parts.append(rows.groupBy(geo_code(one.level, geo).alias("geo_code")).agg(cells.alias("c"))
+                     .select("geo_code", F.inline("c")).select("indicador", "geo_code", "valor", "casos"))
+    modes = {name: s for name, s in specs.items() if s.expression is None and s.measure == "mode"}
+    if modes:
+        # a value keeps its own order (the smallest wins a tie) beside its text
+        cells = F.array(*[F.struct(F.lit(name).alias("indicador"), number(rows, s.variable).alias("order"),
+                                   F.col(f"`{s.variable}`").cast("string").alias("value")) for name, s in modes.items()])
+        places = source_columns(one.level, geo)
+        counts = (rows.select(*[F.col(f"`{c}`") for c in places], F.inline(cells)).filter("value IS NOT NULL")
+                  .groupBy(*[f"`{c}`" for c in places], "indicador", "order", "value").agg(F.count(F.lit(1)).alias("n"))
+                  .groupBy("indicador", geo_code(one.level, geo).alias("geo_code"), "order", "value").agg(F.sum("n").alias("n")))
+        best = F.min_by("value", F.struct(-F.col("n"), "order", "value"))
+        parts.append(counts.groupBy("indicador", "geo_code").agg(best.alias("categoria"), F.sum("n").alias("casos"))
+                     .select("indicador", "geo_code", F.lit(None).cast("double").alias("valor"), "casos", "categoria"))
+    medians = {name: s for name, s in specs.items() if s.expression is None and s.measure == "median"}
     if medians:
         cells = F.array(*[F.struct(F.lit(name).alias("indicador"),
                                    number(rows, s.variable).alias("value"),
@@ -319,7 +344,7 @@ def indicator_batch(df: DataFrame, specs: Mapping[str, IndicatorSpec],
         parts.append(sizes.join(found, (F.col("indicador") == F.col("_i"))
                                 & F.col("geo_code").eqNullSafe(F.col("_g")), "left")
                      .select("indicador", "geo_code", "valor", "casos"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def coverage(df: DataFrame, variables: Sequence[str],

@@ -198,3 +198,18 @@ def test_variable_that_is_also_the_territory(people):
     assert got == {"01": ("1", 3), "02": ("2", 2)}
     assert run(people, measure="median", variable="idep")["01"] == (1.0, 3)
     assert run(people, measure="mean", variable="idep")["02"] == (2.0, 2)
+
+
+def test_batch_and_report_take_modes_and_expressions(people):
+    specs = {"n": IndicatorSpec(), "moda": IndicatorSpec(measure="mode", variable="sexo"),
+             "libre": IndicatorSpec(expression="count(*) / 2.0", cases_expression="count(*)")}
+    rows = {(r.indicador, r.geo_code): r for r in measures.indicator_batch(people, specs).collect()}
+    mode = {r.geo_code: (r.valor, r.casos) for r in measures.indicator(people, specs["moda"]).collect()}
+    assert {g: (r.categoria, r.casos) for (i, g), r in rows.items() if i == "moda"} == {
+        g: (str(v), n) for g, (v, n) in mode.items()}
+    for (i, g), r in rows.items():
+        if i == "libre":
+            assert r.valor == rows["n", g].valor / 2 and r.casos == rows["n", g].casos
+    report = measures.indicator_report(people, specs["libre"]).collect()
+    assert sum(r.es_total for r in report) == 1
+    assert {r.geo_code: r.valor for r in report if not r.es_total} == {g: r.valor for (i, g), r in rows.items() if i == "libre"}

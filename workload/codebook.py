@@ -324,15 +324,15 @@ def missing_explained(spark, d):
                                  F.col("prioridad_num") < 3, by=["idep"])
 
 
-@query("universe_notes", with_views("variables") + """,
+@query("universe_notes", _CLAUSES.rstrip() + ", " + with_views("variables").rstrip().removeprefix("WITH ") + """,
 u AS (SELECT variable, CASE
     WHEN universo LIKE 'personas%' THEN 'personas de ' || split_part(universo, '_', 2)
          || ' años o más'
     WHEN universo LIKE 'mujeres%' THEN 'mujeres de 15 a ' || split_part(universo, '_', 3)
          || ' años' ELSE replace(universo, '_', ' ') END AS u
   FROM variables WHERE universo <> 'todas_personas'),
-f AS (SELECT 'v' || CAST(p_partkey AS VARCHAR) AS variable, 'salto ' || p_name AS frase
-      FROM part WHERE p_partkey % 4 = 0)
+f AS (SELECT 'v' || CAST(CAST(substr(q.variable, 2) AS INT) AS VARCHAR) AS variable, min(frase) AS frase
+      FROM q JOIN frases USING (tabla, num) GROUP BY 1)
 SELECT coalesce(u.variable, f.variable) AS variable,
   CASE WHEN u IS NOT NULL AND frase IS NOT NULL THEN 'Pregunta aplicada a: ' || u
             || ' — y, dentro de ese universo, ' || frase || '.'
@@ -340,9 +340,10 @@ SELECT coalesce(u.variable, f.variable) AS variable,
        ELSE 'Esta pregunta no se hizo a todos: ' || frase || '.' END AS nota
 FROM u FULL OUTER JOIN f ON u.variable = f.variable""")
 def universe_notes(spark, d):
-    phrases = t.read(spark, d, "part").filter("p_partkey % 4 = 0").select(
-        F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("variable"),
-        F.concat(F.lit("salto "), "p_name").alias("frase"))
+    # the questionnaire numbers its variables v0007, the dictionary v7; one sentence per variable
+    phrases = skips.variable_phrases(_docs(spark, d)).groupBy(
+        F.concat(F.lit("v"), F.expr("CAST(CAST(substring(variable, 2) AS INT) AS STRING)")).alias("variable")).agg(
+        F.min("frase").alias("frase"))
     return quality.universe_notes(_dictionary(spark, d, None), phrases)
 
 
@@ -360,3 +361,10 @@ def mode_with_label(spark, d):
                                 IndicatorSpec("municipio", "mode", "hijos"))
     labelled = codebook.with_value_labels(result, "valor", _labels(spark, d, variable="var_0"))
     return labelled.select("geo_code", "texto")
+
+
+@query("legal_measures", with_views("variables") + """
+SELECT variable, unnest(CASE tipo WHEN 'categorica' THEN ['pct_category', 'pct_total', 'mode']
+  ELSE ['mean', 'median', 'sum', 'std'] END) AS medida FROM variables""")
+def legal_measures(spark, d):
+    return codebook.legal_measures(_dictionary(spark, d, None))

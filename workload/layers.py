@@ -48,11 +48,11 @@ def geojson_features(spark, d):
     return found.select("geo_code", "geo_nombre", "superficie_km2", text.alias("geometria"))
 
 
-@query("geojson_written_and_read", _RESULT + """
+@query("geojson_text_parsed_again", _RESULT + """
 SELECT geo_code, geo_nombre AS nombre_geo, valor AS valor_censo,
        CAST(casos AS DOUBLE) AS casos_censo
 FROM areas LEFT JOIN counted USING (geo_code)""")
-def geojson_written_and_read(spark, d):
+def geojson_text_parsed_again(spark, d):
     layer = layers.area_layer(area_features_of(spark, d), _counted(spark, d))
     back = geometry.parse_features(sinks.feature_text(layer))
     get = lambda name, kind: F.try_variant_get("propiedades", f"$.{name}", kind).alias(name)
@@ -168,27 +168,22 @@ def reference_density(spark, d):
 
 
 @query("sources_reconciled", """
-SELECT lpad(CAST(o_custkey // 10000 % 100 AS VARCHAR), 2, '0')
-       || lpad(CAST(o_custkey // 100 % 100 AS VARCHAR), 2, '0')
-       || lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') AS geo_code,
-       CAST(count(*) FILTER (WHERE NOT cut) AS DOUBLE) AS izquierda,
-       CAST(count(*) FILTER (WHERE keep) AS DOUBLE) AS derecha,
-       CAST(count(*) FILTER (WHERE NOT cut) - count(*) FILTER (WHERE keep) AS DOUBLE)
-         AS diferencia
-FROM (SELECT o_custkey, o_orderkey % 50 = 0 AS cut, TRUE AS keep FROM orders)
-GROUP BY ALL HAVING count(*) FILTER (WHERE NOT cut) > 0
-  AND count(*) FILTER (WHERE NOT cut) <> count(*) FILTER (WHERE keep)""")
+WITH a AS (SELECT CAST(o_orderkey AS VARCHAR) AS geo_code, round(o_totalprice, 2) AS izquierda FROM orders),
+b AS (SELECT CAST(l_orderkey AS VARCHAR) AS geo_code,
+             round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS derecha
+      FROM lineitem GROUP BY 1)
+SELECT coalesce(a.geo_code, b.geo_code) AS geo_code, izquierda, derecha,
+       round(izquierda - derecha, 2) AS diferencia
+FROM a FULL OUTER JOIN b ON a.geo_code = b.geo_code
+WHERE coalesce(abs(izquierda - derecha) > 0.01, TRUE)""")
 def sources_reconciled(spark, d):
-    key = F.col("o_orderkey")
-    orders = t.read(spark, d, "orders").select(
-        F.expr("CAST(o_custkey div 10000 % 100 AS INT)").alias("idep"),
-        F.expr("CAST(o_custkey div 100 % 100 AS INT)").alias("iprov"),
-        F.expr("CAST(o_custkey % 100 AS INT)").alias("imun"), (key % 50 == 0).alias("cut"))
-    spec = IndicatorSpec("municipio")
-    some = measures.indicator(orders.filter("NOT cut"), spec)
-    gaps = quality.differences(quality.reconcile(some, measures.indicator(orders, spec)))
-    return gaps.filter("izquierda IS NOT NULL").select("geo_code", "izquierda", "derecha",
-                                                       "diferencia")
+    """Order totals as stored against the sums of their lines."""
+    stored = t.read(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("geo_code"), F.round("o_totalprice", 2).alias("valor"))
+    lines = t.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("geo_code")).agg(
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))), 2).alias("valor"))
+    gaps = quality.differences(quality.reconcile(stored, lines, tolerance=0.01))
+    return gaps.select("geo_code", "izquierda", "derecha", F.round("diferencia", 2).alias("diferencia"))
 
 
 @query("parts_add_up", """

@@ -380,3 +380,28 @@ SELECT valor, valor AS texto, n, CAST(floor(100.0 * n / total) AS BIGINT) AS bar
 def modal_frequencies(spark, d):
     result = _run(spark, d, measure="mode", variable="edad")
     return classify.modal_frequencies(result).withColumn("barra", F.col("barra").cast("bigint"))
+
+
+@query("report_expression", with_views("personas") + f"""
+SELECT es_total, geo_code, valor, casos, casos AS n_total, casos AS n_valid FROM (
+  SELECT FALSE AS es_total, {MUN} AS geo_code, round(sum(ingreso) / count(*), 4) AS valor,
+         count(*) AS casos FROM personas GROUP BY ALL
+  UNION ALL SELECT TRUE, NULL, round(sum(ingreso) / count(*), 4), count(*) FROM personas)""")
+def report_expression(spark, d):
+    spec = IndicatorSpec("municipio", expression="round(sum(ingreso) / count(*), 4)", cases_expression="count(*)")
+    return measures.indicator_report(t.persons(spark, d), spec)
+
+
+@query("batch_with_mode_and_expression", with_views("personas") + f"""
+SELECT 'conteo' AS indicador, {MUN} AS geo_code, CAST(count(*) AS DOUBLE) AS valor, count(*) AS casos,
+       NULL::VARCHAR AS categoria FROM personas GROUP BY ALL
+UNION ALL SELECT 'por_fila', {MUN}, round(sum(ingreso) / count(*), 4), count(ingreso), NULL FROM personas GROUP BY ALL
+UNION ALL SELECT 'moda', geo_code, NULL, casos, categoria FROM (
+  SELECT {MUN} AS geo_code, CAST(hijos AS VARCHAR) AS categoria,
+         CAST(sum(count(*)) OVER (PARTITION BY {MUN}) AS BIGINT) AS casos,
+         row_number() OVER (PARTITION BY {MUN} ORDER BY count(*) DESC, hijos) AS lugar
+  FROM personas WHERE hijos IS NOT NULL GROUP BY {MUN}, hijos) WHERE lugar = 1""")
+def batch_with_mode_and_expression(spark, d):
+    specs = {"conteo": IndicatorSpec("municipio"), "moda": IndicatorSpec("municipio", "mode", "hijos"),
+             "por_fila": IndicatorSpec("municipio", expression="round(sum(ingreso) / count(*), 4)", cases_expression="count(ingreso)")}
+    return measures.indicator_batch(t.persons(spark, d), specs)
