@@ -32,8 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated runs of lines."""
-    return _with_chars(line_dedup.delete_repeated_runs(docs), docs.columns)
+    """Documents without later copies of repeated runs of lines; one that was nothing else goes."""
+    done = line_dedup.delete_repeated_runs(docs)
+    something = (F.col("n_removed") == 0) | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]")
+    return _with_chars(done.where(F.coalesce(something, F.lit(True))), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
