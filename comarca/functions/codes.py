@@ -29,9 +29,10 @@ def number(df: DataFrame, name: str) -> Column:
 
 
 def pad2(col: Column) -> Column:
-    """A territory part as at least two characters; a longer one stays whole."""
+    """A territory part as at least two characters; of a longer one only extra zeros go."""
     text = col.cast("string")
-    return F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
+    return (F.when(F.length(text) < 2, F.lpad(text, 2, "0")).when(F.length(text) == 2, text)
+            .otherwise(F.regexp_replace(text, r"^0+(?=\d\d)", "")))
 
 
 def zero_fill(code: Column, width: int) -> Column:

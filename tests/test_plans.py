@@ -2,11 +2,12 @@
 
 import pytest
 
-import __spark_entry__ as driver
+import __spark_entry__  # noqa: F401  registers the queries
 from comarca.operators import classify, measures
 from comarca.sources.tables import GeoColumns
 from comarca.spec import IndicatorSpec
 from tools.scans import shape
+from workload.registry import QUERIES
 
 GEO = GeoColumns(department="l_linenumber", unit="l_suppkey")
 
@@ -30,8 +31,7 @@ def test_classes_of_a_computed_result_are_one_scan(line):
     result = measures.indicator(line, IndicatorSpec("unidad", "mean", "l_quantity"), GEO)
     for method in ("equal", "quantile", "stddev", "jenks"):
         got = shape(classify.class_bounds(result, method))
-        assert got["scans"] == 1, method
-        assert got["python"] == (1 if method == "jenks" else 0)
+        assert got["scans"] <= 1 and got["python"] == 0, method
 
 
 def plan(df):
@@ -63,9 +63,7 @@ def test_batch_is_two_scans_at_most(line):
 
 
 def test_no_registered_query_multiplies_rows_or_leaves_the_jvm(spark, sf_dir):
-    for name, fn in driver.queries().items():
+    for name, fn in QUERIES.items():
         text = plan(fn(spark, sf_dir))
         assert "CartesianProduct" not in text and "NestedLoop" not in text, name
-        assert "Python" not in text, name
-        assert ("InPandas" in text) == ("jenks" in name or name in
-                                        ("class_of_each_territory",)), name
+        assert "Python" not in text and "InPandas" not in text, name
