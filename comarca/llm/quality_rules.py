@@ -152,7 +152,7 @@ def judged(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "t
     rows = measured(docs, rules, text)
     limits = cut(thresholds(cut(sketch(rows)), rules))
     verdict = F.lit(True)
-    width = F.sqrt(F.greatest(F.lit(1.0), rules.steady_words / F.col("n_words")))
+    width = F.sqrt(F.greatest(F.lit(1.0), rules.steady_words / F.greatest(F.col("n_words"), F.lit(1))))
     for m in MEASURES:
         beyond = F.greatest(F.col(m) - F.col(f"{m}_q3"), F.col(f"{m}_q1") - F.col(m))
         verdict &= beyond <= F.col(f"{m}_spread") * width
