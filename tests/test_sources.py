@@ -138,7 +138,7 @@ def test_indicator_job_writes_every_area(spark, census, tmp_path):
     spec = IndicatorSpec(measure="mean", variable="p26_edad", year=2024, table="personas")
     path = run_indicator(spark, census, spec, area_features(text, "departamento"),
                          str(tmp_path / "out"))
-    assert path.endswith("personas_2024_depa_p26_edad_avg")
+    assert "/personas-2024-departamento-p26_edad-mean-" in path
     from comarca.sources.geometry import parse_features
     back = parse_features(spark.read.text(path)).selectExpr(
         "variant_get(propiedades, '$.geo_code', 'string') AS code",
