@@ -33,7 +33,10 @@ from pyspark.sql import DataFrame
 from comarca.llm.common import map_slices
 
 WORDS = 5
+MARKS = b"\"'()[]{}.,;:!?"
 MAX_TEMPLATES = 1000
+#: So many hashes are permuted at a time; longer texts take band after band (the result does not change).
+BLOCK = 4_000_000
 MATCHES = ("matches array<struct<template:string,first_word:int,last_word:int,"
            "found_shingles:int,template_shingles:int,containment:double>>")
 
@@ -66,7 +69,7 @@ TEMPLATES = {
 
 
 def words_of(text: str) -> list[bytes]:
-    return [w.strip(b"\"'()[]{}.,;:!?") or w for w in text.encode("utf-8", "surrogatepass").lower().split()]
+    return [w.strip(MARKS) or w for w in text.encode("utf-8", "surrogatepass").lower().split()]
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -104,12 +107,24 @@ class Scanner:
             lows = [self._permuted(np.array(sorted(s), np.uint64), b).min() for _, s in templates]
             order = np.argsort(np.array(lows))
             self.keys.append((np.array(lows)[order], order))
+        self.lows = np.array([low[np.argsort(order)] for low, order in self.keys])
 
-    def _permuted(self, hashes: np.ndarray, band: int) -> np.ndarray:
+    def _permuted(self, hashes: np.ndarray, band) -> np.ndarray:
         with np.errstate(over="ignore"):
-            out = hashes * self.factors[band]
+            out = hashes * (self.factors[band] if isinstance(band, int) else self.factors[:, None])
             out ^= out >> np.uint64(32)
-            return out * np.uint64(0xD6E8FEB86659FD93)
+            out *= np.uint64(0xD6E8FEB86659FD93)
+            return out
+
+    def _window_lows(self, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The smallest value of each window, by row."""
+        if self.window == 1:
+            return values
+        blocks, many = np.minimum.reduceat(values, starts, axis=1), self.window // self.step  # of step shingles each
+        low = blocks.copy()
+        for j in range(1, min(many, blocks.shape[1])):
+            np.minimum(low[:, :-j], blocks[:, j:], out=low[:, :-j])
+        return low
 
     def __call__(self, words: np.ndarray) -> Iterator[tuple[str, int, int, int, int]]:
         hashes = shingle_hashes(words, self.width)
@@ -118,14 +133,13 @@ class Scanner:
         starts = np.arange(0, len(hashes), self.step)
         ends = np.minimum(starts + self.window, len(hashes))
         candidates: set[tuple[int, int]] = set()
-        for b, (lows, order) in enumerate(self.keys):
-            values = self._permuted(hashes, b)
-            if self.window == 1:
-                window_low = values
-            else:
-                blocks, many = np.minimum.reduceat(values, starts), self.window // self.step  # of step shingles each
-                padded = np.concatenate([blocks, np.full(many - 1, np.iinfo(np.uint64).max, np.uint64)])
-                window_low = np.minimum.reduce([padded[j:j + len(blocks)] for j in range(many)])
+        together = len(self.templates) <= 16 and len(hashes) * self.bands <= BLOCK
+        if together:  # all bands in one array
+            window_low = self._window_lows(self._permuted(hashes[None, :], slice(None)), starts)
+            for t in range(len(self.templates)):
+                candidates.update((int(w), t) for w in np.flatnonzero((window_low == self.lows[:, t, None]).any(axis=0)))
+        for b, (lows, order) in enumerate(() if together else self.keys):
+            window_low = self._window_lows(self._permuted(hashes, b)[None, :], starts)[0]
             left, right = np.searchsorted(lows, window_low), np.searchsorted(lows, window_low, "right")
             for w in np.flatnonzero(left < right):
                 candidates.update((int(w), int(t)) for t in order[left[w]:right[w]])
@@ -138,6 +152,7 @@ class Scanner:
 
 
 def hashed_words(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """Hashes of words, given with or without their marks."""
     try:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     except KeyError:
@@ -145,7 +160,8 @@ def hashed_words(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
             known.clear()
         for w in words:
             if w not in known:
-                known[w] = (crc32(w) << 32 | crc32(w[::-1], 0x5BD1E995)) & (1 << 64) - 1
+                bare = w.strip(MARKS) or w
+                known[w] = (crc32(bare) << 32 | crc32(bare[::-1], 0x5BD1E995)) & (1 << 64) - 1
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -171,7 +187,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
         known: dict[bytes, int] = {}
 
         def matches(t: str | None) -> list[dict]:
-            words = words_of(t) if t else []
+            words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
             if not words:
                 return []
             hashes, out = hashed_words(words, known), []
