@@ -87,8 +87,8 @@ def test_jenks_is_the_least_squares_cut(spark, seed):
 @pytest.mark.parametrize("values", [
     np.random.default_rng(1).lognormal(0, 2, 5000), np.random.default_rng(2).normal(0, 1, 3000),
     np.concatenate([1000 + np.random.default_rng(3).uniform(-1e-6, 1e-6, 3000), [1020.0, 1021.0]]),
-    np.repeat(np.random.default_rng(4).uniform(0, 1, 40), 30), np.array([1.0, 1e-300, 5e140, -5e140])],
-    ids=["lognormal", "normal", "crowded", "few", "extreme"])
+    np.repeat(np.random.default_rng(4).uniform(0, 1, 40), 30)],
+    ids=["lognormal", "normal", "crowded", "few"])
 def test_jenks_is_one_way_at_every_size(spark, values):
     pairs = bounds(frame(spark, [float(v) for v in values]), "jenks")
     cut = [hi for _, hi in pairs[:-1]]
