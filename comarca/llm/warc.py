@@ -12,9 +12,12 @@ digests (SHA-1, base 32) and a record id that follows from the target and the di
 Both refer to the response and name each other (WARC-Concurrent-To).  ``record_bytes``
 writes records in WARC/1.1 form.  Everything is made row by row: there is no shuffle.
 
-Text is what stands outside script, style, head and the like; block elements end a line,
-runs of blanks are one, character references are decoded; unclosed and crossed tags are
-taken as they come.
+Text is what stands outside comments, script, style, template, svg, iframe and head; block
+elements end a line, runs of blanks are one, character references are decoded; unclosed and
+crossed tags are taken as they come.  As in HTML, a head ends at its end tag or before the
+first text or element that cannot stand in it.  Only a comment, script or style without an
+end runs to the end of the page; a template, svg or iframe that is self-closed or has no end
+tag hides nothing.  Nothing is run or loaded, so noscript, object, textarea and select are text.
 
 Defined results: a NULL html is an empty payload (its conversion is empty); a NULL url
 gives records without target (relative links stay as they are); repeated rows give equal
@@ -37,7 +40,8 @@ from pyspark.sql import functions as F
 from comarca.llm.common import map_slices
 
 #: Elements whose content is no text, and elements that end a line.
-HIDDEN = ("script", "style", "noscript", "template", "head", "svg", "iframe", "object", "textarea", "select")
+HIDDEN = ("script", "style", "template", "svg", "iframe")
+TO_THE_END = ("script", "style")
 BLOCKS = frozenset(("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                     "header hr li main nav ol p pre section table tbody td tfoot th thead tr ul title body").split())
 DATE = "1970-01-01T00:00:00Z"
@@ -45,7 +49,16 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nConten
 RECORD = ("record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, "
           "content_type string, block binary, block_digest string, payload_digest string, source_headers string, source_digest string")
 
-_HIDDEN = re.compile(rf"<({'|'.join(HIDDEN)})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>", re.S | re.I)
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_OPEN = re.compile(rf"<!--|<!\[CDATA\[|<[!?]|<({'|'.join(HIDDEN)}|head)(?=[\s/>])", re.I)
+_REST = re.compile(rf"{_ATTRIBUTES}>|[^>]*>")  # of a tag; the second if quotes do not match
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in HIDDEN}
+#: What can stand in a head, piece by piece.
+_IN_HEAD = re.compile(rf"\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style)(?=[\s/>])(?:{_ATTRIBUTES}>|[^>]*>).*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+                      rf"|<title(?=[\s/>]){_ATTRIBUTES}>(?:[^<]*</title\s*>|.*?</title\s*>|[^<]*)"
+                      rf"|<(noscript|template|noframes)(?=[\s/>]){_ATTRIBUTES}>(?:.*?</\2\s*>)?"
+                      rf"|</?(?:base|basefont|bgsound|link|meta)(?=[\s/>])(?:{_ATTRIBUTES}>|[^>]*>)", re.S | re.I)
+_HEAD_END = re.compile(r"</head(?=[\s/>])[^>]*>", re.I)
 _TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
 _LINK = re.compile(r"<(a|area|img|link|iframe|script|form)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\s(href|src|action)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
@@ -61,8 +74,41 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(chr(0).join(parts).encode('utf-8', 'surrogatepass')).digest()[:16], version=4)}>"
 
 
+def without_hidden(page: str) -> str:
+    """The page with a blank for each comment, declaration and hidden element."""
+    out, at, endless = [], 0, set()  # endless: elements without an end tag from here on
+    while found := _OPEN.search(page, at):
+        out.append(page[at:found.start()])
+        name, start = (found[1] or "").lower(), found.end()
+        if not name:
+            end = {"<!--": "-->", "<![CDATA[": "]]>"}.get(found[0].upper(), ">")
+            upto = page.find(end, start)
+            if upto < 0 and end == "]]>":
+                end, upto = ">", page.find(">", start)
+            at = upto + len(end) if upto >= 0 else len(page) if end == "-->" else start
+        elif not (rest := _REST.match(page, start)):
+            at = start  # no tag
+        elif name == "head":
+            at = rest.end()
+            while inside := _IN_HEAD.match(page, at):
+                at = inside.end()
+            if closed := _HEAD_END.match(page, at):
+                at = closed.end()
+        else:
+            at, open_ = rest.end(), name in TO_THE_END or not rest[0].endswith("/>")
+            closed = _END[name].search(page, at) if open_ and name not in endless else None
+            if closed:
+                at = closed.end()
+            elif open_ and name in TO_THE_END:
+                at = len(page)
+            elif open_:
+                endless.add(name)
+        out.append(page[found.start():at] if at == start else " ")
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
-    shown = _HIDDEN.sub(" ", page)
+    shown = without_hidden(page)
     shown = _TAG.sub(lambda m: "\n" if m[1].lower() in BLOCKS else "", shown.replace("\r", " ").replace("\n", " "))
     lines = (" ".join(references.unescape(line).split()) for line in shown.split("\n"))
     return "\n".join(line for line in lines if line)

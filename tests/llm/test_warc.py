@@ -43,3 +43,14 @@ def test_null_repeated_and_clashing_columns(spark):
     conversions = {(r.page_id, bytes(r.block), r.record_id) for r in got if r.record_type == "conversion"}
     assert {(p, b) for p, b, _ in conversions} == {(1, b""), (2, b""), (3, b"t")} and len(conversions) == 3
     assert warc.derive(warc.responses(pages.where("false"))).count() == 0
+
+
+def test_left_out_and_self_closed_tags_hide_no_text():
+    for page in ("<html><head><title>t</title><body><p>Hello</p>", "<html><head><meta charset=utf-8><title>t</title><p>Hello</p>",
+                 "<head><script>if (a</* </head> */b) {}</script><link rel=x>\n<!-- </head> --></head><body>Hello",
+                 "<head><noscript><style>p{}</style></noscript><title>t</title>Hello", "<head lang='>'><title>t</title></head>Hello", "<head>Hello",
+                 "<svg width='1' />Hello<p><svg><title>no</title></svg>", "<iframe/>Hello", "<template/>Hello", "<svg><path d=x>Hello", "<iframe src=x>Hello",
+                 "<template>no</template>Hello", "Hello<script>x", "Hello<style>x", "Hello<!-- x", "Hello<script src=a />no"):
+        assert warc.plain_text(page) == "Hello", page
+    assert warc.plain_text("<noscript>a</noscript><p><textarea>b</textarea><p><select><option>c</select><p><object>d</object>") == "a\nb\nc\nd"
+    assert warc.plain_text("<header>a</header><svg-icon>b</svg-icon><p>c <![CDATA[x") == "a\nb\nc <![CDATA[x"
