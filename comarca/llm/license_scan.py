@@ -1,7 +1,7 @@
 """Find license notices in texts: MinHash bands retrieve templates, containment verifies.
 
 Words are runs of bytes other than ASCII white space, lower-cased, without marks at their
-ends; a shingle is five words (a template of fewer words is one shingle of its own length).
+ends; runs without a letter or digit (comment marks, rules) are none.  A shingle is five words (a template of fewer words is one shingle of its own length).
 Templates are grouped by size class: the smallest power of two of shingles that holds them.
 For a class of size s, windows of 2s shingles start every s / 2 shingles, so a template of
 at most s shingles lies whole in some window, of which it is at least a quarter if it has
@@ -12,6 +12,8 @@ J, their Jaccard similarity.  With a containment of ``containment`` J is at leas
 containment * |T| / (2s + |T|), so some band agrees with probability 1 - (1 - J) ** bands;
 ``bands_for`` picks the bands for ``recall`` (0.999) at that J.  Retrieved pairs are then
 verified exactly: the share of the template's distinct shingles that the window holds.
+Before, a text with fewer shingles that may be of a class's templates than any of them needs
+is passed over (exact: a table of hash prefixes finds too many, never too few).
 
 Templates are a parameter, at most ``MAX_TEMPLATES``; their bands are what is broadcast.
 
@@ -22,8 +24,11 @@ without a word are an error; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections.abc import Iterator
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -34,6 +39,7 @@ from comarca.llm.common import map_slices
 
 WORDS = 5
 MARKS = b"\"'()[]{}.,;:!?"
+NO_WORD = re.compile(rb"[^a-z0-9\x80-\xff]*")
 MAX_TEMPLATES = 1000
 #: So many hashes are permuted at a time; longer texts take band after band (the result does not change).
 BLOCK = 4_000_000
@@ -68,8 +74,13 @@ TEMPLATES = {
 }
 
 
+def all_templates() -> dict[str, str]:
+    """The notices above, and the whole license texts and headers of license_templates.json."""
+    return TEMPLATES | json.loads(Path(__file__).with_name("license_templates.json").read_text("utf-8"))["templates"]
+
+
 def words_of(text: str) -> list[bytes]:
-    return [w.strip(MARKS) or w for w in text.encode("utf-8", "surrogatepass").lower().split()]
+    return [w.strip(MARKS) for w in text.encode("utf-8", "surrogatepass").lower().split() if not NO_WORD.fullmatch(w)]
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -96,6 +107,9 @@ class Scanner:
         self.width, self.size, self.templates, self.containment = width, size, templates, containment
         self.window = 1 if size == 1 else 2 * size
         self.step = max(1, size // 2)
+        self.least = min(math.ceil(containment * len(s) - 1e-9) for _, s in templates)
+        self.prefixes = np.zeros(1 << 20, bool)
+        self.prefixes[[x >> 44 for _, s in templates for x in s]] = True
         # the worst case of a whole class: the fewest shingles in a window of others
         self.jaccard = 1.0 if size == 1 else min(
             containment * len(s) / (self.window + (1 - containment) * len(s)) for _, s in templates)
@@ -126,9 +140,9 @@ class Scanner:
             np.minimum(low[:, :-j], blocks[:, j:], out=low[:, :-j])
         return low
 
-    def __call__(self, words: np.ndarray) -> Iterator[tuple[str, int, int, int, int]]:
-        hashes = shingle_hashes(words, self.width)
-        if not len(hashes):
+    def __call__(self, hashes: np.ndarray) -> Iterator[tuple[str, int, int, int, int]]:
+        """Matches among a text's shingles of this width."""
+        if np.count_nonzero(self.prefixes[hashes >> np.uint64(44)]) < self.least:
             return
         starts = np.arange(0, len(hashes), self.step)
         ends = np.minimum(starts + self.window, len(hashes))
@@ -152,7 +166,7 @@ class Scanner:
 
 
 def hashed_words(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Hashes of words, given with or without their marks."""
+    """Hashes of words, given with or without their marks; zero for what is no word."""
     try:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     except KeyError:
@@ -160,8 +174,8 @@ def hashed_words(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
             known.clear()
         for w in words:
             if w not in known:
-                bare = w.strip(MARKS) or w
-                known[w] = (crc32(bare) << 32 | crc32(bare[::-1], 0x5BD1E995)) & (1 << 64) - 1
+                bare = w.strip(MARKS)
+                known[w] = 0 if NO_WORD.fullmatch(w) else (crc32(bare) << 32 | crc32(bare[::-1], 0x5BD1E995)) & (1 << 64) - 1 or 1
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -181,7 +195,7 @@ def scanners(templates: dict[str, str], containment: float = 0.8) -> list[Scanne
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, text: str = "text") -> DataFrame:
     """``matches`` instead of ``text``: where each template's notice stands in every whole text."""
-    ready = docs.sparkSession.sparkContext.broadcast(scanners(TEMPLATES if templates is None else templates, containment))
+    ready = docs.sparkSession.sparkContext.broadcast(scanners(all_templates() if templates is None else templates, containment))
 
     def start():
         known: dict[bytes, int] = {}
@@ -191,15 +205,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
             if not words:
                 return []
             hashes, out = hashed_words(words, known), []
+            places = np.flatnonzero(hashes)  # of words among all runs
+            shingles = {width: shingle_hashes(hashes[places], width) for width in {s.width for s in ready.value}}
             for scanner in ready.value:
                 merged: dict[str, list] = {}
-                for name, lo, hi, found, of in scanner(hashes):
+                for name, lo, hi, found, of in scanner(shingles[scanner.width]):
                     own = merged.setdefault(name, [])
                     if own and lo <= own[-1][1]:
                         own[-1][1], own[-1][2] = max(own[-1][1], hi), max(own[-1][2], found)
                     else:
                         own.append([lo, hi, found, of])
-                out += [{"template": name, "first_word": lo, "last_word": hi, "found_shingles": found, "template_shingles": of,
+                out += [{"template": name, "first_word": int(places[lo]), "last_word": int(places[hi]), "found_shingles": found, "template_shingles": of,
                          "containment": found / of} for name, own in merged.items() for lo, hi, found, of in own]
             return sorted(out, key=lambda m: (m["first_word"], m["template"], m["last_word"]))
 

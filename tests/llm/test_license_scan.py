@@ -60,3 +60,18 @@ def test_null_empty_repeated_and_bad_templates(spark):
     assert ls.scan(docs.where("false")).count() == 0
     with pytest.raises(ValueError):
         ls.scan(docs, {"none": " "})
+
+
+def test_whole_texts_and_commented_headers(spark):
+    header = ls.TEMPLATES["Apache-2.0"].split()
+    lines = [" ".join(header[i:i + 8]) for i in range(0, len(header), 8)]
+    table = ls.all_templates()
+    texts = ["/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */", "\n".join(f"# {x}" for x in lines), "\n".join(f"// {x}" for x in lines),
+             "\n".join(f"-- {x}" for x in lines), *(f"intro {t} end" for t in table.values())]
+    got = [r.matches for r in ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for found in got[:4]:
+        assert [m.containment for m in found if m.template == "Apache-2.0"] == [1.0]
+    assert next((m.first_word, m.last_word) for m in got[0] if m.template == "Apache-2.0") == (2, len(texts[0].split()) - 2)
+    for name, found in zip(table, got[4:]):
+        assert any(m.template == name and m.containment == 1.0 for m in found), name
+    assert ls.words_of("a * // é -- #1") == [b"a", "é".encode(), b"#1"]
