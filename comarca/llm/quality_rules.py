@@ -136,9 +136,18 @@ def thresholds(sketches: DataFrame, rules: QualityRules = QualityRules()) -> Dat
         "lang", "source", *[F.when(enough, F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in names])
 
 
+#: Two hashes of a text: with lang and source they decide a row's verdict.
+HASHES = ["__text_a", "__text_b"]
+
+
+def _hashes(text: str) -> list:
+    return [F.xxhash64(text).alias(HASHES[0]), F.xxhash64(F.lit(1), text).alias(HASHES[1])]
+
+
 def measured(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
     """(doc_id, lang, source, counts..., base_failed, ratios) of every row, computed once."""
-    flat = with_counts(docs.select("doc_id", "lang", "source", text), text).select("doc_id", "lang", "source", "counts.*")
+    flat = (with_counts(docs.select("doc_id", "lang", "source", text, *_hashes(text)), text)
+            .select("doc_id", "lang", "source", *HASHES, "counts.*"))
     per_word = lambda c: F.expr(f"{c} * 10000 DIV greatest(n_words, 1)")
     return cut(flat.withColumns({
         "base_failed": (F.col("n_words") < rules.min_words)
@@ -147,8 +156,7 @@ def measured(docs: DataFrame, rules: QualityRules = QualityRules(), text: str =
         "dup_lines": per_word("n_dup_lines"), "repeats": per_word("n_repeat_words")}))
 
 
-def judged(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
-    """Every row of ``docs`` without its text: counts, base_failed and kept."""
+def _verdicts(docs: DataFrame, rules: QualityRules, text: str) -> DataFrame:
     rows = measured(docs, rules, text)
     limits = cut(thresholds(cut(sketch(rows)), rules))
     verdict = F.lit(True)
@@ -158,12 +166,17 @@ def judged(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "t
         verdict &= beyond <= F.col(f"{m}_spread") * width
     # every group of a row that passed the base rules has thresholds
     return (null_safe(rows, limits, ["lang", "source"], "left")
-            .withColumn("kept", ~F.col("base_failed") & F.coalesce(verdict, F.lit(True)))
-            .select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                    "n_repeat_words", "base_failed", "kept"))
+            .withColumn("kept", ~F.col("base_failed") & F.coalesce(verdict, F.lit(True))))
+
+
+def judged(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
+    """Every row of ``docs`` without its text: counts, base_failed and kept."""
+    return _verdicts(docs, rules, text).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                               "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs`` that pass; of a doc_id with several rows all have to pass."""
-    bad = judged(docs, rules).where(~F.col("kept")).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti").select(docs.columns)
+    """The rows of ``docs`` that pass, each by its own text, lang and source, whatever its doc_id."""
+    keys = ["lang", "source", *HASHES]
+    bad = _verdicts(docs, rules, "text").where(~F.col("kept")).select(keys).distinct()
+    return null_safe(docs.select("*", *_hashes("text")), bad, keys, "left_anti").select(docs.columns)

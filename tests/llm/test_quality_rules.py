@@ -63,3 +63,10 @@ def test_groups_follow_their_own_thresholds(spark):
     assert quality_rules.judged(docs.where("false")).count() == 0
     assert quality_rules.keep_good(docs.where("false")).count() == 0
     assert QualityRules().least_rows == 100
+
+
+def test_a_bad_row_takes_no_good_row_of_its_doc_id_along(spark):
+    good = " ".join(f"word{k}" for k in range(50))
+    rows = [(None, good), (None, "bad"), (None, None), (1, good + " end"), (1, "bad"), (2, "bad"), (3, "")]
+    docs = spark.createDataFrame([(*r, None, None) for r in rows], "doc_id long, text string, lang string, source string")
+    assert sorted(r.text for r in quality_rules.keep_good(docs).collect()) == sorted([good, good + " end"])
