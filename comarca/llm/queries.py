@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comarca.llm import byte_bpe, language_id, license_scan, line_dedup, packing, quality_rules, simhash, suffix_dedup, vantage_trees, warc
+from comarca.llm import (byte_bpe, language_id, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash, spelling, suffix_dedup,
+                         vantage_trees, warc, whitening)
 from comarca.llm.common import read_table
 
 
@@ -63,8 +64,30 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.delete_repeated_runs(docs).select("doc_id", "n_lines", "n_removed", "n_runs", "text")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(read_table(spark, sf_dir, "documents")))
+
+
+def op12_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op13_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = ("assign", "access", "hex")
+
+    def count(kind):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in base]
+    return found.select("doc_id", *counts, F.sha2(F.encode(secret_scan.digest("found", base), "UTF-8"), 256).alias("base_sha256"),
+                        secret_scan.digest("found").alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (op1_vantage_trees, op2_hierarchical_packing, op3_adaptive_quality, op4_kneser_ney, op5_byte_bpe,
-                                  op6_license_scan, op7_prefix_free_parsing, op8_warc_derivatives, op9_simhash, op10_line_runs)}
+                                  op6_license_scan, op7_prefix_free_parsing, op8_warc_derivatives, op9_simhash, op10_line_runs, op11_spelling_variants,
+                                  op12_bit_sliced_whitening, op13_secret_ledger)}
 ORACLE: dict[str, str] = {}
 
 ORACLE["op1_vantage_trees"] = """
@@ -151,3 +174,48 @@ kept AS (SELECT e.doc_id, string_agg(e.t, chr(10) ORDER BY e.line) AS text FROM
 SELECT d.doc_id, coalesce(len(l.ls), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
        CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
 FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+#: op11: crc32 byte by byte over all (document, run) pairs at once; near words by the code point that is left out or replaced.
+ORACLE["op11_spelling_variants"] = r"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+pairs AS (SELECT run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs GROUP BY doc_id, run),
+steps AS (SELECT i AS b, i::BIGINT AS v, 0 AS k FROM range(256) t(i)
+          UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT h, 0 AS i, 4294967295::BIGINT AS c FROM pairs
+        UNION ALL SELECT h, i + 1, xor(c >> 8, v) FROM crc
+        JOIN steps ON k = 8 AND b = xor(c & 255, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) WHERE 2 * i < length(h)),
+hashed AS (SELECT run, n, xor(c, 4294967295) AS h FROM pairs JOIN crc USING (h) WHERE 2 * i = length(h)),
+thin AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM thin WHERE length(word) >= 6 GROUP BY word HAVING sum(thin.n) >= 5),
+holes AS (SELECT word, n, left(word, p) AS a, substr(word, p + 2) AS z FROM (SELECT *, unnest(range(length(word)))::INT AS p FROM words)),
+near AS (SELECT DISTINCT * FROM (
+         SELECT x.word, y.word AS other, y.n AS m FROM holes x JOIN holes y ON x.a = y.a AND x.z = y.z AND x.word <> y.word
+         UNION ALL SELECT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.a || h.z
+         UNION ALL SELECT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.a || h.z)),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS (SELECT word, CASE WHEN m >= 5 * n THEN other END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near,
+                 CASE WHEN m >= 5 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS far FROM words
+          UNION ALL SELECT chain.word, forms.form, far + 1 FROM chain JOIN forms ON forms.word = chain.root WHERE forms.form IS NOT NULL)
+SELECT word, form, arg_max(root, far) AS root, n, n_near, form_n FROM forms JOIN chain USING (word) GROUP BY ALL"""
+
+#: op13: places of matches from the lengths of what lies between them; before a jwt one character is taken along.
+ORACLE["op13_secret_ledger"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+rules AS (SELECT * FROM (VALUES
+    (1, 'assign', '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 6),
+    (2, 'access', '(AKIA[A-Z0-9]+)', 20), (3, 'hex', '([0-9a-f]+)', 24), (4, 'github', '(gh[pousr]_[A-Za-z0-9]+)', 40),
+    (5, 'slack', '(xox[abprs]-[A-Za-z0-9-]+)', 20), (6, 'google', '(AIza[A-Za-z0-9_-]+)', 39),
+    (7, 'jwt', '(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)', 40),
+    (8, 'pem', '(-----BEGIN [A-Z]{0,12} ?PRIVATE KEY-----)', 1)) v(number, kind, p, least)),
+cut AS (SELECT r, number, kind, p, least, regexp_extract_all(t, p) AS m, list_transform(string_split_regex(t, p), lambda x: length(x)) AS s FROM d, rules),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM cut),
+found AS (SELECT r, number, kind, list_sum(s[1:i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, m[i] AS x,
+                 regexp_extract(m[i], p, 1) AS g, least FROM each),
+spans AS (SELECT r, number, kind, CASE WHEN kind = 'jwt' THEN a + length(x) - length(g) ELSE a END AS a, a + length(x) AS b FROM found WHERE length(g) >= least),
+lists AS (SELECT r, count(*) FILTER (number = 1) AS n_assign, count(*) FILTER (number = 2) AS n_access, count(*) FILTER (number = 3) AS n_hex,
+                 string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, number) FILTER (number <= 3) AS base,
+                 string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, number) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN lists USING (r)"""
