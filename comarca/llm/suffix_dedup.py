@@ -31,8 +31,9 @@ hashes of their LENGTH bytes, again once per batch.  Entries are told apart by t
 trigger and a 64-bit hash of their bytes together.
 
 Defined results: NULL and empty texts have no bytes; rows that repeat doc_id and text are
-one document and treated alike; rows of one doc_id with different texts come in an order
-of their hash; a NULL doc_id comes before all others; an empty table gives no rows.
+one document and treated alike; rows of one doc_id (or without one) with different texts are
+documents of their own, told apart by 96 bits of two hashes of the text, and come in the order
+of those; a NULL doc_id comes before all others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -139,60 +140,61 @@ def _runs_of(texts: list[bytes]):
         yield b"".join(joined), parts
 
 
-def _later_of_equal(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray):
+def _later_of_equal(keys: list[np.ndarray], doc: np.ndarray, version: np.ndarray, place: np.ndarray):
     """Order by keys, then place; which rows open a key; which come later than its first place."""
-    order = np.lexsort([place, doc, *reversed(keys)])
+    order = np.lexsort([place, version, doc, *reversed(keys)])
     same = np.ones(len(order), bool)
     for k in keys:
         same[1:] &= k[order][1:] == k[order][:-1]
     same[:1] = False
     again = same.copy()  # the same place, of a repeated row
-    for k in (doc, place):
+    for k in (doc, version, place):
         again[1:] &= k[order][1:] == k[order][:-1]
     return order, ~same, same & ~again
 
 
-def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+def _merged(doc: np.ndarray, version: np.ndarray, lo: np.ndarray, hi: np.ndarray):
     """Unions of intervals of places that touch, within each document."""
-    order = np.lexsort([lo, doc])
+    order = np.lexsort([lo, version, doc])
     out: list[list[int]] = []
-    for d, a, b in zip(doc[order].tolist(), lo[order].tolist(), hi[order].tolist()):
-        if out and out[-1][0] == d and a <= out[-1][2]:
-            out[-1][2] = max(out[-1][2], b)
+    for d, v, a, b in zip(doc[order].tolist(), version[order].tolist(), lo[order].tolist(), hi[order].tolist()):
+        if out and out[-1][:2] == [d, v] and a <= out[-1][3]:
+            out[-1][3] = max(out[-1][3], b)
         else:
-            out.append([d, a, b])
-    return np.array(out, np.int64).reshape(-1, 3).T
+            out.append([d, v, a, b])
+    return np.array(out, np.int64).reshape(-1, 4).T
 
 
-#: A row stands for ``n`` strings of LENGTH bytes from a place on (version and start in one
-#: number): a candidate of the class (a, b), or, if n is negative, decided strings that go.
-CANDIDATES = "a long, b long, doc_id long, place long, n int"
+#: A row stands for ``n`` strings of LENGTH bytes from a place on: a candidate of the class
+#: (a, b), or, if n is negative, decided strings that go.  A document is its doc_id, a hash of
+#: its text (version) and 32 bits of another, which are in one number with the start (place).
+CANDIDATES = "a long, b long, doc_id long, version long, place long, n int"
 
 
-def _place(version: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return version.astype(np.int64) << _START_BITS | start
+def _place(other: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return other.astype(np.int64) << _START_BITS | start
 
 
 def _batch(*columns) -> pa.RecordBatch:
-    names = ["a", "b", "doc_id", "place", "n", "raw"]
+    names = ["a", "b", "doc_id", "version", "place", "n", "raw"]
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names[:len(columns)])
 
 
-def _decided_here(a, b, doc, place, n):
+def _decided_here(a, b, doc, version, place, n):
     """What an Arrow batch can say by itself: the first place of each class is a candidate, the others go."""
-    order, first, later = _later_of_equal([a, b], doc, place)
+    order, first, later = _later_of_equal([a, b], doc, version, place)
     go, stay = order[later], order[first]
     if len(go):
-        d, lo, hi = _merged(doc[go], place[go], place[go] + n[go])
-        yield d, lo, d, lo, -(hi - lo).astype(np.int32)
-    yield a[stay].view(np.int64), b[stay].view(np.int64), doc[stay], place[stay], n[stay].astype(np.int32)
+        d, v, lo, hi = _merged(doc[go], version[go], place[go], place[go] + n[go])
+        yield d, lo, d, v, lo, -(hi - lo).astype(np.int32)
+    yield a[stay].view(np.int64), b[stay].view(np.int64), doc[stay], version[stay], place[stay], n[stay].astype(np.int32)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]):
-    """Phrases by Arrow batch: trigger, bytes, doc_id, place, number of strings."""
+    """Phrases by Arrow batch: trigger, bytes, doc_id, version, place, number of strings."""
     for batch in batches:
-        docs, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+        docs, versions, others = (batch.column(i).to_numpy() for i in range(3))
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(3).to_pylist()]
         found = []
         for data, parts in _runs_of(texts):
             valid = np.zeros(len(data) - LENGTH + 1, bool)
@@ -204,7 +206,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]):
             found.append((row[starts], starts + shift[starts], count, trigger, body))
         if found:
             row, start, count, trigger, body = map(np.concatenate, zip(*found))
-            yield trigger, body, docs[row], _place(versions[row], start), count
+            yield trigger, body, docs[row], versions[row], _place(others[row], start), count
 
 
 def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,19 +231,19 @@ def hot_triggers(keyed: DataFrame) -> np.ndarray:
 def _parse_with(hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         triggers = hot.value
-        for trigger, body, doc, place, count in _parsed(batches):
+        for trigger, body, doc, version, place, count in _parsed(batches):
             if len(triggers):
                 at = np.minimum(np.searchsorted(triggers, trigger), len(triggers) - 1)
                 dealt = triggers[at] == trigger
                 trigger = np.where(dealt, _mix(trigger ^ _mix(body.copy())), trigger)
                 count = np.where(dealt, count | _HOT_FLAG, count)
-            for a, b, doc_, place_, n in _decided_here(trigger, body, doc, place, count & (_HOT_FLAG - 1)):
+            for a, b, doc_, version_, place_, n in _decided_here(trigger, body, doc, version, place, count & (_HOT_FLAG - 1)):
                 if len(triggers):  # candidates of hot triggers keep their mark
                     own = np.sort(trigger[count >= _HOT_FLAG])
                     if len(own):
                         at = np.minimum(np.searchsorted(own, a.view(np.uint64)), len(own) - 1)
                         n = np.where((n > 0) & (own[at] == a.view(np.uint64)), n | _HOT_FLAG, n).astype(np.int32)
-                yield _batch(a, b, doc_, place_, n)
+                yield _batch(a, b, doc_, version_, place_, n)
     return run
 
 
@@ -271,26 +273,26 @@ def _windows(raws: list[bytes]):
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contested entries with their bytes; of crowded triggers their suffixes one by one."""
     for batch in batches:
-        docs, versions = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("__d", "__v"))
+        docs, versions, others = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("__d", "__v", "__w"))
         texts, phrases = (batch.column(batch.schema.get_field_index(c)) for c in ("__text", "phrases"))
         alone, crowd = [], []
 
         def suffixes():
-            row, shift, whole, other = _windows([c[4] for c in crowd])
-            doc, place = (np.array([c[i] for c in crowd], np.int64)[row] for i in (1, 2))
-            for rows in _decided_here(other, whole, doc, place + shift, np.ones(len(row), np.int32)):
+            row, shift, whole, other = _windows([c[5] for c in crowd])
+            doc, version, place = (np.array([c[i] for c in crowd], np.int64)[row] for i in (1, 2, 3))
+            for rows in _decided_here(other, whole, doc, version, place + shift, np.ones(len(row), np.int32)):
                 yield _batch(*rows, pa.nulls(len(rows[0]), pa.binary()))
 
         for row in range(batch.num_rows):
             raw = texts[row].as_py().encode("utf-8", "surrogatepass")
             for p in phrases[row].as_py():
-                place = int(versions[row]) << _START_BITS | p["start"]
-                one = (p["a"], int(docs[row]), place, p["n"], raw[p["start"]:p["start"] + p["n"] + LENGTH - 1])
+                place = int(others[row]) << _START_BITS | p["start"]
+                one = (p["a"], int(docs[row]), int(versions[row]), place, p["n"], raw[p["start"]:p["start"] + p["n"] + LENGTH - 1])
                 (crowd if p["crowded"] else alone).append(one)
             if len(alone) >= 20_000 or row + 1 == batch.num_rows:
                 if alone:
-                    a, doc, place, n, raws = zip(*alone)
-                    yield _batch(pa.array(a, pa.int64()), pa.array([0] * len(a), pa.int64()), pa.array(doc, pa.int64()),
+                    a, doc, version, place, n, raws = zip(*alone)
+                    yield _batch(pa.array(a, pa.int64()), pa.array([0] * len(a), pa.int64()), pa.array(doc, pa.int64()), pa.array(version, pa.int64()),
                                  pa.array(place, pa.int64()), pa.array(n, pa.int32()), pa.array(raws, pa.binary()))
                 alone = []
             if len(crowd) >= 20_000 or row + 1 == batch.num_rows:
@@ -301,26 +303,28 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes to remove.  Rows come ordered by ``a``, so all entries of a trigger come together."""
+    names = ["doc_id", "version", "place", "n"]
+
     def later(table: pa.Table):
-        a, b, doc, place, n = (table.column(i).to_numpy() for i in range(5))
-        known = np.array([not x for x in table.column(5).is_valid().to_pylist()], bool)
+        a, b, doc, version, place, n = (table.column(i).to_numpy() for i in range(6))
+        known = np.array([not x for x in table.column(6).is_valid().to_pylist()], bool)
         row, shift, whole = np.flatnonzero(known), np.zeros(int(known.sum()), np.int64), b[known].view(np.uint64)
         if not known.all():
             own = np.flatnonzero(~known)
-            r, s, w, _ = _windows(table.column(5).filter(pa.array(~known)).to_pylist())
+            r, s, w, _ = _windows(table.column(6).filter(pa.array(~known)).to_pylist())
             row, shift, whole = np.concatenate([row, own[r]]), np.concatenate([shift, s]), np.concatenate([whole, w])
-        order, _, gone = _later_of_equal([a[row].view(np.uint64), whole], doc[row], place[row] + shift)
+        order, _, gone = _later_of_equal([a[row].view(np.uint64), whole], doc[row], version[row], place[row] + shift)
         go = order[gone]
         if len(go):
-            d, lo, hi = _merged(doc[row[go]], place[row[go]] + shift[go], place[row[go]] + shift[go] + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(lo), pa.array((hi - lo).astype(np.int32))], ["doc_id", "place", "n"])
+            d, v, lo, hi = _merged(doc[row[go]], version[row[go]], place[row[go]] + shift[go], place[row[go]] + shift[go] + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d, v, lo, (hi - lo).astype(np.int32))], names)
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        decided = pa.compute.less(batch.column(4), 0)
+        decided = pa.compute.less(batch.column(5), 0)
         done, rest = batch.filter(decided), batch.filter(pa.compute.invert(decided))
         if done.num_rows:
-            yield pa.RecordBatch.from_arrays([done.column(2), done.column(3), pa.compute.negate(done.column(4))], ["doc_id", "place", "n"])
+            yield pa.RecordBatch.from_arrays([*(done.column(i) for i in (2, 3, 4)), pa.compute.negate(done.column(5))], names)
         for at in range(0, rest.num_rows, 5_000):
             held.append(rest.slice(at, 5_000))
             if sum(h.num_rows for h in held) < 20_000:
@@ -336,36 +340,48 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with __text and its key: __d (NULL doc_ids are the smallest number) and __v."""
+    """``docs`` with __text and its key: __d (NULL doc_ids are the smallest number), __v and __w."""
     return docs.withColumns({"__text": F.coalesce(F.col(text), F.lit("")), "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
-                             "__v": F.shiftrightunsigned(F.xxhash64(text), 41).cast("int")}).drop(text)
+                             "__v": F.xxhash64(text), "__w": F.shiftrightunsigned(F.xxhash64(F.lit("other"), text), 32)}).drop(text)
+
+
+#: What tells a document in ``_keyed``.
+KEY = ["__d", "__v", "__w"]
+
+
+def _document() -> list:
+    """The same, of a row of ``CANDIDATES``."""
+    return [F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), F.shiftright("place", _START_BITS).alias("__other")]
+
+
+def _same_document():
+    return (F.col("__d") == F.col("__doc")) & (F.col("__v") == F.col("__version")) & (F.col("__w") == F.col("__other"))
 
 
 def repeated_bytes(keyed: DataFrame) -> DataFrame:
-    """(__doc, __version, lo, hi): bytes to remove, as intervals that may overlap."""
-    texts = keyed.where(F.length("__text") >= LENGTH // 4).select("__d", "__v", "__text")
+    """(__doc, __version, __other, lo, hi): bytes to remove, as intervals that may overlap."""
+    texts = keyed.where(F.length("__text") >= LENGTH // 4).select(*KEY, "__text")
     hot = keyed.sparkSession.sparkContext.broadcast(hot_triggers(texts))  # at most HOT numbers
     parsed = texts.mapInArrow(_parse_with(hot), CANDIDATES)
     # one shuffle by trigger serves all: the entries, their first places, who shares a trigger
     trigger = Window.partitionBy("a")
     entries = written(
         parsed.repartition("a").withColumns({
-            "later": (F.col("n") < 0) | (F.rank().over(Window.partitionBy("a", "b").orderBy("doc_id", "place")) > 1),
+            "later": (F.col("n") < 0) | (F.rank().over(Window.partitionBy("a", "b").orderBy("doc_id", "version", "place")) > 1),
             "contested": (F.col("n") >= _HOT_FLAG) | (F.col("n") > 0) & (F.min("b").over(trigger) != F.max("b").over(trigger)),
             "crowded": (F.col("n") >= _HOT_FLAG) | (F.count("*").over(trigger) > CROWD)})
         .where("later OR contested")
-        .select("a", "doc_id", "place", F.when(F.col("n") < 0, -F.col("n")).otherwise(F.col("n").bitwiseAND(_HOT_FLAG - 1)).alias("n"),
+        .select("a", "doc_id", "version", "place", F.when(F.col("n") < 0, -F.col("n")).otherwise(F.col("n").bitwiseAND(_HOT_FLAG - 1)).alias("n"),
                 "later", "crowded"))
     start = F.col("place").bitwiseAND((1 << _START_BITS) - 1)
     by_doc = (entries.where("NOT later")
-              .groupBy(F.col("doc_id").alias("__doc"), F.shiftright("place", _START_BITS).cast("int").alias("__version"))
+              .groupBy(*_document())
               .agg(F.collect_set(F.struct(start.alias("start"), "n", "a", "crowded")).alias("phrases")))
-    contested = keyed.join(by_doc, (F.col("__d") == F.col("__doc")) & (F.col("__v") == F.col("__version")))
+    contested = keyed.join(by_doc, _same_document())
     suffixes = (contested.mapInArrow(_entries, CANDIDATES + ", raw binary").repartition("a").sortWithinPartitions("a")
-                .mapInArrow(_classes, "doc_id long, place long, n int"))
-    spans = entries.where("later").select("doc_id", "place", "n").union(suffixes)
-    return spans.select(F.col("doc_id").alias("__doc"), F.shiftright("place", _START_BITS).cast("int").alias("__version"),
-                        start.alias("lo"), (start + F.col("n") + (LENGTH - 1)).alias("hi"))
+                .mapInArrow(_classes, "doc_id long, version long, place long, n int"))
+    spans = entries.where("later").select("doc_id", "version", "place", "n").union(suffixes)
+    return spans.select(*_document(), start.alias("lo"), (start + F.col("n") + (LENGTH - 1)).alias("hi"))
 
 
 RESULT = "struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>"
@@ -374,7 +390,7 @@ RESULT = "struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>"
 def without_repeats(docs: DataFrame, text: str = "text", out: str = "result") -> DataFrame:
     """``out`` instead of ``text``: n_bytes, n_removed, n_spans and kept, the remaining bytes."""
     keyed = _keyed(docs, text)  # the contested entries and the result share its shuffle
-    spans = repeated_bytes(keyed).groupBy("__doc", "__version").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
+    spans = repeated_bytes(keyed).groupBy("__doc", "__version", "__other").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:
@@ -392,7 +408,7 @@ def without_repeats(docs: DataFrame, text: str = "text", out: str = "result") ->
                 rows.append({"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": n_spans, "kept": kept})
             yield pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
 
-    joined = keyed.join(spans, (F.col("__d") == F.col("__doc")) & (F.col("__v") == F.col("__version")), "left")
+    joined = keyed.join(spans, _same_document(), "left")
     return joined.select(*[c for c in docs.columns if c not in (text, out)],
                          F.arrow_udf(run, RESULT)(F.col("__text"), F.col("__spans")).alias(out))
 

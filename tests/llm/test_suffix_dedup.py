@@ -58,7 +58,7 @@ def test_what_follows_a_very_common_line(spark, monkeypatch):
     line = "".join(rng.choice("abcdefgh ") for _ in range(150))
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(60)) + line + "".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(120)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    keyed = suffix_dedup._keyed(docs, "text").select("__d", "__v", "__text")
+    keyed = suffix_dedup._keyed(docs, "text").select(*suffix_dedup.KEY, "__text")
     assert len(suffix_dedup.hot_triggers(keyed)) > 0
     assert results(spark, texts) == brute([(i, t.encode()) for i, t in enumerate(texts)])
 
@@ -84,3 +84,39 @@ def test_null_repeated_and_clashing_columns(spark):
     assert {r.version: r.text for r in done.collect()} == {"r1": text[:20], "r2": text[:20], "r3": text[20:], "r4": "", "r5": "é"}
     assert suffix_dedup.without_repeats(docs.where("false")).count() == 0
     assert suffix_dedup.without_repeats(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == 5
+
+
+def by_hash(spark, texts):
+    """``texts`` in the order that rows of one doc_id have."""
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    return [r["__text"] for r in suffix_dedup._keyed(docs, "text").orderBy("__v", "__w").collect()]
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_rows_of_one_id_whose_short_hashes_agree(spark, doc_id):
+    """Texts that share 23 bits of their hash, of equal and of different length, stay apart."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    many = spark.range(60_000).select(F.sha2(F.col("id").cast("string"), 512).alias("x"), F.col("id"))
+    text = F.concat("x", "x", "x", F.substring("x", 1, (F.col("id") % 50).cast("int")))
+    pairs = (many.select(text.alias("text"), F.shiftrightunsigned(F.xxhash64(text), 41).alias("h")).groupBy("h")
+             .agg(F.sort_array(F.collect_list("text")).alias("t")).where("size(t) > 1").orderBy("h").limit(6).collect())
+    assert len(pairs) >= 2
+    texts = [t for r in pairs for t in r.t] + [word(400)]
+    third = texts[0][:300]  # a document of another id repeats one of them only
+    rows = [(doc_id, t) for t in texts] + [(9, third)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["__key"]: r.result.n_removed for r in suffix_dedup.without_repeats(docs.withColumn("__key", F.col("text"))).collect()}
+    true = brute([(t, t.encode()) for t in by_hash(spark, texts)] + [("third", third.encode())])
+    assert got == {**{t: true[t][1] for t in texts}, third: true["third"][1]}
+    assert true["third"][1] == 300
+
+
+def test_ten_thousand_rows_without_an_id(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randrange(90, 160))) for _ in range(10_000)]
+    texts += ["lead " + t for t in texts[:3]]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(8)
+    got = {r["__key"]: r.result.n_removed for r in suffix_dedup.without_repeats(docs.withColumn("__key", F.col("text"))).collect()}
+    true = brute([(t, t.encode()) for t in by_hash(spark, texts)])
+    assert got == {t: x[1] for t, x in true.items()}
