@@ -26,7 +26,7 @@ from comarca.fixed_values import (
 from comarca.functions.text import format_number
 from comarca.operators.codebook import with_value_labels
 from comarca.operators.lineage import cut
-from comarca.operators.quantiles import quantiles_of_counts
+from comarca.operators.quantiles import quantiles
 from comarca.spec import IndicatorSpec
 
 JENKS_BINS = 256         # equal bins between minimum and maximum, to begin with
@@ -61,7 +61,7 @@ def class_edges(result: DataFrame, method: str = "jenks", n_classes: int = CLASS
     elif method == "quantile":
         counts = cut(counts)
         n = min(counts.count(), n_classes)
-        found = quantiles_of_counts(counts, [], [i / n for i in range(1, n)] or [0.5], "v")
+        found = quantiles(counts, [], F.col("v"), [i / n for i in range(1, n)] or [0.5], F.col("n"))
         summary = summary.withColumn("cuts", found.agg(F.collect_list("q").alias("q")).scalar())
         cuts = F.col("cuts")
     elif method == "stddev":

@@ -7,28 +7,33 @@ Three shapes of plan, chosen by the measure:
   shuffle); codes are derived on that small table and its rows merged.  The reference
   value of the whole territory is one more merge of the same small table, so value,
   reference and coverage come from one scan.
-* medians and modes count rows per territory *and* value first.  The shuffle is on
-  both, so a territory holding a third of the rows is spread over many tasks, and no
-  task ever holds a territory's values whole.
+* medians come from histograms of each territory (see ``quantiles``): what is shuffled are
+  territories times buckets, never values.  The first histogram is taken when the
+  function is called.
+* modes count rows per territory *and* value first.  The shuffle is on both, so a
+  territory holding a third of the rows is spread over many tasks, and no task ever
+  holds a territory's values whole.
 * a free expression is whatever Spark aggregate the caller writes.
+
+A batch adds up partial results on the territory columns once, whatever territories and
+levels its specs ask for; filters and codes are applied to that small table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from comarca.functions.codes import category_eq, number
-from comarca.operators.quantiles import median_of_counts
-from comarca.operators.territory import geo_code, scope, source_columns
+from comarca.operators import quantiles
+from comarca.operators.territory import geo_code, scope, source_columns, territory_condition
 from comarca.sources.tables import GeoColumns
 from comarca.spec import COUNT, PERCENTAGES, SHEET_MEASURES, IndicatorSpec
 
 _MERGED = (COUNT, "mean", "sum", "std") + PERCENTAGES
-_BY_VALUE = ("median", "mode")
 _NUMERIC = ("mean", "sum", "std")
 
 
@@ -59,10 +64,10 @@ def _partials(rows: DataFrame, spec: IndicatorSpec, tag: str = "") -> list[Colum
 
 def _merge(partials: DataFrame, keys: Sequence[str], specs: Mapping[str, IndicatorSpec]
            ) -> DataFrame:
-    """Partial results added up per key (no keys: one row for everything).
-
-    Deviations need keys: their merge is centred on the mean of each key.
-    """
+    """Partial results added up per key (no keys: one row for everything)."""
+    if not keys and any(s.measure == "std" for s in specs.values()) and "_bucket" not in partials.columns:
+        # first to a bounded number of rows, each around its own centre
+        partials = _merge(partials.withColumn("_bucket", F.pmod(F.hash(*partials.columns), F.lit(256))), ["_bucket"], specs)
     merged = [F.sum("n").alias("n")]
     for tag, spec in specs.items():
         if spec.variable:
@@ -120,44 +125,52 @@ def _partials_by_source(rows: DataFrame, level: str, geo: GeoColumns,
     return raw.select(geo_code(level, geo).alias("geo_code"), *names)
 
 
-# --- medians and modes ----------------------------------------------------------
+# --- modes ----------------------------------------------------------------------
 
 def _counts_by_value(rows: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None
                      ) -> DataFrame:
     """(geo_code?, value, n, valid): rows and answers per territory and value.
 
-    Counted on the columns as they are stored, which are the cheapest keys; codes and
-    numbers are then derived on the counts.  Two spellings of a territory or a number
-    give two rows.  Without ``geo`` there is no territory.
+    Counted on the columns as they are stored, which are the cheapest keys; codes are
+    then derived on the counts.  Without ``geo`` there is no territory.
     """
     keys = source_columns(spec.level, geo) if geo else []
     variable = F.col(f"`{spec.variable}`")
     counts = rows.groupBy(*[F.col(f"`{c}`") for c in keys if c != spec.variable],
                           variable).agg(F.count(F.lit(1)).alias("n"))
-    value = number(rows, spec.variable) if spec.measure == "median" else variable
     code = [geo_code(spec.level, geo).alias("geo_code")] if geo else []
-    return counts.select(*code, value.alias("value"), "n",
+    return counts.select(*code, variable.alias("value"), "n",
                          F.when(variable.isNotNull(), F.col("n")).otherwise(0).alias("valid"))
 
 
-def _from_counts(counts: DataFrame, keys: list[str], measure: str) -> DataFrame:
+def _modes(counts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, valor, casos, n_total) from counts per value."""
     sizes = [F.coalesce(F.sum(c), F.lit(0)).alias(name)
              for c, name in (("n", "n_total"), ("valid", "casos"))]
-    if measure == "mode":
-        merged = counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"),
-                                                    F.sum("valid").alias("valid"))
-        best = F.min(F.when(F.col("value").isNotNull(),
-                            F.struct((-F.col("n")).alias("rank"), F.col("value"))))
-        return (merged.groupBy(*keys).agg(best.alias("best"), *sizes)
-                .withColumn("valor", F.col("best.value")).drop("best"))
-    found = median_of_counts(counts, keys).withColumn("q", F.round("q", 4))
-    totals = counts.groupBy(*keys).agg(*sizes)
-    if not keys:
-        return totals.withColumn("valor", found.select("q").scalar())
-    right = found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("q").alias("valor"))
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return totals.join(right, same, "left").drop(*[f"_{k}" for k in keys])
+    merged = counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"),
+                                                F.sum("valid").alias("valid"))
+    best = F.min(F.when(F.col("value").isNotNull(),
+                        F.struct((-F.col("n")).alias("rank"), F.col("value"))))
+    return (merged.groupBy(*keys).agg(best.alias("best"), *sizes)
+            .withColumn("valor", F.col("best.value")).drop("best"))
+
+
+# --- medians --------------------------------------------------------------------
+
+def _medians(rows: DataFrame, spec: IndicatorSpec, places: Sequence[str],
+             groups: Column, names: list[str]) -> DataFrame:
+    """(names, valor, casos, n_total) of groups made from the columns ``places``."""
+    variable = F.col(f"`{spec.variable}`")
+    found = quantiles.Histogram(rows, places, number(rows, spec.variable), variable.isNotNull())
+    return _with_quantile(found, groups, names, 0.5)
+
+
+def _with_quantile(found: quantiles.Histogram, groups: Column, names: list[str], p: float) -> DataFrame:
+    q = found.quantiles(groups, names, [p]).select(
+        *[F.col(n).alias(f"_{n}") for n in names], F.round("q", 4).alias("valor"))
+    same = reduce(and_, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
+    return (quantiles.sizes(found.sketch, groups, names).join(q, same, "left")
+            .drop(*[f"_{n}" for n in names]))
 
 
 # --- public operators -----------------------------------------------------------
@@ -178,9 +191,12 @@ def indicator(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None = None,
         rows = rows.filter(F.col(f"`{spec.variable}`").isNotNull())
     elif spec.measure == COUNT and spec.category is not None:
         rows = rows.filter(category_eq(rows, spec.variable, spec.category))
-    if spec.measure in _BY_VALUE:
-        found = _from_counts(_counts_by_value(rows, spec, geo), ["geo_code"], spec.measure)
-        return found.select("geo_code", "valor", "casos")
+    if spec.measure == "mode":
+        return _modes(_counts_by_value(rows, spec, geo), ["geo_code"]).select("geo_code", "valor", "casos")
+    if spec.measure == "median":
+        code = F.array(F.struct(geo_code(spec.level, geo).alias("geo_code")))
+        return (_medians(rows, spec, source_columns(spec.level, geo), code, ["geo_code"])
+                .select("geo_code", "valor", "casos"))
     specs = {"": spec}
     merged = _merge(_partials_by_source(rows, spec.level, geo, specs), ["geo_code"], specs)
     valor, casos, present = _value(spec)
@@ -188,6 +204,11 @@ def indicator(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None = None,
                                          casos.alias("casos"))
 
 
+def _at_least_one(found: DataFrame) -> DataFrame:
+    """The row of a whole, or one without a value where there are no rows."""
+    return found.agg(F.max("valor").alias("valor"), F.coalesce(F.max("casos"), F.lit(0)).alias("casos"))
+
+
 def reference_value(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None = None,
                     universe: Column | None = None) -> DataFrame:
     """The measure over the whole (filtered) territory: one row (valor, casos)."""
@@ -195,9 +216,11 @@ def reference_value(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None =
     if spec.expression is not None:
         return reference_expr(df, spec, geo, universe)
     rows = _scope(df, spec, geo, universe)
-    if spec.measure in _BY_VALUE:
-        counts = _counts_by_value(rows, spec, None)
-        return _from_counts(counts, [], spec.measure).select("valor", "casos")
+    if spec.measure == "mode":
+        return _modes(_counts_by_value(rows, spec, None), []).select("valor", "casos")
+    if spec.measure == "median":
+        found = _medians(rows, spec, [], *quantiles.whole()).select("valor", "casos")
+        return _at_least_one(found)
     aggs = [F.count(F.lit(1)).alias("n")] + _partials(rows, spec)
     valor, casos, _ = _value(spec)
     return rows.agg(*aggs).select(valor.alias("valor"), casos.alias("casos"))
@@ -225,13 +248,6 @@ def indicator_report(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None
     valor, casos, present = _value(spec) if spec.measure in _MERGED else (None,) * 3
     cols = lambda: [valor.alias("valor"), casos.alias("casos"), F.col("n").alias("n_total"),
                     (F.col("valid") if spec.variable else F.col("n")).alias("n_valid")]
-    if spec.measure == "std":
-        # Deviations of the whole do not follow from sums; a rollup keeps it one scan.
-        aggs = [F.count(F.lit(1)).alias("n")] + _partials(rows, spec)
-        coded = rows.withColumn("geo_code", geo_code(spec.level, geo))
-        both = coded.rollup("geo_code").agg(
-            (F.grouping("geo_code") == 1).alias("es_total"), *aggs)
-        return both.filter(present | F.col("es_total")).select("es_total", "geo_code", *cols())
     if spec.measure in _MERGED:
         specs = {"": spec}
         partials = _partials_by_source(rows, spec.level, geo, specs)
@@ -240,14 +256,18 @@ def indicator_report(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None
         whole = _merge(partials, [], specs).select(F.lit(True).alias("es_total"),
                                                    total_code, *cols())
         return per.unionByName(whole).select(*out)
-    counts = _counts_by_value(rows, spec, geo)
-    everywhere = counts.groupBy("value").agg(F.sum("n").alias("n"),
-                                             F.sum("valid").alias("valid"))
-    both = (counts.withColumn("es_total", F.lit(False))
-            .unionByName(everywhere.withColumns({"es_total": F.lit(True),
-                                                 "geo_code": total_code})))
-    return (_from_counts(both, ["es_total", "geo_code"], spec.measure)
-            .filter("casos > 0 OR es_total")
+    if spec.measure == "median":
+        groups = F.array(F.struct(F.lit(False).alias("es_total"), geo_code(spec.level, geo).alias("geo_code")),
+                         F.struct(F.lit(True).alias("es_total"), total_code))
+        both = _medians(rows, spec, source_columns(spec.level, geo), groups, ["es_total", "geo_code"])
+    else:
+        counts = _counts_by_value(rows, spec, geo)
+        everywhere = counts.groupBy("value").agg(F.sum("n").alias("n"),
+                                                 F.sum("valid").alias("valid"))
+        both = _modes(counts.withColumn("es_total", F.lit(False))
+                      .unionByName(everywhere.withColumns({"es_total": F.lit(True),
+                                                           "geo_code": total_code})), ["es_total", "geo_code"])
+    return (both.filter("casos > 0 OR es_total")
             .withColumn("n_valid", F.col("casos")).select(*out))
 
 
@@ -271,82 +291,159 @@ def reference_expr(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None =
     return scope(df, spec, geo or GeoColumns.of(df), universe).agg(*aggs)
 
 
+def _territories(rows: DataFrame, scopes: Sequence[tuple], geo: GeoColumns):
+    """Columns that say which of ``scopes`` (level, department, municipality, area) a row is
+    in, conditions of being in each, and each one's code."""
+    places: dict[str, None] = {}
+    conditions, codes = [], []
+    for level, department, municipality, area in scopes:
+        asked = territory_condition(rows, department, municipality, area, geo)
+        places.update(dict.fromkeys([*source_columns(level, geo), *(c for c, _ in asked)]))
+        conditions.append(reduce(and_, [c for _, c in asked], F.lit(True)))
+        codes.append(geo_code(level, geo))
+    return list(places), conditions, codes
+
+
+def _members(cells: Sequence[tuple[Column, dict[str, Column]]]) -> Column:
+    """The fields of all cells whose condition holds, as an array of structs."""
+    every = F.array(*[F.struct(F.coalesce(condition, F.lit(False)).alias("_in"), F.struct(*[c.alias(n) for n, c in fields.items()]).alias("_f"))
+                      for condition, fields in cells])
+    return F.transform(F.filter(every, lambda x: x["_in"]), lambda x: x["_f"])
+
+
 def indicator_batch(df: DataFrame, specs: Mapping[str, IndicatorSpec],
                     geo: GeoColumns | None = None,
                     universe: Column | None = None) -> DataFrame:
-    """Many indicators over the same rows: (indicador, geo_code, valor, casos).
-
-    All specs share level and territory filters.  Everything that merges is one
-    aggregation over one scan; medians share one more, modes another, and free
-    expressions another.  ``valor`` is DOUBLE; modes stand in one more column,
-    ``categoria``, which is there if any mode is asked for.
+    """Many indicators of one table: (indicador, geo_code, valor, casos).
+
+    Specs may differ in level, territory, area, variable and measure; year and table are
+    shared.  Everything that merges is one aggregation on the territory columns over one
+    scan, each (measure, variable, category) once, however many territories ask for it;
+    medians share one histogram, modes one count, and free expressions one aggregation.
+    ``valor`` is DOUBLE; modes stand in one more column, ``categoria``, which is there if
+    any mode is asked for.
     """
     geo = geo or GeoColumns.of(df)
-    shared = {(s.level, s.department, s.municipality, s.area, s.year, s.table)
-              for s in specs.values()}
-    if len(shared) != 1:
-        raise ValueError("batched indicators share level, filters, year and table")
+    if len({(s.year, s.table) for s in specs.values()}) != 1:
+        raise ValueError("batched indicators share year and table")
     one = next(iter(specs.values()))
-    rows = _scope(df, one, geo, universe)
+    rows = scope(df, IndicatorSpec(year=one.year, table=one.table), geo, universe)
+    for spec in specs.values():
+        if spec.expression is None and spec.measure in SHEET_MEASURES:
+            raise ValueError(f"{spec.measure} is a sheet measure: use sheet_batch")
+    scopes = list(dict.fromkeys((s.level, s.department, s.municipality, s.area) for s in specs.values()))
+    scope_of = {name: scopes.index((s.level, s.department, s.municipality, s.area)) for name, s in specs.items()}
+    places, conditions, codes = _territories(rows, scopes, geo)
+    if all(any(x is not None for x in s[1:]) for s in scopes):
+        rows = rows.filter(reduce(or_, conditions))    # what no spec asks for is not read
+    place = [F.col(f"`{c}`") for c in places]
+    scoped = _members([(conditions[k], {"_scope": F.lit(k), "_code": codes[k]}) for k in range(len(scopes))])
     parts = []
-    merging = {f"_{i}": (name, s) for i, (name, s) in enumerate(specs.items())
-               if s.expression is None and s.measure in _MERGED}
+
+    def named(kind):
+        return {name: s for name, s in specs.items()
+                if (s.expression is not None if kind == "free" else s.expression is None and s.measure in kind)}
+
+    def own(cells):
+        """The cells of the specs that a row's scope is asked for by."""
+        return F.filter(F.array(*cells), lambda c: (c["_scope"] == F.col("_scope")) & c["present"])
+
+    merging = named(_MERGED)
     if merging:
-        tagged = {tag: s for tag, (_, s) in merging.items()}
-        merged = _merge(_partials_by_source(rows, one.level, geo, tagged),
-                        ["geo_code"], tagged)
+        tags: dict[tuple, str] = {}
+        for s in merging.values():
+            tags.setdefault((s.measure, s.variable, s.category), f"_{len(tags)}")
+        tagged = {tags[s.measure, s.variable, s.category]: s for s in merging.values()}
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for tag, s in tagged.items():
+            aggs += _partials(rows, s, tag)
+        raw = rows.groupBy(*place).agg(*aggs)
+        merged = _merge(raw.select(F.inline(scoped), *[c for c in raw.columns if c not in places]), ["_scope", "_code"], tagged)
         cells = []
-        for tag, (name, s) in merging.items():
-            valor, casos, present = _value(s, tag)
-            cells.append(F.struct(F.lit(name).alias("indicador"), valor.alias("valor"),
+        for name, s in merging.items():
+            valor, casos, present = _value(s, tags[s.measure, s.variable, s.category])
+            cells.append(F.struct(F.lit(name).alias("indicador"), F.lit(scope_of[name]).alias("_scope"), valor.alias("valor"),
                                   casos.alias("casos"), present.alias("present")))
-        parts.append(merged.select("geo_code", F.explode(F.array(*cells)).alias("c"))
-                     .filter("c.present")
+        parts.append(merged.select(F.col("_code").alias("geo_code"), F.explode(own(cells)).alias("c"))
                      .select("c.indicador", "geo_code", "c.valor", "c.casos"))
-    free = {name: s for name, s in specs.items() if s.expression is not None}
+    free = named("free")
     if free:
         cells = F.array(*[F.struct(
-            F.lit(name).alias("indicador"), F.expr(s.expression).cast("double").alias("valor"),
+            F.lit(name).alias("indicador"), F.lit(scope_of[name]).alias("_own"), F.expr(s.expression).cast("double").alias("valor"),
             (F.expr(s.cases_expression).cast("bigint") if s.cases_expression else F.lit(None).cast("bigint")).alias("casos"))
             for name, s in free.items()])
-        parts.append(rows.groupBy(geo_code(one.level, geo).alias("geo_code")).agg(cells.alias("c"))
-                     .select("geo_code", F.inline("c")).select("indicador", "geo_code", "valor", "casos"))
-    modes = {name: s for name, s in specs.items() if s.expression is None and s.measure == "mode"}
+        asked = sorted({scope_of[name] for name in free})
+        scopes_asked = _members([(conditions[k], {"_scope": F.lit(k), "_code": codes[k]}) for k in asked])
+        parts.append(rows.select("*", F.inline(scopes_asked)).groupBy("_scope", "_code").agg(cells.alias("c"))
+                     .select("_scope", F.col("_code").alias("geo_code"), F.inline("c")).filter("_scope = _own")
+                     .select("indicador", "geo_code", "valor", "casos"))
+
+    def by_variable(chosen):
+        """Variables, the number of each, and the groups of a place and variable number."""
+        variables = list(dict.fromkeys(s.variable for s in chosen.values()))
+        return variables, _members([((F.col("_var") == variables.index(s.variable)) & conditions[scope_of[name]],
+                                     {"indicador": F.lit(name), "geo_code": codes[scope_of[name]]}) for name, s in chosen.items()])
+
+    modes = named(("mode",))
     if modes:
         # a value keeps its own order (the smallest wins a tie) beside its text
-        cells = F.array(*[F.struct(F.lit(name).alias("indicador"), number(rows, s.variable).alias("order"),
-                                   F.col(f"`{s.variable}`").cast("string").alias("value")) for name, s in modes.items()])
-        places = source_columns(one.level, geo)
-        counts = (rows.select(*[F.col(f"`{c}`") for c in places], F.inline(cells)).filter("value IS NOT NULL")
-                  .groupBy(*[f"`{c}`" for c in places], "indicador", "order", "value").agg(F.count(F.lit(1)).alias("n"))
-                  .groupBy("indicador", geo_code(one.level, geo).alias("geo_code"), "order", "value").agg(F.sum("n").alias("n")))
+        variables, groups = by_variable(modes)
+        cells = F.array(*[F.struct(F.lit(j).alias("_var"), number(rows, v).alias("order"), F.col(f"`{v}`").cast("string").alias("value"))
+                          for j, v in enumerate(variables)])
+        counts = (rows.select(*place, F.inline(cells)).filter("value IS NOT NULL")
+                  .groupBy(*place, "_var", "order", "value").agg(F.count(F.lit(1)).alias("n"))
+                  .select(F.inline(groups), "order", "value", "n")
+                  .groupBy("indicador", "geo_code", "order", "value").agg(F.sum("n").alias("n")))
         best = F.min_by("value", F.struct(-F.col("n"), "order", "value"))
         parts.append(counts.groupBy("indicador", "geo_code").agg(best.alias("categoria"), F.sum("n").alias("casos"))
                      .select("indicador", "geo_code", F.lit(None).cast("double").alias("valor"), "casos", "categoria"))
-    medians = {name: s for name, s in specs.items() if s.expression is None and s.measure == "median"}
+    medians = named(("median",))
     if medians:
-        cells = F.array(*[F.struct(F.lit(name).alias("indicador"),
-                                   number(rows, s.variable).alias("value"),
-                                   F.col(f"`{s.variable}`").isNotNull().alias("answered"))
-                          for name, s in medians.items()])
-        places = source_columns(one.level, geo)
-        counts = (rows.select(*[F.col(f"`{c}`") for c in places], F.inline(cells))
-                  .filter("answered").groupBy(*[f"`{c}`" for c in places],
-                                              "indicador", "value")
-                  .agg(F.count(F.lit(1)).alias("n"))
-                  .select("indicador", geo_code(one.level, geo).alias("geo_code"),
-                          "value", "n"))
-        keys = ["indicador", "geo_code"]
-        found = median_of_counts(counts, keys).select(
-            F.col("indicador").alias("_i"), F.col("geo_code").alias("_g"),
-            F.round("q", 4).alias("valor"))
-        sizes = counts.groupBy(*keys).agg(F.sum("n").alias("casos"))
-        parts.append(sizes.join(found, (F.col("indicador") == F.col("_i"))
-                                & F.col("geo_code").eqNullSafe(F.col("_g")), "left")
-                     .select("indicador", "geo_code", "valor", "casos"))
+        variables, groups = by_variable(medians)
+        cells = F.array(*[F.struct(F.lit(j).alias("_var"), number(rows, v).alias("_x"), F.col(f"`{v}`").isNotNull().alias("_answered"))
+                          for j, v in enumerate(variables)])
+        answers = rows.select(*place, F.inline(cells)).filter("_answered")
+        found = quantiles.Histogram(answers, [*places, "_var"], F.col("_x"), F.lit(True))
+        parts.append(_with_quantile(found, groups, ["indicador", "geo_code"], 0.5).select("indicador", "geo_code", "valor", "casos"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+#: Levels of ``approximate_quantiles`` from the smallest up; the last is the whole table.
+ROLLED_UP = ("unidad", "municipio", "departamento", "total")
+
+
+def approximate_quantiles(df: DataFrame, spec: IndicatorSpec, probs: Sequence[float] = (0.5,), accuracy: float = 0.01,
+                          geo: GeoColumns | None = None, universe: Column | None = None) -> DataFrame:
+    """Quantiles within a share ``accuracy`` of the value: (nivel, geo_code, prob, valor, casos).
+
+    One scan makes a sketch per territory of ``spec.level``; all levels above and the whole
+    (nivel ``total``, geo_code NULL) are merged from it.  For values of one sign, valor is
+    at most accuracy × |exact| from the exact interpolated quantile; where the two values it
+    lies between differ in sign, accuracy × the larger of their sizes.
+    """
+    geo = geo or GeoColumns.of(df)
+    rows = _scope(df, spec, geo, universe)
+    levels = [lv for lv in ROLLED_UP[ROLLED_UP.index(spec.level):] if lv == "total" or _has_level(lv, geo)]
+    code = {lv: F.lit(None).cast("string") if lv == "total" else geo_code(lv, geo) for lv in levels}
+    places = list(dict.fromkeys(c for lv in levels if lv != "total" for c in source_columns(lv, geo)))
+    groups = F.array(*[F.struct(F.lit(lv).alias("nivel"), code[lv].alias("geo_code")) for lv in levels])
+    names, x = ["nivel", "geo_code"], number(rows, spec.variable)
+    sketches = quantiles.sketch(rows.filter(F.col(f"`{spec.variable}`").isNotNull()), places, x, quantiles.per_octave_for(accuracy))
+    found = quantiles.estimates(sketches, groups, names, probs).select(F.col("nivel").alias("_l"), F.col("geo_code").alias("_g"), "i", "q")
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    return (quantiles.sizes(sketches, groups, names)
+            .join(found, (F.col("nivel") == F.col("_l")) & F.col("geo_code").eqNullSafe(F.col("_g")))
+            .select("nivel", "geo_code", F.get(ps, F.col("i")).alias("prob"), F.col("q").alias("valor"), "casos"))
+
+
+def _has_level(level: str, geo: GeoColumns) -> bool:
+    try:
+        source_columns(level, geo)
+    except ValueError:
+        return False
+    return True
+
+
 def coverage(df: DataFrame, variables: Sequence[str],
              by: Sequence[Column | str] = ()) -> DataFrame:
     """Rows and rows with an answer for many variables, in one pass.

@@ -61,16 +61,11 @@ def with_geo_code(df: DataFrame, level: str, geo: GeoColumns | None = None) -> D
     return df.withColumn("geo_code", geo_code(level, geo or GeoColumns.of(df)))
 
 
-def filter_territory(df: DataFrame, department=None, municipality=None, area=None,
-                     geo: GeoColumns | None = None, ignore_missing: bool = False) -> DataFrame:
-    """Rows of one department or one municipality, and of one area.
-
-    Codes compare as integers, so ``'3'``, ``'03'`` and ``3`` are one code.  A
-    municipality replaces the department and needs all three columns.  A department or
-    area filter on a table without that column is an error; with ``ignore_missing`` it
-    has no effect.
-    """
+def territory_condition(df: DataFrame, department=None, municipality=None, area=None,
+                        geo: GeoColumns | None = None, ignore_missing: bool = False) -> list[tuple[str, Column]]:
+    """What ``filter_territory`` asks of a row: (column, condition on it) for each column."""
     geo = geo or GeoColumns.of(df)
+    asked = []
     if municipality is not None:
         code = str(municipality).strip().zfill(6)
         parts = zip((geo.department, geo.province, geo.municipality),
@@ -79,19 +74,33 @@ def filter_territory(df: DataFrame, department=None, municipality=None, area=Non
             if column is None:
                 raise ValueError("a municipality filter needs department, province "
                                  "and municipality columns")
-            df = df.filter(int_code(df, column) == F.lit(int(value)))
+            asked.append((column, int_code(df, column) == F.lit(int(value))))
     elif department is not None and not geo.department:
         if not ignore_missing:
             raise ValueError("a department filter needs a department column")
     elif department is not None:
-        df = df.filter(int_code(df, geo.department) == F.lit(int(str(department))))
+        asked.append((geo.department, int_code(df, geo.department) == F.lit(int(str(department)))))
     if area is not None:
         if str(area).lower() not in AREAS:
             raise ValueError(f"unknown area {area!r}")
         if not geo.area and not ignore_missing:
             raise ValueError("an area filter needs an area column")
         if geo.area:
-            df = df.filter(int_code(df, geo.area) == F.lit(AREAS[str(area).lower()]))
+            asked.append((geo.area, int_code(df, geo.area) == F.lit(AREAS[str(area).lower()])))
+    return asked
+
+
+def filter_territory(df: DataFrame, department=None, municipality=None, area=None,
+                     geo: GeoColumns | None = None, ignore_missing: bool = False) -> DataFrame:
+    """Rows of one department or one municipality, and of one area.
+
+    Codes compare as integers, so ``'3'``, ``'03'`` and ``3`` are one code.  A
+    municipality replaces the department and needs all three columns.  A department or
+    area filter on a table without that column is an error; with ``ignore_missing`` it
+    has no effect.
+    """
+    for _, condition in territory_condition(df, department, municipality, area, geo, ignore_missing):
+        df = df.filter(condition)
     return df
 
 

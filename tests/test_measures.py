@@ -125,8 +125,54 @@ def test_batch_equals_one_by_one(people):
             {r.geo_code: (r.valor, r.casos)
              for r in measures.indicator(people, spec).collect()}
     with pytest.raises(ValueError):
-        measures.indicator_batch(people, {"a": IndicatorSpec(),
-                                          "b": IndicatorSpec("municipio")})
+        measures.indicator_batch(people, {"a": IndicatorSpec(year=2012, table="personas"), "b": IndicatorSpec(year=2024, table="personas")})
+    with pytest.raises(ValueError):
+        measures.indicator_batch(people, {"a": IndicatorSpec(measure="total", variable="agro")})
+
+
+def test_batch_over_territories_and_levels(people):
+    kinds = [dict(), dict(variable="sexo", category="1"), dict(measure="mean", variable="edad"), dict(measure="std", variable="edad"),
+             dict(measure="sum", variable="agro"), dict(measure="pct_total", variable="agro", category=1),
+             dict(measure="median", variable="edad"), dict(measure="median", variable="agro"), dict(measure="mode", variable="sexo"),
+             dict(expression="count(DISTINCT sexo) + 0D", cases_expression="count(*)")]
+    scopes = [dict(level="departamento"), dict(level="municipio"), dict(level="municipio", department="1"),
+              dict(level="departamento", municipality="10102"), dict(level="municipio", municipality="020101"), dict(level="municipio", department="9")]
+    specs = {f"{i}-{j}": IndicatorSpec(**scope, **kind) for i, scope in enumerate(scopes) for j, kind in enumerate(kinds)}
+    got = measures.indicator_batch(people, specs).collect()
+    for name, spec in specs.items():
+        value = (lambda r: r.categoria) if spec.measure == "mode" else (lambda r: r.valor)
+        want = {r.geo_code: (r.valor, r.casos) for r in measures.indicator(people, spec).collect()}
+        assert {r.geo_code: (value(r), r.casos) for r in got if r.indicador == name} == want, name
+
+
+def test_a_batch_of_filtered_specs_reads_only_their_territories(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    geo = GeoColumns(department="l_linenumber")
+    specs = {str(d): IndicatorSpec(measure=m, variable="l_quantity", department=d) for d in (1, 2) for m in ("mean", "std")}
+    text = measures.indicator_batch(line, specs, geo)._jdf.queryExecution().executedPlan().toString()
+    assert "Or(EqualTo(l_linenumber,1),EqualTo(l_linenumber,2))" in text or "In(l_linenumber" in text
+
+
+@pytest.mark.parametrize("accuracy", [0.2, 0.01, 0.0005])
+def test_sketches_merge_upwards_within_their_accuracy(spark, accuracy):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = [(int(d), int(p), 1, float(v)) for d in range(3) for p in range(4) for v in rng.lognormal(d, 2, 150 + 40 * p)]
+    rows += [(7, 1, 1, -5.0), (7, 1, 1, -3.0), (7, 2, 1, 0.0), (8, 1, 1, None)]
+    df = spark.createDataFrame(rows, "idep int, iprov int, imun int, v double")
+    probs = [0.0, 0.1, 0.5, 0.93, 1.0]
+    got = measures.approximate_quantiles(df, IndicatorSpec("municipio", "median", "v"), probs, accuracy).collect()
+    seen = set()
+    for r in got:
+        own = [v for d, p, m, v in rows if v is not None and (
+            r.nivel == "total" or r.geo_code == (f"{d:02d}" if r.nivel == "departamento" else f"{d:02d}{p:02d}{m:02d}"))]
+        assert r.casos == len(own)
+        near = np.quantile(own, [r.prob], method="lower")[0], np.quantile(own, [r.prob], method="higher")[0]
+        assert abs(r.valor - np.quantile(own, r.prob)) <= accuracy * max(map(abs, near)) * (1 + 1e-9)
+        seen.add((r.nivel, r.geo_code))
+    assert len(got) == len(seen) * len(probs) and len(seen) == 14 + 4 + 1
+    with pytest.raises(ValueError):
+        measures.approximate_quantiles(df, IndicatorSpec("municipio", "median", "v"), probs, 0)
 
 
 def test_filters(people):

@@ -14,6 +14,7 @@ def local_session(cpus: int | str | None = None) -> SparkSession:
              .config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "12g")
              .config("spark.sql.shuffle.partitions", "8")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack traces with columns
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.driver.extraJavaOptions", f"-Djava.io.tmpdir={tempfile.gettempdir()}")

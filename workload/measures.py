@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from comarca.operators import classify, measures, sheets
+from comarca.operators import classify, measures, quantiles, sheets
 from comarca.operators.layers import with_names
+from comarca.operators.territory import geo_code
 from comarca.sources.tables import GeoColumns
 from comarca.spec import IndicatorSpec
 from workload import tables as t
@@ -361,6 +362,60 @@ def indicator_batch(spark, d):
     return measures.indicator_batch(t.persons(spark, d), specs)
 
 
+# Twenty municipalities × three measures, beside two levels over everything: one aggregation.
+MANY = tuple(f"0000{i:02d}" for i in range(1, 21))
+OVER_TERRITORIES = {
+    "ingreso_medio": (dict(measure="mean", variable="ingreso"), "round(avg(ingreso), 4)", "count(ingreso)"),
+    "edad_desv": (dict(measure="std", variable="edad"), "round(stddev(edad), 4)", "count(edad)"),
+    "jovenes": (dict(measure="pct_category", variable="sexo", category="1"),
+                "round(100.0 * count(*) FILTER (WHERE sexo = 1) / count(*), 2)", "count(*)"),
+}
+WIDE = {
+    "conteo_dep": (dict(level="departamento"), DEP, "TRUE", "CAST(count(*) AS DOUBLE)", "count(*)"),
+    "edad_media_mun": (dict(level="municipio", department="0", measure="mean", variable="edad"), MUN, "idep = 0",
+                       "round(avg(edad), 4)", "count(edad)"),
+    "edad_mediana_dep": (dict(level="departamento", measure="median", variable="edad"), DEP, "TRUE",
+                         "round(median(CAST(edad AS DOUBLE)), 4)", "count(edad)"),
+    "ingreso_mediana_mun": (dict(level="municipio", municipality="000007", measure="median", variable="ingreso"), MUN,
+                            "idep = 0 AND iprov = 0 AND imun = 7", "round(median(ingreso), 4)", "count(ingreso)"),
+    "libre_dep": (dict(level="departamento", expression="round(100D * count_if(edad < 15) / count(*), 6)", cases_expression="count(*)"),
+                  DEP, "TRUE", "round(100.0::DOUBLE * count(*) FILTER (WHERE edad < 15) / count(*), 6)", "count(*)"),
+}
+
+
+@query("batch_over_territories", with_views("residentes") + " UNION ALL ".join(
+    [f"SELECT '{name}-' || {MUN} AS indicador, {MUN} AS geo_code, {v} AS valor, {c} AS casos FROM residentes "
+     "WHERE idep = 0 AND iprov = 0 AND imun BETWEEN 1 AND 20 GROUP BY ALL" for name, (_, v, c) in OVER_TERRITORIES.items()]
+    + [f"SELECT '{name}', {code}, {v}, {c} FROM residentes WHERE {where} GROUP BY ALL" for name, (_, code, where, v, c) in WIDE.items()]))
+def batch_over_territories(spark, d):
+    specs = {f"{name}-{code}": IndicatorSpec("municipio", municipality=code, **kw)
+             for name, (kw, _, _) in OVER_TERRITORIES.items() for code in MANY}
+    specs |= {name: IndicatorSpec(**kw) for name, (kw, *_) in WIDE.items()}
+    return measures.indicator_batch(t.residents(spark, d), specs)
+
+
+LEVELS = {"municipio": MUN, "departamento": DEP, "total": "NULL::VARCHAR"}
+
+
+@query("approximate_quantiles", with_views("residentes") + " UNION ALL ".join(
+    f"SELECT '{level}' AS nivel, {code} AS geo_code, {p}::DOUBLE AS prob, count(*) AS casos, "
+    f"round(quantile_cont(ingreso, {p}), 4) AS exacto, TRUE AS dentro FROM residentes GROUP BY ALL"
+    for level, code in LEVELS.items() for p in (0.5, 0.9)))
+def approximate_quantiles(spark, d):
+    """One sketch, three levels, beside the exact quantiles: within one per cent everywhere."""
+    rows, accuracy, probs = t.residents(spark, d), 0.01, [0.5, 0.9]
+    near = measures.approximate_quantiles(rows, IndicatorSpec("municipio", "median", "ingreso"), probs, accuracy)
+    geo = GeoColumns.of(rows)
+    places = ["idep", "iprov", "imun"]
+    codes = {"municipio": geo_code("municipio", geo), "departamento": geo_code("departamento", geo), "total": F.lit(None).cast("string")}
+    groups = F.array(*[F.struct(F.lit(level).alias("l"), code.alias("g")) for level, code in codes.items()])
+    exact = quantiles.Histogram(rows, places, F.col("ingreso")).quantiles(groups, ["l", "g"], probs)
+    exact = exact.select("l", "g", F.get(F.array(*map(F.lit, probs)), F.col("i")).alias("p"), "q")
+    inside = F.abs(F.col("valor") - F.col("q")) <= accuracy * F.abs("q") + F.abs("q") * 1e-12
+    return (near.join(exact, (F.col("nivel") == F.col("l")) & F.col("geo_code").eqNullSafe(F.col("g")) & (F.col("prob") == F.col("p")))
+            .select("nivel", "geo_code", "prob", "casos", F.round("q", 4).alias("exacto"), inside.alias("dentro")))
+
+
 @query("skewed_unit_median", """
 SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'centro' ELSE CAST(l_suppkey AS VARCHAR) END
          AS geo_code, round(median(l_extendedprice), 4) AS valor,
