@@ -9,7 +9,8 @@ limits are merged, so no class is empty of width):
 * ``equal``     equal widths
 * ``quantile``  interpolated quantiles (position p·(n-1)), exact
 * ``stddev``    mean ± half-integer multiples of the population standard deviation
-* ``jenks``     least squared deviation within classes, limits are class maxima
+* ``jenks``     least squared deviation within classes (no other limits have less), limits are
+  class maxima
 
 ``jenks`` and ``quantile`` count the distinct values when they are called (their limits
 depend on them); the others only declare a plan.
@@ -31,8 +32,6 @@ from comarca.spec import IndicatorSpec
 
 JENKS_BINS = 256         # equal bins between minimum and maximum, to begin with
 _PARTS = 8               # of a bin that is looked at more closely
-_REACH = 8               # bins on either side of a limit that are
-_WEIGHT = 1e-4           # a bin of more than this share of the deviation is split too
 
 
 def _numbers(result: DataFrame, value: str) -> DataFrame:
@@ -48,6 +47,8 @@ def class_edges(result: DataFrame, method: str = "jenks", n_classes: int = CLASS
     if method not in CLASSIFICATIONS:
         raise ValueError(f"unknown classification {method!r}; use one of {CLASSIFICATIONS}")
     counts = _numbers(result, value)
+    if method in ("quantile", "jenks"):
+        counts = cut(counts)     # what follows reads this, not the result
     distinct = counts.agg(F.count(F.lit(1)).alias("k")).scalar()
     weight, v = F.col("n").cast("double"), F.col("v")
     mean = F.sum(v * weight) / F.sum(weight)
@@ -59,7 +60,6 @@ def class_edges(result: DataFrame, method: str = "jenks", n_classes: int = CLASS
     if method == "equal":
         cuts = F.transform(F.sequence(F.lit(1), k), lambda i: low + i * ((high - low) / k))
     elif method == "quantile":
-        counts = cut(counts)
         n = min(counts.count(), n_classes)
         found = quantiles(counts, [], F.col("v"), [i / n for i in range(1, n)] or [0.5], F.col("n"))
         summary = summary.withColumn("cuts", found.agg(F.collect_list("q").alias("q")).scalar())
@@ -71,94 +71,163 @@ def class_edges(result: DataFrame, method: str = "jenks", n_classes: int = CLASS
         cuts = F.transform(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))),
                            lambda i: F.col("mean") + (i - k / 2) * F.col("sd"))
     else:
-        cuts = F.array(*map(F.lit, _jenks_cuts(cut(counts), n_classes))).cast("array<double>")
+        cuts = F.array(*map(F.lit, _jenks_cuts(counts, n_classes))).cast("array<double>")
     inside = F.filter(F.coalesce(cuts, nothing), lambda c: (c > low) & (c < high) & (k > 1))
     all_edges = F.array_sort(F.array_distinct(F.concat(F.array(low, high), inside)))
     return summary.select(F.when(low.isNull(), nothing).otherwise(all_edges).alias("edges"))
 
 
 def _jenks_cuts(counts: DataFrame, n_classes: int, bins: int = JENKS_BINS) -> list[float]:
-    """Inner Jenks limits of (v, n).
+    """Inner Jenks limits of (v, n): no other limits have less squared deviation.
 
-    The values are summarised in bins (weight, mean, squared deviation) and the bins are
-    classed.  Bins around a limit found that hold more than one value are split in parts,
-    as are bins that hold a share of all deviation, until neither is left; then each limit
-    is the largest value of its class, and no other place near it is better.  The same steps for ten values and for ten
-    million; the driver sees bins (a few thousand), never values.
+    The values are summarised in bins (ends, weight, mean, squared deviation).  Cuts
+    between bins give the deviation that has to be beaten; a lower bound says for each bin
+    whether a cut inside it could beat it.  The bins where one could are split in parts,
+    until there are none with two values: then the cuts found are the best of all.  The
+    driver sees bins, never values, and far from the cuts they stay as they are.
     """
     counts = counts.filter(F.abs("v") < float("inf"))
     ends = counts.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
     if ends.low is None:
         return []
-    at = counts.withColumns({"low": F.lit(ends.low), "width": F.lit((ends.high - ends.low) / bins or 1.0),
-                             "parts": F.lit(bins), "bin": F.lit(0)})
-    done, rows = 1, {}
+    at = counts.withColumns({"low": F.lit(ends.low), "high": F.lit(ends.high), "parts": F.lit(bins), "bin": F.lit(0)})
+    done, rows = 0, {}
     while True:
-        part = F.least(F.floor((F.col("v") - F.col("low")) / F.col("width")), F.col("parts") - 1).cast("int")
-        at = at.withColumn("bin", F.when(F.col("parts") > 1, F.lit(done) + F.col("bin") * bins + part).otherwise(F.col("bin")))
+        # halves, so that the width of the widest bin is finite
+        share = F.try_divide(F.col("v") / 2 - F.col("low") / 2, F.col("high") / 2 - F.col("low") / 2)
+        part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("parts")), F.col("parts") - 1).cast("int")
+        at = at.withColumn("bin", F.lit(done) + F.col("bin") * F.col("parts") + part)
         w, v = F.col("n").cast("double"), F.col("v")
-        new = (at.filter("parts > 1").withColumn("ref", F.col("low") + (part + 0.5) * F.col("width"))
+        new = (at.withColumn("ref", F.col("low") / 2 + F.col("high") / 2)
                .groupBy("bin").agg(
                    F.min("v").alias("from"), F.max("v").alias("to"), F.sum(w).alias("w"), F.max("ref").alias("ref"),
                    F.sum((v - F.col("ref")) * w).alias("s1"), F.sum((v - F.col("ref")) * (v - F.col("ref")) * w).alias("s2")).collect())
         for r in new:
-            mean = r.ref + r.s1 / r.w
-            rows[r.bin] = (r["from"], r["to"], r.w, mean, max(r.s2 - r.s1 * r.s1 / r.w, 0.0))
+            mean = min(max(r.ref + r.s1 / r.w, r["from"]), r["to"])
+            rows[r.bin] = (r["from"], r["to"], r.w, mean, max(r.s2 - r.s1 * r.s1 / r.w, 0.0) if r["from"] < r["to"] else 0.0)
         ids = sorted(rows, key=lambda b: rows[b][1])
         table = np.array([rows[b] for b in ids])
-        limits, cost = _least_squares_limits(table[:, 1], table[:, 2], table[:, 3], table[:, 4], n_classes)
-        many = (table[:, 1] - table[:, 0]) / _PARTS > 0
-        near = {i for e in limits for i in range(max(0, e - _REACH), min(len(ids), e + _REACH))}
-        heavy = np.flatnonzero(many & (table[:, 4] > _WEIGHT * cost))
-        heavy = heavy[np.argsort(-table[heavy, 4])][:bins // 2]
-        split = [ids[i] for i in sorted(near | set(heavy.tolist())) if many[i]]
+        limits, _ = _least_squares_limits(table[:, 1], table[:, 2], table[:, 3], table[:, 4], n_classes)
+        better = _could_be_better(table, n_classes) & (table[:, 0] < table[:, 1])
+        split = [ids[i] for i in np.flatnonzero(better)]
         if not split:
             return [float(table[e - 1, 1]) for e in limits]
-        # at most a few hundred rows: bins to split, by construction
         done = max(ids) + 1
-        parts = [(b, n, rows[b][0], (rows[b][1] - rows[b][0]) / _PARTS, _PARTS) for n, b in enumerate(split)]
+        parts = [(b, n, rows[b][0], rows[b][1], _PARTS) for n, b in enumerate(split)]
         for b in split:
             del rows[b]
-        small = counts.sparkSession.createDataFrame(parts, "_b int, _n int, low double, width double, parts int")
-        at = (at.drop("low", "width", "parts").join(F.broadcast(small), F.col("bin") == F.col("_b"))
-              .select("v", "n", "low", "width", "parts", F.col("_n").alias("bin")))
+        small = counts.sparkSession.createDataFrame(parts, "_b int, _n int, low double, high double, parts int")  # bins to split
+        at = cut(at.drop("low", "high", "parts").join(F.broadcast(small), F.col("bin") == F.col("_b"))
+                 .select("v", "n", "low", "high", "parts", F.col("_n").alias("bin")))
+
+
+class _Moments:
+    """Weights, means and squared deviations of neighbouring bins, by running sums."""
+
+    def __init__(self, w, mean, m2):
+        self.w, self.m2 = np.asarray(w, np.longdouble), np.asarray(m2, np.longdouble)
+        self.x = np.asarray(mean, np.longdouble)
+        self.x = self.x - (self.w * self.x).sum() / self.w.sum()
+        self.weight, self.first, self.second = (np.concatenate([[np.longdouble(0)], np.cumsum(c)])
+                                                for c in (self.w, self.w * self.x, self.w * self.x ** 2 + self.m2))
+
+    def cost(self, start, end):
+        """Squared deviation of bins start..end-1 (arrays allowed; 0 of none)."""
+        weight = self.weight[end] - self.weight[start]
+        first = self.first[end] - self.first[start]
+        spread = self.second[end] - self.second[start] - first ** 2 / np.where(weight > 0, weight, 1)
+        return np.where(weight > 0, np.maximum(spread, 0), 0)
 
 
 def _least_squares_limits(top, w, mean, m2, n_classes: int) -> tuple[list[int], float]:
-    """Where classes of least squared deviation end (numbers of bins), and that deviation."""
+    """Where classes of least squared deviation end (numbers of bins), and that deviation.
+
+    Divide and conquer: the best start of a last class moves one way only as its end does, so
+    a layer costs n log n.
+    """
     size = len(top)
     k = min(n_classes, size)
-    x = mean - np.average(mean, weights=w)
-    weight, first, second = (np.concatenate([[0.0], np.cumsum(c)]) for c in (w, w * x, w * x * x + m2))
-
-    def cost(start, end):
-        """Squared deviation of bins start..end-1 (arrays of starts allowed)."""
-        return second[end] - second[start] - (first[end] - first[start]) ** 2 / (weight[end] - weight[start])
-
-    best = np.array([0.0] + [cost(0, e) for e in range(1, size + 1)])
+    sums = _Moments(w, mean, m2)
+    best = np.concatenate([[np.longdouble(0)], sums.cost(np.zeros(size, int), np.arange(1, size + 1))])
     came = []
     for classes in range(2, k + 1):
-        nxt, back = np.full(size + 1, np.inf), np.zeros(size + 1, int)
-        for end in range(classes, size + 1):
-            starts = np.arange(classes - 1, end)
-            total = best[starts] + cost(starts, end)
+        nxt, back = np.full(size + 1, np.inf, np.longdouble), np.zeros(size + 1, int)
+        todo = [(classes, size, classes - 1, size - 1)]
+        while todo:
+            lo, hi, first, last = todo.pop()
+            if lo > hi:
+                continue
+            end = (lo + hi) // 2
+            starts = np.arange(first, min(last, end - 1) + 1)
+            total = best[starts] + sums.cost(starts, end)
             pick = int(np.argmin(total))
             nxt[end], back[end] = total[pick], starts[pick]
+            todo += [(lo, end - 1, first, starts[pick]), (end + 1, hi, starts[pick], last)]
         came.append(back)
         best = nxt
     ends, end = [], size
     for back in reversed(came):
         end = int(back[end])
         ends.append(end)
-    return sorted(ends), max(float(best[size]), 0.0)
+    return sorted(ends), float(max(best[size], 0))
+
+
+def _could_be_better(table: np.ndarray, n_classes: int) -> np.ndarray:
+    """Bins (from, to, w, mean, m2) inside which a cut could beat all cuts between bins.
+
+    Of a bin that is cut, p goes to the class before and the rest to the one after.  Added to
+    a class of weight W below the bin, p costs at least p W / (p + W) times the square of the
+    distance from the class's mean to the bin's lower end, and the same from above; both are
+    concave in p, so their sum is least where all of the bin goes one way, as if at that end.
+    A class with both its outer bins at the near ends therefore costs no less than any way to
+    cut inside them, and the best classes of that kind with a limit at a place bound all
+    solutions with a cut in the bins beside it.
+    """
+    low, high, w, mean, m2 = table.T
+    size = len(w)
+    k = min(n_classes, size)
+    if k < 2:
+        return np.zeros(size, bool)
+    sums = _Moments(w, mean, m2)
+    shift = np.longdouble((w.astype(np.longdouble) * mean).sum() / w.sum(dtype=np.longdouble))
+    near_low, near_high = low - shift, high - shift      # of its last bin, of its first bin
+    _, target = _least_squares_limits(high, w, mean, m2, n_classes)
+
+    def relaxed(start, end):
+        """Least cost of a class of bins start..end-1 whose outer bins may be cut."""
+        a = start + (start > 0)                          # bins that are surely whole: a..b-1
+        b = end - (end < size)
+        inner = np.where(b > a, sums.weight[np.maximum(b, a)] - sums.weight[a], 0)
+        centre = np.where(inner > 0, (sums.first[np.maximum(b, a)] - sums.first[a]) / np.where(inner > 0, inner, 1), 0)
+        cost = sums.cost(a, np.maximum(b, a))
+        for outer, edge, there in ((start, near_high, start > 0), (end - 1, near_low, end < size)):
+            joined = np.where(there & (inner > 0), sums.w[outer] * inner / (sums.w[outer] + inner) * (edge[outer] - centre) ** 2, 0)
+            cost = cost + joined
+        return cost.astype(float)
+
+    # by where they end or begin, for every number of classes
+    ahead, behind = np.full((k + 1, size + 1), np.inf), np.full((k + 1, size + 1), np.inf)
+    ahead[0, 0] = behind[0, size] = 0
+    for at in range(1, size + 1):
+        starts = np.arange(at)
+        ahead[1:, at] = (ahead[:-1, :at] + relaxed(starts, np.full(at, at))).min(axis=1)
+    for at in range(size - 1, -1, -1):
+        ends = np.arange(at + 1, size + 1)
+        behind[1:, at] = (behind[:-1, at + 1:] + relaxed(np.full(len(ends), at), ends)).min(axis=1)
+    through = np.min([ahead[c] + behind[k - c] for c in range(1, k)], axis=0)   # by the place of a limit
+    bound = np.minimum(through[:-1], through[1:])        # a cut in a bin counts as one on either side
+    return bound < target + 1e-12 * float(sums.cost(0, size))
 
 
 # --- classes --------------------------------------------------------------------
 
 def class_bounds(result: DataFrame, method: str = "jenks", n_classes: int = CLASS_COUNT,
-                 value: str = "valor") -> DataFrame:
-    """(clase, desde, hasta) from 1 up.  One class when all values are equal."""
-    edges = class_edges(result, method, n_classes, value)
+                 value: str = "valor", edges: DataFrame | None = None) -> DataFrame:
+    """(clase, desde, hasta) from 1 up.  One class when all values are equal.
+
+    ``edges``, here and below, are limits of ``class_edges`` that are there already.
+    """
+    edges = edges if edges is not None else class_edges(result, method, n_classes, value)
     return _bounds(edges).select("clase", "desde", "hasta")
 
 
@@ -199,13 +268,13 @@ def with_class(result: DataFrame, method: str = "jenks", n_classes: int = CLASS_
 
 
 def histogram(result: DataFrame, method: str = "jenks", n_classes: int = CLASS_COUNT,
-              value: str = "valor") -> DataFrame:
+              value: str = "valor", edges: DataFrame | None = None) -> DataFrame:
     """(clase, desde, hasta, n): territories per class of the map.
 
     Intervals are closed on the left, the last one on both sides.  No rows when all
     values are equal.
     """
-    edges = class_edges(result, method, n_classes, value)
+    edges = edges if edges is not None else class_edges(result, method, n_classes, value)
     limits = edges.scalar()
     bins = _bounds(edges.filter(F.size("edges") > 1))
     at = F.least(F.size(F.filter("_edges", lambda e: e <= F.col("v"))), F.size("_edges") - 1)

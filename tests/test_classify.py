@@ -87,8 +87,10 @@ def test_jenks_is_the_least_squares_cut(spark, seed):
 @pytest.mark.parametrize("values", [
     np.random.default_rng(1).lognormal(0, 2, 5000), np.random.default_rng(2).normal(0, 1, 3000),
     np.concatenate([1000 + np.random.default_rng(3).uniform(-1e-6, 1e-6, 3000), [1020.0, 1021.0]]),
+    np.concatenate([np.random.default_rng(s).uniform(0, 10.0 ** e, 1500) + 10.0 ** e for s, e in enumerate((-3, 0, 3))]),
+    np.tile(np.arange(300.0), 4), np.concatenate([np.arange(-500.0, 0), np.arange(1.0, 501)]),
     np.repeat(np.random.default_rng(4).uniform(0, 1, 40), 30)],
-    ids=["lognormal", "normal", "crowded", "few"])
+    ids=["lognormal", "normal", "crowded", "three scales", "repeated", "two equal halves", "few"])
 def test_jenks_is_one_way_at_every_size(spark, values):
     pairs = bounds(frame(spark, [float(v) for v in values]), "jenks")
     cut = [hi for _, hi in pairs[:-1]]
@@ -98,7 +100,34 @@ def test_jenks_is_one_way_at_every_size(spark, values):
     ours = squares([w[(v > a) & (v <= b)] for a, b in zip([-np.inf] + cut, cut + [v[-1]])])
     distinct, n = np.unique(w, return_counts=True)
     ends, best = classify._least_squares_limits(distinct, n.astype(float), distinct, np.zeros(len(distinct)), 5)
-    assert ours <= best * (1 + 1e-5) + 1e-18
+    assert ours <= best * (1 + 1e-9) + 1e-18
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_bin_that_is_left_whole_holds_no_better_cut(seed):
+    """The bound against all cuts between values, for bins of any width."""
+    rng = np.random.default_rng(seed)
+    v = np.sort(rng.choice([rng.normal(0, 1, 60), rng.gamma(0.3, 5, 60), np.floor(rng.uniform(0, 40, 60))][seed % 3], 60))
+    v, n = np.unique(v, return_counts=True)
+    for k in (2, 3, 5):
+        ends, best = classify._least_squares_limits(v, n.astype(float), v, np.zeros(len(v)), k)
+        cuts = np.sort(rng.choice(np.arange(1, len(v)), min(12, len(v) - 1), replace=False))
+        groups = np.split(np.arange(len(v)), cuts)
+        table = np.array([(v[g[0]], v[g[-1]], n[g].sum(), np.average(v[g], weights=n[g]),
+                           (n[g] * (v[g] - np.average(v[g], weights=n[g])) ** 2).sum()) for g in groups])
+        left = ~classify._could_be_better(table, k)
+        _, restricted = classify._least_squares_limits(table[:, 1], table[:, 2], table[:, 3], table[:, 4], k)
+        if restricted > best * (1 + 1e-9) + 1e-12:   # the best cuts lie inside bins that are to be split
+            inside = {int(np.searchsorted(cuts, e, "right")) for e in ends if e not in set(cuts.tolist())}
+            assert inside and not left[list(inside)].any()
+
+
+def test_limits_that_are_there_are_not_computed_again(spark):
+    df = frame(spark, [float(v) for v in range(40)])
+    edges = classify.class_edges(df, "jenks")
+    assert classify.class_bounds(df, edges=edges).count() == 5
+    assert sum(r.n for r in classify.histogram(df, edges=edges).collect()) == 40
+    assert classify.with_class(df, edges=edges).filter("clase IS NULL").count() == 0
 
 
 def test_shared_classes_use_the_larger_layer(spark):

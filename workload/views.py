@@ -146,6 +146,28 @@ def class_bounds_jenks_units(spark, d):
     return _rounded_bounds(classify.class_bounds(_units(spark, d), "jenks"))
 
 
+# Thousands of different values (the total of every order), by the same programme.
+_ORDERS_REACH = "".join(f"""
+d{c} AS (SELECT b.i AS j, min(d.cost + b.q - a.q - (b.s - a.s) * (b.s - a.s) / (b.w - a.w)) AS cost,
+                arg_min(a.i, d.cost + b.q - a.q - (b.s - a.s) * (b.s - a.s) / (b.w - a.w)) AS back
+         FROM d{c - 1} d JOIN p a ON a.i = d.j JOIN p b ON b.i > a.i {"WHERE b.i = (SELECT max(i) FROM p)" if c == 5 else ""} GROUP BY b.i),"""
+                        for c in range(2, 6))
+
+
+@query("class_bounds_jenks_orders", f"""
+WITH v AS (SELECT o_totalprice AS valor, count(*)::DOUBLE AS w, row_number() OVER (ORDER BY o_totalprice) AS i FROM orders GROUP BY 1),
+m AS (SELECT sum(w * valor) / sum(w) AS m FROM v),
+p AS MATERIALIZED (SELECT i, valor, sum(w) OVER o AS w, sum(w * (valor - m)) OVER o AS s, sum(w * (valor - m) * (valor - m)) OVER o AS q
+      FROM v, m WINDOW o AS (ORDER BY i) UNION ALL SELECT 0, NULL, 0, 0, 0),
+d1 AS (SELECT i AS j, q - s * s / w AS cost, 0 AS back FROM p WHERE i > 0),{_ORDERS_REACH}
+t2 AS (SELECT d2.back AS x1, d2.j AS x2, d3.j AS x3, d4.j AS x4 FROM d5 JOIN d4 ON d4.j = d5.back JOIN d3 ON d3.j = d4.back JOIN d2 ON d2.j = d3.back),
+cuts AS (SELECT valor AS e FROM p, t2 WHERE i IN (1, x1, x2, x3, x4) UNION SELECT max(valor) FROM v),
+bounds AS (SELECT row_number() OVER (ORDER BY e) AS clase, e AS desde, lead(e) OVER (ORDER BY e) AS hasta FROM cuts QUALIFY hasta IS NOT NULL)
+SELECT clase, round(desde, 6) AS desde, round(hasta, 6) AS hasta FROM bounds""")
+def class_bounds_jenks_orders(spark, d):
+    return _rounded_bounds(classify.class_bounds(t.read(spark, d, "orders").select(F.col("o_totalprice").alias("valor")), "jenks"))
+
+
 @query("histogram_of_classes", _with_units("quantile") + """
 SELECT clase, count(valor) AS n FROM bounds LEFT JOIN units
 ON valor >= desde AND (valor < hasta OR (valor = hasta
