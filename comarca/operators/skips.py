@@ -2,6 +2,9 @@
 
 A question may say "1 Sí (PASE A P49)": who answers 1 is not asked anything before
 question 49.  That explains missing answers that the declared universe does not.
+
+The wording is read once, into a small checkpointed table (``parsed_questions``), when one
+of the functions is called.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from comarca.fixed_values import (
     STATEMENT_MAX_CHARS,
 )
 from comarca.functions.text import shorten, squeeze
+from comarca.operators.lineage import cut
 
 _EDGE = " .,;:"
 _PATTERN = "(?iu)" + SKIP_PATTERN
-_BUCKETS = 1024
 
 
 def question_number(wording: Column) -> Column:
@@ -60,36 +63,48 @@ def skip_matches(wording: Column, max_answer: int | None = ANSWER_MAX_CHARS) ->
     return F.transform(F.regexp_extract_all(wording, F.lit(_PATTERN), F.lit(0)), parts)
 
 
-def questions(docs: DataFrame) -> DataFrame:
-    """(anio, tabla, variable, num) of the documented variables that are questions."""
-    return (docs.select("anio", "tabla", "variable",
-                        question_number(F.col("pregunta_literal")).alias("num"))
-            .filter("num IS NOT NULL"))
+def parsed_questions(docs: DataFrame, max_chars: int | None = STATEMENT_MAX_CHARS,
+                     max_answer: int | None = ANSWER_MAX_CHARS) -> DataFrame:
+    """(anio, tabla, variable, num, pregunta, saltos) of the variables that are questions.
+
+    Read and matched once: the functions below take it in place of the documentation.
+    """
+    # a row for each wording keeps it from being worked out once for each use
+    once = docs.select("anio", "tabla", "variable", F.explode(F.array("pregunta_literal")).alias("w"))
+    wording = F.col("w")
+    return cut(once.select("anio", "tabla", "variable", question_number(wording).alias("num"),
+                           short_statement(wording, max_chars).alias("pregunta"),
+                           skip_matches(wording, max_answer).alias("saltos")).filter("num IS NOT NULL"))
+
 
+def _parsed(docs: DataFrame) -> DataFrame:
+    return docs if "saltos" in docs.columns else parsed_questions(docs)
 
-def skip_options(docs: DataFrame) -> DataFrame:
+
+def skip_options(docs: DataFrame, max_answer: int | None = ANSWER_MAX_CHARS) -> DataFrame:
     """(anio, tabla, num, codigo, respuesta, destino, orden): the skips of each question.
 
     A question that is several variables declares its skips in each of them; they
     count once, in the order of first appearance (``orden``).
     """
-    found = (docs.select("anio", "tabla", "variable",
-                         question_number(F.col("pregunta_literal")).alias("num"),
-                         F.posexplode(skip_matches(F.col("pregunta_literal")))
-                         .alias("pos", "o"))
-             .filter("num IS NOT NULL AND o.codigo IS NOT NULL AND o.destino IS NOT NULL"))
+    read = docs if "saltos" in docs.columns else parsed_questions(docs, max_answer=max_answer)
+    found = (read.select("anio", "tabla", "variable", "num", F.posexplode("saltos").alias("pos", "o"))
+             .filter("o.codigo IS NOT NULL AND o.destino IS NOT NULL"))
     return (found.groupBy("anio", "tabla", "num", "o.codigo", "o.respuesta", "o.destino")
             .agg(F.min(F.struct("variable", "pos")).alias("orden")))
 
 
-def _statements(docs: DataFrame) -> DataFrame:
-    """(anio, tabla, num, pregunta): wording of the first variable that has a skip."""
-    asked = docs.filter(F.col("pregunta_literal").rlike(_PATTERN)).select(
-        "anio", "tabla", "variable",
-        question_number(F.col("pregunta_literal")).alias("num"),
-        short_statement(F.col("pregunta_literal")).alias("pregunta"))
-    return (asked.filter("num IS NOT NULL").groupBy("anio", "tabla", "num")
-            .agg(F.min_by("pregunta", "variable").alias("pregunta")))
+def _blocks(low: str, high: str) -> Column:
+    """The stretch of numbers [low, high] as dyadic blocks: array<struct<level, block>>.
+
+    Block b of level k is the 2**k numbers from b * 2**k on.  A stretch is at most two
+    blocks of each level, from ones at its ends to larger ones inside, without overlap.
+    """
+    at_level = f"""transform(sequence(0, int(floor(log2({high} - {low} + 1)))), k -> struct(k AS level,
+        shiftright({low} + shiftleft(1L, k) - 1, k) AS l, shiftright({high} + 1, k) AS r))"""
+    return F.expr(f"""flatten(transform({at_level}, x -> filter(array(
+        struct(x.level AS level, x.l AS block, x.l < x.r AND x.l % 2 = 1 AS part),
+        struct(x.level AS level, x.r - 1 AS block, x.l < x.r AND x.r % 2 = 1 AS part)), b -> b.part)))""")
 
 
 def prior_conditions(docs: DataFrame) -> DataFrame:
@@ -99,31 +114,26 @@ def prior_conditions(docs: DataFrame) -> DataFrame:
     question with a skip that passes over it; ``respuestas`` are the answers that do,
     array<struct<codigo, etiqueta>>.
 
-    A skip covers an interval of question numbers.  Both sides are put into at most
-    1024 number ranges per questionnaire and joined on the range, so a pair is looked
-    at only when it (nearly) is one; no questionnaire is joined with itself whole.
+    A skip passes over a stretch of question numbers, which is cut into dyadic blocks; a
+    question lies in one block of each level.  So the pairs are one join on equal blocks, its
+    sides no larger than skips and questions times the logarithm of the longest stretch, and
+    every pair comes up once.
     """
-    numbers = questions(docs).select("anio", "tabla", "num").distinct()
-    span = questions(docs).groupBy("anio", "tabla").agg(F.min("num").alias("low"),
-                                                        F.max("num").alias("high"))
-    width = F.greatest(F.lit(1), F.expr("(high - low) div %d + 1" % _BUCKETS))
-    span = span.withColumn("width", width)
-    key = ["anio", "tabla"]
-    asked = (numbers.join(span, key)
-             .select(*key, "num", F.expr("(num - low) div width").alias("range")))
-    over = (skip_options(docs).join(span, key)
-            .withColumn("to", F.least(F.col("destino") - 1, F.col("high")))
-            .filter("to > num")
-            .select(*key, F.col("num").alias("previa"), "codigo", "respuesta", "destino",
-                    "orden", F.explode(F.expr(
-                        "sequence((num + 1 - low) div width, (to - low) div width)"))
-                    .alias("range")))
-    hits = (asked.join(over, key + ["range"])
-            .filter("previa < num AND destino > num"))
+    read, key = _parsed(docs), ["anio", "tabla"]
+    span = read.groupBy(*key).agg(F.max("num").alias("last"), F.expr("int(floor(log2(max(num) - min(num) + 1)))").alias("levels"))
+    asked = (read.select(*key, "num").distinct().join(span, key)
+             .select(*key, "num", F.explode(F.expr("sequence(0, levels)")).alias("level"))
+             .withColumn("block", F.expr("shiftright(num, level)")))
+    over = (skip_options(read).join(span, key)
+            .withColumns({"from": F.col("num") + 1, "to": F.least(F.col("destino") - 1, F.col("last"))}).filter("to > num")
+            .select(*key, F.col("num").alias("previa"), "codigo", "respuesta", "orden", F.explode(_blocks("from", "to")).alias("b"))
+            .select("*", "b.level", "b.block").drop("b"))
+    hits = asked.join(over, key + ["level", "block"])
     answers = F.sort_array(F.collect_list(F.struct("orden", "codigo",
                                                    F.col("respuesta").alias("etiqueta"))))
     grouped = hits.groupBy(*key, "num", "previa").agg(answers.alias("respuestas"))
-    texts = _statements(docs).withColumnRenamed("num", "previa")
+    texts = (read.filter(F.size("saltos") > 0).groupBy(*key, F.col("num").alias("previa"))
+             .agg(F.min_by("pregunta", "variable").alias("pregunta")))
     return (grouped.join(texts, key + ["previa"])
             .select(*key, "num", "previa", "pregunta",
                     F.transform("respuestas", lambda r: F.struct(
@@ -158,8 +168,9 @@ def condition_phrases(docs: DataFrame) -> DataFrame:
 
 def variable_phrases(docs: DataFrame) -> DataFrame:
     """(anio, tabla, variable, num, frase): the sentence for every variable that has one."""
-    return questions(docs).join(condition_phrases(docs), ["anio", "tabla", "num"]).select(
-        "anio", "tabla", "variable", "num", "frase")
+    read = _parsed(docs)
+    return (read.select("anio", "tabla", "variable", "num").join(condition_phrases(read), ["anio", "tabla", "num"])
+            .select("anio", "tabla", "variable", "num", "frase"))
 
 
 def help_text(docs: DataFrame, max_chars: int | None = DEFINITION_MAX_CHARS) -> DataFrame:

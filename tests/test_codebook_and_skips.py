@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +178,30 @@ def test_notes(spark, docs):
         "Pregunta aplicada a: personas de 7 años o más — y, dentro de ese universo, no a")
     assert notes["p46_dest"].startswith("Esta pregunta no se hizo a todos: no a quienes")
     assert "x" not in notes
+
+
+def test_a_stretch_of_any_length_is_a_few_blocks(spark):
+    rng = random.Random(3)
+    pairs = [(a, a + rng.choice([0, 1, 2, 5, 63, 64, 1000, 10 ** 6, 10 ** 17])) for a in (rng.randrange(1, 10 ** rng.randrange(1, 18)) for _ in range(200))]
+    df = spark.createDataFrame(pairs, "a long, b long").select("*", skips._blocks("a", "b").alias("blocks"))
+    for r in df.collect():
+        parts = sorted((b.block << b.level, ((b.block + 1) << b.level) - 1) for b in r.blocks)
+        assert parts[0][0] == r.a and parts[-1][1] == r.b and all(x[1] + 1 == y[0] for x, y in zip(parts, parts[1:]))
+        assert len(parts) <= 2 * (r.b - r.a + 1).bit_length()
+
+
+def test_long_skips_against_every_pair(spark):
+    rng = random.Random(8)
+    rows, numbers = [], sorted(rng.sample(range(1, 10 ** 9), 60)) + [10 ** 15]
+    for i, num in enumerate(numbers):
+        to = rng.choice([num + 1, num + 2, *numbers, 10 ** 16, num - 1])
+        rows.append((2024, "t", f"v{i:03}", "", f"{num}. Una pregunta? 1 Sí (PASE A P{to})" if i % 3 else f"{num}. Otra?", "", ""))
+    want = {(n, m) for n, r in zip(numbers, rows) if "PASE" in r[4] for m in numbers if n < m < int(r[4].split(" P")[-1][:-1])}
+    got = skips.prior_conditions(spark.createDataFrame(rows, KIND)).collect()
+    assert {(r.previa, r.num) for r in got} == want and len(got) == len(want) > 300
+
+
+def test_long_answers_stay_when_asked_for(spark):
+    docs = spark.createDataFrame([(2024, "t", "v", "", "1. Qué? 1 " + "Una respuesta muy larga de verdad que no cabe en cuarenta" + " (PASE A P9)", "", "")], KIND)
+    assert [r.respuesta for r in skips.skip_options(docs).collect()] == [""]
+    assert [r.respuesta for r in skips.skip_options(docs, max_answer=None).collect()][0].startswith("Una respuesta muy larga")

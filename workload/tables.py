@@ -220,17 +220,23 @@ SQL["variables"] = """variables AS (
 
 
 # Questionnaires: a conversation is one, its turns are the questions, whole texts kept.
+# Question numbers are far apart, so skips pass over long stretches of numbers.
+STEP = 100_003
+
+
 def doc_rows(spark: SparkSession, d: str) -> DataFrame:
     turn = F.col("turn")
-    skip = F.concat(F.lit(" 1 Sí ( PASE A P"), (turn + 3).cast("string"), F.lit(") 2 "),
-                    F.col("role"), F.lit(" (pase a "), (turn + 2).cast("string"),
-                    F.lit(") 3 ¿Otra? (Pase  a P."), (turn + 4).cast("string"), F.lit(")"))
+    num = lambda more: ((turn + more) * STEP + 1).cast("string")
+    skip = F.concat(F.lit(" 1 Sí ( PASE A P"), num(2), F.lit(") 2 "),
+                    F.col("role"), F.lit(" (pase a "), num(1),
+                    F.lit(") 3 ¿Otra? (Pase  a P."), num(3), F.lit(")"),
+                    F.when(turn % 6 == 4, " 4 Nunca (Pase a P.9999999999)").otherwise(""))
     return read(spark, d, "conversations").select(
         F.lit(2024).alias("anio"), F.concat(F.lit("c"), F.col("conv_id").cast("string"))
         .alias("tabla"),
         F.concat(F.lit("v"), F.lpad(turn.cast("string"), 4, "0")).alias("variable"),
         F.when(turn % 3 != 0, F.col("text")).alias("definicion"),
-        F.concat((turn + 1).cast("string"), F.lit(". "), F.col("text"),
+        F.concat(num(0), F.lit(". "), F.col("text"),
                  F.when(turn % 2 == 0, skip).otherwise("")).alias("pregunta_literal"),
         F.when(turn % 2 == 1, F.col("role")).alias("universo_literal"),
         F.when(turn % 4 == 0, F.col("text")).alias("regla_derivacion"))
@@ -248,10 +254,11 @@ SQL["docs"] = f"""docs AS (
   SELECT 2024 AS anio, 'c' || CAST(conv_id AS VARCHAR) AS tabla,
          'v' || lpad(CAST(turn AS VARCHAR), 4, '0') AS variable,
          {_squeezed("CASE WHEN turn % 3 <> 0 THEN text END")} AS definicion,
-         {_squeezed('''CAST(turn + 1 AS VARCHAR) || '. ' || text || CASE WHEN turn % 2 = 0
-            THEN ' 1 Sí ( PASE A P' || CAST(turn + 3 AS VARCHAR) || ') 2 ' || role
-                 || ' (pase a ' || CAST(turn + 2 AS VARCHAR) || ') 3 ¿Otra? (Pase  a P.'
-                 || CAST(turn + 4 AS VARCHAR) || ')' ELSE '' END''')} AS pregunta_literal,
+         {_squeezed(f'''CAST(turn * {STEP} + 1 AS VARCHAR) || '. ' || text || CASE WHEN turn % 2 = 0
+            THEN ' 1 Sí ( PASE A P' || CAST((turn + 2) * {STEP} + 1 AS VARCHAR) || ') 2 ' || role
+                 || ' (pase a ' || CAST((turn + 1) * {STEP} + 1 AS VARCHAR) || ') 3 ¿Otra? (Pase  a P.'
+                 || CAST((turn + 3) * {STEP} + 1 AS VARCHAR) || ')'
+                 || CASE WHEN turn % 6 = 4 THEN ' 4 Nunca (Pase a P.9999999999)' ELSE '' END ELSE '' END''')} AS pregunta_literal,
          {_squeezed("CASE WHEN turn % 2 = 1 THEN role END")} AS universo_literal,
          {_squeezed("CASE WHEN turn % 4 = 0 THEN text END")} AS regla_derivacion
   FROM conversations)"""
