@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from comarca.fixed_values import (
@@ -70,9 +73,64 @@ def area_features(df: DataFrame, level: str, text: str = "value") -> DataFrame:
 
 
 def read_area_features(spark: SparkSession, path: str, level: str,
-                       whole_file: bool = False) -> DataFrame:
-    """Area features of a GeoJSON file: a feature per line, or one collection per file."""
-    return area_features(spark.read.text(path, wholetext=whole_file), level)
+                       whole_file: bool = False, collection: bool = False) -> DataFrame:
+    """Area features of a GeoJSON file: a feature per line; with ``collection``, of collections
+    that are read in parallel; with ``whole_file``, of one that a single task reads."""
+    texts = read_feature_collections(spark, path) if collection else spark.read.text(path, wholetext=whole_file)
+    return area_features(texts, level)
+
+
+#: So much of a file is looked at for how its features begin.
+HEAD_BYTES = 1 << 20
+_FEATURE_START = re.compile(r'\{\s*"type"\s*:\s*"Feature"\s*,')
+
+
+def _feature_starts(spark: SparkSession, path: str) -> dict[str | None, list[str]]:
+    """Files of ``path`` (a file, a folder or a pattern) by the text their features begin with."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str | None, list[str]] = {}
+    todo = list(files.globStatus(at) or ())
+    if not todo:
+        raise FileNotFoundError(path)
+    while todo:
+        one = todo.pop()
+        if one.getPath().getName().startswith(("_", ".")):
+            continue
+        if one.isDirectory():
+            todo += list(files.listStatus(one.getPath()))
+            continue
+        stream = files.open(one.getPath())
+        try:
+            head = bytes(stream.readNBytes(HEAD_BYTES)).decode("utf-8", "replace")
+        finally:
+            stream.close()
+        start = _FEATURE_START.search(head)
+        found.setdefault(start.group() if start else None, []).append(one.getPath().toString())
+    return found
+
+
+def read_feature_collections(spark: SparkSession, path: str) -> DataFrame:
+    """(value): texts of whole features out of GeoJSON collections of any size, for ``parse_features``.
+
+    Files are cut at the text their features begin with (``{"type": "Feature",`` in the
+    file's own spacing), which no string in JSON can hold, so every task reads its own range
+    of bytes.  Features written with another spacing than the first stay with the one before
+    them and are found when the text is parsed.  A file whose features begin with another
+    key is read whole, in one task.  A text that is no JSON is an error when it is parsed.
+    """
+    parts = []
+    for start, files in sorted(_feature_starts(spark, path).items(), key=lambda x: x[0] or ""):
+        if start is None:
+            parts.append(spark.read.text(files, wholetext=True).filter(F.trim("value") != ""))
+            continue
+        cut = spark.read.option("lineSep", start).text(files)
+        # the rest of a feature begins with a key; what begins with a brace comes before the first
+        rest = cut.filter(~F.col("value").rlike(r"^[\s\x{FEFF}]*(\{|\[|$)"))
+        parts.append(rest.select(F.concat(F.lit('{"features":[' + start), F.regexp_replace("value", r",\s*$", ""), F.lit("]}"))
+                                 .alias("value")))
+    return reduce(DataFrame.union, parts)
 
 
 def area_names(features: DataFrame) -> DataFrame:

@@ -117,6 +117,41 @@ def test_geojson_collection(spark, tmp_path):
     assert {r.geo_code for r in dep.collect()} == {"01"}
 
 
+def test_collections_are_cut_into_features_by_byte_ranges(spark, tmp_path):
+    import json
+    folder, rows = tmp_path / "many", []
+    folder.mkdir()
+
+    def feature(i, sep):
+        name = f'Nombre {i} é " {{"type":"Feature", \\ ]}},' + "x" * (i % 700)
+        rows.append((f"{i:06d}", name))
+        return (f'{{{sep}"type":{sep}"Feature",{sep}"properties":{{"idep":"{i // 10000}","iprov":"{i // 100 % 100}","imun":"{i % 100}",'
+                f'"nombre_mun":{json.dumps(name)}}},\n"geometry":{{"type":"Polygon","coordinates":[[[0,{i}],[1,1],[0,{i}]]]}}}}')
+    one = [feature(i, " ") for i in range(1, 4000)]
+    one[77] = feature(78, "")          # another spacing than the others
+    rows.remove(rows[77])
+    (folder / "a.geojson").write_text('{"type": "FeatureCollection", "name": "x",\n"features": [\n' + ",\n".join(one) + '\n], "bbox": [1, 2]}\n', encoding="utf-8")
+    two = [feature(i, "") for i in range(4000, 4100)]
+    (folder / "b.geojson").write_text('{"features":[' + ",".join(two) + ']}', encoding="utf-8")
+    last = '{"properties":{"idep":"9","iprov":"9","imun":"9","nombre_mun":"n"},"type":"Feature","geometry":null}'
+    (folder / "c.geojson").write_text('{"type":"FeatureCollection","features":[' + last + "]}", encoding="utf-8")
+    (folder / "d.geojson").write_text('{"type":"FeatureCollection","features":[]}', encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        found = read_area_features(spark, str(folder), "municipio", collection=True)
+        assert found.rdd.getNumPartitions() > 10
+        got = sorted((r.geo_code, r.geo_nombre) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted([*rows, ("090909", "n")])
+    (folder / "e.geojson").write_text('{"features":[' + feature(1, "") + "," + feature(2, "")[:-30], encoding="utf-8")
+    with pytest.raises(Exception):
+        read_area_features(spark, str(folder / "e.geojson"), "municipio", collection=True).collect()
+    with pytest.raises(FileNotFoundError):
+        read_area_features(spark, str(folder / "none.geojson"), "municipio", collection=True)
+
+
 def test_unit_geometry_files(spark, tmp_path):
     assert unit_geometry_path("/b", "rural", 3) == "/b/fichas/geo_comunidad.parquet"
     rows = [("00255-A", None, bytearray(b"\x01\x02"), "03", "01", "01"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from comarca.operators import density as dens
 from comarca.operators import layers, measures, quality
+from comarca.operators.lineage import checkpoint_folder
 from comarca.operators.territory import with_geo_code
 from comarca.sources import geometry, sinks
 from comarca.spec import IndicatorSpec
@@ -34,6 +37,19 @@ def area_features_of(spark, d):
     return geometry.area_features(collections(spark, d), "municipio")
 
 
+@query("features_of_large_collections", with_views("areas") + """
+SELECT geo_code, geo_nombre, superficie_km2 FROM areas""")
+def features_of_large_collections(spark, d):
+    """Collections of up to 10,000 features in a text, written as files and read by byte ranges."""
+    key = F.get_json_object("value", "$.features[0].properties.idep")
+    feature = F.regexp_extract("value", r"^\{\"type\":\"FeatureCollection\",\"features\":\[(.*)\]\}$", 1)
+    whole = (collections(spark, d).groupBy(key).agg(F.array_join(F.collect_list(feature), ",\n ").alias("all"))
+             .select(F.concat(F.lit('{"type":"FeatureCollection",\n"features":[\n '), "all", F.lit('\n], "bbox": [0, 0, 1, 1]}')).alias("value")))
+    path = f"{checkpoint_folder(spark)}/collections-{uuid.uuid4().hex}"
+    whole.write.text(path)
+    return geometry.read_area_features(spark, path, "municipio", collection=True).select("geo_code", "geo_nombre", "superficie_km2")
+
+
 def _counted(spark, d):
     return measures.indicator(t.residents(spark, d), IndicatorSpec("municipio"))
 
