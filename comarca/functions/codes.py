@@ -35,6 +35,34 @@ def pad2(col: Column) -> Column:
             .otherwise(F.regexp_replace(text, r"^0+(?=\d\d)", "")))
 
 
+#: Between the parts of a code of which one is longer than two characters.
+BORDER = "-"
+
+
+def joined_parts(parts: list[Column]) -> Column:
+    """One code of the parts of a territory, NULL where a part is.
+
+    Parts of two characters stand without a border; if one is longer, borders keep
+    (1, 12, 345) and (1, 123, 45) apart.
+    """
+    padded = [pad2(p) for p in parts]
+    if len(padded) == 1:
+        return padded[0]
+    bordered = F.concat(*[x for p in padded for x in (F.lit(BORDER), p)][1:])
+    return F.when(F.greatest(*map(F.length, padded)) > 2, bordered).otherwise(F.concat(*padded))
+
+
+def department_of(code: Column) -> Column:
+    """The department of a department or municipality code, as it stands in the code."""
+    return (F.when(F.contains(code, F.lit(BORDER)), F.substring_index(code, BORDER, 1))
+            .when(F.length(code) >= 6, F.substring(code, F.lit(1), F.length(code) - 4)).otherwise(code))
+
+
+def in_department(code: Column, department) -> Column:
+    """Whether a department or municipality code lies in a department, whatever its zeros."""
+    return department_of(code).try_cast("int") == F.lit(int(str(department)))
+
+
 def zero_fill(code: Column, width: int) -> Column:
     """Zeros to the left up to a width; never truncates, keeps a leading sign."""
     signed = code.rlike("^[+-]")

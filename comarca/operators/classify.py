@@ -27,6 +27,7 @@ from comarca.fixed_values import (
 from comarca.functions.text import format_number
 from comarca.operators.codebook import with_value_labels
 from comarca.operators.lineage import cut
+from comarca.operators.numbering import numbered
 from comarca.operators.quantiles import quantiles
 from comarca.spec import IndicatorSpec
 
@@ -340,13 +341,10 @@ def ranking(result: DataFrame, rows: int = RANKING_ROWS, value: str = "valor",
 
 
 def category_legend(result: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(codigo, valor, texto): legend entries of a categorical map, by value.
-
-    The numbering looks at the distinct categories, one row each — not at territories.
-    """
+    """(codigo, valor, texto): legend entries of a categorical map, by value."""
     values = (result.filter("valor IS NOT NULL")
               .select(F.col("valor").cast("string").alias("valor")).distinct())
-    coded = values.withColumn("codigo", F.dense_rank().over(Window.orderBy("valor")) - 1)
+    coded = numbered(values, "valor", "codigo")
     if labels is None:
         return coded.select("codigo", "valor", F.col("valor").alias("texto"))
     return with_value_labels(coded, "valor", labels).select("codigo", "valor", "texto")

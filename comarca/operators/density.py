@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from comarca.functions.codes import department_of, in_department
 from comarca.spec import IndicatorSpec
 
 
@@ -14,7 +15,7 @@ def surfaces(areas: DataFrame, level: str = "municipio") -> DataFrame:
     declared surface are left out.
     """
     rows = areas.filter("superficie_km2 IS NOT NULL")
-    code = F.substring("geo_code", 1, 2) if level == "departamento" else F.col("geo_code")
+    code = department_of(F.col("geo_code")) if level == "departamento" else F.col("geo_code")
     return rows.groupBy(code.alias("geo_code")).agg(
         F.sum(F.col("superficie_km2").cast("double")).alias("km2"))
 
@@ -37,7 +38,7 @@ def reference_density(reference: DataFrame, surface: DataFrame, department=None,
     if municipality is not None:
         rows = rows.filter(F.col("geo_code") == str(municipality).zfill(6))
     elif department is not None:
-        rows = rows.filter(F.col("geo_code").startswith(str(department).zfill(2)))
+        rows = rows.filter(in_department(F.col("geo_code"), department))
     km2 = rows.agg(F.sum("km2").alias("km2")).scalar()
     return reference.select(F.try_divide(F.col("valor"), km2).alias("valor"),
                             km2.alias("km2"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from comarca.fixed_values import AREA_LABELS, DEPARTMENT_NAMES
+from comarca.functions.codes import in_department
 
 
 def department_names(like: DataFrame) -> DataFrame:
@@ -33,8 +34,7 @@ def area_layer(features: DataFrame, result: DataFrame, department=None) -> DataF
     (geo_code, nombre_geo, valor_censo, casos_censo?, and the feature's other columns).
     """
     if department is not None:
-        features = features.filter(
-            F.col("geo_code").startswith(str(department).strip().zfill(2)))
+        features = features.filter(in_department(F.col("geo_code"), department))
     values = [F.col("geo_code").alias("_code"), F.col("valor").alias("valor_censo")]
     if "geo_nombre" in result.columns:
         values.append(F.col("geo_nombre").alias("_name"))

@@ -12,8 +12,9 @@ from comarca.fixed_values import (
     FRAGILE_CASES, LOW_COVERAGE_PCT, NOTE_SKIP_ONLY, NOTE_UNIVERSE, NOTE_WITHIN,
     OBVIOUS_UNIVERSES,
 )
+from comarca.functions.codes import in_department
 from comarca.functions.text import universe_text
-from comarca.operators.territory import geo_code
+from comarca.operators.territory import geo_code, source_columns
 from comarca.sources.tables import GeoColumns
 from comarca.spec import COUNT
 
@@ -21,7 +22,7 @@ from comarca.spec import COUNT
 def _codes_of(geometry: DataFrame, department=None) -> DataFrame:
     codes = geometry.select("geo_code").distinct()
     if department is not None:
-        codes = codes.filter(F.col("geo_code").startswith(str(department).zfill(2)))
+        codes = codes.filter(in_department(F.col("geo_code"), department))
     return codes
 
 
@@ -152,3 +153,34 @@ def parts_and_total(report: DataFrame) -> DataFrame:
             .withColumn("coincide", F.coalesce(
                 F.abs(F.col("suma_partes") - F.col("total"))
                 <= F.abs(F.col("total")) * 1e-9, F.lit(False))))
+
+
+def levels_reconciled(df: DataFrame, geo: GeoColumns | None = None, amount: Column | None = None) -> DataFrame:
+    """Each territory's total against the sum of the parts it is divided in.
+
+    (nivel, geo_code, partes, suma_partes, total, diferencia), from the whole table (nivel
+    ``total``) down to what holds the smallest level there is; ``amount`` is added up, rows
+    if it is None.  A difference is what has a code at a level and none at the next.  One
+    pass: rows are added up on the territory columns, every level from that table.
+    """
+    geo = geo or GeoColumns.of(df)
+    levels, codes = ["total"], [F.lit("")]
+    for level in ("departamento", "municipio", "unidad"):
+        try:
+            codes.append(geo_code(level, geo))
+            levels.append(level)
+        except ValueError:
+            continue
+    places = list(dict.fromkeys(c for level in levels[1:] for c in source_columns(level, geo)))
+    added = F.count(F.lit(1)) if amount is None else F.sum(amount)
+    raw = df.groupBy(*[F.col(f"`{c}`") for c in places]).agg(added.alias("_n"))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), codes[i].alias("geo_code"), codes[i + 1].alias("part"))
+                      for i in range(len(levels) - 1)])
+    by_part = (raw.select("_n", F.inline(cells)).filter("geo_code IS NOT NULL")
+               .groupBy("i", "geo_code", "part").agg(F.sum("_n").alias("_n")))
+    inside = F.when(F.col("part").isNotNull(), F.col("_n"))
+    total, parts = F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(inside), F.lit(0))
+    return (by_part.groupBy("i", "geo_code").agg(F.count("part").alias("partes"), parts.alias("suma_partes"), total.alias("total"))
+            .select(F.get(F.array(*map(F.lit, levels)), F.col("i")).alias("nivel"),
+                    F.when(F.col("i") > 0, F.col("geo_code")).alias("geo_code"), "partes", "suma_partes", "total",
+                    (F.col("total") - F.col("suma_partes")).alias("diferencia")))

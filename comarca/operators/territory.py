@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from comarca.fixed_values import AREAS
-from comarca.functions.codes import int_code, pad2, zero_fill
+from comarca.functions.codes import in_department, int_code, joined_parts, pad2, zero_fill
 from comarca.sources.tables import GeoColumns
 from comarca.spec import IndicatorSpec
 
@@ -15,8 +15,9 @@ CODE_WIDTH = {"departamento": 2, "municipio": 6, "unidad": 0}
 def geo_code(level: str, geo: GeoColumns) -> Column:
     """The code of a row at a level.
 
-    Departments are two digits; municipalities three parts of two digits, or the
-    bare municipality column where there is no other; units keep their own code.
+    Departments are two digits; municipalities three parts of two digits (longer parts
+    stay whole, with borders between), or the bare municipality column where there is no
+    other; units keep their own code.
     A row with a missing part has no code (NULL), and is its own group.
     """
     if level == "unidad":
@@ -29,7 +30,7 @@ def geo_code(level: str, geo: GeoColumns) -> Column:
         return pad2(F.col(f"`{geo.department}`"))
     if geo.department and geo.province and geo.municipality:
         parts = (geo.department, geo.province, geo.municipality)
-        return F.concat(*[pad2(F.col(f"`{c}`")) for c in parts])
+        return joined_parts([F.col(f"`{c}`") for c in parts])
     if geo.municipality:
         return normalize_geo_code(F.col(f"`{geo.municipality}`").cast("string"), level)
     raise ValueError("the table has no municipality columns")
@@ -117,6 +118,5 @@ def scope(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None = None,
 
 def municipalities_of(names: DataFrame, department) -> DataFrame:
     """Municipalities of one department, by name (``names``: geo_code, geo_nombre)."""
-    prefix = str(department).strip().zfill(2)
-    return (names.filter(F.col("geo_code").startswith(prefix))
+    return (names.filter(in_department(F.col("geo_code"), department))
             .select("geo_nombre", "geo_code").orderBy("geo_nombre", "geo_code"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from comarca.fixed_values import (
     AREAS, BLOCK_GEOMETRY_FILE, COMMUNITY_GEOMETRY_FILE,
 )
-from comarca.functions.codes import int_code, zero_fill
+from comarca.functions.codes import int_code, joined_parts
 
 
 def unit_geometry_path(base: str, area: str, department) -> str:
@@ -62,9 +62,9 @@ def _property(name: str) -> Column:
 
 def area_features(df: DataFrame, level: str, text: str = "value") -> DataFrame:
     """(geo_code, geo_nombre, superficie_km2, propiedades, geometria) of area features."""
-    part = lambda c: zero_fill(F.trim(F.coalesce(_property(c), F.lit(""))), 2)
+    part = lambda c: F.trim(F.coalesce(_property(c), F.lit("")))
     names = ["idep"] if level == "departamento" else ["idep", "iprov", "imun"]
-    code = F.concat(*[part(c) for c in names])
+    code = joined_parts([part(c) for c in names])
     name = _property("nombre_dep" if level == "departamento" else "nombre_mun")
     return parse_features(df, text).select(
         code.alias("geo_code"), F.when(name != "", name).alias("geo_nombre"),

@@ -13,6 +13,7 @@ from comarca.fixed_values import (
     HIDDEN_SUFFIX, MUNICIPALITY_COLUMNS, PART_FILE_PATTERN, PROVINCE_COLUMNS,
     SHEET_TABLES, TABLE_FILES, TABLE_LABELS, UNIT_COLUMNS,
 )
+from comarca.functions.codes import pad2
 
 
 def available_tables(year: int) -> list[tuple[str, str]]:
@@ -66,7 +67,7 @@ def with_department_from_file(df: DataFrame, column: str = "idep",
     """
     if universe is not None:
         raise ValueError("a table universe needs the department column in the data")
-    return df.withColumn(column, F.lpad(part_from_file_name(pattern), 2, "0"))
+    return df.withColumn(column, pad2(part_from_file_name(pattern)))
 
 
 def pick_column(columns: Sequence[str], candidates: Sequence[str]) -> str | None:

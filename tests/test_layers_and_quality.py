@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from comarca.operators import density, layers, quality, sheets
 from comarca.spec import IndicatorSpec
@@ -99,3 +100,20 @@ def test_sheet_coverage(spark):
     rows = {r.geo_code: (r.poblacion, r.con_ficha, r.cobertura_pct)
             for r in quality.sheet_coverage(units, "departamento").collect()}
     assert rows == {"01": (40, 10, 25.0), "02": (0, 0, None)}
+
+
+def test_levels_that_lose_rows(spark):
+    rows = [("1", "1", "1", "a", 2.0), ("01", "1", "1", "b", 3.0), ("1", "1", None, "c", 4.0), (None, "1", "1", "d", 5.0), ("2", "1", "1", None, 6.0)]
+    df = spark.createDataFrame(rows, "idep string, iprov string, imun string, codigo string, n double")
+    got = {(r.nivel, r.geo_code): (r.partes, r.suma_partes, r.total, r.diferencia)
+           for r in quality.levels_reconciled(df, amount=F.col("n")).collect()}
+    assert got == {("total", None): (2, 15.0, 20.0, 5.0), ("departamento", "01"): (1, 5.0, 9.0, 4.0), ("departamento", "02"): (1, 6.0, 6.0, 0.0),
+                   ("municipio", "010101"): (2, 5.0, 5.0, 0.0), ("municipio", "020101"): (0, 0.0, 6.0, 6.0)}
+    assert {r.total for r in quality.levels_reconciled(df).filter("nivel = 'total'").collect()} == {5}
+
+
+def test_numbers_over_ranges(spark):
+    from comarca.operators.numbering import numbered
+    df = spark.createDataFrame([(f"{i * 7919 % 5000:05d}",) for i in range(5000)], "v string").repartition(6)
+    assert [(r.v, r.n) for r in numbered(df, "v", "n", 1).orderBy("v").collect()] == [(f"{i:05d}", i + 1) for i in range(5000)]
+    assert numbered(df.filter("false"), "v", "n").count() == 0

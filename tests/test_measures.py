@@ -200,6 +200,18 @@ def test_over_long_part_stays_whole(spark):
     assert {k: n for k, (_, n) in run(df).items()} == {"-5": 1, "123": 2, "05": 1, "00": 1}
 
 
+def test_long_parts_stay_apart(spark):
+    from comarca.functions.codes import department_of, in_department
+    rows = [("1", "12", "345"), ("1", "123", "45"), ("123", "4", "5"), ("12", "34", "5"), ("01", "012", "0345"), (None, "1", "200")]
+    df = spark.createDataFrame(rows, "idep string, iprov string, imun string")
+    assert run(df, "municipio") == {"01-12-345": (2.0, 2), "01-123-45": (1.0, 1), "123-04-05": (1.0, 1), "123405": (1.0, 1), None: (1.0, 1)}
+    codes = spark.createDataFrame([(c,) for c in ("01-12-345", "123-04-05", "123405", "12", "123", "010101")], "geo_code string")
+    code = F.col("geo_code")
+    assert [r[0] for r in codes.select(department_of(code)).collect()] == ["01", "123", "12", "12", "123", "01"]
+    assert [r[0] for r in codes.filter(in_department(code, "12")).collect()] == ["123405", "12"]
+    assert [r[0] for r in codes.filter(in_department(code, 123)).collect()] == ["123-04-05", "123"]
+
+
 def test_dwelling_universe(spark):
     df = spark.createDataFrame([("1",), ("015",), ("16",), (None,), ("14",), ("x",)],
                                "v01_tipoviv string")

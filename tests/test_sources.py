@@ -202,3 +202,18 @@ def test_unit_job_writes_by_area(spark, tmp_path):
     with pytest.raises(ValueError):
         run_unit_indicator(spark, base, IndicatorSpec("unidad", "total", "agua", year=2024,
                            table="fichas"), "agua", None, units, f"{base}/out2")
+
+
+def test_department_files_are_of_bounded_size(spark, tmp_path):
+    from comarca.sources.sinks import write_partitioned_by_department
+    df = spark.range(0, 9000, 1, 8).select(F.when(F.col("id") % 3 > 0, "07").when(F.col("id") % 9 > 0, "1").otherwise(None).alias("idep"),
+                                           (F.col("id") % 50).cast("string").alias("iprov"), "id")
+    write_partitioned_by_department(df, str(tmp_path / "out"), rows_per_file=1000)
+    files = {p.name: [spark.read.parquet(str(f)).count() for f in p.glob("*.parquet")] for p in (tmp_path / "out").iterdir() if p.is_dir()}
+    assert set(files) == {"idep=7", "idep=1", "idep=__HIVE_DEFAULT_PARTITION__"}
+    assert max(n for ns in files.values() for n in ns) <= 1000
+    assert 6 <= len(files["idep=7"]) <= 12 and len(files["idep=1"]) <= 4 and len(files["idep=__HIVE_DEFAULT_PARTITION__"]) == 1
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 9000 and back.select("id").distinct().count() == 9000 and dict(back.dtypes)["iprov"] == "int"
+    one = spark.read.parquet(str(next((tmp_path / "out" / "idep=7").glob("*.parquet")))).select("iprov").collect()
+    assert [r.iprov for r in one] == sorted(r.iprov for r in one)

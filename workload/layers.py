@@ -14,7 +14,7 @@ from comarca.sources import geometry, sinks
 from comarca.spec import IndicatorSpec
 from workload import tables as t
 from workload.registry import query
-from workload.tables import MUN, with_views
+from workload.tables import DEP, MUN, with_views
 
 _COUNTED = f"""counted AS (
   SELECT {MUN} AS geo_code, CAST(count(*) AS DOUBLE) AS valor, count(*) AS casos
@@ -120,44 +120,54 @@ def context_area(spark, d):
                      "nombre_geo").select("nombre_geo", "superficie_km2")
 
 
-def _partial_geometry(spark, d):
-    return area_features_of(spark, d).filter("geo_code NOT LIKE '%7'")
+def _supplier_areas(spark, d):
+    """Areas of suppliers: customers' territories with a higher number have none."""
+    key = F.col("s_suppkey")
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(
+        F.expr("CAST(s_suppkey div 10000 AS STRING)").alias("idep"), F.expr("s_suppkey div 100 % 100").alias("iprov"),
+        (key % 100).alias("imun"), F.col("s_name").alias("nombre_mun")).alias("properties"))
+    return geometry.area_features(t.read(spark, d, "supplier").select(F.to_json(feature).alias("value")), "municipio")
 
 
-@query("codes_without_geometry", _RESULT + """
+_SUPPLIER_CODE = """CASE WHEN s_suppkey >= 1000000
+    THEN concat_ws('-', CAST(s_suppkey // 10000 AS VARCHAR), lpad(CAST(s_suppkey // 100 % 100 AS VARCHAR), 2, '0'),
+                   lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0')) ELSE lpad(CAST(s_suppkey AS VARCHAR), 6, '0') END"""
+
+
+@query("codes_without_geometry", _RESULT + f"""
 SELECT geo_code, valor, casos FROM counted WHERE geo_code NOT IN (
-  SELECT geo_code FROM areas WHERE geo_code NOT LIKE '%7')""")
+  SELECT {_SUPPLIER_CODE} FROM supplier)""")
 def codes_without_geometry(spark, d):
-    return quality.codes_without_geometry(_counted(spark, d), _partial_geometry(spark, d))
+    return quality.codes_without_geometry(_counted(spark, d), _supplier_areas(spark, d))
 
 
-@query("codes_with_geometry", _RESULT + """
+@query("codes_with_geometry", _RESULT + f"""
 SELECT geo_code, valor, casos FROM counted WHERE geo_code LIKE '00%' AND geo_code IN (
-  SELECT geo_code FROM areas WHERE geo_code NOT LIKE '%7')""")
+  SELECT {_SUPPLIER_CODE} FROM supplier)""")
 def codes_with_geometry(spark, d):
-    return quality.codes_with_geometry(_counted(spark, d), _partial_geometry(spark, d), "0")
+    return quality.codes_with_geometry(_counted(spark, d), _supplier_areas(spark, d), "0")
 
 
-@query("map_coverage", _RESULT + """
+@query("map_coverage", _RESULT + f"""
 SELECT count(*) FILTER (WHERE known) AS mapeados,
        count(*) FILTER (WHERE NOT known) AS sin_geometria
-FROM (SELECT geo_code IN (SELECT geo_code FROM areas WHERE geo_code NOT LIKE '%7') AS known
+FROM (SELECT geo_code IN (SELECT {_SUPPLIER_CODE} FROM supplier) AS known
       FROM counted)""")
 def map_coverage(spark, d):
-    return quality.map_coverage(_counted(spark, d), _partial_geometry(spark, d))
+    return quality.map_coverage(_counted(spark, d), _supplier_areas(spark, d))
 
 
 @query("geometry_without_data", _RESULT + """
 SELECT geo_code, geo_nombre FROM areas
-WHERE geo_code NOT IN (SELECT geo_code FROM counted WHERE casos > 8)""")
+WHERE geo_code NOT IN (SELECT geo_code FROM counted)""")
 def geometry_without_data(spark, d):
-    found = quality.geometry_without_data(area_features_of(spark, d),
-                                          _counted(spark, d).filter("casos > 8"))
+    found = quality.geometry_without_data(area_features_of(spark, d), _counted(spark, d))
     return found.select("geo_code", "geo_nombre")
 
 
 @query("surfaces_by_department", with_views("areas") + """
-SELECT substr(geo_code, 1, 2) AS geo_code, sum(superficie_km2) AS km2 FROM areas
+SELECT CASE WHEN geo_code LIKE '%-%' THEN split_part(geo_code, '-', 1) ELSE substr(geo_code, 1, 2) END AS geo_code,
+       sum(superficie_km2) AS km2 FROM areas
 WHERE superficie_km2 IS NOT NULL GROUP BY 1""")
 def surfaces_by_department(spark, d):
     return dens.surfaces(area_features_of(spark, d), "departamento")
@@ -202,6 +212,25 @@ def sources_reconciled(spark, d):
     return gaps.select("geo_code", "izquierda", "derecha", F.round("diferencia", 2).alias("diferencia"))
 
 
+_LEVEL = """SELECT '{level}' AS nivel, {code} AS geo_code, count(DISTINCT {part}) AS partes,
+  CAST(sum(n) FILTER (WHERE {part} IS NOT NULL) AS DOUBLE) AS suma_partes, CAST(sum(n) AS DOUBLE) AS total,
+  CAST(sum(n) AS DOUBLE) - CAST(sum(n) FILTER (WHERE {part} IS NOT NULL) AS DOUBLE) AS diferencia FROM p GROUP BY ALL"""
+
+
+@query("levels_reconciled", f"""
+WITH p AS (SELECT n_regionkey AS idep, n_nationkey AS iprov, 1 AS imun, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_custkey END AS codigo,
+                  c_custkey % 7 AS n FROM customer JOIN nation ON c_nationkey = n_nationkey),
+c AS (SELECT 0) """ + " UNION ALL ".join((
+    _LEVEL.format(level="total", code="NULL::VARCHAR", part=DEP), _LEVEL.format(level="departamento", code=DEP, part=MUN),
+    _LEVEL.format(level="municipio", code=MUN, part="codigo"))))
+def levels_reconciled(spark, d):
+    """Customers as units of their nation; those of one segment have no unit."""
+    rows = t.read(spark, d, "customer").join(t.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_regionkey").alias("idep"), F.col("n_nationkey").alias("iprov"), F.lit(1).alias("imun"),
+        F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_custkey")).alias("codigo"), (F.col("c_custkey") % 7).cast("double").alias("n"))
+    return quality.levels_reconciled(rows, amount=F.col("n"))
+
+
 @query("parts_add_up", """
 SELECT CAST(count(*) AS DOUBLE) AS suma_partes, CAST(count(*) AS DOUBLE) AS total,
        TRUE AS coincide FROM orders""")
@@ -211,7 +240,8 @@ def parts_add_up(spark, d):
 
 
 @query("geo_codes_of_layer", with_views("areas") + """
-SELECT substr(geo_code, 1, 2) AS geo_code, count(*) AS n FROM areas GROUP BY 1""")
+SELECT CASE WHEN geo_code LIKE '%-%' THEN split_part(geo_code, '-', 1) ELSE substr(geo_code, 1, 2) END AS geo_code,
+       count(*) AS n FROM areas GROUP BY 1""")
 def geo_codes_of_layer(spark, d):
     rows = with_geo_code(t.area_rows(spark, d), "departamento")
     return rows.groupBy("geo_code").agg(F.count(F.lit(1)).alias("n"))

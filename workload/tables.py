@@ -99,7 +99,7 @@ SQL["fichas"] = """fichas AS (
 def area_rows(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("c_custkey")
     return read(spark, d, "customer").select(
-        F.expr("CAST(c_custkey div 10000 % 100 AS STRING)").alias("idep"),
+        F.expr("CAST(c_custkey div 10000 AS STRING)").alias("idep"),
         F.expr("CAST(c_custkey div 100 % 100 AS STRING)").alias("iprov"),
         (key % 100).cast("string").alias("imun"), F.col("c_name").alias("nombre_mun"),
         F.when(key % 13 != 0, (key % 90 + 10).cast("double")).alias("superficie_km2"),
@@ -108,9 +108,10 @@ def area_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["areas"] = """areas AS (
-  SELECT lpad(CAST(c_custkey // 10000 % 100 AS VARCHAR), 2, '0')
-         || lpad(CAST(c_custkey // 100 % 100 AS VARCHAR), 2, '0')
-         || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS geo_code,
+  SELECT CASE WHEN c_custkey >= 1000000
+              THEN concat_ws('-', CAST(c_custkey // 10000 AS VARCHAR), lpad(CAST(c_custkey // 100 % 100 AS VARCHAR), 2, '0'),
+                             lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0'))
+              ELSE lpad(CAST(c_custkey AS VARCHAR), 6, '0') END AS geo_code,
          c_name AS geo_nombre,
          CASE WHEN c_custkey % 13 <> 0
               THEN CAST(c_custkey % 90 + 10 AS DOUBLE) END AS superficie_km2,
@@ -122,7 +123,7 @@ SQL["areas"] = """areas AS (
 # Orders counted in the municipality of their customer.
 def residents(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select(
-        F.expr("CAST(o_custkey div 10000 % 100 AS INT)").alias("idep"),
+        F.expr("CAST(o_custkey div 10000 AS INT)").alias("idep"),
         F.expr("CAST(o_custkey div 100 % 100 AS INT)").alias("iprov"),
         F.expr("CAST(o_custkey % 100 AS INT)").alias("imun"),
         F.col("o_totalprice").alias("ingreso"), F.col("o_orderstatus").alias("estado"),
@@ -131,7 +132,7 @@ def residents(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["residentes"] = """residentes AS (
-  SELECT CAST(o_custkey // 10000 % 100 AS INTEGER) AS idep,
+  SELECT CAST(o_custkey // 10000 AS INTEGER) AS idep,
          CAST(o_custkey // 100 % 100 AS INTEGER) AS iprov,
          CAST(o_custkey % 100 AS INTEGER) AS imun, o_totalprice AS ingreso,
          o_orderstatus AS estado, CAST(o_orderkey % 100 AS INTEGER) AS edad,
@@ -167,7 +168,7 @@ def label_rows(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select(
         F.concat(F.lit("Var_"), F.col("o_orderkey") % 4).alias("VARIABLE"),
         F.expr("CAST(o_orderkey div 4 % 6 AS STRING)").alias("codigo"),
-        F.concat(F.substring("o_orderpriority", 3, 20), F.lit(" "),
+        F.concat(F.expr("substring(o_orderpriority, 3)"), F.lit(" "),
                  F.col("o_orderstatus")).alias("etiqueta"),
         F.when(F.col("o_orderkey") % 4 == 3, "VIVIENDA")
         .when(F.col("o_orderstatus") == "F", "Persona").otherwise("vivienda")
@@ -178,7 +179,7 @@ def label_rows(spark: SparkSession, d: str) -> DataFrame:
 SQL["etiquetas"] = """etiquetas AS (
   SELECT 'var_' || CAST(o_orderkey % 4 AS VARCHAR) AS variable,
          CAST(o_orderkey // 4 % 6 AS VARCHAR) AS valor,
-         substr(o_orderpriority, 3, 20) || ' ' || o_orderstatus AS etiqueta,
+         substr(o_orderpriority, 3) || ' ' || o_orderstatus AS etiqueta,
          CASE WHEN o_orderkey % 4 = 3 THEN 'VIVIENDA' WHEN o_orderstatus = 'F'
               THEN 'PERSONA' ELSE 'VIVIENDA' END AS entidad,
          o_orderkey AS fila
@@ -300,8 +301,9 @@ SQL["cat_origen"] = """cat_origen AS (
        AS k(suf, sexo)
   WHERE suf <> '_m' OR p_partkey % 5 <> 0)"""
 
-DEP = "lpad(CAST(idep AS VARCHAR), 2, '0')"
-MUN = f"{DEP} || lpad(CAST(iprov AS VARCHAR), 2, '0') || lpad(CAST(imun AS VARCHAR), 2, '0')"
+DEP = "CASE WHEN idep > 99 THEN CAST(idep AS VARCHAR) ELSE lpad(CAST(idep AS VARCHAR), 2, '0') END"
+_BORDER = "CASE WHEN idep > 99 THEN '-' ELSE '' END"      # provinces and municipalities have two digits
+MUN = (f"{DEP} || {_BORDER} || lpad(CAST(iprov AS VARCHAR), 2, '0') || {_BORDER} || lpad(CAST(imun AS VARCHAR), 2, '0')")
 
 
 def with_views(*names: str) -> str:

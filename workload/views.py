@@ -168,6 +168,13 @@ def class_bounds_jenks_orders(spark, d):
     return _rounded_bounds(classify.class_bounds(t.read(spark, d, "orders").select(F.col("o_totalprice").alias("valor")), "jenks"))
 
 
+@query("legend_of_many_values", with_views("personas") + """
+SELECT CAST(row_number() OVER (ORDER BY valor) - 1 AS BIGINT) AS codigo, valor, valor AS texto FROM (
+  SELECT DISTINCT CAST(edad AS VARCHAR) AS valor FROM personas WHERE edad IS NOT NULL)""")
+def legend_of_many_values(spark, d):
+    return classify.category_legend(t.persons(spark, d).select(F.col("edad").alias("valor")))
+
+
 @query("histogram_of_classes", _with_units("quantile") + """
 SELECT clase, count(valor) AS n FROM bounds LEFT JOIN units
 ON valor >= desde AND (valor < hasta OR (valor = hasta
