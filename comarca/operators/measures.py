@@ -13,7 +13,8 @@ Three shapes of plan, chosen by the measure:
 * modes count rows per territory *and* value first.  The shuffle is on both, so a
   territory holding a third of the rows is spread over many tasks, and no task ever
   holds a territory's values whole.
-* a free expression is whatever Spark aggregate the caller writes.
+* a free expression is whatever Spark aggregate the caller writes; its medians,
+  percentiles, modes and distinct counts are computed as above (see ``expressions``).
 
 A batch adds up partial results on the territory columns once, whatever territories and
 levels its specs ask for; filters and codes are applied to that small table.
@@ -28,7 +29,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from comarca.functions.codes import category_eq, number
-from comarca.operators import quantiles
+from comarca.operators import expressions, quantiles
 from comarca.operators.territory import geo_code, scope, source_columns, territory_condition
 from comarca.sources.tables import GeoColumns
 from comarca.spec import COUNT, PERCENTAGES, SHEET_MEASURES, IndicatorSpec
@@ -239,6 +240,14 @@ def indicator_report(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None
     rows = _scope(df, spec, geo, universe)
     out = ["es_total", "geo_code", "valor", "casos", "n_total", "n_valid"]
     total_code = F.lit(None).cast("string").alias("geo_code")
+    if spec.expression is not None and expressions.has_holistic(df.sparkSession, *_free(spec).values()):
+        wanted = _free(spec)
+        groups = F.array(F.struct(F.lit(False).alias("_whole"), geo_code(spec.level, geo).alias("_code")),
+                         F.struct(F.lit(True).alias("_whole"), F.lit(None).cast("string").alias("_code")))
+        found = expressions.evaluate(rows, wanted, source_columns(spec.level, geo), groups, ["_whole", "_code"])
+        casos = F.col("casos") if "casos" in wanted else F.lit(None).cast("bigint")
+        return found.select(F.col("_whole").alias("es_total"), F.col("_code").alias("geo_code"), "valor", casos.alias("casos"),
+                            F.col("_rows").alias("n_total"), F.col("_rows").alias("n_valid"))
     if spec.expression is not None:
         cases = F.expr(spec.cases_expression) if spec.cases_expression else F.lit(None).cast("bigint")
         both = rows.withColumn("geo_code", geo_code(spec.level, geo)).rollup("geo_code").agg(
@@ -276,19 +285,28 @@ def indicator_expr(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None =
     """A free Spark aggregate per territory; ``casos`` only when its expression is given."""
     geo = geo or GeoColumns.of(df)
     rows = _scope(df, spec, geo, universe)
-    aggs = [F.expr(spec.expression).alias("valor")]
-    if spec.cases_expression:
-        aggs.append(F.expr(spec.cases_expression).alias("casos"))
-    return rows.groupBy(geo_code(spec.level, geo).alias("geo_code")).agg(*aggs)
+    wanted = _free(spec)
+    if expressions.has_holistic(df.sparkSession, *wanted.values()):
+        groups = F.array(F.struct(geo_code(spec.level, geo).alias("_code")))
+        found = expressions.evaluate(rows, wanted, source_columns(spec.level, geo), groups, ["_code"])
+        return found.select(F.col("_code").alias("geo_code"), *wanted)
+    return (rows.groupBy(geo_code(spec.level, geo).alias("geo_code"))
+            .agg(*[F.expr(text).alias(name) for name, text in wanted.items()]))
+
+
+def _free(spec: IndicatorSpec) -> dict[str, str]:
+    """The free expressions of a spec by the column they give."""
+    return {"valor": spec.expression} | ({"casos": spec.cases_expression} if spec.cases_expression else {})
 
 
 def reference_expr(df: DataFrame, spec: IndicatorSpec, geo: GeoColumns | None = None,
                    universe: Column | None = None) -> DataFrame:
     """A free Spark aggregate over the whole (filtered) territory: one row."""
-    aggs = [F.expr(spec.expression).alias("valor")]
-    if spec.cases_expression:
-        aggs.append(F.expr(spec.cases_expression).alias("casos"))
-    return scope(df, spec, geo or GeoColumns.of(df), universe).agg(*aggs)
+    rows, wanted = scope(df, spec, geo or GeoColumns.of(df), universe), _free(spec)
+    # without rows the whole still has a row, which plain aggregates give
+    if expressions.has_holistic(df.sparkSession, *wanted.values()) and not rows.isEmpty():
+        return expressions.evaluate(rows, wanted, [], *quantiles.whole()).select(*wanted)
+    return rows.agg(*[F.expr(text).alias(name) for name, text in wanted.items()])
 
 
 def _territories(rows: DataFrame, scopes: Sequence[tuple], geo: GeoColumns):

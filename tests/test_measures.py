@@ -271,3 +271,35 @@ def test_batch_and_report_take_modes_and_expressions(people):
     report = measures.indicator_report(people, specs["libre"]).collect()
     assert sum(r.es_total for r in report) == 1
     assert {r.geo_code: r.valor for r in report if not r.es_total} == {g: r.valor for (i, g), r in rows.items() if i == "libre"}
+
+
+HOLISTIC = ["median(edad)", "round(median(edad + 1) / avg(edad) + count(DISTINCT sexo), 3)", "count(DISTINCT sexo) - count(sexo)",
+            "percentile(edad, 0.25) FILTER (WHERE agro > 1) + 0D", "mode(sexo)", "CASE WHEN count(*) > 2 THEN median(edad) END",
+            "count(DISTINCT agro, sexo) + sum(agro)", "percentile(edad, array(0.1, 0.9))[1]"]
+
+
+@pytest.mark.parametrize("text", HOLISTIC)
+def test_holistic_parts_of_expressions(spark, text):
+    rows = [(str(i % 3), "1" if i % 4 else "2", None if i % 5 == 0 else float(i * 7 % 31), i % 3 if i % 6 else None) for i in range(200)]
+    rows += [("7", None, None, None), (None, "3", 4.0, 5)]
+    df = spark.createDataFrame(rows, "idep string, sexo string, edad double, agro int")
+    own = df.withColumn("geo_code", F.lpad("idep", 2, "0"))
+    near = lambda rows: {r.geo_code: pytest.approx(r.valor, rel=1e-12) if isinstance(r.valor, float) else r.valor for r in rows}
+    want = own.groupBy("geo_code").agg(F.expr(text).alias("valor"), F.expr("count(DISTINCT sexo)").alias("casos")).collect()
+    spec = IndicatorSpec(expression=text, cases_expression="count(DISTINCT sexo)")
+    got = measures.indicator(df, spec).collect()
+    assert {r.geo_code: r.valor for r in got} == near(want) and {r.geo_code: r.casos for r in got} == {r.geo_code: r.casos for r in want}
+    whole = own.agg(F.expr(text).alias("valor")).first().valor
+    whole = pytest.approx(whole, rel=1e-12) if isinstance(whole, float) else whole
+    assert measures.reference_value(df, spec).first().valor == whole
+    report = measures.indicator_report(df, spec).collect()
+    assert [r.valor for r in report if r.es_total] == [whole] and {r.geo_code: r.valor for r in report if not r.es_total} == near(want)
+    empty = measures.reference_value(df.filter("false"), spec).collect()
+    assert [r.valor for r in empty] == [r.valor for r in df.filter("false").agg(F.expr(text).alias("valor")).collect()]
+
+
+def test_a_holistic_part_holds_no_group(spark):
+    df = spark.range(50_000).select(F.lit("1").alias("idep"), F.col("id").cast("double").alias("v"))
+    found = measures.indicator(df, IndicatorSpec(expression="median(v) + max(v)"))
+    assert "percentile" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    assert found.first().valor == 24999.5 + 49999

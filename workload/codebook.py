@@ -203,14 +203,14 @@ WITH found AS (
               WHEN 2 THEN 'vivienda' ELSE 'zona' END AS doc_tabla
   FROM conversations),
 ranked AS (
-  SELECT anio, w.tabla, variable, doc_tabla, row_number() OVER (
+  SELECT anio, w.tabla, variable, doc_tabla, text AS definicion, row_number() OVER (
     PARTITION BY variable, w.tabla ORDER BY CASE
       WHEN w.tabla = 'personas' AND doc_tabla = 'persona' THEN 0
       WHEN w.tabla = 'personas' AND doc_tabla = 'discapacidad' THEN 2
       WHEN w.tabla = 'viviendas' AND doc_tabla = 'vivienda' THEN 0 ELSE 3 END,
-      doc_tabla) AS lugar
+      doc_tabla, text) AS lugar
   FROM found, (VALUES ('personas'), ('viviendas'), ('mortalidad')) AS w(tabla))
-SELECT anio, tabla, variable, doc_tabla FROM ranked WHERE lugar = 1""")
+SELECT anio, tabla, variable, doc_tabla, definicion FROM ranked WHERE lugar = 1""")
 def documentation_lookup(spark, d):
     rows = t.read(spark, d, "conversations")
     kind = F.element_at(F.array(*map(F.lit, ("discapacidad", "persona", "vivienda", "zona"))),
@@ -221,7 +221,7 @@ def documentation_lookup(spark, d):
                        F.lit("").alias("universo_literal"), F.lit("").alias("regla_derivacion"))
     asked = F.explode(F.array(*map(F.lit, ("personas", "viviendas", "mortalidad"))))
     wanted = docs.select("anio", "variable").distinct().select("*", asked.alias("tabla"))
-    return codebook.find_docs(docs, wanted).select("anio", "tabla", "variable", "doc_tabla")
+    return codebook.find_docs(docs, wanted).select("anio", "tabla", "variable", "doc_tabla", "definicion")
 
 
 _SKIPS = with_views("docs").rstrip() + f""",

@@ -447,6 +447,21 @@ def report_expression(spark, d):
     return measures.indicator_report(t.persons(spark, d), spec)
 
 
+# Holistic aggregates inside expressions, over a unit that holds a third of all rows.
+@query("expression_of_holistic_parts", """
+SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'centro' ELSE CAST(l_suppkey AS VARCHAR) END AS geo_code,
+       round(median(l_extendedprice) / avg(l_quantity) + count(DISTINCT l_partkey)
+             + quantile_cont(l_discount, 0.25) FILTER (WHERE l_tax > 0.02), 4) AS valor, count(DISTINCT l_orderkey) AS casos
+FROM lineitem GROUP BY 1""")
+def expression_of_holistic_parts(spark, d):
+    unit = F.when(F.col("l_orderkey") % 3 == 0, "centro").otherwise(F.col("l_suppkey").cast("string"))
+    rows = t.read(spark, d, "lineitem").withColumn("codigo", unit)
+    spec = IndicatorSpec("unidad", cases_expression="count(DISTINCT l_orderkey)",
+                         expression="round(median(l_extendedprice) / avg(l_quantity) + count(DISTINCT l_partkey)"
+                                    " + percentile(l_discount, 0.25) FILTER (WHERE l_tax > 0.02), 4)")
+    return measures.indicator(rows, spec, GeoColumns(unit="codigo"))
+
+
 @query("batch_with_mode_and_expression", with_views("personas") + f"""
 SELECT 'conteo' AS indicador, {MUN} AS geo_code, CAST(count(*) AS DOUBLE) AS valor, count(*) AS casos,
        NULL::VARCHAR AS categoria FROM personas GROUP BY ALL
