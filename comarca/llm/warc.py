@@ -19,6 +19,8 @@ first text or element that cannot stand in it.  Only a comment, script or style
 end runs to the end of the page; a template, svg or iframe that is self-closed or has no end
 tag hides nothing.  Nothing is run or loaded, so noscript, object, textarea and select are text.
 
+Pages are read in linear time, whatever their length and however broken their tags are.
+
 Defined results: a NULL html is an empty payload (its conversion is empty); a NULL url
 gives records without target (relative links stay as they are); repeated rows give equal
 records with equal ids; an empty table gives none; clashing columns are not looked at.
@@ -31,6 +33,7 @@ import hashlib
 import html as references
 import re
 import uuid
+from bisect import bisect_left
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -49,20 +52,184 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nConten
 RECORD = ("record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, "
           "content_type string, block binary, block_digest string, payload_digest string, source_headers string, source_digest string")
 
-_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _OPEN = re.compile(rf"<!--|<!\[CDATA\[|<[!?]|<({'|'.join(HIDDEN)}|head)(?=[\s/>])", re.I)
-_REST = re.compile(rf"{_ATTRIBUTES}>|[^>]*>")  # of a tag; the second if quotes do not match
-_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in HIDDEN}
-#: What can stand in a head, piece by piece.
-_IN_HEAD = re.compile(rf"\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style)(?=[\s/>])(?:{_ATTRIBUTES}>|[^>]*>).*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-                      rf"|<title(?=[\s/>]){_ATTRIBUTES}>(?:[^<]*</title\s*>|.*?</title\s*>|[^<]*)"
-                      rf"|<(noscript|template|noframes)(?=[\s/>]){_ATTRIBUTES}>(?:.*?</\2\s*>)?"
-                      rf"|</?(?:base|basefont|bgsound|link|meta)(?=[\s/>])(?:{_ATTRIBUTES}>|[^>]*>)", re.S | re.I)
-_HEAD_END = re.compile(r"</head(?=[\s/>])[^>]*>", re.I)
-_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
-_LINK = re.compile(r"<(a|area|img|link|iframe|script|form)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\s(href|src|action)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+#: What can stand in a head, besides blanks, by its beginning.
+_IN_HEAD = re.compile(r"\s+|<!--|<[!?]|<(script|style|title|noscript|template|noframes)(?=[\s/>])|</?(?:base|basefont|bgsound|link|meta)(?=[\s/>])", re.I)
+_HEAD_END = re.compile(r"</head(?=[\s/>])", re.I)
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)\b")
+_ELEMENT = re.compile(r"<(area|a|img|link|iframe|script|form)\b", re.I)
+_ADDRESS = re.compile(r"\s(href|src|action)(?=\s*=)", re.I)
+_VALUE = re.compile(r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_TITLE, _TITLE_END = re.compile(r"<title\b", re.I), re.compile(r"</title", re.I)
+_HTML, _LANG = re.compile(r"<html\b", re.I), re.compile(r"\blang(?=\s*=\s*[\"']?([A-Za-z0-9-]+))", re.I)
+
+
+class Page:
+    """A page whose tags are read in linear time, however broken it is.
+
+    Read from a place outside quotes, a tag ends at the first ``>``; a quote is passed over
+    to its mate, and without a mate there is no tag.  Where reading from each of these
+    characters ends is worked out once, from the last to the first.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self._none: dict[str, int] = {}
+        marks = [m.start() for m in re.finditer("[>\"']", page)]
+        self._marks, self._ends = marks, self._read(marks, lambda place: place + 1)
+
+    def _read(self, marks: list[int], answer) -> list[int]:
+        """What reading from each of the marks gives: ``answer`` of the first that is no quote, or -1."""
+        ends, mate = [-1] * len(marks), {}
+        for i in range(len(marks) - 1, -1, -1):
+            what = self.page[marks[i]]
+            if what == '"' or what == "'":
+                if (j := mate.get(what)) is not None and j + 1 < len(marks):
+                    ends[i] = ends[j + 1]
+                mate[what] = i
+            else:
+                ends[i] = answer(marks[i])
+        return ends
+
+    def tag_end(self, at: int) -> int:
+        """The place after the tag that goes on at ``at``, or -1."""
+        i = bisect_left(self._marks, at)
+        return self._ends[i] if i < len(self._ends) else -1
+
+    def rest(self, at: int) -> int:
+        """The same; where quotes do not match, the place after the next ``>``."""
+        end = self.tag_end(at)
+        return end if end >= 0 else self.find(">", at) + 1 or -1
+
+    def find(self, text: str, at: int) -> int:
+        """``str.find``, which looks for what is not there once only."""
+        if at >= self._none.get(text, len(self.page) + 1):
+            return -1
+        found = self.page.find(text, at)
+        if found < 0:
+            self._none[text] = at
+        return found
+
+    def closed(self, name: str, at: int, blanks_only: bool = False) -> int:
+        """The place after the next end tag of an element, or -1; ``blanks_only``: one that holds no more than its name."""
+        key = f"/{name}{blanks_only}"
+        if at >= self._none.get(key, len(self.page) + 1):
+            return -1
+        found = re.compile(rf"</{name}\s*>" if blanks_only else rf"</{name}(?=[\s/>])", re.I).search(self.page, at)
+        end = -1 if not found else found.end() if blanks_only else self.find(">", found.end()) + 1 or -1
+        if end < 0:
+            self._none[key] = at
+        return end
+
+    def head_end(self, at: int) -> int:
+        """Where a head that has begun before ``at`` ends: at its end tag or before what cannot stand in it."""
+        page = self.page
+        while found := _IN_HEAD.match(page, at):
+            what, name, start = found[0].lower(), (found[1] or "").lower(), found.end()
+            if what.isspace():
+                at = start
+                continue
+            if what == "<!--":
+                end = self.find("-->", start) + 3
+                at = end if end > 2 else len(page)
+                continue
+            end = (self.find(">", start) + 1 or -1) if what in ("<!", "<?") else self.tag_end(start) if name not in ("", *TO_THE_END) else self.rest(start)
+            if end < 0:
+                break
+            if name in TO_THE_END:
+                closed = self.closed(name, end)
+                at = closed if closed >= 0 else len(page)
+            elif name == "title":
+                closed = self.closed(name, end, True)
+                at = closed if closed >= 0 else self.find("<", end) if self.find("<", end) >= 0 else len(page)
+            elif name:
+                closed = self.closed(name, end, True)
+                at = closed if closed >= 0 else end
+            else:
+                at = end
+        if found := _HEAD_END.match(page, at):
+            end = self.find(">", found.end()) + 1
+            at = end or at
+        return at
+
+    def without_hidden(self) -> str:
+        """The page with a blank for each comment, declaration and hidden element."""
+        page, out, at = self.page, [], 0
+        while found := _OPEN.search(page, at):
+            out.append(page[at:found.start()])
+            name, start = (found[1] or "").lower(), found.end()
+            if not name:
+                end = {"<!--": "-->", "<![CDATA[": "]]>"}.get(found[0].upper(), ">")
+                upto = self.find(end, start)
+                if upto < 0 and end == "]]>":
+                    end, upto = ">", self.find(">", start)
+                at = upto + len(end) if upto >= 0 else len(page) if end == "-->" else start
+            elif (rest := self.rest(start)) < 0:
+                at = start  # no tag
+            elif name == "head":
+                at = self.head_end(rest)
+            else:
+                at, open_ = rest, name in TO_THE_END or page[rest - 2:rest] != "/>"
+                closed = self.closed(name, at) if open_ else -1
+                if closed >= 0:
+                    at = closed
+                elif name in TO_THE_END:
+                    at = len(page)
+            out.append(page[found.start():at] if at == start else " ")
+        return "".join([*out, page[at:]])
+
+    def without_tags(self) -> str:
+        """The page with a line end for each tag of a block and nothing for other tags."""
+        out, at, page = [], 0, self.page
+        while found := _TAG.search(page, at):
+            end = self.tag_end(found.end())
+            if end < 0:
+                out.append(page[at:found.start() + 1])
+                at = found.start() + 1
+                continue
+            out.append(page[at:found.start()] + ("\n" if found[1].lower() in BLOCKS else ""))
+            at = end
+        return "".join([*out, page[at:]])
+
+    def addresses(self) -> list[tuple[str, str, str]]:
+        """(element, attribute, value as written) of the first address in each tag that has one."""
+        page, held = self.page, {}
+        for found in _ADDRESS.finditer(page):
+            if value := _VALUE.match(page, found.end()):
+                held[found.start()] = (found[1], value)
+        marks = sorted([*self._marks, *held])
+        first = self._read(marks, lambda place: place if place in held else -1)
+        out, at = [], 0
+        while found := _ELEMENT.search(page, at):
+            i = bisect_left(marks, found.end())
+            if i < len(first) and first[i] >= 0:
+                attribute, value = held[first[i]]
+                out.append((found[1], attribute, value[1]))
+                at = value.end()
+            else:
+                at = found.end()
+        return out
+
+    def title(self) -> str | None:
+        found = _TITLE.search(self.page)
+        if not found or (start := self.find(">", found.end()) + 1) == 0:
+            return None
+        end = _TITLE_END.search(self.page, start)
+        return self.page[start:end.start() if end else len(self.page)]
+
+    def language(self) -> str | None:
+        """The last language that the first html tag with one names."""
+        at = 0
+        while found := _HTML.search(self.page, at):
+            end = self.find(">", found.end())
+            end = end if end >= 0 else len(self.page)
+            named = None
+            for named in _LANG.finditer(self.page, found.end(), end):
+                pass
+            if named:
+                return named[1]
+            at = end
+        return None
 
 
 def digest(block: bytes) -> str:
@@ -74,42 +241,8 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(chr(0).join(parts).encode('utf-8', 'surrogatepass')).digest()[:16], version=4)}>"
 
 
-def without_hidden(page: str) -> str:
-    """The page with a blank for each comment, declaration and hidden element."""
-    out, at, endless = [], 0, set()  # endless: elements without an end tag from here on
-    while found := _OPEN.search(page, at):
-        out.append(page[at:found.start()])
-        name, start = (found[1] or "").lower(), found.end()
-        if not name:
-            end = {"<!--": "-->", "<![CDATA[": "]]>"}.get(found[0].upper(), ">")
-            upto = page.find(end, start)
-            if upto < 0 and end == "]]>":
-                end, upto = ">", page.find(">", start)
-            at = upto + len(end) if upto >= 0 else len(page) if end == "-->" else start
-        elif not (rest := _REST.match(page, start)):
-            at = start  # no tag
-        elif name == "head":
-            at = rest.end()
-            while inside := _IN_HEAD.match(page, at):
-                at = inside.end()
-            if closed := _HEAD_END.match(page, at):
-                at = closed.end()
-        else:
-            at, open_ = rest.end(), name in TO_THE_END or not rest[0].endswith("/>")
-            closed = _END[name].search(page, at) if open_ and name not in endless else None
-            if closed:
-                at = closed.end()
-            elif open_ and name in TO_THE_END:
-                at = len(page)
-            elif open_:
-                endless.add(name)
-        out.append(page[found.start():at] if at == start else " ")
-    return "".join([*out, page[at:]])
-
-
 def plain_text(page: str) -> str:
-    shown = without_hidden(page)
-    shown = _TAG.sub(lambda m: "\n" if m[1].lower() in BLOCKS else "", shown.replace("\r", " ").replace("\n", " "))
+    shown = Page(Page(page).without_hidden().replace("\r", " ").replace("\n", " ")).without_tags()
     lines = (" ".join(references.unescape(line).split()) for line in shown.split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -117,7 +250,7 @@ def plain_text(page: str) -> str:
 def links(page: str, target: str | None) -> list[tuple[str, str]]:
     """(element@attribute, absolute address) in the order of the page."""
     out = []
-    for element, attribute, value in _LINK.findall(re.sub(r"<!--.*?(?:-->|\Z)", " ", page, flags=re.S)):
+    for element, attribute, value in Page(re.sub(r"<!--.*?(?:-->|\Z)", " ", page, flags=re.S)).addresses():
         address = references.unescape(value.strip("\"'").strip())
         try:
             address = urljoin(target or "", address)
@@ -149,10 +282,11 @@ def derive(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:
             text = plain_text(page).encode("utf-8", "surrogatepass")
             fields = [("WARC-Source-Payload-Digest", payload_digest), ("WARC-Source-Block-Digest", digest(block)),
                       ("conversion", ids["conversion"])]
-            if title := _TITLE.search(page):
-                fields.append(("title", " ".join(references.unescape(title[1]).split())))
-            if lang := _LANG.search(page):
-                fields.append(("lang", lang[1]))
+            read = Page(page)
+            if (title := read.title()) is not None:
+                fields.append(("title", " ".join(references.unescape(title).split())))
+            if lang := read.language():
+                fields.append(("lang", lang))
             for line in head.split("\r\n"):
                 if ":" in line:
                     name, value = line.split(":", 1)

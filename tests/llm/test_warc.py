@@ -1,6 +1,12 @@
 import base64
 import hashlib
+import random
+import time
+from html.parser import HTMLParser
 
+import pytest
+
+import warc_patterns
 from comarca.llm import warc
 from comarca.llm.queries import op8_warc_derivatives
 
@@ -54,3 +60,61 @@ def test_left_out_and_self_closed_tags_hide_no_text():
         assert warc.plain_text(page) == "Hello", page
     assert warc.plain_text("<noscript>a</noscript><p><textarea>b</textarea><p><select><option>c</select><p><object>d</object>") == "a\nb\nc\nd"
     assert warc.plain_text("<header>a</header><svg-icon>b</svg-icon><p>c <![CDATA[x") == "a\nb\nc <![CDATA[x"
+
+
+class Text(HTMLParser):
+    """Another parser's idea of the text outside what is hidden."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.inside = [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in (*warc.HIDDEN, "head"):
+            self.inside.append(tag)
+        elif tag == "body":
+            self.inside = []
+
+    def handle_endtag(self, tag):
+        if tag in self.inside:
+            del self.inside[self.inside.index(tag):]
+
+    def handle_data(self, data):
+        if not self.inside:
+            self.out.append(data)
+
+
+def test_text_of_all_pages_by_another_parser(spark):
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    squeezed = lambda text: "".join(text.split())
+    assert [squeezed(warc.plain_text(p)) for p in pages] == [squeezed("".join(Text(p).out)) for p in pages]
+    assert len(pages) > 100
+
+
+PIECES = ("<a| href|=|\"|'|>|<|/|<img src=x>|<title|<title>|</title>|</title >|<html| lang=de| lang = 'fr'|<head>|</head>|<body>|<script>|</script>|<script|</script|"
+          "<style>|</style>|<!--|-->|<![CDATA[|]]>|<!x|<?y|<svg|/>|</svg>|<template>|</template>|<iframe src='q'>|</iframe>|<noscript>|</noscript>|<meta a=b>|<link|text| |"
+          "\n|<p>|</p>|<br/>|&amp;|<form action=|<area|<base>|<noframes>|<b class=\"x\">|<header>| src = |lang=lang=").split("|")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_broken_pages_against_plain_patterns(seed):
+    rng = random.Random(seed)
+    for _ in range(2000):
+        page = "".join(rng.choice(PIECES) for _ in range(rng.choice([3, 6, 10, 20, 40])))
+        title, lang, read = warc_patterns._TITLE.search(page), warc_patterns._LANG.search(page), warc.Page(page)
+        assert warc.plain_text(page) == warc_patterns.plain_text(page), page
+        assert warc.links(page, "http://h.example/x") == warc_patterns.links(page, "http://h.example/x"), page
+        assert read.title() == (title[1] if title else None) and read.language() == (lang[1] if lang else None), page
+
+
+@pytest.mark.parametrize("piece", ["<a href", "<title ", "<html ", "<title>", "<svg ", "<script ", "</script ", "<head><title>x", "<![CDATA[", "<a x='", '<a "',
+                                   "<img src='x", "<html lang", "<head></script ", "<a href=x ", "<!", "<template></template ", "<p <head><style>"])
+def test_a_megabyte_of_unclosed_tags_in_linear_time(piece):
+    page, start = piece * (1_000_000 // len(piece)), time.perf_counter()
+    warc.plain_text(page)
+    warc.links(page, None)
+    warc.Page(page).title()
+    warc.Page(page).language()
+    assert time.perf_counter() - start < 10
