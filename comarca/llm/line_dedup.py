@@ -7,12 +7,15 @@ A suffix whose first lines occur once has no repeat and leaves; the others keep
 (how many suffixes come before), so suffixes of one rank form an interval of the suffix
 array whose longest common prefix is at least that long.  Only the intervals of common
 prefix ``min_lines`` are needed to know each maximal repeated run: a run is the union of
-the places that lie in such an interval.  So doubling ends at ``min_lines``.
+the places that lie in such an interval.  So doubling ends at ``min_lines``.  A line of
+``long_words`` words or more (a passage or a notice that stands alone) is a run by itself:
+its intervals are those of the first step.
 
 In each interval the first place stays and every later one is deleted: a line goes if a
-run of ``min_lines`` lines that covers it also starts earlier (smaller doc_id, or the same
-document and an earlier line).  Overlaps count; runs never cross documents.  Lines without
-a word belong to no run, but go with one that surrounds them.
+run of ``min_lines`` lines that covers it, or the long line itself, also starts earlier
+(smaller doc_id, or the same document and an earlier line).  Overlaps count; runs never
+cross documents.  Lines without a word belong to no run, but go with one that surrounds
+them.  Short lines that repeat alone stay: they are headings, brackets and the like.
 
 Ranks are counts per distinct pair, summed in buckets of their order, so no task sees all
 suffixes, and a line that a third of all documents share is counted before it is shuffled.
@@ -30,18 +33,22 @@ from pyspark.sql import functions as F
 from comarca.llm.common import cut, null_safe
 
 MIN_LINES = 2
+#: Words of a line that is a run by itself.
+LONG_WORDS = 8
 KEY = ["__doc", "__version"]
 #: Ranks are summed in so many buckets per side (their square in all, if full).
 SIDE = 64
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(__doc, __version, i, line, a, b): the lines that hold a word, numbered, with their ids."""
+def lines(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """(__doc, __version, i, line, long, a, b): the lines that hold a word, numbered, with their ids."""
+    blank, word = r"[ \t\n\x0B\f\r]", r"[^ \t\n\x0B\f\r]"
+    enough = f"^{blank}*+(?:{word}++{blank}++){{{max(0, long_words - 1)}}}{word}"
     each = (docs.where("text IS NOT NULL").select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__version"), F.expr(
         "filter(transform(split(text, '\\n', -1), (x, n) -> struct(n AS line, x AS t)),"
         " s -> s.t RLIKE '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]')").alias("l")))
     return (each.select(*KEY, F.posexplode("l").alias("i", "l"))
-            .select(*KEY, "i", F.col("l.line").alias("line"), F.xxhash64("l.t").alias("a"),
+            .select(*KEY, "i", F.col("l.line").alias("line"), F.col("l.t").rlike(enough).alias("long"), F.xxhash64("l.t").alias("a"),
                     F.xxhash64(F.lit(1), "l.t").alias("b"))
             .dropDuplicates([*KEY, "i"]))  # repeated rows
 
@@ -63,12 +70,18 @@ def _ranked(suffixes: DataFrame, first: str, second: str, bucket: list) -> DataF
     return suffixes.join(ranks, (F.col(first) == F.col("__first")) & (F.col(second) == F.col("__second"))).drop("__first", "__second")
 
 
-def intervals(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """(__doc, __version, i, line, long, last_line, rank, earliest): lines that occur again."""
+    # ids are even over the whole range of a long: their upper bits are a bucket
+    return cut(_ranked(lines(docs, long_words), "a", "b", [F.shiftright("a", 52)])
+               .select(*KEY, "i", "line", "long", F.col("line").alias("last_line"), "rank", "earliest"))
+
+
+def intervals(again: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(__doc, __version, i, line, last_line, rank, earliest): places whose ``min_lines`` lines
     occur again; rank names the interval, earliest is its first place."""
-    # ids are even over the whole range of a long: their upper bits are a bucket
-    now = cut(_ranked(lines(docs), "a", "b", [F.shiftright("a", 52)]).select(*KEY, "i", "line", F.col("line").alias("last_line"), "rank", "earliest"))
-    base, length = now, 1
+    now = base = again.drop("long")
+    length = 1
     while length < min_lines:
         step = min(length, min_lines - length)  # the last step may overlap
         ahead = Window.partitionBy(*KEY).orderBy("i")
@@ -83,18 +96,24 @@ def intervals(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return now
 
 
-def runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
     """(__doc, __version, first_line, last_line): maximal runs of lines to delete."""
-    later = intervals(docs, min_lines).where(F.struct(*KEY, "i") > F.col("earliest"))
-    order = Window.partitionBy(*KEY).orderBy("i")
-    begins = F.coalesce(F.col("i") > F.lag("i").over(order) + min_lines, F.lit(True))
-    grouped = later.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
+    def later(places: DataFrame, length: int) -> DataFrame:
+        return (places.where(F.struct(*KEY, "i") > F.col("earliest"))
+                .select(*KEY, "i", (F.col("i") + length - 1).alias("end"), "line", "last_line"))
+
+    again = repeated_lines(docs, long_words)
+    gone = later(intervals(again, min_lines), min_lines).union(later(again.where("long"), 1))
+    order = Window.partitionBy(*KEY).orderBy("i", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("i") > before + 1, F.lit(True))
+    grouped = gone.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy(*KEY, "run").agg(F.min("line").alias("first_line"), F.max("last_line").alias("last_line")).drop("run")
 
 
-def delete_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def delete_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
     """``docs`` with ``text`` without the later copies, n_lines, n_removed and n_runs."""
-    found = (runs(docs, min_lines).groupBy(*KEY)
+    found = (runs(docs, min_lines, long_words).groupBy(*KEY)
              .agg(F.collect_list(F.struct("first_line", "last_line")).alias("__runs")))
     joined = null_safe(docs.withColumns({"__doc": F.col("doc_id"), "__version": F.xxhash64("text")}), found, KEY, "left")
     all_lines = F.split("text", "\n", -1)

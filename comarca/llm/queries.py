@@ -163,11 +163,14 @@ WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE
 each AS (SELECT doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS t FROM l),
 word AS (SELECT doc_id, line, t, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i FROM each WHERE regexp_matches(t, '[^ \t\n\x0B\f\r]')),
 pair AS (SELECT doc_id, i, line, t, lead(t) OVER o AS t2, lead(line) OVER o AS last_line FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-later AS (SELECT doc_id, i, line, last_line FROM pair WHERE t2 IS NOT NULL
+later AS (SELECT doc_id, i, i + 1 AS e, line, last_line FROM pair WHERE t2 IS NOT NULL
           QUALIFY row_number() OVER (PARTITION BY t, t2 ORDER BY doc_id, i) > 1),
-marked AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 2 THEN 0 ELSE 1 END AS opens FROM later),
+alone AS (SELECT doc_id, i, i AS e, line, line AS last_line FROM word
+          WHERE len(regexp_extract_all(t, '[^ \t\n\x0B\f\r]+')) >= 8 QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, i) > 1),
+marked AS (SELECT *, CASE WHEN i <= max(e) OVER (PARTITION BY doc_id ORDER BY i, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1
+                          THEN 0 ELSE 1 END AS opens FROM (SELECT * FROM later UNION ALL SELECT * FROM alone)),
 runs AS (SELECT doc_id, min(line) AS lo, max(last_line) AS hi FROM
-         (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) GROUP BY doc_id, g),
+         (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i, e ROWS UNBOUNDED PRECEDING) AS g FROM marked) GROUP BY doc_id, g),
 gone AS (SELECT doc_id, count(*) AS n_runs, sum(hi - lo + 1) AS n_removed FROM runs GROUP BY doc_id),
 kept AS (SELECT e.doc_id, string_agg(e.t, chr(10) ORDER BY e.line) AS text FROM each e
          WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = e.doc_id AND e.line BETWEEN r.lo AND r.hi) GROUP BY e.doc_id)

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 from comarca.llm import line_dedup
 
 
-def brute(rows, min_lines):
-    """Kept text of every document, by looking at every run of min_lines lines."""
-    seen, out = set(), {}
+def brute(rows, min_lines, long_words=line_dedup.LONG_WORDS):
+    """Kept text of every document, by looking at every run of min_lines lines and every long line."""
+    seen, seen_lines, out = set(), set(), {}
     for doc, text in rows:
         all_lines = text.split("\n")
         at = [i for i, x in enumerate(all_lines) if x.strip(" \t\n\x0b\f\r")]
@@ -16,6 +16,11 @@ def brute(rows, min_lines):
             if run in seen:
                 gone.update(range(at[i], at[i + min_lines - 1] + 1))
             seen.add(run)
+        for i in at:
+            if len(all_lines[i].encode().split()) >= long_words:
+                if (all_lines[i],) in seen_lines:
+                    gone.add(i)
+                seen_lines.add((all_lines[i],))
         # what lies between two deleted runs that touch goes too
         numbers = [k for k, i in enumerate(at) if i in gone]
         for a, b in zip(numbers, numbers[1:]):
@@ -45,7 +50,7 @@ def test_overlaps_ties_blank_lines_and_hot_lines(spark):
 def test_ranks_are_those_of_the_suffix_array(spark):
     texts = ["b\na\nb\na\nb", "a\nb\na\nb\na", "c\nc\nc\nc"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = line_dedup.intervals(docs, 4).collect()
+    got = line_dedup.intervals(line_dedup.repeated_lines(docs), 4).collect()
     by_prefix = {}
     for r in got:
         by_prefix.setdefault(r["rank"], set()).add(tuple(texts[r["__doc"]].split("\n")[r.i:r.i + 4]))
@@ -60,3 +65,23 @@ def test_null_empty_repeated_and_clashing_columns(spark):
     # the NULL doc_id comes first; the repeated rows are one document
     assert got == {"r1": "c", "r2": "c", "r3": "a\nb", "r4": None, "r5": "", "r6": "d"}
     assert line_dedup.delete_repeated_runs(docs.where("false"), 2).count() == 0
+
+
+def test_a_long_line_is_a_run_by_itself(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    notice = "All rights reserved by the owner of this"          # eight words
+    texts = [f"a\n{passage}\nb", f"c\n{passage}\nd\n{notice}", f"{notice}\ne\n\n{passage}\nf", f"g\n}}\n{notice}\n  {notice}", "h\n}", f"}}\n{notice} not",
+             notice, f"{passage}\n{notice}\n{passage}"] + [f"line {i}\n{notice}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.text for r in line_dedup.delete_repeated_runs(docs).collect()}
+    assert got == brute(list(enumerate(texts)), 2)
+    assert got[1] == f"c\nd\n{notice}" and got[2] == "e\n\nf" and got[3] == f"g\n}}\n  {notice}" and got[4] == "h\n}" and got[6] == "" and got[67] == "line 59"
+    assert {r.doc_id: r.text for r in line_dedup.delete_repeated_runs(docs, 2, 9).collect()}[2] == f"{notice}\ne\n\nf"
+
+
+def test_very_long_lines_and_texts(spark):
+    line = "x " * 300_000
+    texts = [line + "\nend", "a\n" + line, "\n".join(f"short {i}" for i in range(100_000)), "\n".join(f"short {i}" for i in range(50_000, 100_002))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.text for r in line_dedup.delete_repeated_runs(docs).collect()}
+    assert got == {0: texts[0], 1: "a", 2: texts[2], 3: "short 100000\nshort 100001"}
