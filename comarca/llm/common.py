@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Where lineage is cut if the session names no folder (tests, a laptop).
+#: Where lineage is cut if the session names no folder and runs on one machine (tests, a laptop).
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/comarca"
 
 
@@ -17,13 +17,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where it is unset."""
+    """The shared folder of the session; one of our own only on one machine where it is unset."""
     context = spark.sparkContext
-    folder = context.getCheckpointDir()
-    if folder is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", DEFAULT_CHECKPOINT_DIR))
-        folder = context.getCheckpointDir()
-    return folder
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or DEFAULT_CHECKPOINT_DIR)
+    return context.getCheckpointDir()
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -40,6 +41,12 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "inner") -> DataFrame:
     """Join on keys where NULL equals NULL; the keys come once, from the left."""
     keys = list(keys)

@@ -16,7 +16,10 @@ corpus.  A group of fewer than ``least_rows`` documents borrows its language's t
 and a language of fewer the corpus'.  The bins are whole-number arithmetic: any order and
 any split of the rows gives the same thresholds.
 
-Defined results: NULL and empty texts count zero words and fail the base rules; NULL lang
+Each of the four can reject what the base rules pass: words too long or short, symbols, lines
+that occur before, and repeated windows from half of the base rule's share on.
+
+Defined results: texts of any length are read whole; NULL and empty texts count zero words and fail the base rules; NULL lang
 or source is a group of its own; repeated rows are judged each; an empty table gives none.
 """
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,11 +48,31 @@ class QualityRules:
     max_repeat_percent: int = 20
     spread: int = 6
     #: least distance of a fence, in the unit of the measure (1/10,000)
-    least_spread: tuple[int, int, int, int] = (20_000, 1_000, 1_000, 2_000)
+    least_spread: tuple[int, int, int, int] = (20_000, 1_000, 1_000, 1_000)
     steady_words: int = 100
     least_rows: int = 100
 
 
+#: Windows of texts of more words are compared as numbers, 20 bytes each, instead of as words.
+MANY_WORDS = 20_000
+
+
+def _repeated_words(words: list[bytes]) -> int:
+    """Words in windows of five that occur twice or more, of a long text."""
+    known: dict[bytes, int] = {}
+    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+    windows = np.stack([ids[i:len(ids) - 4 + i] for i in range(5)], axis=1)
+    order = np.lexsort(windows.T)
+    same = (windows[order[1:]] == windows[order[:-1]]).all(axis=1)
+    again = np.zeros(len(windows), bool)
+    again[order[1:]] |= same
+    again[order[:-1]] |= same
+    covered = np.zeros(len(words), bool)
+    for i in range(5):
+        covered[i:i + len(windows)] |= again
+    return int(covered.sum())
+
+
 def text_counts(texts: pd.Series) -> pd.DataFrame:
     """Counts of every whole text.  Words are runs of bytes other than ASCII white space."""
     rows = []
@@ -69,7 +93,9 @@ def text_counts(texts: pd.Series) -> pd.DataFrame:
                     else:
                         seen.add(line)
         repeated = 0
-        if n > 5:
+        if n > MANY_WORDS:
+            repeated = _repeated_words(words)
+        elif n > 5:
             windows = list(zip(words, words[1:], words[2:], words[3:], words[4:]))
             if len(first := set(windows)) < len(windows):
                 counts: dict = {}

@@ -129,7 +129,7 @@ ranked AS (SELECT *, CASE WHEN b < 64 THEN b ELSE (b % 32 + 32) << (b // 32 - 1)
                   sum(n) OVER (PARTITION BY level, lang, source, k) AS rows_ FROM merged),
 q AS (SELECT level, lang, source, k, max(rows_) AS rows_, min(low) FILTER (upto * 4 >= rows_) AS q1,
              min(low) FILTER (upto * 4 >= rows_ * 3) AS q3 FROM ranked GROUP BY ALL),
-f AS (SELECT *, greatest((q3 - q1) * 6, [20000, 1000, 1000, 2000][k]) AS spread FROM q),
+f AS (SELECT *, greatest((q3 - q1) * 6, [20000, 1000, 1000, 1000][k]) AS spread FROM q),
 chosen AS (SELECT a.lang, a.source, a.k,
                   CASE WHEN a.rows_ >= 100 THEN a.q1 WHEN b.rows_ >= 100 THEN b.q1 ELSE c.q1 END AS q1,
                   CASE WHEN a.rows_ >= 100 THEN a.q3 WHEN b.rows_ >= 100 THEN b.q3 ELSE c.q3 END AS q3,

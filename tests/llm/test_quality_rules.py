@@ -70,3 +70,32 @@ def test_a_bad_row_takes_no_good_row_of_its_doc_id_along(spark):
     rows = [(None, good), (None, "bad"), (None, None), (1, good + " end"), (1, "bad"), (2, "bad"), (3, "")]
     docs = spark.createDataFrame([(*r, None, None) for r in rows], "doc_id long, text string, lang string, source string")
     assert sorted(r.text for r in quality_rules.keep_good(docs).collect()) == sorted([good, good + " end"])
+
+
+def test_each_measure_rejects_an_outlier(spark):
+    rows = [(i, " ".join(f"word{(i * 331 + k * 17) % 9000}" for k in range(200))) for i in range(300)]
+    word = lambda k: f"word{k}"
+    outliers = {
+        1001: " ".join(f"averyverylongword{k}" for k in range(200)),                                     # words
+        1002: " ".join(f"{word(k)}{'#' * (k % 4 == 0)}" for k in range(200)),                            # symbols
+        1003: "\n".join(f"again\n{word(3 * k)} {word(3 * k + 1)} {word(3 * k + 2)}" for k in range(50)),  # lines
+        1004: " ".join([*map(word, range(170)), *map(word, range(15))]) + " end of it",                  # windows, 16 %
+    }
+    docs = spark.createDataFrame([(*r, "en", "s") for r in [*rows, *outliers.items()]], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judged(docs).collect()}
+    assert all(got[i].kept for i, _ in rows)
+    assert not any(got[i].base_failed for i in outliers) and not any(got[i].kept for i in outliers)
+    # each for its own measure: the others alone would have kept it
+    for i, m in zip(outliers, quality_rules.MEASURES):
+        wide = tuple(10 ** 7 if other == m else own for other, own in zip(quality_rules.MEASURES, QualityRules().least_spread))
+        assert {r.doc_id: r.kept for r in quality_rules.judged(docs, QualityRules(least_spread=wide)).collect()}[i]
+
+
+def test_long_texts_are_counted_alike(monkeypatch):
+    texts = [" ".join(f"w{(k * k) % 997}" for k in range(n)) for n in (6, 7, 50, 3000)] + ["a b c d e " * 40, "x " * 300, "a b c d e f a b c d e"]
+    short = quality_rules.text_counts(pd.Series(texts))
+    monkeypatch.setattr(quality_rules, "MANY_WORDS", 5)
+    assert quality_rules.text_counts(pd.Series(texts)).equals(short)
+    monkeypatch.undo()
+    long = " ".join(f"v{k}" for k in range(1_500_000)) + " v1 v2 v3 v4 v5"
+    assert tuple(quality_rules.text_counts(pd.Series([long])).iloc[0])[4] == 10
