@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comarca.llm import line_dedup, packing, quality_rules, simhash, suffix_dedup
-from comarca.llm.common import checkpoint_folder, read_table
+from comarca.llm.common import checkpoint_folder, read_table, remove_table
 
 
 def _with_chars(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -68,4 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if number:  # the next stage reads what this one wrote
+            remove_table(spark, f"{folder}/{number - 1}")
     return docs
