@@ -34,6 +34,7 @@ import html as references
 import re
 import uuid
 from bisect import bisect_left
+from functools import cached_property
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -56,8 +57,13 @@ _OPEN = re.compile(rf"<!--|<!\[CDATA\[|<[!?]|<({'|'.join(HIDDEN)}|head)(?=[\s/>]
 #: What can stand in a head, besides blanks, by its beginning.
 _IN_HEAD = re.compile(r"\s+|<!--|<[!?]|<(script|style|title|noscript|template|noframes)(?=[\s/>])|</?(?:base|basefont|bgsound|link|meta)(?=[\s/>])", re.I)
 _HEAD_END = re.compile(r"</head(?=[\s/>])", re.I)
-_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)\b")
+#: The rest of a tag without < or > in its quotes; what does not look like that is read from the marks of a page.
+_PLAIN = r"(?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+>"
+_PLAIN_REST = re.compile(_PLAIN)
+_TAG = re.compile(rf"</?([a-zA-Z][a-zA-Z0-9]*)\b({_PLAIN})?")
 _ELEMENT = re.compile(r"<(area|a|img|link|iframe|script|form)\b", re.I)
+_PLAIN_ADDRESS = re.compile(r"(?:[^<>\"'\s]++|\"[^\"<>]*+\"|'[^'<>]*+'|\s(?!(?:href|src|action)\s*=))*+"
+                            r"(?:\s(href|src|action)\s*=\s*(\"[^\"<>]*+\"|'[^'<>]*+'|[^\s<>\"']++(?=[\s>]))|>)", re.I)
 _ADDRESS = re.compile(r"\s(href|src|action)(?=\s*=)", re.I)
 _VALUE = re.compile(r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _TITLE, _TITLE_END = re.compile(r"<title\b", re.I), re.compile(r"</title", re.I)
@@ -75,8 +81,25 @@ class Page:
     def __init__(self, page: str):
         self.page = page
         self._none: dict[str, int] = {}
-        marks = [m.start() for m in re.finditer("[>\"']", page)]
-        self._marks, self._ends = marks, self._read(marks, lambda place: place + 1)
+
+    @cached_property
+    def _marks(self) -> list[int]:
+        return [m.start() for m in re.finditer("[>\"']", self.page)]
+
+    @cached_property
+    def _ends(self) -> list[int]:
+        return self._read(self._marks, lambda place: place + 1)
+
+    @cached_property
+    def _held(self) -> dict[int, tuple[str, re.Match]]:
+        """Attributes that hold an address, by their place, quoted or not."""
+        return {found.start(): (found[1], value) for found in _ADDRESS.finditer(self.page) if (value := _VALUE.match(self.page, found.end()))}
+
+    @cached_property
+    def _addressed(self) -> tuple[list[int], list[int]]:
+        """Places of marks and such attributes, and the first attribute that reading from each comes to."""
+        marks = sorted([*self._marks, *self._held])
+        return marks, self._read(marks, lambda place: place if place in self._held else -1)
 
     def _read(self, marks: list[int], answer) -> list[int]:
         """What reading from each of the marks gives: ``answer`` of the first that is no quote, or -1."""
@@ -93,6 +116,8 @@ class Page:
 
     def tag_end(self, at: int) -> int:
         """The place after the tag that goes on at ``at``, or -1."""
+        if plain := _PLAIN_REST.match(self.page, at):
+            return plain.end()
         i = bisect_left(self._marks, at)
         return self._ends[i] if i < len(self._ends) else -1
 
@@ -182,7 +207,7 @@ class Page:
         """The page with a line end for each tag of a block and nothing for other tags."""
         out, at, page = [], 0, self.page
         while found := _TAG.search(page, at):
-            end = self.tag_end(found.end())
+            end = found.end() if found[2] else self.tag_end(found.end())
             if end < 0:
                 out.append(page[at:found.start() + 1])
                 at = found.start() + 1
@@ -193,21 +218,20 @@ class Page:
 
     def addresses(self) -> list[tuple[str, str, str]]:
         """(element, attribute, value as written) of the first address in each tag that has one."""
-        page, held = self.page, {}
-        for found in _ADDRESS.finditer(page):
-            if value := _VALUE.match(page, found.end()):
-                held[found.start()] = (found[1], value)
-        marks = sorted([*self._marks, *held])
-        first = self._read(marks, lambda place: place if place in held else -1)
-        out, at = [], 0
+        page, out, at = self.page, [], 0
         while found := _ELEMENT.search(page, at):
-            i = bisect_left(marks, found.end())
+            at = found.end()
+            if plain := _PLAIN_ADDRESS.match(page, at):
+                if plain[1]:
+                    out.append((found[1], plain[1], plain[2]))
+                    at = plain.end()
+                continue
+            marks, first = self._addressed
+            i = bisect_left(marks, at)
             if i < len(first) and first[i] >= 0:
-                attribute, value = held[first[i]]
+                attribute, value = self._held[first[i]]
                 out.append((found[1], attribute, value[1]))
                 at = value.end()
-            else:
-                at = found.end()
         return out
 
     def title(self) -> str | None:
