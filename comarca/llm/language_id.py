@@ -121,9 +121,10 @@ def train(labelled: DataFrame) -> Model:
         grams.append(cut(grams[-1].groupBy("lang", last(k).alias("g")).agg(F.count("*").alias("c"))))
     lower, tables = None, []
     for k, table in zip(range(1, ORDER + 1), reversed(grams)):
+        # a row per language: what follows is dealt by context, never by language
         by_lang = table.groupBy("lang").agg(F.count(F.when(F.col("c") == 1, 1)).alias("n1"), F.count(F.when(F.col("c") == 2, 1)).alias("n2"),
                                             F.count("*").alias("seen"))
-        counted = table.join(by_lang, "lang").withColumn("h", F.shiftrightunsigned("g", 16))
+        counted = table.join(F.broadcast(by_lang), "lang").withColumn("h", F.shiftrightunsigned("g", 16))
         discount = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
         context = Window.partitionBy("lang", "h")
         weighed = counted.withColumn("d", discount).withColumns({
