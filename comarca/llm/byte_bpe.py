@@ -2,18 +2,20 @@
 
 The ranks of a ``.tiktoken`` file are the vocabulary.  A rank is also the order of its
 merge, so the driver turns the ranks (a fixed file) into vocabulary and merges of the
-``tokenizers`` library, with each byte written as one printable character.  A text is cut
-where white space begins: no match of the pattern runs from other characters into white
-space, so the chunks encode alike alone.  Equal chunks, and equal matches of the pattern,
-are encoded once per task, and each match is checked against ``tiktoken``, the definition
-of the ids.
+``tokenizers`` library, with each byte written as one printable character; the ids are that
+library's.  A match that is a token whole is that token, as in the definition of the ids.
+A text is cut where white space begins: no match of the pattern runs from other characters
+into white space, so the chunks encode alike alone.  Equal chunks, and equal matches of the
+pattern, are encoded once per task.
 
-Ids travel as little-endian unsigned 32-bit binary.  Decoding looks bytes up by id and
-joins them; text is made from whole byte strings only, so characters split over tokens
-come back whole, and a cut through a character shows as U+FFFD.
+Ids travel as little-endian unsigned 32-bit binary.  Decoding joins the printable characters
+of the tokens and reverses the byte table; text is made from whole byte strings only, so
+characters split over tokens come back whole, and a cut through a character shows as U+FFFD.
 
 Defined results: NULL and empty texts have no ids; NULL ids decode to no bytes; lone
-surrogates cannot occur in a Spark string.
+surrogates cannot occur in a Spark string; an id outside the vocabulary is an error.  Very
+long texts and matches are encoded whole; only chunks and matches of at most
+``CACHE_LENGTH`` characters are kept, so what a task keeps is bounded.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from comarca.llm.common import map_slices
 
 #: Chunks and matches that a task keeps; beyond, it starts anew (the result does not change).
 CACHE_PIECES = 200_000
+CACHE_LENGTH = 200
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,7 +68,8 @@ def _tokenizer(ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]], patte
 
     shown = byte_characters()
     as_text = lambda b: "".join(shown[x] for x in b)
-    out = Tokenizer(models.BPE({as_text(t): r for t, r in ranks.items()}, [(as_text(a), as_text(b)) for a, b in merges]))
+    out = Tokenizer(models.BPE({as_text(t): r for t, r in ranks.items()}, [(as_text(a), as_text(b)) for a, b in merges],
+                               ignore_merges=True))  # a match that is a token needs no merges
     out.pre_tokenizer = pre_tokenizers.Sequence([
         pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return out
@@ -78,11 +82,9 @@ class _Encoder:
         import re
 
         import regex
-        import tiktoken
 
-        self.fast, self.shown = _tokenizer(ranks, merges, pattern).model, byte_characters()
-        self.exact = tiktoken.Encoding("check", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.matches = regex.compile(pattern).findall
+        self.model, self.shown = _tokenizer(ranks, merges, pattern).model, byte_characters()
+        self.matches = regex.compile(pattern).finditer
         self.chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z").findall
         # other white space before a blank: the cut would not be where white space begins
         self.mixed = re.compile(r"[^\S \n][ \n]").search
@@ -91,19 +93,18 @@ class _Encoder:
 
     def match(self, piece: str) -> bytes:
         if (ids := self.single.get(piece)) is None:
-            got = [t.id for t in self.fast.tokenize("".join(map(self.shown.__getitem__, piece.encode())))]
-            if got != (true := self.exact(piece)):  # the pattern finds the piece again: it is one match
-                got = true
-            ids = self.single[piece] = np.array(got, "<u4").tobytes()
+            found = self.model.tokenize("".join(map(self.shown.__getitem__, piece.encode())))
+            ids = np.array([t.id for t in found], "<u4").tobytes()
+            if len(piece) <= CACHE_LENGTH:
+                self.single[piece] = ids
         return ids
 
-    def learn(self, chunks: list[str]) -> None:
-        for cache in (self.known, self.single):
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
-        for chunk in dict.fromkeys(chunks):
-            if chunk not in self.known:
-                self.known[chunk] = b"".join(map(self.match, self.matches(chunk)))
+    def chunk(self, chunk: str) -> bytes:
+        if (ids := self.known.get(chunk)) is None:
+            ids = b"".join([self.match(m.group()) for m in self.matches(chunk)])
+            if len(chunk) <= CACHE_LENGTH:
+                self.known[chunk] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -112,8 +113,10 @@ class _Encoder:
         try:
             return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
-            self.learn(chunks)
-            return b"".join(map(self.known.__getitem__, chunks))
+            for cache in (self.known, self.single):
+                if len(cache) > CACHE_PIECES:
+                    cache.clear()
+            return b"".join(map(self.chunk, chunks))
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
@@ -134,18 +137,25 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", d
 
 
 class _Decoder:
-    """From ids to bytes.  An id outside the vocabulary is an error."""
+    """From ids to bytes, by way of the printable characters of the tokens."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        shown = byte_characters()
         self.tokens: list = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.tokens[rank] = token
+            self.tokens[rank] = "".join(map(shown.__getitem__, token))
+        self.byte = np.zeros(512, np.uint8)  # the byte table reversed
+        self.byte[[*map(ord, shown)]] = np.arange(256)
 
-    def parts(self, ids: bytes | None) -> list[bytes]:
+    def parts(self, ids: bytes | None) -> list[str]:
+        """The tokens, a character for each byte."""
         return [*map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())]
 
+    def whole(self, parts: list[str]) -> np.ndarray:
+        return self.byte[np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")]
+
     def __call__(self, ids: bytes | None) -> bytes:
-        return b"".join(self.parts(ids))
+        return self.whole(self.parts(ids)).tobytes()
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -178,7 +188,7 @@ def offsets(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
             parts = back.parts(x)
             if not parts:
                 return []
-            whole = np.frombuffer(b"".join(parts), np.uint8)
+            whole = back.whole(parts)
             begun = np.concatenate([[0], np.cumsum((whole & 0xC0) != 0x80)])  # characters begun before a byte
             ends = np.cumsum([len(p) for p in parts])
             starts = ends - [len(p) for p in parts]

@@ -33,6 +33,11 @@ def encoder(ranks, merges):
     return byte_bpe._Encoder(ranks, merges, PATTERN)
 
 
+@pytest.fixture(scope="module")
+def back(ranks):
+    return byte_bpe._Decoder(ranks)
+
+
 def test_query_against_tiktoken(spark, sf_dir, true):
     got = op5_byte_bpe(spark, sf_dir).toPandas().set_index("doc_id")
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
@@ -45,11 +50,39 @@ def test_query_against_tiktoken(spark, sf_dir, true):
         assert row.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
-def test_the_library_agrees_without_the_check(true, ranks, merges, spark, sf_dir):
+def test_the_library_agrees_on_texts_and_on_every_token(true, encoder, ranks, merges, spark, sf_dir):
     fast = byte_bpe._tokenizer(ranks, merges, PATTERN)
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("text").take(60)]
     for text in texts:
         assert fast.encode(text, add_special_tokens=False).ids == true.encode_ordinary(text)
+    for token in ranks:
+        try:
+            text = token.decode()
+        except UnicodeDecodeError:
+            continue
+        assert encoder(text + "x") == np.array(true.encode_ordinary(text + "x"), "<u4").tobytes()
+
+
+def test_every_byte_and_token_decodes(ranks, back):
+    for token, rank in ranks.items():
+        assert back(np.array([rank], "<u4").tobytes()) == token
+    with pytest.raises(IndexError):
+        back(np.array([max(ranks.values()) + 1], "<u4").tobytes())
+
+
+def test_very_long_texts_are_whole_and_not_kept(true, encoder):
+    for text in ("ab\u3000 c" * 40_000, "a" * 300_000, "x" * 50_000 + "\t \n" + "é" * 50_000):
+        ids = encoder(text)
+        assert ids == np.array(true.encode_ordinary(text), "<u4").tobytes()
+    assert max(map(len, encoder.known)) <= byte_bpe.CACHE_LENGTH and max(map(len, encoder.single)) <= byte_bpe.CACHE_LENGTH
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60))
+def test_any_text_against_tiktoken(true, encoder, back, text):
+    ids = encoder(text)
+    assert ids == np.array(true.encode_ordinary(text), "<u4").tobytes()
+    assert back(ids).decode() == text
 
 
 @settings(max_examples=300, deadline=None)
