@@ -15,10 +15,11 @@ so it has no collisions.  A character is looked up from the longest context down
 language of the lowest cross-entropy per character wins.
 
 ``score`` is the softmax of the entropies over a temperature that is fitted, with the
-entropy each language rejects beyond, on a sample of training documents (at most about
-``calibration_docs``, chosen by a hash of doc_id).  ``rejected`` marks texts whose
-entropy lies beyond that of all but one in a thousand labelled ones; lang_pred is still
-the best language.
+entropy each language rejects beyond, on texts that the model has not learnt: a calibration
+fold of the labelled texts, chosen by a hash of the text, so exact copies stay together (at
+most about ``calibration_docs``, and a tenth of the texts).  A language with nothing
+but its fold learns from the fold, too.  ``rejected`` marks texts whose entropy lies beyond that of all but one
+in a thousand texts of the fold in their language; lang_pred is still the best language.
 
 What reaches the driver is the model, whole: every n-gram of every language, with its
 language as a number, and the sample's entropies.  No count is left out, so discounts, totals
@@ -27,7 +28,8 @@ labelled languages (not with their occurrences) and has to fit the driver and a
 
 Defined results: NULL texts and texts without a letter are ``und`` with score 0; ties go to
 the first language by name; without any labelled training text everything is ``und``; lang,
-source and doc_id are no input of a prediction; repeated rows count and are judged each.
+source and doc_id are no input of a prediction; repeated rows count and are judged each; very
+long texts are counted and scored whole.
 """
 
 from __future__ import annotations
@@ -213,12 +215,28 @@ def _softmax(h: np.ndarray, temperature: float) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def calibrate(labelled: DataFrame, model: Model, calibration_docs: int = 5_000) -> tuple[float, list[float]]:
-    """Temperature, and per language the entropy of all but one in a thousand of its texts."""
+def calibration_fold(labelled: DataFrame, calibration_docs: int = 5_000) -> tuple[DataFrame, DataFrame]:
+    """(to learn, to calibrate): ``labelled`` without and with the calibration fold.
+
+    Languages that have no other rows are in both.  What is gathered is a row per language.
+    """
+    bits = 1 << 20
+    place = F.pmod(F.xxhash64(F.lit(4), "text"), F.lit(bits))
     total = labelled.count()
-    share = min(1.0, calibration_docs / max(total, 1))
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = entropies(sample.select("lang", "text"), model).where("entropy IS NOT NULL").select("lang", "entropy").collect()  # bounded by the share
+    share = int(min(0.1, calibration_docs / max(total, 1)) * bits)
+    folds = labelled.groupBy("lang").agg(F.min((place < share).cast("int")).alias("all_in")).where("all_in = 1").collect()
+    only = [r["lang"] for r in folds]
+    rest = (place >= share) | F.col("lang").isin(only) if only else place >= share
+    return labelled.where(rest), labelled.where(place < share)
+
+
+def calibrate(fold: DataFrame, model: Model) -> tuple[float, list[float]]:
+    """Temperature, and per language the entropy of all but one in a thousand of its texts.
+
+    ``fold`` (lang, text) is a bounded share of the texts; its copies count once, so what is gathered is bounded, too.
+    """
+    texts = fold.select("lang", "text").dropDuplicates()
+    rows = entropies(texts, model).where("entropy IS NOT NULL").select("lang", "entropy").collect()
     at = {lang: i for i, lang in enumerate(model.languages)}
     rows = [r for r in rows if r["lang"] in at]
     if not rows:
@@ -252,6 +270,7 @@ def fold(doc_id: Column) -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the rows of ``docs`` that are not held out and predict all of them."""
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
-    learnt = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    labelled = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    learnt, unlearnt = calibration_fold(labelled)
     model = train(learnt)
-    return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, calibrate(learnt, model)).drop("text")
+    return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, calibrate(unlearnt, model)).drop("text")

@@ -19,6 +19,10 @@ def test_held_out_accuracy(spark):
     judged = [r for r in got if r.held_out and r.lang and any(c.isalpha() for c in r.text or "")]
     assert np.mean([r.lang == r.lang_pred for r in judged]) > 0.99
     assert all(0 <= r.score <= 1 for r in got)
+    # score is calibrated on other texts than the model learnt, so it holds on the held-out ones
+    error = abs(np.mean([r.score for r in judged]) - np.mean([r.lang == r.lang_pred for r in judged]))
+    assert error < 0.05, error
+    assert np.mean([r.rejected for r in judged]) < 0.05
 
 
 def reference_model(words, order):
@@ -91,3 +95,29 @@ def test_no_count_is_left_out(spark, monkeypatch):
         for i, w in enumerate(["abba", "zz"]):
             padded = " " * (language_id.ORDER - 1) + w + " "
             assert got[i, j] == pytest.approx(sum(-math.log2(p(padded[k:k + language_id.ORDER])) for k in range(len(w) + 1)), rel=1e-9)
+
+
+def test_the_calibration_fold_is_not_learnt(spark):
+    rows = [("en", f"the cat number {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} sat") for i in range(100)] * 2
+    rows += [("de", "die katze sitzt")] * 40 + [("fr", "le chat")]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    learnt, fold = language_id.calibration_fold(labelled)
+    a, b = ({(r.lang, r.text) for r in part.collect()} for part in (learnt, fold))
+    assert a | b == set(rows) and b and len(b) < 40
+    assert {lang for lang, _ in a} == {"en", "de", "fr"}  # a language is learnt even if its only text is in the fold
+    assert all(lang != "en" for lang, _ in a & b)
+    wide_learnt, wide = language_id.calibration_fold(labelled, 0)
+    assert wide.count() == 0 and wide_learnt.count() == len(rows)
+    only = labelled.where("lang = 'fr'")
+    for text in ("x", "y", "z", "le chat"):
+        learnt, _ = language_id.calibration_fold(only.withColumn("text", F.lit(text)))
+        assert learnt.count() == 1
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = "the cat sat on the mat " * 60_000
+    rows = [(i, t, lang, 0.5, True, "x") for i, (t, lang) in enumerate([("the cat sat", "en"), ("die katze sitzt", "de")] * 20)]
+    rows += [(100, long, None, 0.5, True, "x"), (101, "the" * 400_000, None, 0.5, True, "x"), (102, "die katze", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, rejected boolean, entropy string")
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    assert got[100].lang_pred == "en" and got[102].lang_pred == "de" and 101 in got
