@@ -11,7 +11,8 @@ A window and a template share each of ``bands`` bands of one MinHash row with pr
 J, their Jaccard similarity.  With a containment of ``containment`` J is at least
 containment * |T| / (2s + |T|), so some band agrees with probability 1 - (1 - J) ** bands;
 ``bands_for`` picks the bands for ``recall`` (0.999) at that J.  Retrieved pairs are then
-verified exactly: the share of the template's distinct shingles that the window holds.
+verified exactly, on the words: the share of the template's distinct shingles that the window
+holds (hashes only say where to compare).
 Before, a text with fewer shingles that may be of a class's templates than any of them needs
 is passed over (exact: a table of hash prefixes finds too many, never too few).
 
@@ -19,7 +20,7 @@ Templates are a parameter, at most ``MAX_TEMPLATES``; their bands are what is br
 
 Defined results: NULL, empty and short texts match nothing; overlapping windows that match
 one template are one match (first to last word); repeated rows are scanned each; templates
-without a word are an error; an empty table gives no rows.
+without a word are an error; an empty table gives no rows; very long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from zlib import crc32
 
@@ -103,8 +104,10 @@ def bands_for(jaccard: float, recall: float = 0.999) -> int:
 class Scanner:
     """The templates of one shingle width and size class, and their bands."""
 
-    def __init__(self, width: int, size: int, templates: list[tuple[str, set[int]]], containment: float):
-        self.width, self.size, self.templates, self.containment = width, size, templates, containment
+    def __init__(self, width: int, size: int, templates: list[tuple[str, dict[int, set[tuple[bytes, ...]]]]], containment: float):
+        self.width, self.size, self.containment = width, size, containment
+        #: name, shingles by their hash, number of shingles
+        self.templates = [(name, own, sum(map(len, own.values()))) for name, own in templates]
         self.window = 1 if size == 1 else 2 * size
         self.step = max(1, size // 2)
         self.least = min(math.ceil(containment * len(s) - 1e-9) for _, s in templates)
@@ -140,8 +143,8 @@ class Scanner:
             np.minimum(low[:, :-j], blocks[:, j:], out=low[:, :-j])
         return low
 
-    def __call__(self, hashes: np.ndarray) -> Iterator[tuple[str, int, int, int, int]]:
-        """Matches among a text's shingles of this width."""
+    def __call__(self, hashes: np.ndarray, words: Callable[[int], tuple[bytes, ...]]) -> Iterator[tuple[str, int, int, int, int]]:
+        """Matches among a text's shingles of this width; ``words`` gives those of the shingle at a place."""
         if np.count_nonzero(self.prefixes[hashes >> np.uint64(44)]) < self.least:
             return
         starts = np.arange(0, len(hashes), self.step)
@@ -158,11 +161,11 @@ class Scanner:
             for w in np.flatnonzero(left < right):
                 candidates.update((int(w), int(t)) for t in order[left[w]:right[w]])
         for w, t in sorted(candidates):
-            name, shingles = self.templates[t]
-            at = [i for i in range(starts[w], ends[w]) if int(hashes[i]) in shingles]
-            found = len({int(hashes[i]) for i in at})
-            if found >= self.containment * len(shingles):
-                yield name, at[0], at[-1] + self.width - 1, found, len(shingles)
+            name, shingles, many = self.templates[t]
+            held = {i: own for i in range(starts[w], ends[w]) if (same := shingles.get(int(hashes[i]))) and (own := words(i)) in same}
+            found = len(set(held.values()))
+            if found >= self.containment * many:
+                yield name, min(held), max(held) + self.width - 1, found, many
 
 
 def hashed_words(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -188,7 +191,9 @@ def scanners(templates: dict[str, str], containment: float = 0.8) -> list[Scanne
         if not words:
             raise ValueError(f"template {name!r} has no word")
         width = min(WORDS, len(words))
-        shingles = {int(x) for x in shingle_hashes(hashed_words(words, {}), width)}
+        shingles: dict[int, set[tuple[bytes, ...]]] = {}
+        for i, x in enumerate(shingle_hashes(hashed_words(words, {}), width)):
+            shingles.setdefault(int(x), set()).add(tuple(words[i:i + width]))
         classes.setdefault((width, 1 << (len(words) - width).bit_length()), []).append((name, shingles))
     return [Scanner(width, size, own, containment) for (width, size), own in sorted(classes.items())]
 
@@ -209,7 +214,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
             shingles = {width: shingle_hashes(hashes[places], width) for width in {s.width for s in ready.value}}
             for scanner in ready.value:
                 merged: dict[str, list] = {}
-                for name, lo, hi, found, of in scanner(shingles[scanner.width]):
+                own_words = lambda i, n=scanner.width: tuple(words[p].strip(MARKS) for p in places[i:i + n])
+                for name, lo, hi, found, of in scanner(shingles[scanner.width], own_words):
                     own = merged.setdefault(name, [])
                     if own and lo <= own[-1][1]:
                         own[-1][1], own[-1][2] = max(own[-1][1], hi), max(own[-1][2], found)

@@ -75,3 +75,57 @@ def test_whole_texts_and_commented_headers(spark):
     for name, found in zip(table, got[4:]):
         assert any(m.template == name and m.containment == 1.0 for m in found), name
     assert ls.words_of("a * // é -- #1") == [b"a", "é".encode(), b"#1"]
+
+
+def brute_windows(text, templates, containment=0.8):
+    """Every window against every template, on words: (template, found) of the best window, without bands and hashes."""
+    words, found = ls.words_of(text or ""), {}
+    for name, body in templates.items():
+        own = ls.words_of(body)
+        width = min(ls.WORDS, len(own))
+        shingles = {tuple(own[i:i + width]) for i in range(len(own) - width + 1)}
+        size = 1 << (len(own) - width).bit_length()
+        window, step = (1, 1) if size == 1 else (2 * size, max(1, size // 2))
+        at = [tuple(words[i:i + width]) for i in range(len(words) - width + 1)]
+        best = max((len(shingles & set(at[i:i + window])) for i in range(0, len(at), step)), default=0)
+        if best >= containment * len(shingles):
+            found[name] = best
+    return found
+
+
+def test_equal_to_all_windows_with_changed_whole_texts(spark):
+    table, rng = ls.all_templates(), random.Random(9)
+    texts = []
+    for name, body in table.items():
+        words = body.split()
+        for gap in (23, 40, 90):  # a word changed in every so many: about 5 / gap of the shingles differ
+            changed = [f"changed{i}" if i % gap == gap - 1 else w for i, w in enumerate(words)]
+            filler = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(90))]
+            texts.append(" ".join(filler + changed + filler[::-1]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    got = {r.doc_id: r.matches for r in ls.scan(rows).collect()}
+    for i, text in enumerate(texts):
+        best = {}
+        for m in got[i]:
+            best[m.template] = max(best.get(m.template, 0), m.found_shingles)
+        assert best == brute_windows(text, table)
+
+
+def test_equal_hashes_of_other_words_are_no_match(monkeypatch):
+    honest = ls.shingle_hashes
+    monkeypatch.setattr(ls, "shingle_hashes", lambda words, width: honest(words, width) % 3 << 60)  # nearly all shingles collide
+    body = ls.TEMPLATES["BSD-2-Clause"]
+    (scanner,) = ls.scanners({"BSD-2-Clause": body})
+    own, other = ls.words_of(body), [b"w%d" % i for i in range(40)]
+
+    def matches(words):
+        hashes = ls.shingle_hashes(ls.hashed_words(words, {}), scanner.width)
+        return [m[0] for m in scanner(hashes, lambda i: tuple(words[i:i + scanner.width]))]
+
+    assert matches(other + own) and not matches(other + other)
+
+
+def test_very_long_text(spark):
+    text = "word other " * 300_000 + ls.TEMPLATES["MIT"]
+    found = ls.scan(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, containment string")).first()
+    assert [m.template for m in found.matches] == ["MIT"] and found.containment == "x"
