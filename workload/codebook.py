@@ -24,6 +24,21 @@ def variable_dictionary(spark, d):
     return rows.withColumn("universo", F.lower("universo"))
 
 
+# Brand and size name a variable, so names repeat; the part with the highest key is the last.
+@query("dictionary_with_repeated_names", """
+SELECT variable, label, tipo, universo, tema, tema_etiqueta FROM (
+  SELECT lower(replace(p_brand, '#', '_')) || '_' || CAST(p_size AS VARCHAR) AS variable, p_name AS label,
+         lower(p_type) AS tipo, p_name AS universo, lower(p_type) AS tema, p_type AS tema_etiqueta, p_partkey
+  FROM part) QUALIFY row_number() OVER (PARTITION BY variable ORDER BY p_partkey DESC) = 1""")
+def dictionary_with_repeated_names(spark, d):
+    name = F.concat(F.lower(F.translate("p_brand", "#", "_")), F.lit("_"), F.col("p_size").cast("string"))
+    rows = t.read(spark, d, "part").select(
+        name.alias("variable"), F.col("p_name").alias("descripcion"), F.col("p_type").alias("type"),
+        F.col("p_name").alias("universo"), F.lower("p_type").alias("tema"),
+        F.col("p_type").alias("tema_etiqueta"), F.col("p_partkey").alias("fila"))
+    return codebook.variable_dictionary(rows, order=F.col("fila"))
+
+
 @query("variable_dictionary_unfiltered", with_views("variables") + """
 SELECT count(*) AS n, count(DISTINCT variable) AS variables FROM variables""")
 def variable_dictionary_unfiltered(spark, d):
@@ -154,24 +169,34 @@ def catalogue_lookup(spark, d):
     return every.select("tabla", "variable", "bloque_etiqueta", "expr", "tiene_porcentaje")
 
 
-@query("catalogue_changes", with_views("cat_origen").rstrip() + f""",
-cat AS ({_CATALOGUE}),
-old AS (SELECT tabla, variable, expr, denominador FROM cat WHERE variable NOT LIKE '%3'),
-new AS (SELECT tabla, variable, expr, CASE WHEN variable LIKE '%4_h' THEN 'otro'
-               ELSE denominador END AS denominador FROM cat WHERE variable NOT LIKE '%5_m')
+# The catalogue of a year: a column per part shipped in it, its denominator from its shipments.
+def _catalogue_of_year(spark, d, year):
+    shipped = t.read(spark, d, "lineitem").filter(F.year("l_shipdate") == year).groupBy("l_partkey").agg(
+        F.min("l_returnflag").alias("flag"))
+    part = t.read(spark, d, "part").join(shipped, F.col("p_partkey") == F.col("l_partkey"))
+    block = F.concat(F.lit("b"), (F.col("p_size") % 7).cast("string"))
+    return catalogue.build_catalogue(part.select(
+        F.when(F.col("p_partkey") % 3 == 0, "unidad").otherwise("ficha").alias("tabla"),
+        F.concat(F.lit("i"), F.col("p_partkey").cast("string")).alias("variable"),
+        F.col("p_name").alias("etiqueta"), block.alias("bloque"), block.alias("bloque_etiqueta"),
+        F.lit("numerica").alias("tipo"), F.concat(F.lit("tot_"), F.lower("flag")).alias("denominador"),
+        F.lower("p_type").alias("tema"), F.col("p_type").alias("tema_etiqueta"),
+        (F.col("p_size") % 7).alias("bloque_orden")))
+
+
+@query("catalogue_changes", """
+WITH cat AS (
+  SELECT year(l_shipdate) AS anio, CASE WHEN p_partkey % 3 = 0 THEN 'unidades' ELSE 'fichas' END AS tabla,
+         'i' || CAST(p_partkey AS VARCHAR) AS variable, 'tot_' || lower(min(l_returnflag)) AS denominador
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+old AS (SELECT * FROM cat WHERE anio = 1995), new AS (SELECT * FROM cat WHERE anio = 1996)
 SELECT coalesce(o.tabla, n.tabla) AS tabla, coalesce(o.variable, n.variable) AS variable,
        CASE WHEN o.tabla IS NULL THEN 'nueva' WHEN n.tabla IS NULL THEN 'eliminada'
             ELSE 'cambiada' END AS cambio
 FROM old o FULL OUTER JOIN new n ON o.tabla = n.tabla AND o.variable = n.variable
-WHERE o.tabla IS NULL OR n.tabla IS NULL OR o.expr <> n.expr
-      OR o.denominador <> n.denominador""")
+WHERE o.tabla IS NULL OR n.tabla IS NULL OR o.denominador <> n.denominador""")
 def catalogue_changes(spark, d):
-    built = catalogue.build_catalogue(t.catalogue_source(spark, d))
-    old = built.filter("variable NOT LIKE '%3'")
-    new = built.filter("variable NOT LIKE '%5_m'").withColumn(
-        "denominador", F.when(F.col("variable").like("%4_h"), "otro")
-        .otherwise(F.col("denominador")))
-    return catalogue.catalogue_diff(old, new)
+    return catalogue.catalogue_diff(_catalogue_of_year(spark, d, 1995), _catalogue_of_year(spark, d, 1996))
 
 
 # --- documentation and skips --------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from comarca.operators import classify, measures, quantiles, sheets
 from comarca.operators.layers import with_names
-from comarca.operators.territory import geo_code
+from comarca.operators.territory import geo_code, with_geo_code
 from comarca.sources.tables import GeoColumns
 from comarca.spec import IndicatorSpec
 from workload import tables as t
@@ -113,19 +113,37 @@ def pct_of_all(spark, d):
 SELECT geo_code, coalesce(n_name, geo_code) AS geo_nombre, valor, casos FROM (
   SELECT {MUN} AS geo_code, iprov, round(avg(edad), 4) AS valor, count(edad) AS casos
   FROM personas WHERE v01_tipoviv <> 3 GROUP BY 1, 2) LEFT JOIN nation
-ON n_nationkey = iprov AND n_nationkey < 20""")
+ON n_nationkey = iprov""")
 def indicator_with_names(spark, d):
     people = t.persons(spark, d)
     result = measures.indicator(people, IndicatorSpec("municipio", "mean", "edad"),
                                 universe=F.col("v01_tipoviv") != 3)
     key = F.col("n_nationkey").cast("string")
-    names = t.read(spark, d, "nation").filter("n_nationkey < 20").select(
+    names = t.read(spark, d, "nation").select(
         F.concat(F.lpad(F.col("n_regionkey").cast("string"), 2, "0"),
                  F.lpad(key, 2, "0"), F.lit("01")).alias("geo_code"),
         F.col("n_name").alias("geo_nombre"))
     return with_names(result, names)
 
 
+_MUN_RESIDENTS = MUN.replace("idep", "r.idep").replace("iprov", "r.iprov").replace("imun", "r.imun")
+
+
+# Names come from another register (suppliers), which has not all of the municipalities.
+@query("names_from_another_register", with_views("residentes") + f"""
+SELECT geo_code, coalesce(s_name, geo_code) AS geo_nombre, valor, casos FROM (
+  SELECT {_MUN_RESIDENTS} AS geo_code, idep * 10000 + iprov * 100 + imun AS llave,
+         round(avg(edad), 4) AS valor, count(edad) AS casos
+  FROM residentes r GROUP BY 1, 2) LEFT JOIN supplier ON s_suppkey = llave""")
+def names_from_another_register(spark, d):
+    result = measures.indicator(t.residents(spark, d), IndicatorSpec("municipio", "mean", "edad"))
+    places = t.read(spark, d, "supplier").select(
+        F.expr("s_suppkey div 10000").alias("idep"), F.expr("s_suppkey div 100 % 100").alias("iprov"),
+        F.expr("s_suppkey % 100").alias("imun"), "s_name")
+    names = with_geo_code(places, "municipio").select("geo_code", F.col("s_name").alias("geo_nombre"))
+    return with_names(result, names)
+
+
 REFERENCES = {
     "conteo": (IndicatorSpec(), "CAST(count(*) AS DOUBLE)", "count(*)"),
     "conteo_cat": (IndicatorSpec(**PCT), "CAST(count(*) FILTER (WHERE prioridad_num = 2)"

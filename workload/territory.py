@@ -62,6 +62,22 @@ def column_listing(spark, d):
     return coverage(people, src.analysis_columns(people))
 
 
+_DEPARTMENTS, _MUNICIPALITIES = (
+    f"""SELECT '{{0}}' AS tabla, '{level}' AS nivel, {code} AS geo_code, count(*) AS n FROM {{0}} GROUP BY ALL"""
+    for level, code in (("departamento", DEP), ("municipio", MUN)))
+
+
+@query("levels_of_tables", with_views("personas", "residentes") + " UNION ALL ".join(
+    level.format(table) for table in ("personas", "residentes") for level in (_DEPARTMENTS, _MUNICIPALITIES)))
+def levels_of_tables(spark, d):
+    """Rows per territory at every level that a table has."""
+    rows = [territory.with_geo_code(df, level).groupBy("geo_code").agg(F.count(F.lit(1)).alias("n"))
+            .select(F.lit(name).alias("tabla"), F.lit(level).alias("nivel"), "geo_code", "n")
+            for name, df in (("personas", t.persons(spark, d)), ("residentes", t.residents(spark, d)))
+            for level in src.available_levels(df)]
+    return src.union_by_name(rows)
+
+
 @query("dictionary_read", """
 SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY p_brand, p_type""")
 def dictionary_read(spark, d):
